@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, id_key, pack, partitions, read_table, staged, unpack
+from .common import NULL_ID, id_key, pack, read_table, staged, unpack
 
 #: 64 slices of 2^20 bits: 8 MB is all that is ever broadcast.
 SLICES, SLICE_BITS, PROBES = 64, 1 << 20, 4
@@ -143,6 +143,7 @@ def drops(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
     held = spark.sparkContext.broadcast(repeat_filter(docs, least_chars))
     suspects = staged(docs.select("did", "text").mapInArrow(_suspects(held, least_chars), "did bigint, key binary"))
     common = suspects.groupBy("key").agg(F.count_distinct("did").alias("n"), F.max("did").alias("keeper")).where(F.col("n") >= least_docs)
+    common = staged(common)  # so that the join deals both sides anew and can split a frequent key
     lost = suspects.join(common.select(F.col("key").alias("ck"), "keeper"), F.col("key") == F.col("ck")).where("did <> keeper")
     return lost.groupBy("did").agg(F.collect_set("key").alias("keys"))
 
