@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import op3_secrets, op5_mixing, op7_quality, op10_lines
+from . import op3_secrets, op5_mixing, op7_quality, op9_ngrams, op10_lines
 
 QUERIES = {
     "op3_secrets": op3_secrets.op3_secrets,
     "op5_mixing": op5_mixing.op5_mixing,
     "op7_quality": op7_quality.op7_quality,
+    "op9_ngrams": op9_ngrams.op9_ngrams,
     "op10_lines": op10_lines.op10_lines,
 }
 
 ORACLE_SQL = {
     "op3_secrets": op3_secrets.oracle(),
     "op7_quality": op7_quality.op7_quality,
+    "op9_ngrams": op9_ngrams.ORACLE,
     "op10_lines": op10_lines.ORACLE,
 }
