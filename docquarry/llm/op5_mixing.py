@@ -77,26 +77,53 @@ def multipliers(sized: DataFrame, goals: DataFrame, steps: int = 12, bound: floa
     return staged(out.select("source", "source_size", "target", "scale", F.coalesce("lam", F.lit(0.0)).alias("lam")))
 
 
+def _rated(sized: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Adds whole (copies for certain, 0 or 1) and bin, the place at which the document gets one more."""
+    m = per_source.withColumnRenamed("source", "ms")
+    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("doc_id")), 11) / F.lit(float(1 << 53))
+    rated = sized.join(m, F.col("ms").eqNullSafe(F.col("source"))).drop("ms").withColumn("rate", rate(F.col("lam"), F.col("size"), F.col("scale")))
+    whole = F.when(F.col("rate") >= 1, F.lit(1)).otherwise(F.lit(0))
+    return rated.withColumn("whole", whole).withColumn("bin", F.floor((uniform - (F.col("rate") - F.col("whole")) + 1) * (BINS // 2)).cast("int")).drop("rate", "lam", "scale")
+
+
+def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per source: sizes, target, multiplier and thresholds, all that a document's copies depend on."""
+    solved = multipliers(sized, targets(sized, weights, share, most))
+    placed = _rated(sized, solved)
+    bases = placed.groupBy(F.col("source").alias("bs")).agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
+    rooms = solved.join(bases, F.col("bs").eqNullSafe(F.col("source"))).select("source", (F.col("target") - F.coalesce("base", F.lit(0))).alias("room"))
+    first = _cuts(placed.select("source", "bin", "size"), rooms, over=False)
+    # a long document may leave room in a small source: shorter ones after it fill that
+    f = first.withColumnRenamed("source", "fs")
+    fits = placed.join(f, F.col("fs").eqNullSafe(F.col("source"))).where((F.col("bin") > F.col("cut")) & (F.col("size") <= F.col("left")))
+    second = _cuts(fits.select("source", "bin", "size"), first.select("source", F.col("left").alias("room")), over=True)
+    out = solved.join(f, F.col("fs").eqNullSafe(F.col("source"))).drop("fs")
+    s = second.select(F.col("source").alias("ss"), F.col("cut").alias("cut2"))
+    return staged(out.join(s, F.col("ss").eqNullSafe(F.col("source"))).drop("ss"))
+
+
+def with_copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds source_size, target and copies to rows that have doc_id, source and size."""
+    placed = _rated(sized, plan)
+    more = (F.col("bin") <= F.col("cut")) | ((F.col("bin") > F.col("cut")) & (F.col("size") <= F.col("left")) & (F.col("bin") <= F.col("cut2")))
+    return placed.withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0)).drop("whole", "bin", "cut", "left", "cut2")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, copies), one per document. A source that is too
     small for its share is taken `most` = 2 times in full and the rest is shared again."""
     sized = staged(sizes(docs))
-    solved = multipliers(sized, targets(sized, weights, share, most))
-    m = solved.withColumnRenamed("source", "ms")
-    r = rate(F.col("lam"), F.col("size"), F.col("scale"))
-    rated = sized.join(m, F.col("ms").eqNullSafe(F.col("source"))).withColumn("rate", r)
-    whole = F.when(F.col("rate") >= 1, F.lit(1)).otherwise(F.lit(0))
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("doc_id")), 11) / F.lit(float(1 << 53))
-    rank = uniform - (F.col("rate") - whole)
-    placed = rated.select("doc_id", "source", "size", "source_size", "target", whole.alias("whole"), F.floor((rank + 1) * (BINS // 2)).cast("int").alias("bin"))
-    first = _cuts(placed.select("source", "bin", "size"), solved.join(placed.groupBy(F.col("source").alias("bs")).agg(F.sum(F.col("whole") * F.col("size")).alias("base")), F.col("bs").eqNullSafe(F.col("source"))).select("source", (F.col("target") - F.coalesce("base", F.lit(0))).alias("room")), over=False)
-    once = placed.join(first.select(F.col("source").alias("fs"), "cut", "left"), F.col("fs").eqNullSafe(F.col("source")), "left")
-    once = once.select("doc_id", "source", "size", "source_size", "target", "bin", (F.col("whole") + F.when(F.col("bin") <= F.col("cut"), 1).otherwise(0)).alias("copies"), ((F.col("bin") > F.col("cut")) & (F.col("size") <= F.col("left"))).alias("fits"))
-    # a long document may leave room in a small source: shorter ones after it fill that
-    second = _cuts(once.where("fits").select("source", "bin", "size"), first.select("source", F.col("left").alias("room")), over=True)
-    out = once.join(second.select(F.col("source").alias("ss"), "cut"), F.col("ss").eqNullSafe(F.col("source")), "left")
-    copies = F.col("copies") + F.when(F.col("fits") & (F.col("bin") <= F.col("cut")), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return with_copies(sized, mixing_plan(sized, weights, share, most))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with all their columns."""
+    plan = mixing_plan(staged(sizes(docs)), weights, share, most)
+    names = {c: c if c in ("doc_id", "source", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    sized = plain.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    taken = with_copies(sized, plan).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def _cuts(ranked: DataFrame, rooms: DataFrame, over: bool) -> DataFrame:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import op3_secrets, op5_mixing, op7_quality, op9_ngrams, op10_lines
+from . import op1_suffix, op3_secrets, op5_mixing, op7_quality, op8_vectors, op9_ngrams, op10_lines
 
 QUERIES = {
+    "op1_suffix": op1_suffix.op1_suffix,
     "op3_secrets": op3_secrets.op3_secrets,
     "op5_mixing": op5_mixing.op5_mixing,
     "op7_quality": op7_quality.op7_quality,
+    "op8_vectors": op8_vectors.op8_vectors,
     "op9_ngrams": op9_ngrams.op9_ngrams,
     "op10_lines": op10_lines.op10_lines,
 }
 
 ORACLE_SQL = {
     "op3_secrets": op3_secrets.oracle(),
-    "op7_quality": op7_quality.op7_quality,
+    "op8_vectors": op8_vectors.ORACLE,
     "op9_ngrams": op9_ngrams.ORACLE,
     "op10_lines": op10_lines.ORACLE,
 }
