@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import op1_suffix, op3_secrets, op5_mixing, op7_quality, op8_vectors, op9_ngrams, op10_lines
+from . import op1_suffix, op2_pieces, op3_secrets, op4_html, op5_mixing, op6_classifier, op7_quality, op8_vectors, op9_ngrams, op10_lines
 
 QUERIES = {
     "op1_suffix": op1_suffix.op1_suffix,
+    "op2_pieces": op2_pieces.op2_pieces,
     "op3_secrets": op3_secrets.op3_secrets,
+    "op4_html": op4_html.op4_html,
     "op5_mixing": op5_mixing.op5_mixing,
+    "op6_classifier": op6_classifier.op6_classifier,
     "op7_quality": op7_quality.op7_quality,
     "op8_vectors": op8_vectors.op8_vectors,
     "op9_ngrams": op9_ngrams.op9_ngrams,
