@@ -279,12 +279,15 @@ def _contexts(parts: int):
 
         def flush_strings():
             for out in _deal(strings, parts):
-                lane = [2 if p < 0 else 1 for p in out.column("part").to_pylist()]
-                if lane and lane[0] == 2:
-                    blocks = [pack(np.array([i, j], np.int64), *_unmark(n, m)[1:3]) for i, j, n, m in zip(*(out.column(c).to_pylist() for c in ("id1", "id2", "n", "marks")))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks)) % parts, pa.int32()), pa.array(lane, pa.int32()), pa.array(blocks, pa.binary())], ["part", "lane", "marks"])
+                if out.column("part")[0].as_py() < 0:
+                    rows = zip(*(out.column(c).to_pylist() for c in ("id1", "id2", "n", "marks")))
+                    cols = [(np.full(k, i), np.full(k, j), _unmark(k, m)[1]) for i, j, k, m in rows]
+                    again = _Marks()
+                    _joined(*(np.concatenate([c[k] for c in cols]) for k in range(3)), again)
+                    own = [p[k] for p in again.parts for k in (0, 1, 3, 4)]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(own[2].sum()) % parts], pa.int32()), pa.array([2], pa.int32()), pa.array([pack(*own)], pa.binary())], ["part", "lane", "marks"])
                 else:
-                    yield pa.RecordBatch.from_arrays([out.column("part"), pa.array(lane, pa.int32()), out.column("marks")], ["part", "lane", "marks"])
+                    yield pa.RecordBatch.from_arrays([out.column("part"), pa.array([1] * len(out), pa.int32()), out.column("marks")], ["part", "lane", "marks"])
 
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
@@ -453,8 +456,8 @@ def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             _joined(id1[order[later]], id2[order[later]], a[order[later]], marks)
         else:
             for b in blocks:
-                ids, a, e = unpack(b)
-                marks.add(np.full(len(a), ids[0]), np.full(len(a), ids[1]), 0, a, e)
+                id1, id2, a, e = unpack(b)
+                marks.add(id1, id2, 0, a, e)
         return marks.batch()
 
     for batch in batches:
