@@ -301,23 +301,20 @@ def trie_links(x: np.ndarray, others: list[np.ndarray], num: int, den: int, step
 def _match(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by (hub, block), the hub's own set first
-        now, x, ids, sets = None, None, [], []
+        now, hubs, ids, sets = None, [], [], []
 
         def done():
-            if x is not None and ids:
-                hit = trie_links(x, sets, num, den)
-                return [(ids[i], now[0]) for i in hit]
-            return []
+            return [(ids[i], now[0]) for x in hubs if ids for i in trie_links(x, sets, num, den)]
 
         for batch in batches:
             links = []
             for hub, block, did, grams in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "did", "grams"))):
                 if (hub, block) != now:
                     links += done()
-                    now, x, ids, sets = (hub, block), None, [], []
+                    now, hubs, ids, sets = (hub, block), [], [], []
                 own = np.frombuffer(grams, np.uint64)
                 if did == hub:
-                    x = own
+                    hubs.append(own)
                 else:
                     ids.append(did)
                     sets.append(own)
@@ -342,6 +339,12 @@ def _matched(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return dealt.mapInArrow(_match(num, den), "u bigint, v bigint")
 
 
+def _sets_of(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Rows (did, grams) for the documents on the pairs. Rows that repeat an id keep a set each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    return staged(docs.select("did", "text").join(wanted, F.col("did") == F.col("w"), "left_semi").mapInArrow(_full_sets(n), "did bigint, grams binary"))
+
+
 def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows (did, n, component): documents with the size of their set and the least id of their class, where sets x and y link when den * |x & y| >= num * |x | y|. docs: did, text."""
     spark = docs.sparkSession
@@ -355,17 +358,14 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     schema = "a bigint, b bigint"
     sorted_groups = lambda g: g.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "n", "rep")
     pairs = staged(sorted_groups(groups.withColumn("comp", F.lit(0).cast("long"))).mapInArrow(_pairs(num, den, True), schema).distinct())
-    # sets of every document that shares a prefix n-gram, made once and read in each round
-    wanted = groups.select(F.col("rep").alias("w")).distinct()
-    texts = docs.select("did", "text").join(wanted, F.col("did") == F.col("w"), "left_semi")
-    sets = staged(texts.mapInArrow(_full_sets(n), "did bigint, grams binary").dropDuplicates(["did"]))
+    sets = _sets_of(pairs, docs, n)
     links = staged(_matched(pairs, sets, num, den))
     comps = staged(components(links))
     labelled = groups.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("rep"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy(F.col("gram").alias("mg")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("mg")
     across = sorted_groups(labelled.join(mixed, F.col("mg") == F.col("gram"), "left_semi")).mapInArrow(_pairs(num, den, False), schema).distinct()
     fresh = staged(across.join(pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti"))
-    more = staged(_matched(fresh, sets, num, den))
+    more = staged(_matched(fresh, _sets_of(fresh, docs, n), num, den))
     comps = staged(components(links.unionByName(more)))
     rep_of = staged(reps.select("key", "rep").join(comps, F.col("id") == F.col("rep"), "left").select(F.col("key").alias("rk"), F.coalesce("component", "rep").alias("component")))
     out = made.select("did", "n", "key").join(rep_of, F.col("rk") == F.col("key"), "left").select("did", "n", F.coalesce("component", "did").alias("component"))
