@@ -4,7 +4,8 @@ Every document becomes a set of word n-grams in a global order: rare before freq
 documents, then by hash. Two sets that are similar enough share an n-gram in their prefixes in that order, so only the prefixes are dealt out. Documents with equal sets are one class from the start. Where
 an n-gram stands in the prefixes of many classes, the first of them is the hub and each other is matched with the hub; pairs of
 classes that the links so far leave in different components are matched in later rounds, so that no
-link between components is lost, and pairs inside a component need no match. A match takes a hub and
+link between components is lost, and pairs inside a component need no match. Prefixes screen the pairs: n-grams that one
+has and the other lacks bound the overlap. A match takes a hub and
 a block of partners: the partners' ordered sets form a trie, walked once with the overlap of each shared path kept, and a
 subtree ends where the n-grams that are left cannot reach the overlap needed.
 
@@ -327,16 +328,51 @@ def _match(num: int, den: int):
     return run
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough, as edges (u, v). a is the hub; its partners are dealt in blocks."""
+def _screen(num: int, den: int):
+    """Pairs whose prefixes leave room for the overlap needed: what stands in one prefix, at or before the end of the other, and not in
+    the other, is missing from the other set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hub = None, None
+        for batch in batches:
+            a, b = [], []
+            for h, block, did, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "did", "n", "grams"))):
+                y = np.frombuffer(prefix, np.uint64)
+                if did == h:
+                    now, hub = (h, block), (n, y)
+                elif (h, block) == now:
+                    m, x = hub
+                    need = -(-num * (m + n) // (num + den))
+                    both = np.intersect1d(x, y).size
+                    left = min(m - (np.searchsorted(x, y[-1], side="right") - both), n - (np.searchsorted(y, x[-1], side="right") - both))
+                    if left >= need:
+                        a.append(h)
+                        b.append(did)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _dealt(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs (a, b) with what the table has of each: a is the hub, its partners are dealt in blocks, and each block begins with the hub's own row. table: did, grams and more."""
     spark = pairs.sparkSession
     counts = staged(pairs.groupBy(F.col("a").alias("h")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     asked = pairs.join(counts, F.col("a") == F.col("h")).select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("asks"))
     hubs = counts.select(F.col("h").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("h").alias("asks"))
     wanted = staged(asked.unionByName(hubs))
-    rows = wanted.join(sets, F.col("did") == F.col("asks")).select("hub", "block", "did", "grams")
-    dealt = rows.repartition(partitions(spark), "hub", "block").sortWithinPartitions("hub", "block", F.col("did") != F.col("hub"))
-    return dealt.mapInArrow(_match(num, den), "u bigint, v bigint")
+    rows = wanted.join(table, F.col("did") == F.col("asks")).select("hub", "block", *table.columns)
+    return rows.repartition(partitions(spark), "hub", "block").sortWithinPartitions("hub", "block", F.col("did") != F.col("hub"))
+
+
+def _screened(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    table = reps.select(F.col("rep").alias("did"), "n", F.col("prefix").alias("grams"))
+    return staged(_dealt(pairs, table).mapInArrow(_screen(num, den), "a bigint, b bigint").distinct())
+
+
+def _matched(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough, as edges (u, v)."""
+    return _dealt(pairs, sets).mapInArrow(_match(num, den), "u bigint, v bigint")
 
 
 def _sets_of(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -358,18 +394,20 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     schema = "a bigint, b bigint"
     sorted_groups = lambda g: g.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "n", "rep")
     pairs = staged(sorted_groups(groups.withColumn("comp", F.lit(0).cast("long"))).mapInArrow(_pairs(num, den, True), schema).distinct())
-    sets = _sets_of(pairs, docs, n)
-    links = staged(_matched(pairs, sets, num, den))
+    near = _screened(pairs, reps, num, den)
+    sets = _sets_of(near, docs, n)
+    links = staged(_matched(near, sets, num, den))
     comps = staged(components(links))
     labelled = groups.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("rep"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy(F.col("gram").alias("mg")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("mg")
     across = sorted_groups(labelled.join(mixed, F.col("mg") == F.col("gram"), "left_semi")).mapInArrow(_pairs(num, den, False), schema).distinct()
     fresh = staged(across.join(pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti"))
-    more = staged(_matched(fresh, _sets_of(fresh, docs, n), num, den))
+    late = _screened(fresh, reps, num, den)
+    more = staged(_matched(late, _sets_of(late, docs, n), num, den))
     comps = staged(components(links.unionByName(more)))
     rep_of = staged(reps.select("key", "rep").join(comps, F.col("id") == F.col("rep"), "left").select(F.col("key").alias("rk"), F.coalesce("component", "rep").alias("component")))
     out = made.select("did", "n", "key").join(rep_of, F.col("rk") == F.col("key"), "left").select("did", "n", F.coalesce("component", "did").alias("component"))
-    for t in (sets, groups, pairs, fresh):
+    for t in (sets, groups, pairs, near, fresh, late):
         dropped(t)
     return out
 
