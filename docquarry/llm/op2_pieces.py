@@ -31,7 +31,9 @@ from .common import read_table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose ids a worker keeps.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Words that are indexed at once, and the length from which a word is relaxed by itself.
+INDEXED, LONG = 30_000, 48
 NEVER = 1 << 60
 
 
@@ -64,7 +66,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
 class Model:
     """A SentencePiece model: pieces with scores and kinds (1 normal, 2 unknown, 3 control, 4 user, 5 unused, 6 byte)."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, merges: bool = True):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -105,7 +107,7 @@ class Model:
         self.time: dict[int, int] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
-        if self.kind == 2:
+        if self.kind == 2 and merges:
             self._merges()
         self.sought = [p for p in self.index if self.kind == 1 or self.index[p] in self.time]
         self.apart: dict[tuple[int, int], bool] = {}
@@ -169,7 +171,7 @@ class Model:
         key = (a, b)
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > 300_000:
                 self.apart.clear()
             known = self.apart[key] = self._apart(a, b)
         return known
@@ -263,8 +265,9 @@ def occurrences(words: list[str], sought: list[str], longest: int) -> tuple[np.n
 class Encoder:
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, tuple[int, ...]] = {"": ()}
-        self.ids = [model.index[p] for p in model.sought]
+        self.known: dict[str, bytes] = {"": b""}
+        self.table = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ids = np.array([model.index[p] for p in model.sought], np.int64)
         self.longest = max(map(len, model.sought), default=1)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -290,15 +293,11 @@ class Encoder:
             else:
                 plain.append(w)
         plain = list(dict.fromkeys(plain))
-        for lo in range(0, len(plain), 100_000):
-            self._learn(plain[lo : lo + 100_000])
+        for lo in range(0, len(plain), INDEXED):
+            self._learn(plain[lo : lo + INDEXED])
+        nul = np.array(self._spelled("\0"), np.int32).tobytes()
         for w, parts in parted.items():
-            out: list[int] = []
-            for k, part in enumerate(parts):
-                if k:
-                    out += self._spelled("\0")
-                out += self.known[part]
-            self.known[w] = tuple(out)
+            self.known[w] = nul.join(self.known[part] for part in parts)
 
     def _spelled(self, char: str) -> list[int]:
         m = self.model
@@ -310,76 +309,141 @@ class Encoder:
         if not words:
             return
         start, end, which = occurrences(words, self.model.sought, self.longest)
-        by = np.lexsort((start, end))  # by end, the longest first
-        start, end, which = start[by].tolist(), end[by].tolist(), which[by].tolist()
-        pairwise, scores, ids = self.model.kind == 2, self.model.scores, self.ids
-        apart, known = self.model.apart, self.known
-        check = self.model.stays_apart
-        e, n, base = 0, len(end), 0
+        size = np.array([len(w) for w in words])
+        base = np.cumsum(size + 1) - size - 1
+        owner = np.searchsorted(base, start, side="right") - 1
+        ids = self.ids[which]
+        if self.model.kind == 2:
+            short = size < LONG
+            pick = short[owner]
+            self._together(words, size, base, short, start[pick], end[pick], ids[pick], owner[pick])
+            start, end, ids, owner = start[~pick], end[~pick], ids[~pick], owner[~pick]
+            alone = np.flatnonzero(~short)
+        else:
+            alone = np.arange(len(words))
+        by = np.lexsort((start, end))
+        start, end, ids, owner = start[by], end[by], ids[by], owner[by]
+        edge = np.searchsorted(owner, alone), np.searchsorted(owner, alone, side="right")
+        for k, lo, hi in zip(alone.tolist(), *edge):
+            self.known[words[k]] = self._alone(words[k], start[lo:hi] - base[k], end[lo:hi] - base[k], ids[lo:hi])
+
+    def _together(self, words, size, base, short, start, end, ids, owner) -> None:
+        """Relaxes the edges of many words of a byte-pair model, one end after another in all of them."""
+        place = end - base[owner]
+        by = np.lexsort((start, owner, place))  # of a word's edges with one end, the longest first
+        start, end, ids, owner, place = start[by], end[by], ids[by], owner[by], place[by]
+        total = int(base[-1] + size[-1] + 1)
+        code = np.frombuffer("\0".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        last = np.full(total + 1, -1, np.int64)
+        last[1 : len(code) + 1] = ~code  # a character of no piece stands for itself
+        back = np.arange(-1, total)
+        at_start = start == base[owner]
+        steps = np.searchsorted(place, np.arange(1, int(place.max()) + 2)) if len(place) else np.zeros(1, np.int64)
+        for lo, hi in zip(steps, steps[1:]):
+            if lo == hi:
+                continue
+            ok = at_start[lo:hi].copy()
+            ask = np.flatnonzero(~ok)
+            ok[ask] = self._all_apart(last[start[lo:hi][ask]], ids[lo:hi][ask])
+            good = np.flatnonzero(ok) + lo
+            if len(good):
+                good = good[np.concatenate([[True], owner[good[1:]] != owner[good[:-1]]])]
+                last[end[good]] = ids[good]
+                back[end[good]] = start[good]
+        some = np.flatnonzero(short)
+        now = base[some] + size[some]
+        taken, of = [], []
+        live = np.arange(len(some))
+        while len(live):
+            taken.append(last[now[live]])
+            of.append(live)
+            now[live] = back[now[live]]
+            live = live[now[live] > base[some[live]]]
+        flat = np.concatenate(taken[::-1])
+        word = np.concatenate(of[::-1])
+        order = np.argsort(word, kind="stable")
+        flat, word = flat[order], word[order]
+        edge = np.searchsorted(word, np.arange(len(some) + 1))
+        odd = np.zeros(len(some), bool)
+        odd[word[flat < 0]] = True
+        raw = flat.astype(np.int32).tobytes()
+        for k, lo, hi in zip(range(len(some)), (4 * edge[:-1]).tolist(), (4 * edge[1:]).tolist()):
+            own = raw[lo:hi]
+            self.known[words[some[k]]] = self._spelled_out(flat[lo // 4 : hi // 4].tolist()) if odd[k] else own
+
+    def _spelled_out(self, found: list[int]) -> bytes:
+        out: list[int] = []
+        for t in found:
+            out += self._spelled(chr(~t)) if t < 0 else (t,)
+        return np.array(out, np.int32).tobytes()
+
+    def _all_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """stays_apart for many pairs, by a sorted table of those already asked."""
+        key = (left + (1 << 22)) << 32 | right
+        keys, values = self.table
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+        out = values[at] & known if len(keys) else known.copy()
+        ask = np.flatnonzero(~known)
+        if len(ask):
+            new, back = np.unique(key[ask], return_inverse=True)
+            apart = self.model._apart
+            found = np.array([apart((k >> 32) - (1 << 22), k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            out[ask] = found[back]
+            if len(keys) > 2_000_000:
+                keys, values = keys[:0], values[:0]
+            keys, values = np.concatenate([keys, new]), np.concatenate([values, found])
+            by = np.argsort(keys, kind="stable")
+            self.table = keys[by], values[by]
+        return out
+
+    def _alone(self, word: str, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> bytes:
+        """Relaxes the edges of one word, which come by end, the longest first."""
+        start, end, ids = start.tolist(), end.tolist(), ids.tolist()
+        pairwise, scores, check = self.model.kind == 2, self.model.scores, self.model.stays_apart
+        size, e, n = len(word), 0, len(end)
         floor = min(scores, default=0.0) - 10.0
-        for word in words:
-            size = len(word)
-            last = [0] * (size + 1)
-            back = [0] * (size + 1)
-            best = [0.0] * (size + 1)
-            for i in range(1, size + 1):
-                at = base + i
-                chosen = None
-                top = -1e300
-                while e < n and end[e] == at:
-                    s, t = start[e] - base, ids[which[e]]
-                    e += 1
-                    if pairwise:
-                        if chosen is None:
-                            if s == 0:
-                                chosen = (s, t)
-                            else:
-                                pair = (last[s], t)
-                                ok = apart.get(pair)
-                                if ok or (ok is None and check(*pair)):
-                                    chosen = (s, t)
-                    else:
-                        v = best[s] + scores[t]
-                        if v > top:
-                            top, chosen = v, (s, t)
-                if chosen is None or (not pairwise and best[i - 1] + floor > top):
-                    chosen, top = (i - 1, ~ord(word[i - 1])), best[i - 1] + floor
-                back[i], last[i] = chosen
-                best[i] = top
-            out: list[int] = []
-            i = size
-            while i:
-                t = last[i]
-                out += reversed(self._spelled(chr(~t))) if t < 0 else (t,)
-                i = back[i]
-            known[word] = tuple(reversed(out))
-            base += size + 1
-
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+        last, back, best = [0] * (size + 1), [0] * (size + 1), [0.0] * (size + 1)
+        for i in range(1, size + 1):
+            chosen, top = None, -1e300
+            while e < n and end[e] == i:
+                s, t = start[e], ids[e]
+                e += 1
+                if pairwise:
+                    if chosen is None and (s == 0 or check(last[s], t)):
+                        chosen = (s, t)
+                else:
+                    v = best[s] + scores[t]
+                    if v > top:
+                        top, chosen = v, (s, t)
+            if chosen is None or (not pairwise and best[i - 1] + floor > top):
+                chosen, top = (i - 1, ~ord(word[i - 1])), best[i - 1] + floor
+            back[i], last[i] = chosen
+            best[i] = top
+        found: list[int] = []
+        i = size
+        while i:
+            found.append(last[i])
+            i = back[i]
+        return self._spelled_out(found[::-1])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [self.words_of(t) if t else [] for t in texts]
         known = self.known
-        new = {w for ws in cut for w in ws if w not in known}
+        new = set().union(*cut) - known.keys()
         if len(known) + len(new) > REMEMBERED and len(known) > 1:
             known.clear()
-            known[""] = ()
-            new = {w for ws in cut for w in ws}
+            known[""] = b""
+            new = set().union(*cut)
         self.learn(list(new))
-        out: list[list[int] | None] = []
-        for t, ws in zip(texts, cut):
-            if t is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            out.append(ids)
-        return out
+        return [None if t is None else np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for t, ws in zip(texts, cut)]
 
-    def decode(self, ids: list[int] | None) -> str | None:
-        if ids is None:
-            return None
-        text = b"".join(map(self.model.value_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.prefix and text.startswith(" ") else text
+
+def decode(model: Model, ids: list[int] | None) -> str | None:
+    if ids is None:
+        return None
+    text = b"".join(map(model.value_of.__getitem__, ids)).decode("utf-8", "replace")
+    return text[1:] if model.prefix and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
@@ -387,7 +451,12 @@ def encoder(data: bytes) -> Encoder:
     return Encoder(Model(data))
 
 
-def _texts(batch: pa.Array, most: int = 4 << 20) -> Iterator[list[str | None]]:
+@lru_cache(maxsize=2)
+def decoder(data: bytes) -> Model:
+    return Model(data, merges=False)
+
+
+def _texts(batch: pa.Array, most: int = 2 << 20) -> Iterator[list[str | None]]:
     held, size = [], 0
     for t in batch:
         held.append(t.as_py())
@@ -408,8 +477,8 @@ def _encode(model, carry: list[str], text: str, out: str):
                 ids = e.encode(texts)
                 part = batch.slice(at, len(texts))
                 at += len(texts)
-                flat = np.fromiter((x for i in ids if i for x in i), np.int32)
-                ends = np.cumsum([0, *(len(i or ()) for i in ids)])
+                flat = np.concatenate([i for i in ids if i is not None] or [np.zeros(0, np.int32)])
+                ends = np.cumsum([0, *(0 if i is None else len(i) for i in ids)])
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*(i is None for i in ids), False])), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), column], [*carry, out])
 
@@ -418,11 +487,11 @@ def _encode(model, carry: list[str], text: str, out: str):
 
 def _decode(model, carry: list[str], ids: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model.value)
+        m = decoder(model.value)
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                texts = [e.decode(i) for i in part.column(ids).to_pylist()]
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                texts = [decode(m, i) for i in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(texts, pa.string())], [*carry, out])
 
     return run
