@@ -211,18 +211,10 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, w
 
 
-def occurrences(words: list[str], sought: list[str], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every place where a sought piece occurs in a word: word-concatenation start, end and the piece's number.
-    Words are parted by a zero, so that no piece spans two."""
-    joined = "\0".join(words) + "\0"
-    code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+def sought_words(sought: list[str], longest: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The characters of the sought pieces, and the pieces as four-number words with masks and lengths."""
     known = np.unique(np.frombuffer("".join(sought).encode("utf-32-le"), "<u4"))
-    rank = np.searchsorted(known, code)
-    rank[rank == len(known)] = 0
-    text = np.where(known[rank] == code, rank + 2, 1).astype(np.uint64)  # 1 stands for characters of no piece
-    text[code == 0] = 0
     depth = (longest + 3) // 4 * 4
-    order, w = suffix_order(text, depth)
     length = np.array([len(p) for p in sought])
     flat = np.searchsorted(known, np.frombuffer("".join(sought).encode("utf-32-le"), "<u4")) + 2
     offset = np.cumsum(length) - length
@@ -234,17 +226,32 @@ def occurrences(words: list[str], sought: list[str], longest: int) -> tuple[np.n
     for k in range(4):
         keys = (keys << np.uint64(16)) | grid[:, k::4]
         masks = (masks << np.uint64(16)) | inside[:, k::4]
+    return known, (keys, masks, length)
+
+
+def occurrences(words: list[str], known: np.ndarray, look: tuple[np.ndarray, np.ndarray, np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every place where a sought piece occurs in a word: word-concatenation start, end and the piece's number.
+    Words are parted by a zero, so that no piece spans two."""
+    joined = "\0".join(words) + "\0"
+    code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    rank = np.searchsorted(known, code)
+    rank[rank == len(known)] = 0
+    text = np.where(known[rank] == code, rank + 2, 1).astype(np.uint64)  # 1 stands for characters of no piece
+    text[code == 0] = 0
+    depth = (longest + 3) // 4 * 4
+    order, w = suffix_order(text, depth)
+    keys, masks, length = look
 
     def bound(upper: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(sought), np.int64), np.full(len(sought), len(order), np.int64)
+        lo, hi = np.zeros(len(length), np.int64), np.full(len(length), len(order), np.int64)
         while True:
             open_ = lo < hi
             if not open_.any():
                 return lo
             mid = (lo + hi) // 2
             pos = order[np.minimum(mid, len(order) - 1)]
-            before = np.zeros(len(sought), bool)
-            tied = np.ones(len(sought), bool)
+            before = np.zeros(len(length), bool)
+            tied = np.ones(len(length), bool)
             for k in range(depth // 4):
                 if not tied.any():
                     break
@@ -257,7 +264,7 @@ def occurrences(words: list[str], sought: list[str], longest: int) -> tuple[np.n
 
     low, high = bound(False), bound(True)
     n = high - low
-    which = np.repeat(np.arange(len(sought)), n)
+    which = np.repeat(np.arange(len(length)), n)
     start = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
     return start, start + length[which], which
 
@@ -269,6 +276,7 @@ class Encoder:
         self.table = np.zeros(0, np.int64), np.zeros(0, bool)
         self.ids = np.array([model.index[p] for p in model.sought], np.int64)
         self.longest = max(map(len, model.sought), default=1)
+        self.look = sought_words(model.sought, self.longest)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def words_of(self, text: str) -> list[str]:
@@ -308,7 +316,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         if not words:
             return
-        start, end, which = occurrences(words, self.model.sought, self.longest)
+        start, end, which = occurrences(words, *self.look, self.longest)
         size = np.array([len(w) for w in words])
         base = np.cumsum(size + 1) - size - 1
         owner = np.searchsorted(base, start, side="right") - 1
@@ -456,7 +464,7 @@ def decoder(data: bytes) -> Model:
     return Model(data, merges=False)
 
 
-def _texts(batch: pa.Array, most: int = 2 << 20) -> Iterator[list[str | None]]:
+def _texts(batch: pa.Array, most: int = 6 << 20) -> Iterator[list[str | None]]:
     held, size = [], 0
     for t in batch:
         held.append(t.as_py())
