@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, byte_view, components, dropped, id_key, mix, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
 
 SLICE_BYTES = 1 << 21
-SKETCH_BITS, SKETCH_PARTS = 20, 256
+SKETCH_BITS, SKETCH_PARTS = 22, 256
 BLOCK = 512
 
 
@@ -49,13 +49,14 @@ def _sorted_sets(key: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for _, _, grams, _ in _sets(batch.column("text"), n):
-                counts += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                slot, times = np.unique((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                counts[slot] += times.astype(np.int32)
         if counts.any():
             parts = counts.reshape(SKETCH_PARTS, -1)
-            kind = np.uint16 if counts.max() < 65536 else np.int64
+            kind = np.uint16 if counts.max() < 65536 else np.int32
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([pack(p.astype(kind)) for p in parts], pa.binary())], ["part", "counts"])
 
     return run
@@ -72,7 +73,7 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams fall on each of 2^20 slots, over all documents; clipped to 20 bits."""
+    """How often n-grams fall on each of 2^22 slots, over all documents; clipped to 20 bits."""
     fed = docs.select("text").mapInArrow(_sketch(n), "part int, counts binary")
     summed = fed.repartition(min(SKETCH_PARTS, partitions(docs.sparkSession)), "part").mapInArrow(_sum_sketch, "part int, counts binary")
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
