@@ -200,6 +200,7 @@ def main_text(page: str, template: set[int]) -> str:
     slots = [b for b in found if not b[2]]
     if any(b[3] for b in slots):
         return "\n\n".join(b[4] for b in slots if b[3])
+    every = slots
     slots = [b for b in slots if xxhash.xxh3_64_intdigest(f"{b[0]}\0{b[4]}") not in template]
     weight: Counter = Counter()
     for b in slots:
@@ -210,7 +211,8 @@ def main_text(page: str, template: set[int]) -> str:
     if not weight:
         return "\n\n".join(b[4] for b in slots)
     best = max(weight, key=lambda c: (weight[c], -c))
-    return "\n\n".join(b[4] for b in slots if best in b[1])
+    inner = any(best in b[1][2:] for b in slots)  # inside html and body: what the template fixes there belongs to the text
+    return "\n\n".join(b[4] for b in (every if inner else slots) if best in b[1])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
