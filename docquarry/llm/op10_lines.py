@@ -151,7 +151,7 @@ def drops(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
 def _apply(least: int, carry: list[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lost = batch.column("text").cast(pa.binary()), batch.column("keys").to_pylist()
+            texts, lost = batch.column("text").cast(pa.binary()), batch.column(len(batch.schema) - 1).to_pylist()
             lines_n, gone_n, out = [], [], []
             for t, keys in zip(texts, lost):
                 text = t.as_py() or b""
@@ -181,13 +181,19 @@ def _joined(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     keyed = plain.withColumn("did", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(NULL_ID)))
     lost = lost.withColumnRenamed("did", "ld")
     wide = keyed.join(lost, F.col("did") == F.col("ld"), "left").drop("did", "ld")
-    return wide.select(*[F.col(n).alias(c) for c, n in names.items()], "keys")
+    return wide.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("keys").alias(lost_name(docs.columns)))
+
+
+def lost_name(columns: list[str]) -> str:
+    """A name for the last column, the keys a row loses, that no other column has."""
+    name = "keys"
+    while name in columns:
+        name += "_"
+    return name
 
 
 def kept_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """The documents with the lines dropped from their text; other columns stay as they are. A column named keys is carried like any other."""
-    if "keys" in docs.columns:
-        return kept_lines(docs.withColumnRenamed("keys", "keys\x00"), least_chars, least_docs).withColumnRenamed("keys\x00", "keys")
+    """The documents with the lines dropped from their text; other columns stay as they are."""
     return _joined(docs, least_chars, least_docs).mapInArrow(_apply(least_chars, docs.columns), docs.schema)
 
 
