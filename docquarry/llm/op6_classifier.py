@@ -29,7 +29,7 @@ from .common import byte_view, read_table, row_slices, staged, word_hashes
 #: Labelled documents that the classifiers are fitted on, at most; taken in the order of a hash of their id.
 SAMPLE = 6000
 LEXICON = 4096
-SLICE_BYTES = 1 << 21
+SLICE_BYTES, FIT_BYTES = 1 << 21, 1 << 19
 SHAPES = 11
 
 
@@ -84,7 +84,7 @@ class Classifier:
     weights: np.ndarray
     prior: float
 
-    def features(self, raw, ends, words, counts, shape) -> np.ndarray:
+    def features(self, words, counts, shape) -> np.ndarray:
         n = len(counts)
         hits, total = np.zeros(n), np.zeros(n)
         if len(self.words) and len(words):
@@ -101,16 +101,27 @@ class Classifier:
         return np.clip(self.weights[0] + x @ self.weights[1:] - self.prior, -30, 30)
 
 
-def fit(texts: pa.Array, label: np.ndarray) -> Classifier:
-    raw, at = byte_view(texts)
-    words, counts = word_hashes(_PLAIN[raw], at, lower=True)
-    n = len(counts)
-    row = np.repeat(np.arange(n), counts)
+def _distinct(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's words once."""
     order = np.lexsort((words, row))
     w, r = words[order], row[order]
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (r[1:] != r[:-1])
-    w, r = w[new], r[new]
+    return w[new], r[new]
+
+
+def fit(texts: pa.Array, label: np.ndarray) -> Classifier:
+    """Reads the texts in slices, so that the driver holds their words but not one array per byte."""
+    raw, at = byte_view(texts)
+    n = len(at) - 1
+    slices, once = [], []
+    for lo, hi in row_slices(at, FIT_BYTES):
+        part, ends = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        words, counts = word_hashes(_PLAIN[part], ends, lower=True)
+        slices.append((words, counts, shapes(part, ends, words, counts)))
+        once.append(_distinct(words, np.repeat(np.arange(lo, hi, dtype=np.int32), counts)))
+    w, r = (np.concatenate([o[k] for o in once]) for k in range(2))
+    once.clear()
     u, back = np.unique(w, return_inverse=True)
     n1, n0 = max(label.sum(), 1), max(n - label.sum(), 1)
     own = np.bincount(back, weights=label[r], minlength=len(u))
@@ -119,7 +130,7 @@ def fit(texts: pa.Array, label: np.ndarray) -> Classifier:
     strong = np.flatnonzero((own >= max(5, 0.03 * n1)) & (odds > 2.5))
     strong = np.sort(strong[np.argsort(-odds[strong], kind="stable")[:LEXICON]])
     c = Classifier(u[strong], odds[strong], np.zeros(SHAPES + 3), np.ones(SHAPES + 3), np.zeros(SHAPES + 4), 0.0)
-    x = c.features(raw, at, words, counts, shapes(raw, at, words, counts))
+    x = np.concatenate([c.features(words, counts, shape) for words, counts, shape in slices])
     c.mean, c.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.concatenate([np.ones((n, 1)), (x - c.mean) / c.scale], axis=1)
     weights = np.zeros(z.shape[1])
@@ -146,7 +157,7 @@ def _score(shared, carry: list[str], names: list[str]):
                 words, counts = word_hashes(_PLAIN[part], ends, lower=True)
                 shape = shapes(part, ends, words, counts)
                 for k, c in shared.value.items():
-                    out[k][lo:hi] = c.evidence(c.features(part, ends, words, counts, shape))
+                    out[k][lo:hi] = c.evidence(c.features(words, counts, shape))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(out[k]) for k in names)], [*carry, *names])
 
     return run
