@@ -63,13 +63,22 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.when(n == 1, F.col("source")).otherwise(F.concat_ws("~", "source", n.cast("string"))).alias("name"))
 
 
-QUERIES = {"coverage": coverage, "triage": triage, "entry_kinds": entry_kinds, "picture_runs": picture_runs, "sniff_pages": sniff_pages, "html_escape": html_escape, "csv_quote": csv_quote, "output_names": output_names}
+def carve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts laid as PDFs behind two other bytes, and found again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    laid = F.concat(F.lit(b"..%PDF-1.4\n"), F.coalesce("text", F.lit("")).cast("binary"), F.lit(b"\n%%EOF tail"))
+    found = src.attachments(docs.select(F.col("doc_id").cast("string").alias("path"), laid.alias("content")))
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), F.col("offset").alias("first_byte"), F.col("length").alias("n_bytes"), src.attachment_label(F.col("extension")).alias("label"))
+
+
+QUERIES = {"carve": carve, "coverage": coverage, "triage": triage, "entry_kinds": entry_kinds, "picture_runs": picture_runs, "sniff_pages": sniff_pages, "html_escape": html_escape, "csv_quote": csv_quote, "output_names": output_names}
 
 _COVERAGE = """SELECT 'order' || l_orderkey || '.xdw' AS path, count(*) AS sheets, count(*) FILTER (l_returnflag = 'R') AS sheets_recovered, CAST(0 AS BIGINT) AS pictures, CAST(0 AS BIGINT) AS pictures_recovered,
   count(*) AS thumbnails, CAST(0 AS BIGINT) AS data_tables, CAST(0 AS BIGINT) AS sheets_with_pictures, count(*) FILTER (l_returnflag <> 'R') AS sheets_blank,
   CASE WHEN count(*) FILTER (l_returnflag <> 'R') = 0 THEN 'ALL' WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'SOME' ELSE 'NONE' END AS verdict FROM lineitem GROUP BY l_orderkey"""
 
 ORACLE_SQL = {
+    "carve": "SELECT doc_id, CAST(2 AS BIGINT) AS first_byte, CAST(15 + strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, 'PDF' AS label FROM documents",
     "coverage": _COVERAGE,
     "triage": f"SELECT coalesce(verdict, 'TOTAL') AS verdict, count(*) AS files, CAST(sum(sheets) AS BIGINT) AS sheets, CAST(sum(sheets_blank) AS BIGINT) AS blank FROM ({_COVERAGE}) GROUP BY ROLLUP (verdict)",
     "entry_kinds": """SELECT 'jpeg' AS data_kind, 'sheet' AS role, count(*) AS n, CAST(sum(100 + CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS widths FROM lineitem WHERE l_returnflag = 'R'

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.carving import carved
 from ..functions.container import parse
 from ..functions.tlv import ContainerError
 
@@ -65,3 +66,28 @@ def looks_like(content: Column) -> Column:
         F.when(begins(b"%PDF-"), "PDF").when(begins(b"PK\x03\x04"), zips).when(begins(b"\xd0\xcf\x11\xe0"), "CFB").when(begins(b"\xff\xd8\xff"), "JPEG").when(begins(b"\x89PNG"), "PNG")
         .when(begins(b"II*\0") | begins(b"MM\0*"), "TIFF").when(begins(b"{\\rtf"), "RTF").when(begins(b"<"), "markup")
     )
+
+
+ATTACHMENT = "path string, offset bigint, length bigint, extension string, estimate boolean"
+
+
+def _carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            rows += [(path.as_py(), f.offset, f.length, f.extension, f.estimate) for f in carved(content.as_py() or b"")]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", "offset", "length", "extension", "estimate"])
+
+
+def attachments(files: DataFrame) -> DataFrame:
+    """Original files inside files, without their bytes: path, offset, length, extension, estimate. files: path, content."""
+    return files.select("path", "content").mapInArrow(_carve, ATTACHMENT)
+
+
+def attachment_bytes(content: Column, offset: Column, length: Column) -> Column:
+    return F.substring(content, (offset + 1).cast("int"), length.cast("int"))
+
+
+def attachment_label(extension: Column) -> Column:
+    return F.when(extension == "docx", "Word document").when(extension == "xlsx", "Excel workbook").when(extension == "pptx", "PowerPoint deck").when(extension == "cfb", "compound file (legacy Office)").when(extension == "pdf", "PDF").otherwise("zip container")

@@ -1,7 +1,11 @@
+import io
 import random
+import struct
+import zipfile
 
 import pytest
 
+from docquarry.functions.carving import CFB, carved
 from docquarry.functions.container import parse
 from docquarry.functions.lzh import CodingError, expand, stored
 from docquarry.functions.tlv import ContainerError, elements, length_at
@@ -67,6 +71,23 @@ def test_expand():
         expand(b"\0\0rest", 1)
 
 
+def archive(name):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(name, "body")
+    return out.getvalue()
+
+
+def test_carving():
+    deck, plain, pdf = archive("ppt/a.xml"), archive("notes.txt"), b"%PDF-1.4 a %%EOF b %%EOF"
+    compound = CFB + b"\0" * 22 + struct.pack("<H", 9) + b"\0" * 12 + struct.pack("<I", 1) + b"\0" * 464
+    data = b"xx" + deck + b"yy" + plain + pdf + compound
+    at = [2, 4 + len(deck), 4 + len(deck) + len(plain), len(data) - len(compound)]
+    assert [(f.offset, f.length, f.extension, f.estimate) for f in carved(data)] == [(at[0], len(deck), "pptx", False), (at[1], len(plain), "zip", False), (at[2], len(pdf), "pdf", False), (at[3], 512, "cfb", True)]
+    for none in (b"", b"%PDF-1.4", b"%%EOF %PDF-1", CFB, deck[:-1], compound[:-1]):
+        assert carved(none) == []
+
+
 def test_damage_never_escapes():
     rng = random.Random(7)
     good = container([coded(21000, 29700), raw_jpeg(600, 800), preview()])
@@ -87,6 +108,8 @@ def test_damage_never_escapes():
 
 
 def test_files_become_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
     from docquarry.operators import audit
     from docquarry.sources import containers as src
 
@@ -96,5 +119,9 @@ def test_files_become_tables(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"no")
     docs = src.parsed(src.read_files(spark, str(tmp_path)))
     assert sorted((r["path"][-5:], r["error_code"]) for r in docs.collect()) == [("a.XDW", None), ("b.xbd", "NotAContainer")]
+    (tmp_path / "d.xbd").write_bytes(b"%PDF-1 %%EOF!")
+    files = src.read_files(spark, str(tmp_path)).where("path like '%d.xbd'")
+    got = src.attachments(files).join(files.select("path", "content"), "path").select("offset", "extension", src.attachment_bytes(F.col("content"), F.col("offset"), F.col("length")).alias("raw")).collect()
+    assert [(r[0], r[1], bytes(r[2])) for r in got] == [(0, "pdf", b"%PDF-1 %%EOF")]
     (row,) = audit.coverage(src.entries(docs)).collect()
     assert (row["sheets"], row["sheets_recovered"], row["sheets_with_pictures"], row["sheets_blank"]) == (2, 0, 1, 1)
