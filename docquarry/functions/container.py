@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .lzh import CodingError, expand
+from .shown import displayed, merge_orphans, shown_pages
 from .tlv import ContainerError, Entry, element_at, elements, entry_at, find, le_words, length_at, uint
 
 #: Fixed values of the format.
@@ -104,6 +105,30 @@ def assign_roles(entries: list[Entry]) -> None:
     settle(after)
 
 
+def _properties(data: bytes, start: int, tail) -> tuple[int, int, int] | None:
+    """Where the properties lie, just before the trailer: offset, stored and expanded size."""
+    stored, size = uint(tail, data, 0x84), uint(tail, data, 0x83)
+    for head in range(2, 6):
+        at = start - (stored or 0) - head
+        if stored is None or at < 0 or data[at] != PROPERTIES:
+            continue
+        try:
+            if length_at(data, at + 1) == (stored, at + head):
+                return at + head, stored, size or 0
+        except ContainerError:
+            pass
+    return None
+
+
+def _shown(data: bytes, place) -> list:
+    if place is None or not place[2]:
+        return []
+    try:
+        return shown_pages(expand(data[place[0] : place[0] + place[1]], place[2]))
+    except CodingError:
+        return []
+
+
 def parse(data: bytes) -> dict:
     """A container as one nested row; raises ContainerError."""
     try:
@@ -121,15 +146,15 @@ def parse(data: bytes) -> dict:
         raise ContainerError("MissingField", "82 in 60")
     if generation not in GENERATIONS:
         raise ContainerError("UnsupportedGeneration", str(generation))
-    tag, _, tail = trailer(data)
+    tag, tail_at, tail = trailer(data)
     lock = find(tail, 0x88)
     if generation == 11 and lock and data[lock.value : lock.value + 4] == b"SECU":
         raise ContainerError("ProtectedDocument")
     table = find(tail, 0x81)
-    if table is None:
-        raise ContainerError("MissingField", "81 in trailer")
+    place = _properties(data, tail_at, tail)
+    shown = _shown(data, place)
     rebuilt, entries = None, []
-    for idx, offset in enumerate(le_words(data[table.value : table.end])):
+    for idx, offset in enumerate(le_words(data[table.value : table.end]) if table else []):
         if offset >= len(data):
             rebuilt = "OffsetOutsideFile"
             break
@@ -149,12 +174,27 @@ def parse(data: bytes) -> dict:
         if e.kind == "bare" and _is_payload(data, e):
             e.role = "data"
     assign_roles(entries)
+    if not entries and shown:
+        entries = [Entry(k, tail_at, "bare", tail_at, 0, paper=s.paper, rotation=s.rotation, overlays=s.overlays) for k, s in enumerate(shown)]
+    if not entries and table is None:
+        raise ContainerError("MissingField", "81 in trailer")
+    displays = displayed(entries, shown)
+    if not displays:
+        merge_orphans(entries)
+    strange: list[dict] = []
     states, at = 0, 0
     while at < len(data):
         try:
             e = element_at(data, at)
         except ContainerError:
             break
-        states += e.tag == BODY
+        if e.tag == BODY:
+            states += 1
+            try:
+                strange += [{"tag": x.tag, "at": x.start, "length": x.length} for x in elements(data, e.value, e.length) if x.tag not in (PROPERTIES, PAGE, 0x65, 0x68)]
+            except ContainerError:
+                pass
         at = e.end
-    return {"generation": generation, "trailer_tag": tag, "declared_entries": uint(tail, data, 0x80) or 0, "checksum": uint(tail, data, 0x85), "generations_present": max(states, 1), "rebuilt": rebuilt, "entries": entries}
+    images = find(tail, 0x8D)
+    stored, size = uint(tail, data, 0x84), uint(tail, data, 0x83)
+    return {"image_derived": le_words(data[images.value : images.end])[::2] if images else [], "unknown_elements": strange, "displays": displays, "properties_at": place and place[0], "properties_stored": stored, "properties_expanded": size, "generation": generation, "trailer_tag": tag, "declared_entries": uint(tail, data, 0x80) or 0, "checksum": uint(tail, data, 0x85), "generations_present": max(states, 1), "rebuilt": rebuilt, "entries": entries}

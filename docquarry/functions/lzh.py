@@ -103,7 +103,23 @@ def expand(data: bytes, size: int) -> bytes:
     """The first `size` bytes that data expands to."""
     if size > CEILING:
         raise CodingError("the declared size is over the ceiling")
-    bits, out, left = _Bits(data), bytearray(), 0
+    out = bytearray()
+    _expand(data, size, out)
+    return bytes(out[:size])
+
+
+def expand_all(data: bytes, ceiling: int) -> bytes | None:
+    """All that data expands to, for streams of unknown size; None from the ceiling on."""
+    out = bytearray()
+    try:
+        _expand(data, ceiling, out)
+    except CodingError:
+        return bytes(out)
+    return None
+
+
+def _expand(data: bytes, size: int, out: bytearray) -> None:
+    bits, left = _Bits(data), 0
     letters = places = None
     while len(out) < size:
         if not left:
@@ -125,7 +141,6 @@ def expand(data: bytes, size: int) -> bytes:
         for k in range(n):
             # before the start the window holds spaces
             out.append(out[start + k] if start + k >= 0 else 32)
-    return bytes(out[:size])
 
 
 def stored(raw: bytes) -> bytes:

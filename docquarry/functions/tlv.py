@@ -97,6 +97,10 @@ class Entry:
     stored: int | None = None
     expanded: int | None = None
     rows: int | None = None
+    colour: int | None = None
+    below: int | None = None
+    rotation: int = 0
+    overlays: list = field(default_factory=list)
     unknown: list[int] = field(default_factory=list)
 
 
@@ -182,6 +186,7 @@ def _nested(data: bytes, entry: Entry, nested: list[Element], strange) -> Entry:
     number = lambda tag: uint(nested, data, tag)
     pair = lambda a, b: (number(a), number(b)) if number(a) is not None and number(b) is not None else None
     entry.code, entry.aux = number(KIND) or 0, number(AUX)
+    entry.colour = number(COLOUR)
     entry.paper, entry.pixels = pair(PAPER_W, PAPER_H), pair(PIXEL_W, PIXEL_H)
     known = {KIND, AUX, PAPER_W, PAPER_H, DATA, STORED, METHOD, COLOUR, PIXEL_W, PIXEL_H}
     if entry.code in (JPEG_BODY, FAX_BODY):
@@ -203,6 +208,7 @@ def _nested(data: bytes, entry: Entry, nested: list[Element], strange) -> Entry:
                 entry.pixels = (w, abs(h))
         below = entry.aux or 0
         if below + 16 <= len(raw):
+            entry.below = below
             entry.method, entry.stored, entry.expanded, entry.rows = struct.unpack_from("<4I", raw, below)
     elif entry.code == JPEG_BODY and raw[:2] == b"\xff\xd8":
         entry.kind = "jpeg"

@@ -13,9 +13,14 @@ def recoverable() -> Column:
     return F.coalesce((F.col("data_kind") == "jpeg") | ((F.col("data_kind") == "encoded") & (F.col("code") == 9)) | full, F.lit(False))
 
 
-def coverage(entries: DataFrame) -> DataFrame:
-    """Eight counts a document. One grouped pass gives each sheet its pictures, a second sums sheets; both have the document's key."""
-    e = entries.withColumn("ok", recoverable()).withColumn("sheet", F.when(F.col("role") == "picture", F.col("belongs_to")).otherwise(F.col("idx")))
+def coverage(entries: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
+    """Eight counts a document. One grouped pass gives each sheet its pictures, a second sums sheets; both have the document's key.
+    With `decoded` (path, idx, decoded), sheets count as recovered where decoding them works too."""
+    e = entries.withColumn("ok", recoverable())
+    if decoded is not None:
+        d = decoded.where("decoded").select(F.col("path").alias("dp"), F.col("idx").alias("di"))
+        e = e.join(d, (F.col("dp") == F.col("path")) & (F.col("di") == F.col("idx")), "left").withColumn("ok", F.col("ok") | ((F.col("role") == "sheet") & F.col("di").isNotNull()))
+    e = e.withColumn("sheet", F.when(F.col("role") == "picture", F.col("belongs_to")).otherwise(F.col("idx")))
     has = lambda role: F.col("role") == role
     per = e.groupBy("path", "sheet").agg(
         F.count_if(has("sheet")).alias("s"), F.count_if(has("sheet") & F.col("ok")).alias("sr"), F.count_if(has("picture")).alias("p"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.carving import carved
 from ..functions.container import parse
-from ..functions.tlv import ContainerError
+from ..functions.drawing import Drawing
+from ..functions.pages import A4, overlay_drawing, page_drawing, page_recovered, readable, recovered
+from ..functions.tlv import ContainerError, field_names
 
 PAIR = "struct<w:bigint,h:bigint>"
-ENTRY = f"struct<idx:int,role:string,belongs_to:int,data_kind:string,offset:bigint,at:bigint,length:bigint,checksum:bigint,paper:{PAIR},pixels:{PAIR},code:bigint,aux:bigint,method:bigint,stored:bigint,expanded:bigint,rows:bigint,unknown:array<int>>"
-PARSED = f"path string, length bigint, generation bigint, trailer_tag int, declared_entries bigint, checksum bigint, generations_present bigint, rebuilt string, error_code string, error_detail string, entries array<{ENTRY}>"
+ENTRY = f"struct<idx:int,role:string,belongs_to:int,data_kind:string,offset:bigint,at:bigint,length:bigint,checksum:bigint,paper:{PAIR},pixels:{PAIR},code:bigint,aux:bigint,method:bigint,stored:bigint,expanded:bigint,rows:bigint,colour:bigint,below:bigint,rotation:int,overlays:int,unknown:array<int>>"
+AREA = "struct<x:bigint,y:bigint,w:bigint,h:bigint>"
+DISPLAY = f"struct<paper:{PAIR},rotation:int,overlays:int,members:array<struct<idx:int,area:{AREA}>>>"
+PARSED = f"path string, length bigint, generation bigint, trailer_tag int, declared_entries bigint, checksum bigint, generations_present bigint, rebuilt string, image_derived array<bigint>, unknown_elements array<struct<tag:int,at:bigint,length:bigint>>, properties_at bigint, properties_stored bigint, properties_expanded bigint, displays array<{DISPLAY}>, error_code string, error_detail string, entries array<{ENTRY}>"
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,30 +31,135 @@ def _row(path: str, data: bytes) -> dict:
     try:
         doc = parse(data)
     except ContainerError as e:
-        return row | {"error_code": e.code, "error_detail": e.detail, "entries": []}
+        return row | {"error_code": e.code, "error_detail": e.detail, "entries": [], "displays": []}
     pair = lambda p: {"w": p[0], "h": p[1]} if p else None
-    entries = [{"idx": e.idx, "role": e.role, "belongs_to": e.belongs_to, "data_kind": e.kind, "offset": e.offset, "at": e.at, "length": e.length, "checksum": e.checksum, "paper": pair(e.paper), "pixels": pair(e.pixels), "code": e.code, "aux": e.aux, "method": e.method, "stored": e.stored, "expanded": e.expanded, "rows": e.rows, "unknown": e.unknown} for e in doc["entries"]]
-    return row | doc | {"entries": entries}
+    entries = [{"idx": e.idx, "role": e.role, "belongs_to": e.belongs_to, "data_kind": e.kind, "offset": e.offset, "at": e.at, "length": e.length, "checksum": e.checksum, "paper": pair(e.paper), "pixels": pair(e.pixels), "code": e.code, "aux": e.aux, "method": e.method, "stored": e.stored, "expanded": e.expanded, "rows": e.rows, "colour": e.colour, "below": e.below, "rotation": e.rotation, "overlays": len(e.overlays), "unknown": e.unknown} for e in doc["entries"]]
+    area = lambda a: dict(zip("xywh", a)) if a else None
+    displays = [{"paper": pair(d["paper"]), "rotation": d["rotation"], "overlays": len(d["overlays"]), "members": [{"idx": m["idx"], "area": area(m["area"])} for m in d["members"]]} for d in doc["displays"]]
+    return row | doc | {"entries": entries, "displays": displays}
 
 
-def _parse(schema: pa.Schema):
+def _schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def _per_file(files: DataFrame, rows: Callable[[str, bytes], list[dict]], ddl: str) -> DataFrame:
+    """A table of what `rows` gives for each file, in batches of few rows. files: path, content."""
+    schema = _schema(ddl)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                rows = [_row(p, c or b"") for p, c in zip(part.column("path").to_pylist(), part.column("content").to_pylist())]
-                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
+            held: list[dict] = []
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                held += [{n: r.get(n) for n in schema.names} for r in rows(path.as_py(), content.as_py() or b"")]
+                if len(held) >= 256:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held = []
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return run
+    return files.select("path", "content").mapInArrow(run, ddl)
 
 
 def parsed(files: DataFrame) -> DataFrame:
     """One row per file with its entries nested; what cannot be read has an error_code. files: path, content."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    return _per_file(files, lambda path, data: [_row(path, data)], PARSED)
+
+
+def _readable(rows: Callable[[str, bytes, dict], list[dict]]) -> Callable[[str, bytes], list[dict]]:
+    """For files that can be read; others give no rows."""
+
+    def run(path: str, data: bytes) -> list[dict]:
+        try:
+            return rows(path, data, parse(data))
+        except ContainerError:
+            return []
+
+    return run
+
+
+PAGES = f"path string, page int, idx int, kind string, paper {PAIR}, rotation int, recovered boolean"
+
+
+def _pages(path: str, data: bytes, doc: dict) -> list[dict]:
+    pair = lambda p: {"w": p[0], "h": p[1]} if p else None
+    if doc["displays"]:
+        return [{"path": path, "page": k, "kind": "display", "paper": pair(d["paper"]), "rotation": d["rotation"], "recovered": page_recovered(data, d, doc["entries"])} for k, d in enumerate(doc["displays"], 1)]
+    sheets = [e for e in doc["entries"] if e.role == "sheet"]
+    return [{"path": path, "page": k, "idx": e.idx, "kind": e.kind, "paper": pair(e.paper), "rotation": e.rotation, "recovered": recovered(data, e, doc["entries"])} for k, e in enumerate(sheets, 1)]
+
+
+def pages(files: DataFrame) -> DataFrame:
+    """Pages that a faithful conversion has: logical pages where the properties tell them, else sheets. Bodies are decoded to tell whether a page is recovered."""
+    return _per_file(files, _readable(_pages), PAGES)
+
+
+def _decoded(path: str, data: bytes, doc: dict) -> list[dict]:
+    return [{"path": path, "idx": e.idx, "decoded": readable(e) or recovered(data, e, doc["entries"])} for e in doc["entries"] if e.role == "sheet"]
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Which sheets can be used, decoding included: path, idx, decoded."""
+    return _per_file(files, _readable(_decoded), "path string, idx int, decoded boolean")
+
+
+COLOUR = "struct<r:int,g:int,b:int>"
+BOX = "struct<left:double,top:double,right:double,bottom:double>"
+MARKS = f"path string, idx int, overlay int, kind string, ord int, box {BOX}, rgb {COLOUR}, text string, xs array<double>, size double, escapement int, bold boolean, underline boolean, font string, op string, raster int, pixels {PAIR}, stroke {COLOUR}, stroke_width double, multiply boolean, clip {BOX}, device {PAIR}, frame {PAIR}"
+
+
+def _each_drawing(data: bytes, doc: dict) -> Iterator[tuple[int, int | None, Drawing]]:
+    """Sheets by idx, with their overlays numbered."""
+    for e in doc["entries"]:
+        own = page_drawing(data, e, doc["entries"]) if e.role == "sheet" else None
+        if own:
+            yield e.idx, None, own
+        for k, o in enumerate(e.overlays):
+            over = overlay_drawing(o, e.paper or A4)
+            if over:
+                yield e.idx, k, over
+
+
+def _marks(path: str, data: bytes, doc: dict) -> list[dict]:
+    pair = lambda p: {"w": p[0], "h": p[1]}
+    box = lambda b: dict(zip(("left", "top", "right", "bottom"), b)) if b else None
+    colour = lambda c: dict(zip("rgb", c)) if c else None
+    out = []
+    for idx, overlay, d in _each_drawing(data, doc):
+        for m in d.marks:
+            stroke, width = m.stroke or (None, None)
+            raster = d.rasters[m.raster] if m.raster is not None else None
+            out.append({
+                "path": path, "idx": idx, "overlay": overlay, "kind": m.kind, "ord": m.order, "box": box(m.box), "rgb": colour(m.rgb), "text": m.text, "xs": m.xs, "size": m.size, "escapement": m.font.escapement,
+                "bold": m.font.weight >= 600, "underline": m.font.underline, "font": m.font.kind, "op": m.op, "raster": m.raster, "pixels": raster and pair((raster.width, raster.height)),
+                "stroke": colour(stroke), "stroke_width": width, "multiply": m.multiply, "clip": box(m.clip), "device": pair(d.device), "frame": pair(d.frame),
+            })
+    return out
+
+
+def marks(files: DataFrame) -> DataFrame:
+    """What sheets and their overlays draw, a row for each text, image, fill and shape."""
+    return _per_file(files, _readable(_marks), MARKS)
+
+
+def _skipped(path: str, data: bytes, doc: dict) -> list[dict]:
+    return [{"path": path, "idx": idx, "overlay": k, "record": kind, "n": n} for idx, k, d in _each_drawing(data, doc) for kind, n in d.skipped.items()]
+
+
+def skipped_records(files: DataFrame) -> DataFrame:
+    """Metafile records that were not drawn, by number."""
+    return _per_file(files, _readable(_skipped), "path string, idx int, overlay int, record bigint, n bigint")
+
+
+def _names(path: str, data: bytes, doc: dict) -> list[dict]:
+    return [{"path": path, "idx": e.idx, "fields": e.rows, "names": field_names(data[e.at : e.at + e.length])} for e in doc["entries"] if e.kind == "fields"]
+
 
-    schema = _parse_datatype_string(PARSED)
-    return files.select("path", "content").mapInArrow(_parse(to_arrow_schema(schema)), schema)
+def data_tables(files: DataFrame) -> DataFrame:
+    """Field tables and the names in them."""
+    return _per_file(files, _readable(_names), "path string, idx int, fields bigint, names array<string>")
 
 
 def entries(docs: DataFrame) -> DataFrame:
