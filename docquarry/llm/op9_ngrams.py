@@ -1,7 +1,9 @@
 """N-gram Jaccard join by prefix trees.
 
 Every document becomes a set of word n-grams in a global order: rare before frequent, by a sketch of counts over all
-documents, then by hash. Two sets that are similar enough share an n-gram in their prefixes in that order, so only the prefixes are dealt out. Documents with equal sets are one class from the start. Where
+documents, then by hash. Two sets that are similar enough share n-grams in their prefixes in that order, so only the prefixes are dealt out. Prefixes are
+long enough that similar sets share up to three n-grams there (fewer where the threshold lets so small an overlap do), and
+pairs that share fewer are no candidates. Documents with equal sets are one class from the start. Where
 an n-gram stands in the prefixes of many classes, the first of them is the hub and each other is matched with the hub; pairs of
 classes that the links so far leave in different components are matched in later rounds, so that no
 link between components is lost, and pairs inside a component need no match. Prefixes screen the pairs: n-grams that one
@@ -29,6 +31,12 @@ from .common import NULL_ID, byte_view, components, dropped, id_key, mix, pack,
 SLICE_BYTES = 1 << 21
 SKETCH_BITS, SKETCH_PARTS = 22, 256
 BLOCK = 512
+SHARED = 3
+
+
+def _shared(num: int, den: int) -> int:
+    """How many n-grams prefixes must share: at most SHARED, and at most the least overlap that two different similar sets can have."""
+    return min(SHARED, max(1, -(-num // (den - num)))) if num < den else SHARED
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -88,6 +96,8 @@ def _ordered(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(shared, n: int, num: int, den: int):
+    common = _shared(num, den)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         for batch in batches:
@@ -106,7 +116,7 @@ def _prefixes(shared, n: int, num: int, den: int):
                     m = b - a
                     size.append(int(m))
                     key.append(xxhash.xxh3_128_digest(g[a:b].tobytes()) if m else None)
-                    prefix.append(ranked[a : a + m - (num * m + den - 1) // den + 1].tobytes() if m else None)
+                    prefix.append(ranked[a : min(b, a + m - (num * m + den - 1) // den + common)].tobytes() if m else None)
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.binary())], ["did", "n", "key", "prefix"])
 
     return run
@@ -217,7 +227,7 @@ def _emit(cols, num: int, den: int, star: bool) -> Iterator[pa.RecordBatch]:
         a, b = hub, np.arange(n)
         keep = a != b
         # neighbours in the order of sizes too, so that chains link in one round
-        c = np.flatnonzero(gram[1:] == gram[:-1])
+        c = np.flatnonzero((gram[1:] == gram[:-1]) & (hub[1:] != np.arange(n - 1)))
         a, b = np.concatenate([a[keep], c]), np.concatenate([b[keep], c + 1])
         found.append(_checked(a, b, rep, size, pos, num, den))
     else:
@@ -249,9 +259,14 @@ def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.concatenate(found)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
-    if len(pairs):
-        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])]
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])) if len(pairs) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(pairs)))
+    return pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(times.astype(np.int32))], ["a", "b", "times"])
+
+
+def _often(found: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that enough n-grams gave."""
+    return found.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= _shared(num, den)).select("a", "b")
 
 
 def _full_sets(n: int):
@@ -392,16 +407,16 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     dealt = reps.select("rep", "n", "prefix").mapInArrow(_deal(parts), "part int, block binary")
     shared = dealt.repartition(partitions(spark), "part").mapInArrow(_groups(num, den), "gram bigint, rep bigint, n int, pos int")
     groups = staged(shared)
-    schema = "a bigint, b bigint"
+    schema = "a bigint, b bigint, times int"
     sorted_groups = lambda g: g.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "n", "rep")
-    pairs = staged(sorted_groups(groups.withColumn("comp", F.lit(0).cast("long"))).mapInArrow(_pairs(num, den, True), schema).distinct())
+    pairs = staged(_often(sorted_groups(groups.withColumn("comp", F.lit(0).cast("long"))).mapInArrow(_pairs(num, den, True), schema), num, den))
     near = _screened(pairs, reps, num, den)
     sets = _sets_of(near, docs, n)
     links = staged(_matched(near, sets, num, den))
     comps = staged(components(links))
     labelled = groups.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("rep"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy(F.col("gram").alias("mg")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("mg")
-    across = sorted_groups(labelled.join(mixed, F.col("mg") == F.col("gram"), "left_semi")).mapInArrow(_pairs(num, den, False), schema).distinct()
+    across = _often(sorted_groups(labelled.join(mixed, F.col("mg") == F.col("gram"), "left_semi")).mapInArrow(_pairs(num, den, False), schema), num, den)
     fresh = staged(across.join(pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti"))
     late = _screened(fresh, reps, num, den)
     more = staged(_matched(late, _sets_of(late, docs, n), num, den))
