@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..sources import containers as src
+from . import mark_queries
 from .fixtures import order_containers
 
 
@@ -92,3 +93,6 @@ ORACLE_SQL = {
     "csv_quote": "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[,\"\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM conversations",
     "output_names": "SELECT doc_id, CASE WHEN n = 1 THEN source ELSE source || '~' || n END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)",
 }
+
+QUERIES |= mark_queries.QUERIES
+ORACLE_SQL |= mark_queries.ORACLE_SQL
