@@ -32,7 +32,7 @@ def test_covered_texts(spark):
     for page in range(6):
         for o in range(8):
             glyphs += [("p", page, o, k, 10.0 * k, 30.0 * o, 10.0 * k + 9, 30.0 * o + 12) for k in range(rng.randint(1, 6))]
-        shapes += [("p", page, x - 0.5, y - 0.5, x + 8.0, y + 9.0) for x, y in ((10 * rng.randint(0, 6), 30 * rng.randint(0, 7)) for _ in range(30))]
+        shapes += [("p", page, x - 0.5, y - 0.5, x + 8.0, y + 9.0) for x, y in ((10 * rng.randint(0, 6), 30 * rng.randint(0, 7)) for _ in range(110))]
 
     def hit(g, s):
         w, h = min(g[6], s[4]) - max(g[4], s[2]), min(g[7], s[5]) - max(g[5], s[3])
