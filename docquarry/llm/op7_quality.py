@@ -1,11 +1,13 @@
 """Quality rules with an n-gram perplexity model.
 
-A modified Kneser-Ney model of order 4 over characters is counted on all documents. Characters fall into 64 classes
-(white space, digits, letters in lower case, punctuation marks; other characters share classes by code point), so that
-an n-gram packs into 24 bits: its key. The counts are grouped sums over tasks, and the model
-- one sorted array of keys for each order, with the log probability and the back-off weight beside it - has at most
-2^24 entries whatever the corpus holds; that bound is what lets it be broadcast. A document's score is
-the mean log probability of its characters. For each language, the median and the median absolute
+An interpolated modified Kneser-Ney model of order 5 over units is counted on all documents. A unit is a code point as it stands, or a
+run of one ASCII mark or white space together with its length, so that no text is lost. Documents are dealt in slices of some
+megabytes by a hash; a slice's distinct n-grams with their counts are dealt by a hash of two context units to parts of the model, and
+its answers, the log probability of each of its n-grams, come back to the slice. What is counted and kept grows with the
+corpus: each part has its own sorted hash arrays, and no more than the counts of counts ever reaches the driver. Orders
+above LOCAL are made within a part, as their contexts lie there; LOCAL and below are grouped sums and joins. What stands in no
+other text is not held to be seen, as a document would vouch for itself: such n-grams back off, at every order. Equal texts are
+one text there; n-grams that texts share keep their whole count. A document's score is the mean log probability of its units. For each language, the median and the median absolute
 deviation of the scores give the upper and lower band; documents outside are rejected.
 
 Cases: null or empty text has no words, all counts 0, and fails; a null language is a language of its
@@ -19,40 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
+from .common import byte_view, mix, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
 
+#: Of the model over units, and the order up to which its tables are not kept in parts.
+UNITS, LOCAL = 5, 2
+#: Of the packed keys of `KneserNey`.
 ORDER, CLASS_BITS = 4, 6
 #: Bands are this many deviations wide, at least `FLOOR` in mean log probability.
 LOWER, UPPER, FLOOR = 6.0, 5.0, 0.05
-SLICE_BYTES = 1 << 21
+SLICE_BYTES, SHARE_BYTES = 1 << 21, 1 << 22
 SYMBOLS = b"#*$%&|<>"
 
 
-def _class_table() -> np.ndarray:
-    """Classes of code points below 0x250: 0 white space, 1 digits, 2-27 a-z, 28-43 marks, 44-62 others; 63 starts a text."""
-    table = np.array([44 + c % 19 for c in range(0x250)], np.uint8)
-    table[:33] = 0
-    table[[0x7F, 0x85, 0xA0]] = 0
-    marks = [c for c in range(33, 127) if not chr(c).isalnum()]
-    for k, c in enumerate(marks):
-        table[c] = 28 + k % 16
-    for c in range(48, 58):
-        table[c] = 1
-    for c in range(0x250):
-        low = ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c
-        if 97 <= low <= 122:
-            table[c] = low - 95
-        elif c > 127 and low < 0x250 and chr(c).isalpha():
-            table[c] = 44 + low % 19
-    return table
-
-
-_CLASSES = _class_table()
-_START = 63
+_BEGIN, _LONGEST, _ODD = np.uint32(0xFFFFFFFF), 2047, np.uint64(0x9E3779B97F4A7C15)
+_MARK = np.zeros(128, bool)
+_MARK[[c for c in range(128) if not chr(c).isalnum()]] = True
 _CONT = np.zeros(256, bool)
 _CONT[0x80:0xC0] = True
 _SPACE = np.zeros(256, bool)
@@ -61,10 +49,9 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-def classes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each unit of concatenated UTF-8 texts, and the offsets of rows in units. A unit is a code point or a run of marks."""
-    lead = ~_CONT[raw]
-    first = np.flatnonzero(lead)
+def units(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units of concatenated UTF-8 texts, and the offsets of rows in units. Runs of over 2047 marks make several units."""
+    first = np.flatnonzero(~_CONT[raw])
     b = raw[first].astype(np.uint32)
     code = b.copy()
     multi = np.flatnonzero(b >= 0xC0)
@@ -76,82 +63,253 @@ def classes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         three = ((lead_byte & 15) << 12) | (c1 << 6) | c2
         four = ((lead_byte & 7) << 18) | (c1 << 12) | (c2 << 6) | c3
         code[multi] = np.where(lead_byte < 0xE0, two, np.where(lead_byte < 0xF0, three, four))
-    out = np.where(code < 0x250, _CLASSES[np.minimum(code, 0x24F)], (44 + code % 19).astype(np.uint8)).astype(np.uint8)
-    # runs of one mark or of white space stand as one unit: else long runs, easy to foretell, hide how odd they are
+    n = len(code)
     rows = np.searchsorted(first, at)
-    keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != out[:-1]) | ((out[1:] >= 1) & (out[1:] < 28)) | (out[1:] > 43)
-    inner = rows[:-1]
-    keep[inner[inner < len(out)]] = True
+    # runs of one mark or of white space stand as one unit: else long runs, easy to foretell, hide how odd they are
+    keep = np.ones(n, bool)
+    keep[1:] = (code[1:] != code[:-1]) | ~_MARK[np.minimum(code[1:], 65)]
+    keep[rows[:-1][rows[:-1] < n]] = True
     kept = np.flatnonzero(keep)
-    return out[kept], np.searchsorted(kept, rows)
-
-
-def gram_keys(cls: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The key of the n-gram that ends at each character; a text is led by ORDER - 1 starts."""
-    n = len(cls)
-    key = cls.astype(np.uint32)
-    dist = np.arange(n) - np.repeat(at[:-1], np.diff(at))
-    for k in range(1, ORDER):
-        before = np.full(n, _START, np.uint32)
-        before[k:] = cls[: n - k] if n > k else before[k:]
-        before[dist < k] = _START
-        key |= before << np.uint32(CLASS_BITS * k)
-    return key
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged(parts):
-        keys = np.concatenate([p[0] for p in parts])
-        n = np.concatenate([p[1] for p in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        return keys[at], np.add.reduceat(n, at) if len(at) else n
+    length = np.diff(np.append(kept, n))
+    if len(length) and length.max() > _LONGEST:
+        keep[(np.arange(n) - np.repeat(kept, length)) % _LONGEST == 0] = True
+        kept = np.flatnonzero(keep)
+        length = np.diff(np.append(kept, n))
+    return code[kept] | ((length - 1).astype(np.uint32) << np.uint32(21)), np.searchsorted(kept, rows)
 
-    for batch in batches:
-        raw, at = byte_view(batch.column("text"))
-        for lo, hi in row_slices(at, SLICE_BYTES):
-            cls, ends = classes(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-            held.append(np.unique(gram_keys(cls, ends), return_counts=True))
-            if len(held) > 8:
-                held = [merged(held)]
-    if held:
-        total = merged(held)
-    # 256 ranges of keys, so that sums are spread and no row is large
-    edge = np.searchsorted(total[0], np.arange(257, dtype=np.uint64) << np.uint64(16))
-    rows = [(r, pack(total[0][a:b], total[1][a:b])) for r, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "counts"])
+
+def _hash(cols: list[np.ndarray]) -> np.ndarray:
+    h = cols[-1].astype(np.uint64)
+    for c in reversed(cols[:-1]):
+        h = h * _ODD + c
+    return mix(h)
+
+
+def _column(u: np.ndarray, dist: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The unit that stands k before each unit, or before those at `at`; a text is led by starts."""
+    if at is None:
+        before = np.full(len(u), _BEGIN, np.uint32)
+        before[k:] = u[: len(u) - k]
+        before[dist < k] = _BEGIN
+        return before
+    return np.where(dist[at] >= k, u[np.maximum(at - k, 0)], _BEGIN)
+
+
+def gram_hashes(u: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the n-gram that ends at each unit, and how far each unit stands from its text's begin."""
+    dist = np.arange(len(u)) - np.repeat(at[:-1], np.diff(at))
+    h = u.astype(np.uint64)
+    for k in range(1, min(order, len(u) + 1)):
+        h = h * _ODD + _column(u, dist, k)
+    for k in range(len(u) + 1, order):
+        h = h * _ODD + _BEGIN
+    return mix(h), dist
+
+
+#: Hashes, counts, the least and the largest number of a text that holds the n-gram, columns of units.
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
+
+
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the order that sorts them, and where each begins in it."""
+    order = np.argsort(h, kind="stable")
+    ranked = h[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return ranked[starts], order, starts
+
+
+def _merged(parts: list[Counted]) -> Counted:
+    """N-grams by rising hash."""
+    h, n, lo, hi = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    u, order, at = _groups(h)
+    cols = [np.concatenate([p[4][j] for p in parts])[order[at]] for j in range(len(parts[0][4]))]
+    return u, np.add.reduceat(n[order], at), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), cols
+
+
+def _distinct(texts: pa.Array, order: int, others: bool) -> Iterator[Counted]:
+    raw, at = byte_view(texts)
+    for lo, hi in row_slices(at, SLICE_BYTES):
+        u, ends = units(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        if len(u):
+            h, dist = gram_hashes(u, ends, order)
+            keys, ranks, starts = _groups(h)
+            text = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) & 0x7FFFFFFF for a, b in zip(at[lo:hi], at[lo + 1 : hi + 1])], np.uint32)
+            text = np.repeat(text, np.diff(ends))[ranks]
+            least, most = np.minimum.reduceat(text, starts), np.maximum.reduceat(text, starts)
+            if not others:
+                least, most = np.zeros_like(least), np.ones_like(most)
+            yield keys, np.diff(np.append(starts, len(h))), least, most, [_column(u, dist, k, ranks[starts]) for k in range(order - 1, -1, -1)]
+
+
+def _part_of(cols: list[np.ndarray], parts: int) -> np.ndarray:
+    return (_hash(cols[-1 - LOCAL : -1]) % np.uint64(parts)).astype(np.int64)
+
+
+def _ask(order: int, parts: int, others: bool = True):
+    """Rows come sorted by slice: each slice's distinct n-grams and counts, by part of the model."""
+
+    def rows(now, held):
+        h, n, lo, hi, cols = _merged(held)
+        part = _part_of(cols, parts)
+        for p in np.unique(part).tolist():
+            at = part == p
+            yield now, p, pack(n[at], lo[at], hi[at], *(c[at] for c in cols))
+
+    def batch_of(made):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int64()), pa.array([r[1] for r in made], pa.int32()), pa.array([r[2] for r in made], pa.binary())], ["slice", "part", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for s, some in _runs(batch):
+                if s != now:
+                    if held:
+                        yield batch_of(list(rows(now, held)))
+                    now, held = s, []
+                for c in _distinct(some.column("text"), order, others):
+                    held.append(c)
+                    if len(held) > 8:
+                        held = [_merged(held)]
+        if held:
+            yield batch_of(list(rows(now, held)))
+
+    return run
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    s = np.asarray(batch.column("slice"))
+    edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else []
+    for lo, hi in zip(edges, edges[1:]):
+        yield int(s[lo]), batch.slice(lo, hi - lo)
+
+
+def _tables(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
+    """Counts, bounds of texts and columns from the full order down to LOCAL; lower orders count the different units that come before."""
+    out = [(n, lo, hi, cols)]
+    for k in range(len(cols) - 1, LOCAL - 1, -1):
+        _, lo, hi, cols = out[-1]
+        u, order, at = _groups(_hash(cols[1:]))
+        out.append((np.diff(np.append(at, len(order))), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), [c[order[at]] for c in cols[1:]]))
+    return out
+
+
+def _times(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+
+_PART = "part int, grams binary, times array<bigint>, a bigint, b bigint, n bigint, lo bigint, hi bigint"
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
+    """Rows come sorted by part. For each part its n-grams, how often counts of 1 to 4 occur at each order above LOCAL, and its share of the counts of order LOCAL."""
+
+    def done(part, held):
+        _, n, least, most, cols = _merged(held)
+        *upper, (low, lo, hi, (a, b)) = _tables(n, least, most, cols)
+        times = [t for level, *_ in upper for t in _times(level)]
+        none = [None] * len(low)
+        rows = [[part] * (len(low) + 1), [pack(n, least, most, *cols), *none], [times, *none], *([None, *x.tolist()] for x in (a, b, low, lo, hi))]
+        kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], ["part", "grams", "times", "a", "b", "n", "lo", "hi"])
+
+    now, held = None, []
     for batch in batches:
-        for part, block in zip(batch.column("part").to_pylist(), batch.column("counts")):
-            keys, n = unpack(block.as_py())
-            here = sums.setdefault(part, np.zeros(1 << 16, np.int64))
-            here[keys & 0xFFFF] += n
-    parts = sorted(sums)
-    blocks = [pack(np.flatnonzero(sums[p]).astype(np.uint32) + np.uint32(p << 16), sums[p][sums[p] > 0]) for p in parts]
-    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "counts"])
+        for part, block in zip(batch.column("part").to_pylist(), batch.column("grams")):
+            if part != now:
+                if held:
+                    yield done(now, held)
+                now, held = part, []
+            n, lo, hi, *cols = unpack(block.as_py())
+            held.append((_hash(cols), n, lo, hi, cols))
+            if len(held) > 64:
+                held = [_merged(held)]
+    if held:
+        yield done(now, held)
+
+
+class Part:
+    """One part of the model: log probabilities by rising hash of n-gram."""
+
+    def __init__(self, n: np.ndarray, least: np.ndarray, most: np.ndarray, cols: list[np.ndarray], low: tuple[np.ndarray, np.ndarray, np.ndarray], discounts: list[np.ndarray]):
+        a, b, p = low
+        keys = _hash([a.astype(np.uint32), b.astype(np.uint32)])
+        order = np.argsort(keys)
+        keys, p = keys[order], p[order]
+        for (n, least, most, own), d in zip(reversed(_tables(n, least, most, cols)[:-1]), reversed(discounts)):
+            ctx = _hash(own[:-1])
+            _, order, at = _groups(ctx)
+            back = np.empty(len(ctx), np.int64)
+            back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ctx))))
+            total, off = np.add.reduceat(n[order], at), d[np.minimum(n, 3)]
+            weight = np.add.reduceat(off[order], at) / total
+            base = p[np.searchsorted(keys, _hash(own[1:]))]
+            seen = np.minimum.reduceat(least[order], at) != np.maximum.reduceat(most[order], at)
+            p = np.where(least != most, np.maximum(n - off, 0) / total[back], 0) + np.where(seen, weight, 1.0)[back] * base
+            keys = _hash(own)
+            order = np.argsort(keys)
+            keys, p = keys[order], p[order]
+        self.keys, self.logs = keys, np.log(p).astype(np.float32)
+
+    def answer(self, cols: list[np.ndarray]) -> np.ndarray:
+        return self.logs[np.searchsorted(self.keys, _hash(cols))]
+
+
+def _answer(discounts: list[np.ndarray]):
+    """Rows come sorted by part and kind: 0 the part's n-grams, 1 probabilities of order LOCAL, 2 what slices ask."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, low, model = None, [], None
+        for batch in batches:
+            out = []
+            for part, kind, grams, s, a, b, p in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "grams", "slice", "a", "b", "p"))):
+                if kind == 0:
+                    counts, low, model = unpack(grams), [], None
+                elif kind == 1:
+                    low.append((a, b, p))
+                else:
+                    if model is None:
+                        model = Part(*counts[:3], counts[3:], tuple(np.array(x) for x in zip(*low)), discounts)
+                        counts = None
+                    out.append((s, part, pack(model.answer(unpack(grams)[3:]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["slice", "part", "logs"])
 
-def count_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the n-grams of all documents and their counts; at most 2^24."""
-    n = partitions(docs.sparkSession)
-    summed = docs.select("text").mapInArrow(_count, "part int, counts binary").repartition(min(256, n), "part").mapInArrow(_sum, "part int, counts binary")
-    parts = sorted((r["part"], r["counts"]) for r in summed.toLocalIterator())
-    if not parts:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    both = [unpack(b) for _, b in parts]
-    return np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
+    return run
+
+
+def _off(n, d: np.ndarray):
+    return F.when(n == 1, float(d[1])).when(n == 2, float(d[2])).otherwise(float(d[3]))
+
+
+def answers(asked: DataFrame, order: int, base: float | None = None) -> DataFrame:
+    """Rows (slice, part, logs): the log probabilities of the n-grams that a slice asks of a part. base: probability of a unit before any count, one over their number where none is given."""
+    n = partitions(asked.sparkSession)
+    summed = staged(asked.select("part", "grams").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_sum, _PART))
+    upper = order - LOCAL
+    times = summed.where("times is not null").agg(*[F.sum(F.col("times")[k]) for k in range(4 * upper)]).first()
+    discounts = [KneserNey.discounts([float(t or 0) for t in times[4 * k : 4 * k + 4]]) for k in range(upper)]
+    some = lambda t: t.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first()
+    pairs = staged(summed.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    d2 = KneserNey.discounts([float(t or 0) for t in some(pairs)])
+    ones = staged(pairs.groupBy("b").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    d1 = KneserNey.discounts([float(t or 0) for t in some(ones)])
+    whole = ones.agg(F.sum("n").alias("n"), F.sum(_off(F.col("n"), d1)).alias("off"), F.count("*").alias("k")).first()
+    total, flat = float(whole["n"] or 1), (whole["off"] or 0) / float(whole["n"] or 1) * (base or 1 / max(whole["k"], 1))
+    own = lambda d: F.when(F.col("lo") != F.col("hi"), F.greatest(F.col("n") - _off(F.col("n"), d), F.lit(0.0))).otherwise(0.0)
+    of_one = ones.select(F.col("b").alias("ob"), (own(d1) / total + flat).alias("p1"))
+    contexts = pairs.groupBy(F.col("a").alias("ca")).agg(F.sum("n").alias("cn"), F.sum(_off(F.col("n"), d2)).alias("coff"), (F.min("lo") != F.max("hi")).alias("seen"))
+    p2 = own(d2) / F.col("cn") + F.when(F.col("seen"), F.col("coff") / F.col("cn")).otherwise(1.0) * F.col("p1")
+    of_two = pairs.join(of_one, F.col("ob") == F.col("b")).join(contexts, F.col("ca") == F.col("a")).select(F.col("a").alias("pa"), F.col("b").alias("pb"), p2.alias("p"))
+    low = summed.where("a is not null").select("part", "a", "b").join(of_two, (F.col("pa") == F.col("a")) & (F.col("pb") == F.col("b")))
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = summed.where("grams is not null").select("part", F.lit(0).alias("kind"), "grams", null("long").alias("slice"), null("long").alias("a"), null("long").alias("b"), null("double").alias("p"))
+    rows = rows.unionByName(low.select("part", F.lit(1).alias("kind"), null("binary").alias("grams"), null("long").alias("slice"), "a", "b", "p"))
+    rows = rows.unionByName(asked.select("part", F.lit(2).alias("kind"), "grams", "slice", null("long").alias("a"), null("long").alias("b"), null("double").alias("p")))
+    return staged(rows.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer(discounts), "slice bigint, part int, logs binary"))
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney. levels[k] has sorted keys of (k + 1)-grams, log probabilities, and the
+    """Interpolated modified Kneser-Ney of one process, over packed keys of 64 kinds of units: what the parts are held against. levels[k] has sorted keys of (k + 1)-grams, log probabilities, and the
     log weight that a missing longer n-gram pays to fall back from this context."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
@@ -170,7 +328,7 @@ class KneserNey:
             order = np.argsort(context, kind="stable")
             ctx, at = np.unique(context[order], return_index=True)
             total = np.add.reduceat(n[order], at) if len(at) else n
-            d = self._discounts(n)
+            d = self.discounts([float(t) for t in _times(n)])
             off = d[np.minimum(n, 3)]
             weight = np.add.reduceat(off[order], at) / total if len(at) else n
             where = np.searchsorted(ctx, context)
@@ -181,8 +339,8 @@ class KneserNey:
             self.backoff.append((ctx, np.log(np.maximum(weight, 1e-9)).astype(np.float32)))
 
     @staticmethod
-    def _discounts(n: np.ndarray) -> np.ndarray:
-        c = [float((n == k).sum()) for k in (1, 2, 3, 4)]
+    def discounts(c: list[float]) -> np.ndarray:
+        """By how much counts of 0, 1, 2 and more are lowered, where counts of 1 to 4 occur c times."""
         y = c[0] / (c[0] + 2 * c[1]) if c[0] and c[1] else 0.5
         d = [0.0] + [max(0.1, min(k + 0.0, (k + 1) - (k + 2) * y * c[k + 1] / c[k] + 0.0)) if c[k] else 0.5 for k in (0, 1, 2)]
         d[1:] = [min(max(x, 0.1), k - 0.1) for k, x in zip((1, 2, 3), d[1:])]
@@ -245,8 +403,8 @@ def _repeat_words(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sums[starts + counts] - sums[starts]
 
 
-def measures(texts: pa.Array, model: KneserNey) -> dict[str, np.ndarray]:
-    """The base counts and the mean log probability of each text."""
+def measures(texts: pa.Array, order: int, keys: np.ndarray, logs: np.ndarray) -> dict[str, np.ndarray]:
+    """The base counts and the mean log probability of each text. keys, logs: the slice's n-grams by rising hash."""
     raw, at = byte_view(texts)
     n = len(at) - 1
     out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"score": np.zeros(n)}
@@ -261,33 +419,63 @@ def measures(texts: pa.Array, model: KneserNey) -> dict[str, np.ndarray]:
         whole = part.tobytes()
         for i in range(lo, hi):
             out["n_dup_lines"][i] = _line_repeats(whole[ends[i - lo] : ends[i - lo + 1]])
-        cls, chars = classes(part, ends)
-        keys = gram_keys(cls, chars)
-        u, back = np.unique(keys, return_inverse=True)
-        sums = np.concatenate([[0.0], np.cumsum(model.log_prob(u)[back])])
-        length = np.maximum(np.diff(chars), 1)
-        out["score"][lo:hi] = (sums[chars[1:]] - sums[chars[:-1]]) / length
+        u, rows = units(part, ends)
+        h, _ = gram_hashes(u, rows, order)
+        sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(keys, h)], dtype=np.float64)])
+        out["score"][lo:hi] = (sums[rows[1:]] - sums[rows[:-1]]) / np.maximum(np.diff(rows), 1)
     return out
 
 
 _MADE = (("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("score", T.DoubleType()))
 
 
-def _measure(shared, carry: list[str], text: str):
+def _measure(carry: list[str], order: int, parts: int):
+    """Rows come sorted by slice, a slice's answers before its documents."""
+
+    def done(held, logs):
+        grams = [c for b in held for c in _distinct(b.column("text"), order, False)]
+        keys, own = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        if grams:
+            keys, *_, cols = _merged(grams)
+            part, own = _part_of(cols, parts), np.zeros(len(keys), np.float32)
+            for p, answer in logs.items():
+                own[part == p] = answer
+            if sum(map(len, logs.values())) != len(keys):
+                raise ValueError("a slice changed between asking and scoring")
+        for batch in held:
+            m = measures(batch.column("text"), order, keys, own)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(m[k]) for k, _ in _MADE], carry + [f"q_{k}" for k, _ in _MADE])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, logs = None, [], {}
         for batch in batches:
-            m = measures(batch.column(text), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(m[k]) for k, _ in _MADE], carry + [f"q_{k}" for k, _ in _MADE])
+            for s, some in _runs(batch):
+                if s != now:
+                    yield from done(held, logs)
+                    now, held, logs = s, [], {}
+                part = some.column("part")
+                for p, block in zip(part.to_pylist(), some.column("logs")):
+                    if p is not None:
+                        logs[p] = unpack(block.as_py())[0]
+                if part.null_count:
+                    held.append(some.filter(part.is_null()))
+        yield from done(held, logs)
 
     return run
 
 
-def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """docs' columns in `carry` with the measures as q_ columns. docs has a column text."""
-    model = docs.sparkSession.sparkContext.broadcast(KneserNey(*count_grams(docs)))
+def scored(docs: DataFrame, carry: list[str], order: int = UNITS, base: float | None = None, others: bool = True) -> DataFrame:
+    """docs' columns in `carry` with the measures as q_ columns. docs has a column text. others: what stands in no other text counts as not seen."""
+    n = partitions(docs.sparkSession)
     need = list(dict.fromkeys([*carry, "text"]))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    plain = [c for c in need if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    dealt = docs.select(*need, F.pmod(F.xxhash64(*plain), F.lit(1 + size // SHARE_BYTES)).alias("slice"))
+    asked = staged(dealt.select("slice", "text").repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_ask(order, n, others), "slice bigint, part int, grams binary"))
+    answered = answers(asked, order, base)
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(f"q_{k}", t) for k, t in _MADE])
-    return docs.select(*need).mapInArrow(_measure(model, carry, "text"), schema)
+    rows = dealt.withColumn("part", F.lit(None).cast("int")).withColumn("logs", F.lit(None).cast("binary")).unionByName(answered, allowMissingColumns=True)
+    return rows.repartition(n, "slice").sortWithinPartitions("slice", F.col("part").isNull()).mapInArrow(_measure(carry, order, n), schema)
 
 
 def base_failed():

@@ -126,6 +126,39 @@ def test_kneser_ney_sums_to_one():
     assert abs(total - 1) < 0.02
 
 
+def test_kneser_ney_in_parts(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 300)))) for i in range(40)] + [(40, None), (41, "")]
+    grams = {}
+    for _, t in rows:
+        ids = [63] * 3 + [ord(c) - 97 for c in t or ""]
+        for k in range(3, len(ids)):
+            key = ids[k - 3] << 18 | ids[k - 2] << 12 | ids[k - 1] << 6 | ids[k]
+            grams[key] = grams.get(key, 0) + 1
+    keys = sorted(grams)
+    model = op7_quality.KneserNey(np.array(keys, np.uint32), np.array([grams[k] for k in keys]))
+    got = {r["doc_id"]: r["q_score"] for r in op7_quality.scored(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], order=4, base=1 / 64, others=False).collect()}
+    for i, t in rows:
+        ids = [63] * 3 + [ord(c) - 97 for c in t or ""]
+        own = np.array([ids[k - 3] << 18 | ids[k - 2] << 12 | ids[k - 1] << 6 | ids[k] for k in range(3, len(ids))], np.uint32)
+        assert abs(got[i] - (model.log_prob(own).mean() if t else 0)) < 1e-4
+
+
+def test_units_lose_no_text():
+    for a, b in (("Abc", "abc"), ("бвг", "бвф"), ("漢字", "漢学"), ("x##y", "x###y"), ("#" * 3000, "#" * 3001), ("a\nb", "a b")):
+        u, v = (op7_quality.units(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in (a, b))
+        assert u.tolist() != v.tolist()
+
+
+def test_model_keeps_every_gram(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(500))) for i in range(80)]
+    want = {("\0" * 4 + t)[k : k + 5] for _, t in rows for k in range(500)}
+    docs = spark.createDataFrame(rows, "slice long, text string").repartition(4, "slice").sortWithinPartitions("slice")
+    parts = docs.mapInArrow(op7_quality._ask(5, 4), "slice bigint, part int, grams binary").repartition(4, "part").sortWithinPartitions("part").mapInArrow(op7_quality._sum, op7_quality._PART)
+    assert sum(len(op7_quality.unpack(r["grams"])[0]) for r in parts.where("grams is not null").collect()) == len(want)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
