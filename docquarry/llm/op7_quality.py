@@ -342,8 +342,7 @@ class KneserNey:
     def discounts(c: list[float]) -> np.ndarray:
         """By how much counts of 0, 1, 2 and more are lowered, where counts of 1 to 4 occur c times."""
         y = c[0] / (c[0] + 2 * c[1]) if c[0] and c[1] else 0.5
-        d = [0.0] + [max(0.1, min(k + 0.0, (k + 1) - (k + 2) * y * c[k + 1] / c[k] + 0.0)) if c[k] else 0.5 for k in (0, 1, 2)]
-        d[1:] = [min(max(x, 0.1), k - 0.1) for k, x in zip((1, 2, 3), d[1:])]
+        d = [0.0] + [min(max((k + 1) - (k + 2) * y * c[k + 1] / c[k], 0.1), k + 1 - 1e-3) if c[k] else 0.5 for k in (0, 1, 2)]
         return np.array(d)
 
     @staticmethod

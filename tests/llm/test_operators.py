@@ -159,6 +159,21 @@ def test_model_keeps_every_gram(spark):
     assert sum(len(op7_quality.unpack(r["grams"])[0]) for r in parts.where("grams is not null").collect()) == len(want)
 
 
+def test_discounts():
+    y = 1000 / 1800
+    want = [0, 1 - 2 * y * 400 / 1000, 2 - 3 * y * 200 / 400, 3 - 4 * y * 120 / 200]
+    assert np.allclose(op7_quality.KneserNey.discounts([1000.0, 400.0, 200.0, 120.0]), want)
+
+
+def test_misordered_signs_are_odder(spark):
+    rng = random.Random(10)
+    phrases = ["".join(chr(0x4E03 + 19 * rng.randrange(400)) for _ in range(5)) for _ in range(30)]
+    rows = [(i, "".join(rng.choice(phrases) for _ in range(60))) for i in range(30)]
+    rows.append((99, "".join(rng.sample(rows[0][1], len(rows[0][1])))))
+    got = {r["doc_id"]: r["q_score"] for r in op7_quality.scored(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got[99] < min(v for k, v in got.items() if k != 99) - 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
