@@ -5,9 +5,11 @@ tokens with the same occurrence vector (how often they stand on each page) are a
 sum of a hash of page and count, so that classes come from grouped sums and no host is gathered anywhere.
 Classes that occur on enough of a host's pages are valid if their tags nest: all open inside the container of
 the class that holds them, and are the host's template. A page's slots are the text blocks that
-the template does not fix. The main text is the slots of the article: the elements that say they are
-one (article, main), or else the container of slots with the most text; menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments are never slots.
+the template does not fix, inside the article as elsewhere; they are the candidates on all pages. Names are evidence afterwards: slots in menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out. The main text is the slots
+in the elements that say they are the article (article, main), or else those of the article's container, with fixed texts
+at the paths of slots there. A page
+all of whose wanted text is fixed, such as copies of one page, keeps it.
 
 Cases: null or empty html gives an empty text; a null url is a host of its own; hosts with few
 pages have no template and their pages are read by their elements alone; unclosed and crossed tags are closed as
@@ -32,6 +34,8 @@ from .common import read_table, staged
 
 #: A template's token stands on this share of a host's pages, and on three pages at least.
 SUPPORT, FEWEST = 0.3, 3
+#: For text inside article or main, which near copies of a page share too.
+INNER_SUPPORT, INNER_FEWEST = 0.9, 5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -154,6 +158,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[tuple[str, int], list[int]] = {}
         parents: dict[int, int] = {}
+        inner: set[int] = set()
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             if not page:
                 continue
@@ -164,10 +169,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in set(tags):
                 parents[xxhash.xxh3_64_intdigest(t)] = xxhash.xxh3_64_intdigest(t.rpartition("/")[0])
             for path, _, _, article, text in found:
-                if not article:  # an article's own text is never a template's
-                    key = xxhash.xxh3_64_intdigest(f"{path}\0{text}")
-                    counts[key] += 1
-                    parents[key] = xxhash.xxh3_64_intdigest(path)
+                key = xxhash.xxh3_64_intdigest(f"{path}\0{text}")
+                counts[key] += 1
+                parents[key] = xxhash.xxh3_64_intdigest(path)
+                if article:
+                    inner.add(key)
             counts[0] = 1  # stands on every page: the host's pages
             for key, n in counts.items():
                 s = sums.setdefault((host, key), [0, 0])
@@ -177,18 +183,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.array([k for _, k in sums], np.uint64).view(np.int64)
             vector = np.array([v for _, v in sums.values()], np.uint64).view(np.int64)
             parent = np.array([parents.get(k, 0) for _, k in sums], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array(keys), pa.array(parent), pa.array([v for v, _ in sums.values()], pa.int64()), pa.array(vector)], ["host", "token", "parent", "n", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array(keys), pa.array(parent), pa.array([v for v, _ in sums.values()], pa.int64()), pa.array(vector), pa.array([k in inner for _, k in sums])], ["host", "token", "parent", "n", "vector", "inner"])
 
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """Rows (host, tokens): the tokens of each host's valid classes. Their number is at most 1 / support times the tokens of an average page. pages: url, html."""
-    fed = pages.select("url", "html").mapInArrow(_tokens, "host string, token bigint, parent bigint, n bigint, vector bigint")
+    fed = pages.select("url", "html").mapInArrow(_tokens, "host string, token bigint, parent bigint, n bigint, vector bigint, inner boolean")
     # sums of vectors wrap around: they are taken in halves
     low, high = F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col("vector"), 32)
-    per = fed.groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.min("parent").alias("parent"))
+    per = fed.groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.min("parent").alias("parent"), F.max("inner").alias("inner"))
     per = staged(per)
     total = per.where("token = 0").select(F.col("host").alias("th"), F.col("n").alias("pages"))
-    held = per.where("token <> 0").join(total, F.col("th") == F.col("host")).where(f"n >= {FEWEST}").where(F.col("n") >= F.col("pages") * support)
+    held = per.where("token <> 0").join(total, F.col("th") == F.col("host")).where(F.when(F.col("inner"), (F.col("n") >= INNER_FEWEST) & (F.col("n") >= F.col("pages") * INNER_SUPPORT)).otherwise((F.col("n") >= FEWEST) & (F.col("n") >= F.col("pages") * support)))
     classes = held.groupBy("host", "n", "low", "high").agg(F.collect_set("token").alias("tokens"), F.collect_set("parent").alias("parents"))
     # nesting: a class of one token hangs on a parent of another class; a larger one has its tokens inside each other but for its root
     valid = classes.where((F.size("tokens") == 1) | (F.size(F.array_except("parents", "tokens")) < F.size("tokens")))
@@ -197,11 +203,13 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def main_text(page: str, template: set[int]) -> str:
     found, _ = blocks(page)
-    slots = [b for b in found if not b[2]]
-    if any(b[3] for b in slots):
-        return "\n\n".join(b[4] for b in slots if b[3])
-    every = slots
-    slots = [b for b in slots if xxhash.xxh3_64_intdigest(f"{b[0]}\0{b[4]}") not in template]
+    fixed = [xxhash.xxh3_64_intdigest(f"{b[0]}\0{b[4]}") in template for b in found]
+    wanted = [b for b in found if not b[2]]
+    slots = [b for b, f in zip(found, fixed) if not f and not b[2]]
+    if not slots:
+        slots, fixed = wanted, [False] * len(found)
+    if any(b[3] for b in wanted):
+        return "\n\n".join(b[4] for b in [b for b in slots if b[3]] or [b for b in wanted if b[3]])
     weight: Counter = Counter()
     for b in slots:
         if b[1]:
@@ -211,8 +219,8 @@ def main_text(page: str, template: set[int]) -> str:
     if not weight:
         return "\n\n".join(b[4] for b in slots)
     best = max(weight, key=lambda c: (weight[c], -c))
-    inner = any(best in b[1][2:] for b in slots)  # inside html and body: what the template fixes there belongs to the text
-    return "\n\n".join(b[4] for b in (every if inner else slots) if best in b[1])
+    paths = {b[0] for b in slots if best in b[1]}  # a fixed text among slots of the same path is a paragraph of the text
+    return "\n\n".join(b[4] for b, f in zip(found, fixed) if not b[2] and best in b[1] and (not f or b[0] in paths))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

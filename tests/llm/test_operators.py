@@ -79,6 +79,17 @@ def test_html(spark):
     assert got[3] == "A long story about a delta.\n\nAnd more of it."
 
 
+def test_html_template_decides(spark):
+    page = lambda w: f"<html><body><div id=top>Site</div><article><h1>On {w}</h1><div class=strip>Printed with kind permission</div><p>A story about a {w}.</p></article>"
+    bare = lambda w: f"<html><body><div id=story><p>A story about a {w}.</p><div class=strip>Printed with kind permission</div></div></body>"
+    rows = [(i, "http://h/x", page(w)) for i, w in enumerate(WORDS)] + [(100 + i, "http://g/x", bare(w)) for i, w in enumerate(WORDS)] + [(200 + i, "http://k/x", page("copy")) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in op4_html.extracted(pages).collect()}
+    for i, w in enumerate(WORDS):
+        assert got[i] == f"On {w}\n\nA story about a {w}." and got[100 + i] == f"A story about a {w}."
+    assert all("A story about a copy." in got[200 + i] for i in range(9))
+
+
 def test_mixing(spark, docs):
     rows = op5_mixing.mix_sources(docs).collect()
     assert all(0 <= r["copies"] <= 2 for r in rows)
