@@ -7,8 +7,8 @@ Classes that occur on enough of a host's pages are valid if their tags nest: all
 the class that holds them, and are the host's template. A page's slots are the text blocks that
 the template does not fix, inside the article as elsewhere; they are the candidates on all pages. Names are evidence afterwards: slots in menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out. The main text is the slots
-in the elements that say they are the article (article, main), or else those of the article's container, with fixed texts
-at the paths of slots there. A page
+in the elements that say they are the article (article, main), or else all of them, with fixed texts at the paths of slots in the lowest container of all; on a
+host without a template, the container that holds nearly all text and what stands beside it as headings and paragraphs. A page
 all of whose wanted text is fixed, such as copies of one page, keeps it.
 
 Cases: null or empty html gives an empty text; a null url is a host of its own; hosts with few
@@ -77,7 +77,7 @@ def _name(tag: str, attrs: str) -> str:
 
 
 def blocks(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool, bool, str]], list[str]]:
-    """The text blocks of a page in order: path, open containers, whether they are unwanted, whether in an article, text; and the paths of all tags."""
+    """The text blocks of a page in order: path, open containers inside the body, whether they are unwanted, whether in an article, text; and the paths of all tags."""
     found: list = []
     tags: list[str] = []
     stack: list[tuple[str, str, bool, int]] = []  # tag, path, unwanted, number
@@ -91,7 +91,7 @@ def blocks(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool, bool, str]
             if text:
                 unwanted = any(s[2] for s in stack)
                 article = any(s[0] in ("article", "main") for s in stack)
-                found.append((stack[-1][1] if stack else "", tuple(s[3] for s in stack if s[0] not in _INLINE and s[0] != "p"), unwanted, article, text))
+                found.append((stack[-1][1] if stack else "", tuple(s[3] for s in stack if s[0] not in _INLINE and s[0] not in ("p", "html", "body")), unwanted, article, text))
 
     def close(k: int) -> None:
         if any(s[0] not in _INLINE for s in stack[k:]):
@@ -201,6 +201,17 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     return staged(valid.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")).withColumnRenamed("host", "thost"))
 
 
+def _around(slots: list) -> list:
+    """Without a template to tell them: the slots of the outermost container inside the body that holds nearly all text, and headings and
+    paragraphs beside it. Where no container holds that much, all slots."""
+    weight: Counter = Counter()
+    for b in slots:
+        weight.update({c: len(b[4]) for c in b[1]})
+    near = [c for c, w in weight.items() if 10 * w >= 9 * sum(len(b[4]) for b in slots)]
+    beside = lambda b: len(b[1]) <= 1 and re.match(r"(?:h[1-6]|p)(?![a-z0-9])", b[0].rpartition("/")[2])
+    return [b for b in slots if min(near) in b[1] or beside(b)] if near else slots
+
+
 def main_text(page: str, template: set[int]) -> str:
     found, _ = blocks(page)
     fixed = [xxhash.xxh3_64_intdigest(f"{b[0]}\0{b[4]}") in template for b in found]
@@ -210,17 +221,13 @@ def main_text(page: str, template: set[int]) -> str:
         slots, fixed = wanted, [False] * len(found)
     if any(b[3] for b in wanted):
         return "\n\n".join(b[4] for b in [b for b in slots if b[3]] or [b for b in wanted if b[3]])
-    weight: Counter = Counter()
-    for b in slots:
-        if b[1]:
-            weight[b[1][-1]] += len(b[4])
-            for k, outer in enumerate(reversed(b[1][:-1])):
-                weight[outer] += len(b[4]) // (4 << k) if k < 8 else 0
-    if not weight:
-        return "\n\n".join(b[4] for b in slots)
-    best = max(weight, key=lambda c: (weight[c], -c))
-    paths = {b[0] for b in slots if best in b[1]}  # a fixed text among slots of the same path is a paragraph of the text
-    return "\n\n".join(b[4] for b, f in zip(found, fixed) if not b[2] and best in b[1] and (not f or b[0] in paths))
+    inside = slots if template else _around(slots)
+    common = inside[0][1] if inside else ()
+    for b in inside:
+        common = common[: next((k for k, (x, y) in enumerate(zip(common, b[1])) if x != y), min(len(common), len(b[1])))]
+    own, paths = {id(b) for b in inside}, {b[0] for b in inside}
+    # a fixed text among slots of the same path is a paragraph of the text
+    return "\n\n".join(b[4] for b, f in zip(found, fixed) if id(b) in own or (f and not b[2] and b[0] in paths and b[1][: len(common)] == common))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

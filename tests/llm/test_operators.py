@@ -90,6 +90,16 @@ def test_html_template_decides(spark):
     assert all("A story about a copy." in got[200 + i] for i in range(9))
 
 
+def test_html_keeps_all_sections():
+    parts = ["x" * 4000, "y" * 3000, "z" * 2000]
+    body = "<h2>Title</h2>" + "".join(f"<section><p>{t}</p></section>" for t in parts)
+    want = "\n\n".join(["Title", *parts])
+    for page in (f"<html><body><div id=top>Site</div><div id=story>{body}</div></body></html>", f"<div id=top>Site</div><div id=story>{body}</div>"):
+        tops = {op4_html.xxhash.xxh3_64_intdigest(f"{b[0]}\0{b[4]}") for b in op4_html.blocks(page)[0] if b[4] == "Site"}
+        assert op4_html.main_text(page, set()) == op4_html.main_text(page, tops) == want
+    assert op4_html.main_text(f"<body>{body}</body>", set()) == want
+
+
 def test_mixing(spark, docs):
     rows = op5_mixing.mix_sources(docs).collect()
     assert all(0 <= r["copies"] <= 2 for r in rows)
