@@ -348,22 +348,25 @@ def _screen(num: int, den: int):
     """Pairs whose prefixes leave room for the overlap needed: what stands in one prefix, at or before the end of the other, and not in
     the other, is missing from the other set."""
 
+    def room(m: int, x: np.ndarray, n: int, y: np.ndarray) -> bool:
+        need = -(-num * (m + n) // (num + den))
+        both = np.intersect1d(x, y).size
+        return min(m - (np.searchsorted(x, y[-1], side="right") - both), n - (np.searchsorted(y, x[-1], side="right") - both)) >= need
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, hub = None, None
+        # rows come sorted by (hub, block), the hub's own sets first: an id that repeats with different texts has several
+        now, hubs = None, []
         for batch in batches:
             a, b = [], []
             for h, block, did, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "did", "n", "grams"))):
                 y = np.frombuffer(prefix, np.uint64)
+                if (h, block) != now:
+                    now, hubs = (h, block), []
                 if did == h:
-                    now, hub = (h, block), (n, y)
-                elif (h, block) == now:
-                    m, x = hub
-                    need = -(-num * (m + n) // (num + den))
-                    both = np.intersect1d(x, y).size
-                    left = min(m - (np.searchsorted(x, y[-1], side="right") - both), n - (np.searchsorted(y, x[-1], side="right") - both))
-                    if left >= need:
-                        a.append(h)
-                        b.append(did)
+                    hubs.append((n, y))
+                elif any(room(m, x, n, y) for m, x in hubs):
+                    a.append(h)
+                    b.append(did)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 

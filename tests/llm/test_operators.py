@@ -224,6 +224,16 @@ def test_ngrams(docs, texts):
     assert got == parent
 
 
+def test_ngrams_one_id_many_texts(spark):
+    rng = random.Random(12)
+    made = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    near = [t.rsplit(" ", 1)[0] + " end" for t in made]
+    rows = [(1 if k < 3 else None, t) for k, t in enumerate(made)] + [(10 + k, t) for k, t in enumerate(near)]
+    own = spark.createDataFrame(rows, "doc_id long, text string").select(op9_ngrams.id_key().alias("did"), "text")
+    got = {r["did"]: r["component"] for r in op9_ngrams.similar_classes(own, 3, 90, 100).collect()}
+    assert got == {1: 1, op9_ngrams.NULL_ID: op9_ngrams.NULL_ID} | {10 + k: 1 if k < 3 else op9_ngrams.NULL_ID for k in range(6)}
+
+
 def test_trie_links():
     rng = np.random.default_rng(6)
     x = np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64))
