@@ -200,7 +200,8 @@ def near_vectors(vectors: DataFrame, cut: float = 0.95, chunk: int = CHUNK) -> D
     """Rows (vid, n_links, component). vectors: vid, vector (array of float or double)."""
     spark = vectors.sparkSession
     sound = staged(vectors.mapInArrow(_sound, "vid bigint, dim int, key binary, raw binary"))
-    reps = staged(sound.where("key is not null").groupBy("dim", "key").agg(F.min("vid").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
+    # rep numbers the classes of equal vectors: ids may repeat and do not tell vectors apart
+    reps = staged(sound.where("key is not null").groupBy("dim", "key").agg(F.min("vid").alias("least"), F.count("*").alias("copies"), F.first("raw").alias("raw")).withColumn("rep", F.monotonically_increasing_id()))
     listed = staged(reps.select("rep", "copies", "dim", "raw").repartition(partitions(spark)).mapInArrow(_filters(reps.count()), "rep bigint, copies bigint, dim int, raw binary, filters array<bigint>"))
     rows = listed.select("rep", "copies", "dim", "raw", "filters", F.explode("filters").alias("filter"))
     large = staged(listed.select("dim", F.explode("filters").alias("f")).groupBy(F.col("dim").alias("ld"), "f").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"))
@@ -213,8 +214,11 @@ def near_vectors(vectors: DataFrame, cut: float = 0.95, chunk: int = CHUNK) -> D
     found = staged(dealt.mapInArrow(_bucket(cut), "rep bigint, links bigint, root bigint"))
     comps = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "lr")
-    per = reps.join(links, F.col("lr") == F.col("rep"), "left").join(comps, F.col("id") == F.col("rep"), "left")
-    per = staged(per.select(F.col("key").alias("rk"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    comps = staged(reps.join(comps, F.col("id") == F.col("rep")).select("rep", "least", "component"))
+    heads = comps.groupBy(F.col("component").alias("head")).agg(F.min("least").alias("first"))
+    named = comps.join(heads, F.col("head") == F.col("component")).select(F.col("rep").alias("nr"), "first")
+    per = reps.join(links, F.col("lr") == F.col("rep"), "left").join(named, F.col("nr") == F.col("rep"), "left")
+    per = staged(per.select(F.col("key").alias("rk"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component")))
     return sound.select("vid", "key").join(per, F.col("rk") == F.col("key"), "left").select("vid", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vid").alias("component"))
 
 

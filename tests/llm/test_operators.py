@@ -208,6 +208,16 @@ def test_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component"] == i for i in range(900, 905))
 
 
+def test_vectors_that_share_an_id(spark):
+    e = np.eye(16)
+    near = lambda k, d: (e[k] + 0.05 * e[d]).tolist()
+    rows = [(7, near(0, 1)), (7, near(0, 2)), (8, near(3, 1)), (8, near(4, 1)), (20, near(3, 2)), (3, near(4, 2)), (21, near(4, 5)), (None, near(6, 1)), (None, near(6, 2)), (None, near(7, 1)), (30, near(7, 2))]
+    null = op8_vectors.NULL_ID
+    table = spark.createDataFrame(rows, "vec_id long, vector array<double>").select(op8_vectors.id_key("vec_id").alias("vid"), "vector")
+    got = sorted(tuple(r) for r in op8_vectors.near_vectors(table).collect())
+    assert got == sorted([(7, 1, 7), (7, 1, 7), (8, 1, 8), (8, 2, 3), (20, 1, 8), (3, 2, 3), (21, 2, 3), (null, 1, null), (null, 1, null), (null, 1, null), (30, 1, null)])
+
+
 def test_ngrams(docs, texts):
     sets = {}
     for i, t, *_ in texts:
