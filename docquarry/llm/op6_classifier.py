@@ -3,7 +3,7 @@
 Two classifiers (low quality, toxic) are fitted on a bounded sample of labelled documents: a word lexicon by log odds and a
 logistic model over shape measures and lexicon hits. Their log odds are a document's evidence. Sites
 and paths have rates of their own: the global rate is a Beta prior for sites, a site's posterior rate is the prior of
-its paths, and the strength of each prior is estimated from the spread of the rates (method of moments), so that
+its paths, and the strength of each prior is estimated from the spread of the rates of sites, and of paths within sites (method of moments), so that
 sparse sites shrink to the global rate and sparse paths to their site's. All rates are grouped sums over
 documents. A document's posterior combines its evidence with the rate of its path; it is kept if it
 is neither likely to be of low quality nor likely to be toxic.
@@ -183,7 +183,14 @@ def _posterior(scored: DataFrame, name: str, site: str, path: str, rate: float)
         strength = min(max(m * (1 - m) / between - 1, 2.0), 1e6) if between > 0 else 1e6
     of_site = sites.select(F.col("s").alias("ss"), ((F.col("sy") + F.lit(strength * m)) / (F.col("sn") + F.lit(strength))).alias("site_rate"))
     joined = paths.join(of_site, F.col("ss").eqNullSafe(F.col("s")))
-    path_rate = (F.col("y") + F.col("site_rate") * strength) / (F.col("n") + strength)
+    # the same within sites: the spread of their paths' rates beyond that of sampling, against what paths without any likeness would show
+    r, own = F.col("sy") / F.col("sn"), F.col("y") / F.col("n")
+    of_paths = paths.groupBy("s").agg(F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("n") * own * own).alias("q"), F.sum("y").alias("sy"), F.sum("n").alias("sn"), F.count("*").alias("k"))
+    within = of_paths.agg(F.sum(F.col("q") - F.col("sn") * r * r).alias("q"), F.sum(r * (1 - r) * (F.col("k") - 1)).alias("a"), F.sum(r * (1 - r) * (F.col("sn") - F.col("n2") / F.col("sn"))).alias("b")).first()
+    inner = strength if not within or not within["b"] else 1e6
+    if within and within["b"] and within["b"] > within["a"] and within["q"] > within["a"]:
+        inner = min(max((within["b"] - within["a"]) / (within["q"] - within["a"]) - 1, 2.0), 1e6)
+    path_rate = (F.col("y") + F.col("site_rate") * inner) / (F.col("n") + inner)
     return staged(joined.select("s", "p", F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6)).alias(f"rate_{name}")))
 
 

@@ -126,6 +126,19 @@ def test_classifier(spark, docs):
     assert all(r["kept"] for r in op6_classifier.classified(docs, none).collect())
 
 
+def test_classifier_paths_of_equal_sites(spark):
+    rows = [(8.0 if (i < 180 if p == 0 else i < 4) else -8.0, f"s{s}", f"p{p}") for s in range(4) for p in range(5) for i in range(200)]
+    rows += [(8.0, "s0", "sparse")]
+    got = {(r["s"], r["p"]): r["rate_e"] for r in op6_classifier._posterior(spark.createDataFrame(rows, "e double, source string, lang string"), "e", "source", "lang", 0.2).collect()}
+    for s in range(4):
+        assert abs(got[f"s{s}", "p0"] - 0.9) < 0.05 and all(abs(got[f"s{s}", f"p{p}"] - 0.02) < 0.02 for p in range(1, 5))
+    assert got["s0", "sparse"] < 0.6
+    # sites that differ while their paths do not: sparse paths stand by their site
+    rows = [(8.0 if i % 10 < (9 if s else 1) else -8.0, f"s{s}", f"p{p}") for s in range(2) for p in range(5) for i in range(200)] + [(8.0, "s0", "sparse")]
+    got = {(r["s"], r["p"]): r["rate_e"] for r in op6_classifier._posterior(spark.createDataFrame(rows, "e double, source string, lang string"), "e", "source", "lang", 0.2).collect()}
+    assert abs(got["s0", "sparse"] - 0.1) < 0.02
+
+
 def test_quality(docs, texts):
     rows = op7_quality.judged(op7_quality.scored(docs, ["doc_id", "lang", "text"]), "lang").collect()
     assert len(rows) == len(texts)
