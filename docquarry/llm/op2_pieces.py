@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A batch's texts are cut at the beginnings of words, which no piece of the model crosses (a model with pieces
-that do keeps texts whole). The distinct words that a worker has not met before are concatenated and
+that do keeps texts whole). The batch's text, each word once and without those whose ids the worker still holds, is concatenated and
 indexed by a suffix array; every piece of the model is looked up by binary search, and its range in the array
-holds all places where it occurs: the edges of the words' lattices. Edges sorted by end are then relaxed
-from left to right. A unigram model takes the path of the best score. A byte-pair model takes, at each end, the one edge
+holds all places where it occurs: the edges of the words' lattices. Edges sorted by position are then relaxed
+from left to right. What a worker holds is bounded in bytes; a word longer than an index is indexed in overlapping parts. A unigram model takes the path of the best score. A byte-pair model takes, at each end, the one edge
 whose piece stays apart from the piece before it when the two are merged in the model's order; that
 path is what merging the whole word would leave. Characters that no piece covers become byte pieces, or the unknown piece.
 
@@ -14,11 +14,12 @@ an empty table gives an empty result; other columns are carried through. Models
 
 from __future__ import annotations
 
-import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ from .common import read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose ids a worker keeps.
-REMEMBERED = 500_000
-#: Words that are indexed at once, and the length from which a word is relaxed by itself.
-INDEXED, LONG = 30_000, 48
+#: Bytes of words and ids that a worker keeps, twice: those met lately, and those met before them.
+REMEMBERED = 32 << 20
+#: Words that are taken together, characters that are indexed at once, and the length from which a word is relaxed by itself.
+WORDS, INDEXED, LONG = 400_000, 300_000, 48
+#: The answers kept for pairs of pieces.
+PAIR_BITS = 21
 NEVER = 1 << 60
 
 
@@ -177,30 +180,21 @@ class Model:
         return known
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of text (small non-negative numbers, below 2^16) in the order of the `depth` numbers from each, and the four-number words."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(depth + 4, np.uint64)])
-    w = np.zeros(n + depth, np.uint64)
-    for k in range(4):
-        w = (w << np.uint64(16)) | padded[k : k + n + depth]
-    order = np.argsort(w[:n], kind="stable")
+def suffix_order(w: np.ndarray, depth: int, per: int) -> np.ndarray:
+    """Positions in the order of the `depth` characters from each. w: at every position `per` characters as one number, and as many more positions as depth."""
+    n = len(w) - depth
+    order = np.argsort(w[:n])
     group = np.zeros(n, np.int64)
-    active, first = np.arange(n), True
-    for d in range(0, depth, 4):
+    active = np.arange(n)
+    for d in range(0, depth, per):
         if len(active) < 2:
             break
         pos = order[active]
-        key = w[pos + d]
-        if first:
-            g = np.zeros(n, np.int64)
-        else:
-            g = group[active]
-            by = np.argsort(key, kind="stable")
-            by = by[np.argsort(g[by], kind="stable")]
-            pos, key = pos[by], key[by]
+        key, g = w[pos + d], group[active]
+        if d:
+            by = np.lexsort((key, g))
+            pos, key, g = pos[by], key[by], g[by]
             order[active] = pos
-        first = False
         same = (key[1:] == key[:-1]) & (g[1:] == g[:-1])
         start = np.concatenate([[True], ~same])
         group[active] = active[np.flatnonzero(start)[np.cumsum(start) - 1]]
@@ -208,90 +202,109 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         tied[1:] |= same
         tied[:-1] |= same
         active = active[tied]
-    return order, w
-
-
-def sought_words(sought: list[str], longest: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The characters of the sought pieces, and the pieces as four-number words with masks and lengths."""
-    known = np.unique(np.frombuffer("".join(sought).encode("utf-32-le"), "<u4"))
-    depth = (longest + 3) // 4 * 4
-    length = np.array([len(p) for p in sought])
-    flat = np.searchsorted(known, np.frombuffer("".join(sought).encode("utf-32-le"), "<u4")) + 2
-    offset = np.cumsum(length) - length
-    grid = np.zeros((len(sought), depth), np.uint64)
-    grid[np.repeat(np.arange(len(sought)), length), np.arange(len(flat)) - np.repeat(offset, length)] = flat
-    keys = np.zeros((len(sought), depth // 4), np.uint64)
-    masks = np.zeros((len(sought), depth // 4), np.uint64)
-    inside = (np.arange(depth) < length[:, None]).astype(np.uint64) * np.uint64(0xFFFF)
-    for k in range(4):
-        keys = (keys << np.uint64(16)) | grid[:, k::4]
-        masks = (masks << np.uint64(16)) | inside[:, k::4]
-    return known, (keys, masks, length)
-
-
-def occurrences(words: list[str], known: np.ndarray, look: tuple[np.ndarray, np.ndarray, np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every place where a sought piece occurs in a word: word-concatenation start, end and the piece's number.
-    Words are parted by a zero, so that no piece spans two."""
-    joined = "\0".join(words) + "\0"
-    code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-    rank = np.searchsorted(known, code)
-    rank[rank == len(known)] = 0
-    text = np.where(known[rank] == code, rank + 2, 1).astype(np.uint64)  # 1 stands for characters of no piece
-    text[code == 0] = 0
-    depth = (longest + 3) // 4 * 4
-    order, w = suffix_order(text, depth)
-    keys, masks, length = look
-
-    def bound(upper: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(length), np.int64), np.full(len(length), len(order), np.int64)
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                return lo
-            mid = (lo + hi) // 2
-            pos = order[np.minimum(mid, len(order) - 1)]
-            before = np.zeros(len(length), bool)
-            tied = np.ones(len(length), bool)
-            for k in range(depth // 4):
-                if not tied.any():
-                    break
-                own = w[np.minimum(pos + 4 * k, len(w) - 1)] & masks[:, k]
-                before |= tied & (own < keys[:, k])
-                tied &= own == keys[:, k]
-            right = before | tied if upper else before
-            lo = np.where(open_ & right, mid + 1, lo)
-            hi = np.where(open_ & ~right, mid, hi)
-
-    low, high = bound(False), bound(True)
+    return order
+
+
+class Sought:
+    """The pieces that are looked up in every index: their characters as numbers, one after another."""
+
+    def __init__(self, pieces: list[str]):
+        self.length = np.array([len(p) for p in pieces], np.int64)
+        self.longest = int(self.length.max()) if len(pieces) else 1
+        flat = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
+        self.known, self.flat = np.unique(flat, return_inverse=True)
+        self.offset = np.cumsum(self.length) - self.length
+
+
+def occurrences(code: np.ndarray, sought: Sought) -> tuple[np.ndarray, np.ndarray]:
+    """Every place of the text where a sought piece occurs, and the piece's number. Zeros in the text are in no piece."""
+    here, text = np.unique(code, return_inverse=True)
+    # characters of the text that stand in pieces are numbered from 2; 1 stands for all others, 0 for zeros and for the end
+    at = np.minimum(np.searchsorted(sought.known, here), len(sought.known) - 1)
+    own = (sought.known[at] == here) & (here > 0)
+    number = np.where(own, np.cumsum(own) + 1, (here > 0).astype(np.int64)).astype(np.uint64)
+    bits = max(2, int(number.max(initial=1)).bit_length())
+    per, wide = 64 // bits, np.uint64(bits)
+    depth = -(-sought.longest // per) * per
+    spaced = np.zeros(len(code) + depth + per, np.uint64)
+    spaced[: len(code)] = number[text]
+    w = np.zeros(len(code) + depth, np.uint64)
+    for k in range(per):
+        w = (w << wide) | spaced[k : k + len(w)]
+    order = suffix_order(w, depth, per)
+    local = np.zeros(len(sought.known), np.uint64)
+    local[at[own]] = number[own]
+    flat = local[sought.flat]
+    which = np.flatnonzero(np.minimum.reduceat(flat, sought.offset) > 0) if len(flat) else np.zeros(0, np.int64)
+    length, offset = sought.length[which], sought.offset[which]
+
+    def words(k: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some pieces the k-th number of `per` characters, and the bits of it that lie beyond the piece."""
+        key, beyond = np.zeros(len(some), np.uint64), np.zeros(len(some), np.uint64)
+        for j in range(k * per, k * per + per):
+            inside = j < length[some]
+            key = (key << wide) | np.where(inside, flat[np.minimum(offset[some] + j, len(flat) - 1)], 0)
+            beyond = (beyond << wide) | np.where(inside, 0, (1 << bits) - 1).astype(np.uint64)
+        return key, beyond
+
+    key, beyond = words(0, np.arange(len(which)))
+    ranked = w[order]
+    by = np.argsort(key)
+    low, high = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
+    low[by] = np.searchsorted(ranked, key[by])
+    high[by] = np.searchsorted(ranked, (key | beyond)[by], side="right")
+    for k in range(1, depth // per):
+        some = np.flatnonzero((length > k * per) & (low < high))
+        key, beyond = words(k, some)
+        for upper in (False, True):
+            lo, hi = low[some], high[some]
+            while (open_ := lo < hi).any():
+                mid = (lo + hi) // 2
+                own = w[order[np.minimum(mid, len(order) - 1)] + k * per]
+                right = own <= (key | beyond) if upper else own < key
+                lo, hi = np.where(open_ & right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
+            if upper:
+                high[some] = lo
+            else:
+                first = lo
+        low[some] = first
     n = high - low
-    which = np.repeat(np.arange(len(length)), n)
-    start = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    return start, start + length[which], which
+    start = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)]
+    return start, np.repeat(which, n)
 
 
 class Encoder:
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, bytes] = {"": b""}
-        self.table = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)
         self.ids = np.array([model.index[p] for p in model.sought], np.int64)
-        self.longest = max(map(len, model.sought), default=1)
-        self.look = sought_words(model.sought, self.longest)
+        self.sought = Sought(model.sought)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def words_of(self, text: str) -> list[str]:
+    def words_of(self, text: str) -> Iterator[list[str]]:
+        """The text's words in lists of a bounded number."""
         m = self.model
         if m.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
-            return []
+            return
         text = text.replace(" ", SPACE)
         if m.prefix:
             text = SPACE + text
-        return self.cut.findall(text) if m.words else [text]
+        if not m.words:
+            yield [text]
+        elif len(text) < WORDS:
+            yield self.cut.findall(text)
+        else:
+            found = (x[0] for x in self.cut.finditer(text))
+            while some := list(islice(found, WORDS)):
+                yield some
 
     def learn(self, words: list[str]) -> None:
-        """Encodes new words and remembers them."""
+        """Encodes new words and keeps them."""
         parted: dict[str, list[str]] = {}
         plain = []
         for w in words:
@@ -300,12 +313,26 @@ class Encoder:
                 plain += [x for x in parted[w] if x and x not in self.known]
             else:
                 plain.append(w)
-        plain = list(dict.fromkeys(plain))
-        for lo in range(0, len(plain), INDEXED):
-            self._learn(plain[lo : lo + INDEXED])
+        plain = list(dict.fromkeys(plain)) if parted else plain
+        held, size = [], 0
+        for w in plain:
+            if len(w) > INDEXED:
+                self._keep(w, self._alone(w, self._windows(w)))
+                continue
+            held.append(w)
+            size += len(w) + 1
+            if size > INDEXED:
+                self._learn(held)
+                held, size = [], 0
+        if held:
+            self._learn(held)
         nul = np.array(self._spelled("\0"), np.int32).tobytes()
         for w, parts in parted.items():
-            self.known[w] = nul.join(self.known[part] for part in parts)
+            self._keep(w, nul.join(self.known[part] for part in parts))
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += 200 + len(word) + len(ids)
 
     def _spelled(self, char: str) -> list[int]:
         m = self.model
@@ -314,50 +341,63 @@ class Encoder:
         return [m.unknown]
 
     def _learn(self, words: list[str]) -> None:
-        if not words:
-            return
-        start, end, which = occurrences(words, *self.look, self.longest)
+        code = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), "<u4")
         size = np.array([len(w) for w in words])
         base = np.cumsum(size + 1) - size - 1
-        owner = np.searchsorted(base, start, side="right") - 1
+        start, which = occurrences(code, self.sought)
+        owner = np.repeat(np.arange(len(words)), size + 1)[start]
+        length = self.sought.length[which]
         ids = self.ids[which]
-        if self.model.kind == 2:
-            short = size < LONG
-            pick = short[owner]
-            self._together(words, size, base, short, start[pick], end[pick], ids[pick], owner[pick])
-            start, end, ids, owner = start[~pick], end[~pick], ids[~pick], owner[~pick]
-            alone = np.flatnonzero(~short)
-        else:
-            alone = np.arange(len(words))
-        by = np.lexsort((start, end))
-        start, end, ids, owner = start[by], end[by], ids[by], owner[by]
+        place = start + length - base[owner]
+        short = size < (LONG if self.model.kind == 2 else 0)
+        pick = short[owner]
+        if pick.any() or short.any():
+            self._together(words, code, size, base, short, place[pick], owner[pick], length[pick], ids[pick])
+        alone = np.flatnonzero(~short)
+        if not len(alone):
+            return
+        place, owner, length, ids = (x[~pick] for x in (place, owner, length, ids))
+        by = np.lexsort((-length, place, owner))
+        place, owner, length, ids = place[by], owner[by], length[by], ids[by]
         edge = np.searchsorted(owner, alone), np.searchsorted(owner, alone, side="right")
         for k, lo, hi in zip(alone.tolist(), *edge):
-            self.known[words[k]] = self._alone(words[k], start[lo:hi] - base[k], end[lo:hi] - base[k], ids[lo:hi])
-
-    def _together(self, words, size, base, short, start, end, ids, owner) -> None:
+            self._keep(words[k], self._alone(words[k], [(place[lo:hi] - length[lo:hi], place[lo:hi], ids[lo:hi])]))
+
+    def _windows(self, word: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The edges of a word that is too long for one index, by end, from overlapping parts of it."""
+        code = np.frombuffer(word.encode("utf-32-le"), "<u4")
+        for lo in range(0, len(code), INDEXED):
+            begin = max(0, lo - self.sought.longest)
+            start, which = occurrences(code[begin : lo + INDEXED], self.sought)
+            end = start + self.sought.length[which] + begin
+            pick = end > lo
+            start, end, ids = start[pick] + begin, end[pick], self.ids[which[pick]]
+            by = np.lexsort((start, end))
+            yield start[by], end[by], ids[by]
+
+    def _together(self, words, code, size, base, short, place, owner, length, ids) -> None:
         """Relaxes the edges of many words of a byte-pair model, one end after another in all of them."""
-        place = end - base[owner]
-        by = np.lexsort((start, owner, place))  # of a word's edges with one end, the longest first
-        start, end, ids, owner, place = start[by], end[by], ids[by], owner[by], place[by]
-        total = int(base[-1] + size[-1] + 1)
-        code = np.frombuffer("\0".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
-        last = np.full(total + 1, -1, np.int64)
-        last[1 : len(code) + 1] = ~code  # a character of no piece stands for itself
-        back = np.arange(-1, total)
-        at_start = start == base[owner]
-        steps = np.searchsorted(place, np.arange(1, int(place.max()) + 2)) if len(place) else np.zeros(1, np.int64)
-        for lo, hi in zip(steps, steps[1:]):
+        # by end within the word, then word, then the longest first; all of it in one number
+        key = np.sort((place << 48) | (owner << 28) | ((63 - length) << 22) | ids)
+        last = np.full(len(code) + 1, -1, np.int64)
+        last[1:] = ~code.astype(np.int64)  # a character of no piece stands for itself
+        back = np.arange(-1, len(code))
+        steps = np.searchsorted(key, np.arange(1, LONG + 1) << 48)
+        for i, (lo, hi) in enumerate(zip(steps, steps[1:]), 1):
             if lo == hi:
                 continue
-            ok = at_start[lo:hi].copy()
+            own = key[lo:hi]
+            word, own_length, piece = (own >> 28) & 0xFFFFF, 63 - ((own >> 22) & 63), own & 0x3FFFFF
+            begin = base[word] + (i - own_length)
+            ok = own_length == i
             ask = np.flatnonzero(~ok)
-            ok[ask] = self._all_apart(last[start[lo:hi][ask]], ids[lo:hi][ask])
-            good = np.flatnonzero(ok) + lo
+            ok[ask] = self._all_apart(last[begin[ask]], piece[ask])
+            good = np.flatnonzero(ok)
             if len(good):
-                good = good[np.concatenate([[True], owner[good[1:]] != owner[good[:-1]]])]
-                last[end[good]] = ids[good]
-                back[end[good]] = start[good]
+                good = good[np.concatenate([[True], word[good[1:]] != word[good[:-1]]])]
+                end = base[word[good]] + i
+                last[end] = piece[good]
+                back[end] = begin[good]
         some = np.flatnonzero(short)
         now = base[some] + size[some]
         taken, of = [], []
@@ -375,9 +415,10 @@ class Encoder:
         odd = np.zeros(len(some), bool)
         odd[word[flat < 0]] = True
         raw = flat.astype(np.int32).tobytes()
-        for k, lo, hi in zip(range(len(some)), (4 * edge[:-1]).tolist(), (4 * edge[1:]).tolist()):
-            own = raw[lo:hi]
-            self.known[words[some[k]]] = self._spelled_out(flat[lo // 4 : hi // 4].tolist()) if odd[k] else own
+        known = self.known
+        for k, is_odd, lo, hi in zip(some.tolist(), odd.tolist(), (4 * edge[:-1]).tolist(), (4 * edge[1:]).tolist()):
+            known[words[k]] = self._spelled_out(flat[lo // 4 : hi // 4].tolist()) if is_odd else raw[lo:hi]
+        self.held += 200 * len(some) + int(size[some].sum()) + len(raw)
 
     def _spelled_out(self, found: list[int]) -> bytes:
         out: list[int] = []
@@ -386,65 +427,82 @@ class Encoder:
         return np.array(out, np.int32).tobytes()
 
     def _all_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """stays_apart for many pairs, by a sorted table of those already asked."""
-        key = (left + (1 << 22)) << 32 | right
-        keys, values = self.table
-        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-        known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-        out = values[at] & known if len(keys) else known.copy()
-        ask = np.flatnonzero(~known)
+        """stays_apart for many pairs, by a table of fixed size with one place for each pair."""
+        pair = ((left + (1 << 21)) << 22) | right
+        slot = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        kept = self.pairs[slot]
+        out = (kept & 1) == 1
+        ask = np.flatnonzero(kept >> 1 != pair)
         if len(ask):
-            new, back = np.unique(key[ask], return_inverse=True)
+            new, back = np.unique(pair[ask], return_inverse=True)
             apart = self.model._apart
-            found = np.array([apart((k >> 32) - (1 << 22), k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            found = np.array([apart((k >> 22) - (1 << 21), k & 0x3FFFFF) for k in new.tolist()], bool)
             out[ask] = found[back]
-            if len(keys) > 2_000_000:
-                keys, values = keys[:0], values[:0]
-            keys, values = np.concatenate([keys, new]), np.concatenate([values, found])
-            by = np.argsort(keys, kind="stable")
-            self.table = keys[by], values[by]
+            self.pairs[slot[ask]] = (pair[ask] << 1) | out[ask]
         return out
 
-    def _alone(self, word: str, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> bytes:
+    def _alone(self, word: str, edges: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> bytes:
         """Relaxes the edges of one word, which come by end, the longest first."""
-        start, end, ids = start.tolist(), end.tolist(), ids.tolist()
         pairwise, scores, check = self.model.kind == 2, self.model.scores, self.model.stays_apart
-        size, e, n = len(word), 0, len(end)
+        size, i = len(word), 0
         floor = min(scores, default=0.0) - 10.0
-        last, back, best = [0] * (size + 1), [0] * (size + 1), [0.0] * (size + 1)
-        for i in range(1, size + 1):
-            chosen, top = None, -1e300
-            while e < n and end[e] == i:
-                s, t = start[e], ids[e]
-                e += 1
+        last, back, best = array("i", bytes(4 * size + 4)), array("i", bytes(4 * size + 4)), array("d", bytes(8 * size + 8) if not pairwise else b"")
+        for start, end, ids in chain(edges, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]):
+            start, end, ids = start.tolist(), end.tolist(), ids.tolist()
+            e, n = 0, len(end)
+            until = end[-1] if n else i
+            for i in range(i + 1, (size if not n else until) + 1):
+                chosen, top = None, -1e300
+                while e < n and end[e] == i:
+                    s, t = start[e], ids[e]
+                    e += 1
+                    if pairwise:
+                        if chosen is None and (s == 0 or check(last[s], t)):
+                            chosen = (s, t)
+                    else:
+                        v = best[s] + scores[t]
+                        if v > top:
+                            top, chosen = v, (s, t)
                 if pairwise:
-                    if chosen is None and (s == 0 or check(last[s], t)):
-                        chosen = (s, t)
+                    if chosen is None:
+                        chosen = (i - 1, ~ord(word[i - 1]))
                 else:
-                    v = best[s] + scores[t]
-                    if v > top:
-                        top, chosen = v, (s, t)
-            if chosen is None or (not pairwise and best[i - 1] + floor > top):
-                chosen, top = (i - 1, ~ord(word[i - 1])), best[i - 1] + floor
-            back[i], last[i] = chosen
-            best[i] = top
-        found: list[int] = []
+                    if chosen is None or best[i - 1] + floor > top:
+                        chosen, top = (i - 1, ~ord(word[i - 1])), best[i - 1] + floor
+                    best[i] = top
+                back[i], last[i] = chosen
+        found = array("i")
         i = size
         while i:
             found.append(last[i])
             i = back[i]
-        return self._spelled_out(found[::-1])
+        found.reverse()
+        return found.tobytes() if min(found, default=0) >= 0 else self._spelled_out(found)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        cut = [self.words_of(t) if t else [] for t in texts]
-        known = self.known
-        new = set().union(*cut) - known.keys()
-        if len(known) + len(new) > REMEMBERED and len(known) > 1:
-            known.clear()
-            known[""] = b""
-            new = set().union(*cut)
-        self.learn(list(new))
-        return [None if t is None else np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for t, ws in zip(texts, cut)]
+        out: list[list[bytes] | None] = [None if t is None else [] for t in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, t in enumerate(texts):
+            for words in self.words_of(t) if t else ():
+                held.append((k, words))
+                size += len(words)
+                if size >= WORDS:
+                    self._fill(held, out)
+                    held, size = [], 0
+        self._fill(held, out)
+        return [None if o is None else np.frombuffer(b"".join(o), np.int32) for o in out]
+
+    def _fill(self, held: list[tuple[int, list[str]]], out: list[list[bytes] | None]) -> None:
+        if self.held > REMEMBERED:
+            self.older, self.known, self.held = self.known, {"": b""}, 0
+        known, older = self.known, self.older
+        new = set().union(*(words for _, words in held)) - known.keys()
+        for w in new & older.keys():
+            self._keep(w, older[w])
+        self.learn([w for w in new if w not in known])
+        for k, words in held:
+            out[k].append(b"".join(map(known.__getitem__, words)))
 
 
 def decode(model: Model, ids: list[int] | None) -> str | None:
@@ -454,17 +512,17 @@ def decode(model: Model, ids: list[int] | None) -> str | None:
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(data: bytes) -> Encoder:
     return Encoder(Model(data))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def decoder(data: bytes) -> Model:
     return Model(data, merges=False)
 
 
-def _texts(batch: pa.Array, most: int = 6 << 20) -> Iterator[list[str | None]]:
+def _texts(batch: pa.Array, most: int = 1 << 20) -> Iterator[list[str | None]]:
     held, size = [], 0
     for t in batch:
         held.append(t.as_py())
@@ -476,7 +534,9 @@ def _texts(batch: pa.Array, most: int = 6 << 20) -> Iterator[list[str | None]]:
         yield held
 
 
-def _encode(model, carry: list[str], text: str, out: str):
+def _encode(model, carry: list[str], text: str, out: str, back: str | None = None):
+    """Adds the ids, and with `back` what they decode to, in the same pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model.value)
         for batch in batches:
@@ -487,8 +547,10 @@ def _encode(model, carry: list[str], text: str, out: str):
                 at += len(texts)
                 flat = np.concatenate([i for i in ids if i is not None] or [np.zeros(0, np.int32)])
                 ends = np.cumsum([0, *(0 if i is None else len(i) for i in ids)])
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*(i is None for i in ids), False])), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), column], [*carry, out])
+                made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*(i is None for i in ids), False])), pa.array(flat))]
+                if back:
+                    made.append(pa.array([None if i is None else decode(e.model, i.tolist()) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *made], [*carry, out, *([back] if back else [])])
 
     return run
 
@@ -520,6 +582,12 @@ def encoded(docs: DataFrame, carry: list[str], text: str = "text", out: str = "i
     return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(_encode(model_bytes(docs.sparkSession, path), carry, text, out), schema)
 
 
+def encoded_and_decoded(docs: DataFrame, carry: list[str], text: str = "text", out: str = "ids", back: str = "decoded", path: str = MODEL) -> DataFrame:
+    """`encoded` and `decoded` in one pass of Python."""
+    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(back, T.StringType())])
+    return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(_encode(model_bytes(docs.sparkSession, path), carry, text, out, back), schema)
+
+
 def decoded(rows: DataFrame, carry: list[str], ids: str = "ids", out: str = "decoded", path: str = MODEL) -> DataFrame:
     """The columns in `carry` and the text that each row's ids stand for."""
     schema = T.StructType([rows.schema[c] for c in carry] + [T.StructField(out, T.StringType())])
@@ -528,8 +596,6 @@ def decoded(rows: DataFrame, carry: list[str], ids: str = "ids", out: str = "dec
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the number of ids, the sha256 of the ids joined by commas, and whether decoding gives the text back."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    digest = F.sha2(F.array_join(F.col("ids"), ","), 256)
-    ids = encoded(docs, ["doc_id", "text"]).select("doc_id", "text", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
-    back = decoded(ids, ["doc_id", "text", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    rows = encoded_and_decoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id", "text"])
+    digest = F.sha2(F.array_join(F.col("ids"), ","), 256).alias("ids_sha256")
+    return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), digest, F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
