@@ -182,13 +182,13 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.nd
     starts = np.cumsum(counts) - counts
     short = (counts > 0) & (counts < n)
     good = (at + n <= ends) | (short[row] & (at == starts[row])) if m else np.zeros(0, bool)
-    odd = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)]
     total = np.zeros(m, np.uint64)
     length = np.minimum(counts, n)[row] if m else np.zeros(0, np.int64)
+    zero = np.zeros(1, np.uint64)
     for j in range(n):
         part = np.zeros(m, np.uint64)
         if m > j:
-            part[: m - j] = words[j:] * odd[j % 5] + np.uint64(j // 5)
+            part[: m - j] = words[j:] * mix(np.uint64(j + 1) + zero)[0]
         total += np.where(j < length, part, np.uint64(0))
     out = mix(total + length.astype(np.uint64))[good]
     per = np.where(short, 1, np.maximum(counts - n + 1, 0))

@@ -1,11 +1,12 @@
 """Quality rules with an n-gram perplexity model.
 
 An interpolated modified Kneser-Ney model of order 5 over units is counted on all documents. A unit is a code point as it stands, or a
-run of one ASCII mark or white space together with its length, so that no text is lost. Documents are dealt in slices of some
-megabytes by a hash; a slice's distinct n-grams with their counts are dealt by a hash of two context units to parts of the model, and
-its answers, the log probability of each of its n-grams, come back to the slice. What is counted and kept grows with the
-corpus: each part has its own sorted hash arrays, and no more than the counts of counts ever reaches the driver. Orders
-above LOCAL are made within a part, as their contexts lie there; LOCAL and below are grouped sums and joins. What stands in no
+run of one ASCII mark or white space together with its length, so that no text is lost. Tasks give out their distinct n-grams with
+counts, dealt by a hash of two context units to parts of the model. What is counted and kept grows with the
+corpus: each part has its own sorted hash arrays of all its n-grams. Orders
+above LOCAL are made within a part, as their contexts lie there; LOCAL and below are grouped sums and joins. A model of
+at most WHOLE n-grams goes to every worker; a larger one stays in its parts, documents are dealt in slices of some megabytes by a hash, a slice asks each part for its distinct n-grams,
+and the answers come back to it. Both ways give the same scores. What stands in no
 other text is not held to be seen, as a document would vouch for itself: such n-grams back off, at every order. Equal texts are
 one text there; n-grams that texts share keep their whole count. A document's score is the mean log probability of its units. For each language, the median and the median absolute
 deviation of the scores give the upper and lower band; documents outside are rejected.
@@ -17,7 +18,8 @@ in `kept_documents`, carried through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, mix, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
+from .common import byte_view, dropped, mix, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
 
 #: Of the model over units, and the order up to which its tables are not kept in parts.
 UNITS, LOCAL = 5, 2
@@ -34,7 +36,15 @@ UNITS, LOCAL = 5, 2
 ORDER, CLASS_BITS = 4, 6
 #: Bands are this many deviations wide, at least `FLOOR` in mean log probability.
 LOWER, UPPER, FLOOR = 6.0, 5.0, 0.05
-SLICE_BYTES, SHARE_BYTES = 1 << 21, 1 << 22
+SLICE_BYTES, SHARE_BYTES = 1 << 22, 1 << 24
+#: Places of a table by which n-grams are numbered; beyond it they are sorted.
+TABLE = 1 << 24
+#: Units after which a task gives out its counts, and n-grams.
+TASK_UNITS, MOST = 1 << 28, 1 << 21
+#: N-grams of a model that every worker may hold whole: 96 MB.
+WHOLE = 8_000_000
+#: Stands for the text of an n-gram that several texts hold.
+MANY = 0
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -95,19 +105,48 @@ def _column(u: np.ndarray, dist: np.ndarray, k: int, at: np.ndarray | None = Non
     return np.where(dist[at] >= k, u[np.maximum(at - k, 0)], _BEGIN)
 
 
-def gram_hashes(u: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of the n-gram that ends at each unit, and how far each unit stands from its text's begin."""
-    dist = np.arange(len(u)) - np.repeat(at[:-1], np.diff(at))
-    h = u.astype(np.uint64)
-    for k in range(1, min(order, len(u) + 1)):
-        h = h * _ODD + _column(u, dist, k)
-    for k in range(len(u) + 1, order):
-        h = h * _ODD + _BEGIN
-    return mix(h), dist
-
-
-#: Hashes, counts, the least and the largest number of a text that holds the n-gram, columns of units.
-Counted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
+def numbered(u: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each unit the number of the n-gram that ends there, for each of these n-grams a place where it stands, and how far each unit is
+    from its text's begin. Numbers are dense: each order's come from those of the context and the unit by a table of what occurs."""
+    n = len(u)
+    dist = np.arange(n) - np.repeat(at[:-1], np.diff(at))
+    starts = dist == 0
+    small = u < 1 << 16
+    seen = np.zeros(1 << 16, bool)
+    seen[u[small]] = True
+    single = (np.cumsum(seen) - 1).astype(np.int32)
+    kinds = int(seen.sum())
+    if small.all():
+        unit = single[u]
+    else:
+        unit = np.empty(n, np.int32)
+        unit[small] = single[u[small]]
+        rest, back = np.unique(u[~small], return_inverse=True)
+        unit[~small] = back + kinds
+        kinds += len(rest)
+    rank, size = unit, kinds
+    for _ in range(1, order):
+        code = np.empty(n, np.int64)
+        code[0] = size
+        code[1:] = rank[:-1]
+        code[starts] = size  # the context of starts alone
+        code *= kinds
+        code += unit
+        if (size + 1) * kinds <= TABLE:
+            seen = np.zeros((size + 1) * kinds, bool)
+            seen[code] = True
+            size = int(np.count_nonzero(seen))
+            rank = (np.cumsum(seen, dtype=np.int32) - np.int32(1))[code]
+        else:
+            found, rank = np.unique(code, return_inverse=True)
+            rank, size = rank.astype(np.int32), len(found)
+    place = np.empty(size, np.int64)
+    place[rank] = np.arange(n)
+    return rank, place, dist
+
+
+#: Hashes, counts, the text that holds the n-gram or MANY, columns of units.
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
 
 
 def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,60 +157,66 @@ def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[starts], order, starts
 
 
+def _sole(text: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    least, most = np.minimum.reduceat(text[order], at), np.maximum.reduceat(text[order], at)
+    return np.where(least == most, most, MANY)
+
+
 def _merged(parts: list[Counted]) -> Counted:
     """N-grams by rising hash."""
-    h, n, lo, hi = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    h, n, text = (np.concatenate([p[k] for p in parts]) for k in range(3))
     u, order, at = _groups(h)
-    cols = [np.concatenate([p[4][j] for p in parts])[order[at]] for j in range(len(parts[0][4]))]
-    return u, np.add.reduceat(n[order], at), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), cols
+    cols = [np.concatenate([p[3][j] for p in parts])[order[at]] for j in range(len(parts[0][3]))]
+    return u, np.add.reduceat(n[order], at), _sole(text, order, at), cols
 
 
-def _distinct(texts: pa.Array, order: int, others: bool) -> Iterator[Counted]:
+def _counted(texts: pa.Array, order: int, others: bool) -> Iterator[Counted]:
     raw, at = byte_view(texts)
     for lo, hi in row_slices(at, SLICE_BYTES):
         u, ends = units(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-        if len(u):
-            h, dist = gram_hashes(u, ends, order)
-            keys, ranks, starts = _groups(h)
-            text = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) & 0x7FFFFFFF for a, b in zip(at[lo:hi], at[lo + 1 : hi + 1])], np.uint32)
-            text = np.repeat(text, np.diff(ends))[ranks]
-            least, most = np.minimum.reduceat(text, starts), np.maximum.reduceat(text, starts)
-            if not others:
-                least, most = np.zeros_like(least), np.ones_like(most)
-            yield keys, np.diff(np.append(starts, len(h))), least, most, [_column(u, dist, k, ranks[starts]) for k in range(order - 1, -1, -1)]
+        if not len(u):
+            continue
+        rank, place, dist = numbered(u, ends, order)
+        text = np.full(len(place), MANY, np.uint32)
+        if others:
+            ids = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) % 0x7FFFFFFF + 1 for a, b in zip(at[lo:hi], at[lo + 1 : hi + 1])], np.uint32)
+            ids = np.repeat(ids, np.diff(ends))
+            text[rank] = ids
+            text[rank[text[rank] != ids]] = MANY
+        cols = [_column(u, dist, k, place) for k in range(order - 1, -1, -1)]
+        yield _hash(cols), np.bincount(rank, minlength=len(place)), text, cols
 
 
 def _part_of(cols: list[np.ndarray], parts: int) -> np.ndarray:
     return (_hash(cols[-1 - LOCAL : -1]) % np.uint64(parts)).astype(np.int64)
 
 
-def _ask(order: int, parts: int, others: bool = True):
-    """Rows come sorted by slice: each slice's distinct n-grams and counts, by part of the model."""
+def _count(order: int, parts: int, others: bool = True):
+    """The distinct n-grams of what a task reads, with counts, by part of the model."""
 
-    def rows(now, held):
-        h, n, lo, hi, cols = _merged(held)
+    def out(held):
+        _, n, text, cols = _merged(held)
         part = _part_of(cols, parts)
-        for p in np.unique(part).tolist():
-            at = part == p
-            yield now, p, pack(n[at], lo[at], hi[at], *(c[at] for c in cols))
-
-    def batch_of(made):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int64()), pa.array([r[1] for r in made], pa.int32()), pa.array([r[2] for r in made], pa.binary())], ["slice", "part", "grams"])
+        by = np.lexsort((*reversed(cols), part))
+        n, text, part, cols = n[by], text[by], part[by], [c[by] for c in cols]
+        edge = np.searchsorted(part, np.arange(parts + 1))
+        some = np.flatnonzero(edge[1:] > edge[:-1])
+        blocks = [pack(n[a:b].astype(np.uint32), text[a:b], *(c[a:b] for c in cols)) for a, b in zip(edge[some], edge[some + 1])]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["part", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        held, fed = [], 0
         for batch in batches:
-            for s, some in _runs(batch):
-                if s != now:
-                    if held:
-                        yield batch_of(list(rows(now, held)))
-                    now, held = s, []
-                for c in _distinct(some.column("text"), order, others):
-                    held.append(c)
-                    if len(held) > 8:
-                        held = [_merged(held)]
+            for c in _counted(batch.column("text"), order, others):
+                held.append(c)
+                fed += int(c[1].sum())
+                if len(held) > 6:
+                    held = [_merged(held)]
+                if fed > TASK_UNITS or len(held[0][0]) > MOST:
+                    yield out(held)
+                    held, fed = [], 0
         if held:
-            yield batch_of(list(rows(now, held)))
+            yield out(held)
 
     return run
 
@@ -183,13 +228,13 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield int(s[lo]), batch.slice(lo, hi - lo)
 
 
-def _tables(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
-    """Counts, bounds of texts and columns from the full order down to LOCAL; lower orders count the different units that come before."""
-    out = [(n, lo, hi, cols)]
+def _tables(n: np.ndarray, text: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
+    """Counts, sole texts and columns from the full order down to LOCAL; lower orders count the different units that come before."""
+    out = [(n.astype(np.int64), text, cols)]
     for k in range(len(cols) - 1, LOCAL - 1, -1):
-        _, lo, hi, cols = out[-1]
+        _, text, cols = out[-1]
         u, order, at = _groups(_hash(cols[1:]))
-        out.append((np.diff(np.append(at, len(order))), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), [c[order[at]] for c in cols[1:]]))
+        out.append((np.diff(np.append(at, len(order))), _sole(text, order, at), [c[order[at]] for c in cols[1:]]))
     return out
 
 
@@ -197,20 +242,17 @@ def _times(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-_PART = "part int, grams binary, times array<bigint>, a bigint, b bigint, n bigint, lo bigint, hi bigint"
+_PART = "part int, grams binary, times array<bigint>, low binary"
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by part. For each part its n-grams, how often counts of 1 to 4 occur at each order above LOCAL, and its share of the counts of order LOCAL."""
 
     def done(part, held):
-        _, n, least, most, cols = _merged(held)
-        *upper, (low, lo, hi, (a, b)) = _tables(n, least, most, cols)
+        _, n, text, cols = _merged(held)
+        *upper, (low, sole, pair) = _tables(n, text, cols)
         times = [t for level, *_ in upper for t in _times(level)]
-        none = [None] * len(low)
-        rows = [[part] * (len(low) + 1), [pack(n, least, most, *cols), *none], [times, *none], *([None, *x.tolist()] for x in (a, b, low, lo, hi))]
-        kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * 5)
-        return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], ["part", "grams", "times", "a", "b", "n", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(n, text, *cols)], pa.binary()), pa.array([times], pa.list_(pa.int64())), pa.array([pack(*pair, low, sole)], pa.binary())], ["part", "grams", "times", "low"])
 
     now, held = None, []
     for batch in batches:
@@ -219,60 +261,66 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield done(now, held)
                 now, held = part, []
-            n, lo, hi, *cols = unpack(block.as_py())
-            held.append((_hash(cols), n, lo, hi, cols))
+            n, text, *cols = unpack(block.as_py())
+            held.append((_hash(cols), n.astype(np.int64), text, cols))
             if len(held) > 64:
                 held = [_merged(held)]
     if held:
         yield done(now, held)
 
 
-class Part:
-    """One part of the model: log probabilities by rising hash of n-gram."""
-
-    def __init__(self, n: np.ndarray, least: np.ndarray, most: np.ndarray, cols: list[np.ndarray], low: tuple[np.ndarray, np.ndarray, np.ndarray], discounts: list[np.ndarray]):
-        a, b, p = low
-        keys = _hash([a.astype(np.uint32), b.astype(np.uint32)])
+def _low_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, block in zip(batch.column("part").to_pylist(), batch.column("low")):
+            cols = unpack(block.as_py())
+            for lo in range(0, len(cols[0]), 1 << 16):
+                some = [pa.array(c[lo : lo + (1 << 16)].astype(np.int64)) for c in cols]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), part, np.int32)), *some], ["part", "a", "b", "n", "text"])
+
+
+def part_of_model(n: np.ndarray, text: np.ndarray, cols: list[np.ndarray], low: tuple[np.ndarray, np.ndarray, np.ndarray], discounts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One part of the model: the sorted hashes of its n-grams, and their log probabilities."""
+    a, b, p = low
+    keys = _hash([a.astype(np.uint32), b.astype(np.uint32)])
+    order = np.argsort(keys)
+    keys, p = keys[order], p[order]
+    for (n, text, own), d in zip(reversed(_tables(n, text, cols)[:-1]), reversed(discounts)):
+        ctx = _hash(own[:-1])
+        _, order, at = _groups(ctx)
+        back = np.empty(len(ctx), np.int64)
+        back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ctx))))
+        total, off = np.add.reduceat(n[order], at), d[np.minimum(n, 3)]
+        weight = np.add.reduceat(off[order], at) / total
+        base = p[np.searchsorted(keys, _hash(own[1:]))]
+        seen = _sole(text, order, at) == MANY
+        p = np.where(text == MANY, np.maximum(n - off, 0) / total[back], 0) + np.where(seen, weight, 1.0)[back] * base
+        keys = _hash(own)
         order = np.argsort(keys)
         keys, p = keys[order], p[order]
-        for (n, least, most, own), d in zip(reversed(_tables(n, least, most, cols)[:-1]), reversed(discounts)):
-            ctx = _hash(own[:-1])
-            _, order, at = _groups(ctx)
-            back = np.empty(len(ctx), np.int64)
-            back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ctx))))
-            total, off = np.add.reduceat(n[order], at), d[np.minimum(n, 3)]
-            weight = np.add.reduceat(off[order], at) / total
-            base = p[np.searchsorted(keys, _hash(own[1:]))]
-            seen = np.minimum.reduceat(least[order], at) != np.maximum.reduceat(most[order], at)
-            p = np.where(least != most, np.maximum(n - off, 0) / total[back], 0) + np.where(seen, weight, 1.0)[back] * base
-            keys = _hash(own)
-            order = np.argsort(keys)
-            keys, p = keys[order], p[order]
-        self.keys, self.logs = keys, np.log(p).astype(np.float32)
-
-    def answer(self, cols: list[np.ndarray]) -> np.ndarray:
-        return self.logs[np.searchsorted(self.keys, _hash(cols))]
-
-
-def _answer(discounts: list[np.ndarray]):
-    """Rows come sorted by part and kind: 0 the part's n-grams, 1 probabilities of order LOCAL, 2 what slices ask."""
+    return keys, np.log(p).astype(np.float32)
+
+
+def _model(discounts: list[np.ndarray]):
+    """Rows come sorted by part, the part's n-grams first, then its probabilities of order LOCAL."""
+
+    def done(part, counts, low):
+        keys, logs = part_of_model(counts[0], counts[1], counts[2:], tuple(np.array(x) for x in zip(*low)), discounts)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([pack(keys, logs)], pa.binary())], ["part", "n", "model"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, low, model = None, [], None
+        now, counts, low = None, None, []
         for batch in batches:
-            out = []
-            for part, kind, grams, s, a, b, p in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "grams", "slice", "a", "b", "p"))):
-                if kind == 0:
-                    counts, low, model = unpack(grams), [], None
-                elif kind == 1:
-                    low.append((a, b, p))
+            for part, grams, a, b, p in zip(*(batch.column(c).to_pylist() for c in ("part", "grams", "a", "b", "p"))):
+                if part != now:
+                    if counts is not None:
+                        yield done(now, counts, low)
+                    now, counts, low = part, None, []
+                if grams is not None:
+                    counts = unpack(grams)
                 else:
-                    if model is None:
-                        model = Part(*counts[:3], counts[3:], tuple(np.array(x) for x in zip(*low)), discounts)
-                        counts = None
-                    out.append((s, part, pack(model.answer(unpack(grams)[3:]))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["slice", "part", "logs"])
+                    low.append((a, b, p))
+        if counts is not None:
+            yield done(now, counts, low)
 
     return run
 
@@ -281,31 +329,37 @@ def _off(n, d: np.ndarray):
     return F.when(n == 1, float(d[1])).when(n == 2, float(d[2])).otherwise(float(d[3]))
 
 
-def answers(asked: DataFrame, order: int, base: float | None = None) -> DataFrame:
-    """Rows (slice, part, logs): the log probabilities of the n-grams that a slice asks of a part. base: probability of a unit before any count, one over their number where none is given."""
-    n = partitions(asked.sparkSession)
-    summed = staged(asked.select("part", "grams").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_sum, _PART))
+def kneser_ney(docs: DataFrame, order: int = UNITS, base: float | None = None, others: bool = True) -> DataFrame:
+    """The model of all documents, staged: rows (part, n, model), a part's n-grams as sorted hashes with log probabilities. docs: text.
+    base: probability of a unit before any count, one over their number where none is given."""
+    n = partitions(docs.sparkSession)
+    fed = docs.select("text").mapInArrow(_count(order, n, others), "part int, grams binary")
+    summed = staged(fed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_sum, _PART))
     upper = order - LOCAL
-    times = summed.where("times is not null").agg(*[F.sum(F.col("times")[k]) for k in range(4 * upper)]).first()
+    times = summed.agg(*[F.sum(F.col("times")[k]) for k in range(4 * upper)]).first()
     discounts = [KneserNey.discounts([float(t or 0) for t in times[4 * k : 4 * k + 4]]) for k in range(upper)]
     some = lambda t: t.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first()
-    pairs = staged(summed.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    sole = F.when(F.min("text") == F.max("text"), F.min("text")).otherwise(MANY).alias("text")
+    own_pairs = staged(summed.select("part", "low").mapInArrow(_low_rows, "part int, a bigint, b bigint, n bigint, text bigint"))
+    pairs = staged(own_pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), sole))
     d2 = KneserNey.discounts([float(t or 0) for t in some(pairs)])
-    ones = staged(pairs.groupBy("b").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    ones = staged(pairs.groupBy("b").agg(F.count("*").alias("n"), sole))
     d1 = KneserNey.discounts([float(t or 0) for t in some(ones)])
     whole = ones.agg(F.sum("n").alias("n"), F.sum(_off(F.col("n"), d1)).alias("off"), F.count("*").alias("k")).first()
     total, flat = float(whole["n"] or 1), (whole["off"] or 0) / float(whole["n"] or 1) * (base or 1 / max(whole["k"], 1))
-    own = lambda d: F.when(F.col("lo") != F.col("hi"), F.greatest(F.col("n") - _off(F.col("n"), d), F.lit(0.0))).otherwise(0.0)
+    own = lambda d: F.when(F.col("text") == MANY, F.greatest(F.col("n") - _off(F.col("n"), d), F.lit(0.0))).otherwise(0.0)
     of_one = ones.select(F.col("b").alias("ob"), (own(d1) / total + flat).alias("p1"))
-    contexts = pairs.groupBy(F.col("a").alias("ca")).agg(F.sum("n").alias("cn"), F.sum(_off(F.col("n"), d2)).alias("coff"), (F.min("lo") != F.max("hi")).alias("seen"))
+    contexts = pairs.groupBy(F.col("a").alias("ca")).agg(F.sum("n").alias("cn"), F.sum(_off(F.col("n"), d2)).alias("coff"), ((F.min("text") != F.max("text")) | (F.max("text") == MANY)).alias("seen"))
     p2 = own(d2) / F.col("cn") + F.when(F.col("seen"), F.col("coff") / F.col("cn")).otherwise(1.0) * F.col("p1")
     of_two = pairs.join(of_one, F.col("ob") == F.col("b")).join(contexts, F.col("ca") == F.col("a")).select(F.col("a").alias("pa"), F.col("b").alias("pb"), p2.alias("p"))
-    low = summed.where("a is not null").select("part", "a", "b").join(of_two, (F.col("pa") == F.col("a")) & (F.col("pb") == F.col("b")))
+    low = own_pairs.select("part", "a", "b").join(of_two, (F.col("pa") == F.col("a")) & (F.col("pb") == F.col("b")))
     null = lambda kind: F.lit(None).cast(kind)
-    rows = summed.where("grams is not null").select("part", F.lit(0).alias("kind"), "grams", null("long").alias("slice"), null("long").alias("a"), null("long").alias("b"), null("double").alias("p"))
-    rows = rows.unionByName(low.select("part", F.lit(1).alias("kind"), null("binary").alias("grams"), null("long").alias("slice"), "a", "b", "p"))
-    rows = rows.unionByName(asked.select("part", F.lit(2).alias("kind"), "grams", "slice", null("long").alias("a"), null("long").alias("b"), null("double").alias("p")))
-    return staged(rows.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer(discounts), "slice bigint, part int, logs binary"))
+    rows = summed.select("part", "grams", null("long").alias("a"), null("long").alias("b"), null("double").alias("p"))
+    rows = rows.unionByName(low.select("part", null("binary").alias("grams"), "a", "b", "p"))
+    model = staged(rows.repartition(n, "part").sortWithinPartitions("part", F.col("grams").isNull()).mapInArrow(_model(discounts), "part int, n bigint, model binary"))
+    for t in (summed, own_pairs, pairs, ones):
+        dropped(t)
+    return model
 
 
 class KneserNey:
@@ -402,8 +456,12 @@ def _repeat_words(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sums[starts + counts] - sums[starts]
 
 
-def measures(texts: pa.Array, order: int, keys: np.ndarray, logs: np.ndarray) -> dict[str, np.ndarray]:
-    """The base counts and the mean log probability of each text. keys, logs: the slice's n-grams by rising hash."""
+#: Of sorted hashes of n-grams, their log probabilities.
+Answer = Callable[[np.ndarray], np.ndarray]
+
+
+def measures(texts: pa.Array, order: int, answer: Answer) -> dict[str, np.ndarray]:
+    """The base counts and the mean log probability of each text."""
     raw, at = byte_view(texts)
     n = len(at) - 1
     out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"score": np.zeros(n)}
@@ -419,8 +477,14 @@ def measures(texts: pa.Array, order: int, keys: np.ndarray, logs: np.ndarray) ->
         for i in range(lo, hi):
             out["n_dup_lines"][i] = _line_repeats(whole[ends[i - lo] : ends[i - lo + 1]])
         u, rows = units(part, ends)
-        h, _ = gram_hashes(u, rows, order)
-        sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(keys, h)], dtype=np.float64)])
+        if not len(u):
+            continue
+        rank, place, dist = numbered(u, rows, order)
+        keys = _hash([_column(u, dist, k, place) for k in range(order - 1, -1, -1)])
+        by = np.argsort(keys)
+        logs = np.empty(len(keys))
+        logs[by] = answer(keys[by])
+        sums = np.concatenate([[0.0], np.cumsum(logs[rank])])
         out["score"][lo:hi] = (sums[rows[1:]] - sums[rows[:-1]]) / np.maximum(np.diff(rows), 1)
     return out
 
@@ -428,53 +492,119 @@ def measures(texts: pa.Array, order: int, keys: np.ndarray, logs: np.ndarray) ->
 _MADE = (("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("score", T.DoubleType()))
 
 
-def _measure(carry: list[str], order: int, parts: int):
-    """Rows come sorted by slice, a slice's answers before its documents."""
+def _lookup(keys: np.ndarray, logs: np.ndarray) -> Answer:
+    def answer(asked: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        if not (keys[at] == asked).all():
+            raise ValueError("a text changed between counting and scoring")
+        return logs[at]
+
+    return answer
+
+
+def _measured(batch: pa.RecordBatch, carry: list[str], order: int, answer: Answer) -> pa.RecordBatch:
+    m = measures(batch.column("text"), order, answer)
+    return pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(m[k]) for k, _ in _MADE], carry + [f"q_{k}" for k, _ in _MADE])
+
+
+@lru_cache(maxsize=1)
+def _whole(data: bytes) -> Answer:
+    return _lookup(*unpack(data))
 
-    def done(held, logs):
-        grams = [c for b in held for c in _distinct(b.column("text"), order, False)]
-        keys, own = np.zeros(0, np.uint64), np.zeros(0, np.float32)
-        if grams:
-            keys, *_, cols = _merged(grams)
-            part, own = _part_of(cols, parts), np.zeros(len(keys), np.float32)
-            for p, answer in logs.items():
-                own[part == p] = answer
-            if sum(map(len, logs.values())) != len(keys):
-                raise ValueError("a slice changed between asking and scoring")
-        for batch in held:
-            m = measures(batch.column("text"), order, keys, own)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(m[k]) for k, _ in _MADE], carry + [f"q_{k}" for k, _ in _MADE])
+
+def _measure_by_whole(carry: list[str], order: int, model):
+    """With the whole model in each worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer = _whole(model.value)
+        for batch in batches:
+            yield _measured(batch, carry, order, answer)
+
+    return run
+
+
+def _asked(order: int, parts: int):
+    """Rows come sorted by slice: the n-grams that each slice asks of each part of the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(now, held):
+            keys, _, _, cols = _merged(held)
+            part = _part_of(cols, parts)
+            some = np.unique(part)
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([pack(keys[part == p]) for p in some], pa.binary())], ["slice", "part", "asked"])
+
+        now, held = None, []
+        for batch in batches:
+            for s, rows in _runs(batch):
+                if s != now:
+                    if held:
+                        yield out(now, held)
+                    now, held = s, []
+                for c in _counted(rows.column("text"), order, False):
+                    held = [_merged([*held, c])]
+        if held:
+            yield out(now, held)
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part, its model first: the answers to each slice."""
+    answer = None
+    for batch in batches:
+        out = []
+        for s, part, model, asked in zip(*(batch.column(c).to_pylist() for c in ("slice", "part", "model", "asked"))):
+            if model is not None:
+                answer = _lookup(*unpack(model))
+            else:
+                keys = unpack(asked)[0]
+                out.append((s, pack(keys, answer(keys))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["slice", "answers"])
+
+
+def _measure_by_slice(carry: list[str], order: int):
+    """Rows come sorted by slice, a slice's answers before its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, logs = None, [], {}
+        now, held, answer = None, [], None
         for batch in batches:
             for s, some in _runs(batch):
                 if s != now:
-                    yield from done(held, logs)
-                    now, held, logs = s, [], {}
-                part = some.column("part")
-                for p, block in zip(part.to_pylist(), some.column("logs")):
-                    if p is not None:
-                        logs[p] = unpack(block.as_py())[0]
-                if part.null_count:
-                    held.append(some.filter(part.is_null()))
-        yield from done(held, logs)
+                    now, held, answer = s, [], None
+                block = some.column("answers")
+                held += [unpack(b.as_py()) for b in block if b.is_valid]
+                if block.null_count:
+                    if answer is None:
+                        keys, logs = (np.concatenate([h[k] for h in held]) for k in (0, 1)) if held else (np.zeros(1, np.uint64), np.zeros(1, np.float32))
+                        by = np.argsort(keys)
+                        held, answer = [], _lookup(keys[by], logs[by])
+                    yield _measured(some.filter(block.is_null()), carry, order, answer)
 
     return run
 
 
-def scored(docs: DataFrame, carry: list[str], order: int = UNITS, base: float | None = None, others: bool = True) -> DataFrame:
-    """docs' columns in `carry` with the measures as q_ columns. docs has a column text. others: what stands in no other text counts as not seen."""
-    n = partitions(docs.sparkSession)
+def scored(docs: DataFrame, carry: list[str], order: int = UNITS, base: float | None = None, others: bool = True, whole: int = WHOLE) -> DataFrame:
+    """docs' columns in `carry` with the measures as q_ columns. docs has a column text. others: what stands in no other text counts as not seen.
+    whole: n-grams up to which every worker gets the whole model; a larger one stays in its parts, which answer slices of the documents. Results are the same."""
+    spark, n = docs.sparkSession, partitions(docs.sparkSession)
     need = list(dict.fromkeys([*carry, "text"]))
+    model = kneser_ney(docs, order, base, others)
+    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(f"q_{k}", t) for k, t in _MADE])
+    if (model.agg(F.sum("n")).first()[0] or 0) <= whole:
+        parts = [unpack(r["model"]) for r in model.select("model").toLocalIterator()] or [[np.zeros(1, np.uint64), np.zeros(1, np.float32)]]
+        keys, logs = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        by = np.argsort(keys)
+        data = spark.sparkContext.broadcast(pack(keys[by], logs[by]))
+        return docs.select(*need).mapInArrow(_measure_by_whole(carry, order, data), schema)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     plain = [c for c in need if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
     dealt = docs.select(*need, F.pmod(F.xxhash64(*plain), F.lit(1 + size // SHARE_BYTES)).alias("slice"))
-    asked = staged(dealt.select("slice", "text").repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_ask(order, n, others), "slice bigint, part int, grams binary"))
-    answered = answers(asked, order, base)
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(f"q_{k}", t) for k, t in _MADE])
-    rows = dealt.withColumn("part", F.lit(None).cast("int")).withColumn("logs", F.lit(None).cast("binary")).unionByName(answered, allowMissingColumns=True)
-    return rows.repartition(n, "slice").sortWithinPartitions("slice", F.col("part").isNull()).mapInArrow(_measure(carry, order, n), schema)
+    asked = dealt.select("slice", "text").repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_asked(order, n), "slice bigint, part int, asked binary")
+    both = model.select("part", "model").unionByName(asked, allowMissingColumns=True)
+    answered = staged(both.repartition(n, "part").sortWithinPartitions("part", F.col("model").isNull()).select("slice", "part", "model", "asked").mapInArrow(_answered, "slice bigint, answers binary"))
+    rows = dealt.unionByName(answered, allowMissingColumns=True)
+    return rows.repartition(n, "slice").sortWithinPartitions("slice", F.col("answers").isNull()).mapInArrow(_measure_by_slice(carry, order), schema)
 
 
 def base_failed():

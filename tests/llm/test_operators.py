@@ -148,6 +148,9 @@ def test_quality(docs, texts):
         hit = {j for k, g in enumerate(grams) if grams.count(g) > 1 for j in (k, k + 1, k + 2)}
         lines = [x for x in (r["text"] or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert (r["q_n_words"], r["q_word_chars"], r["q_n_dup_lines"], r["q_n_repeat_words"]) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), len(hit))
+        assert r["q_n_symbols"] == sum(c in "#*$%&|<>" for c in r["text"] or "")
+        assert r["q_failed"] == (len(words) < 50 or 100 * len(hit) > 50 * len(words)) and not (r["q_failed"] and r["q_kept"])
+    assert op7_quality.judged(op7_quality.scored(empty(docs), ["doc_id", "lang"]), "lang").count() == 0
     assert set(op7_quality.kept_documents(docs).columns) == set(docs.columns)
 
 
@@ -160,7 +163,8 @@ def test_kneser_ney_sums_to_one():
     assert abs(total - 1) < 0.02
 
 
-def test_kneser_ney_in_parts(spark):
+@pytest.mark.parametrize("whole", [10**9, 0])
+def test_kneser_ney_in_parts(spark, whole):
     rng = random.Random(8)
     rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 300)))) for i in range(40)] + [(40, None), (41, "")]
     grams = {}
@@ -171,13 +175,56 @@ def test_kneser_ney_in_parts(spark):
             grams[key] = grams.get(key, 0) + 1
     keys = sorted(grams)
     model = op7_quality.KneserNey(np.array(keys, np.uint32), np.array([grams[k] for k in keys]))
-    got = {r["doc_id"]: r["q_score"] for r in op7_quality.scored(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], order=4, base=1 / 64, others=False).collect()}
+    got = {r["doc_id"]: r["q_score"] for r in op7_quality.scored(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], order=4, base=1 / 64, others=False, whole=whole).collect()}
     for i, t in rows:
         ids = [63] * 3 + [ord(c) - 97 for c in t or ""]
         own = np.array([ids[k - 3] << 18 | ids[k - 2] << 12 | ids[k - 1] << 6 | ids[k] for k in range(3, len(ids))], np.uint32)
         assert abs(got[i] - (model.log_prob(own).mean() if t else 0)) < 1e-4
 
 
+def plain_scores(texts, order):
+    """Mean log probabilities of an interpolated modified Kneser-Ney model in which n-grams of a single text are not seen, by dictionaries."""
+    units = [[u for k, u in enumerate(t)] for t in texts]
+    grams = {}
+    for t, us in zip(texts, units):
+        padded = ["^"] * (order - 1) + us
+        for k in range(len(us)):
+            g = tuple(padded[k : k + order])
+            n, of = grams.get(g, (0, frozenset()))
+            grams[g] = n + 1, of | {t}
+    levels = [grams]
+    for _ in range(order - 1):
+        low = {}
+        for g, (_, of) in levels[-1].items():
+            n, seen = low.get(g[1:], (0, frozenset()))
+            low[g[1:]] = n + 1, seen | of
+        levels.append(low)
+    p = {(): 1 / len(levels[-1])}
+    for level in reversed(levels):
+        d = op7_quality.KneserNey.discounts([float(sum(n == k for n, _ in level.values())) for k in (1, 2, 3, 4)])
+        total, off, of_context = {}, {}, {}
+        for g, (n, of) in level.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + n
+            off[g[:-1]] = off.get(g[:-1], 0) + d[min(n, 3)]
+            of_context[g[:-1]] = of_context.get(g[:-1], frozenset()) | of
+        next_p = {}
+        for g, (n, of) in level.items():
+            c = g[:-1]
+            weight = off[c] / total[c] if len(of_context[c]) > 1 or not c else 1.0
+            next_p[g] = (max(n - d[min(n, 3)], 0) / total[c] if len(of) > 1 else 0) + weight * p[g[1:]]
+        p = next_p
+    return [np.mean([np.log(p[tuple((["^"] * (order - 1) + us)[k : k + order])]) for k in range(len(us))]) if us else 0 for us in units]
+
+
+@pytest.mark.parametrize("whole", [10**9, 0])
+def test_perplexity_by_brute_force(spark, whole):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdeб漢") for _ in range(rng.randint(1, 200))) for _ in range(30)] + ["", "a", "zq"]
+    texts = [re.sub(r"(.)\1+", r"\1", t) for t in texts] + ["abcabd"] * 2
+    got = {r["doc_id"]: r["q_score"] for r in op7_quality.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), ["doc_id"], order=4, whole=whole).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], plain_scores(texts, 4), atol=1e-5)
+
+
 def test_units_lose_no_text():
     for a, b in (("Abc", "abc"), ("бвг", "бвф"), ("漢字", "漢学"), ("x##y", "x###y"), ("#" * 3000, "#" * 3001), ("a\nb", "a b")):
         u, v = (op7_quality.units(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in (a, b))
@@ -188,9 +235,8 @@ def test_model_keeps_every_gram(spark):
     rng = random.Random(9)
     rows = [(i, "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(500))) for i in range(80)]
     want = {("\0" * 4 + t)[k : k + 5] for _, t in rows for k in range(500)}
-    docs = spark.createDataFrame(rows, "slice long, text string").repartition(4, "slice").sortWithinPartitions("slice")
-    parts = docs.mapInArrow(op7_quality._ask(5, 4), "slice bigint, part int, grams binary").repartition(4, "part").sortWithinPartitions("part").mapInArrow(op7_quality._sum, op7_quality._PART)
-    assert sum(len(op7_quality.unpack(r["grams"])[0]) for r in parts.where("grams is not null").collect()) == len(want)
+    parts = op7_quality.kneser_ney(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5)
+    assert sum(r["n"] for r in parts.collect()) == len(want)
 
 
 def test_discounts():
