@@ -9,7 +9,18 @@ from .tlv import ContainerError, Entry, element_at, elements, entry_at, find, le
 #: Fixed values of the format.
 HEADER, BODY, PROPERTIES, PAGE = 0x60, 0x61, 0x63, 0x64
 GENERATIONS = (7, 10, 11)
-MAGIC = ((b"%PDF-", "PDF"), (b"PK\x03\x04", "zip"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "CFB"), (b"\xff\xd8\xff", "JPEG"), (b"\x89PNG", "PNG"), (b"II*\0", "TIFF"), (b"MM\0*", "TIFF"), (b"{\\rtf", "RTF"))
+#: What other files begin with.
+MAGIC = (
+    (b"%PDF-", "PDF"), (b"PK\x03\x04", "zip"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "CFB"), (b"\xff\xd8\xff", "JPEG"), (b"\x89PNG\r\n\x1a\n", "PNG"), (b"II*\0", "TIFF"), (b"MM\0*", "TIFF"), (b"{\\rtf", "RTF"),
+    (b"<!DOCTYPE", "markup"), (b"<html", "markup"), (b"<?xml", "markup"),
+)
+OFFICE = ((b"word/", "docx"), (b"xl/", "xlsx"), (b"ppt/", "pptx"))
+
+
+def sniffed(data: bytes) -> str | None:
+    """What bytes that are no container seem to be; None if nothing known."""
+    label = next((label for magic, label in MAGIC if data.startswith(magic)), None)
+    return next((kind for part, kind in OFFICE if part in data[:512]), label) if label == "zip" else label
 
 
 def trailer(data: bytes):
@@ -136,9 +147,9 @@ def parse(data: bytes) -> dict:
         if head.tag != HEADER:
             raise ContainerError("NoFileHeader")
     except ContainerError:
-        for magic, label in MAGIC:
-            if data.startswith(magic):
-                raise ContainerError("NotAContainer", label) from None
+        label = sniffed(data)
+        if label:
+            raise ContainerError("NotAContainer", label) from None
         raise
     fields = elements(data, head.value, head.length)
     generation = uint(fields, data, 0x82)

@@ -43,6 +43,8 @@ class State:
     ink: tuple = (0, 0, 0)
     even_odd: bool = True
     clip: tuple | None = None
+    clip_logical: tuple | None = None
+    clip_path: int | None = None
     at: tuple = (0, 0)
     multiply: bool = False
 
@@ -64,6 +66,11 @@ class Mark:
     stroke: tuple | None = None
     multiply: bool = False
     clip: tuple | None = None
+    #: of fills and images, the path of the drawing that they are clipped to
+    clip_path: int | None = None
+    #: of images, the number of a picture that is stored beside the page, and the size that it is drawn from
+    stored: int | None = None
+    source: tuple | None = None
 
 
 @dataclass
@@ -74,6 +81,31 @@ class Drawing:
     rasters: list[Raster] = field(default_factory=list)
     skipped: Counter = field(default_factory=Counter)
     records: int = 0
+    #: paths that marks are clipped to: figures, and whether they fill by even and odd
+    paths: list = field(default_factory=list)
+
+    @property
+    def calls(self) -> list[tuple[int, tuple]]:
+        """Stored pictures by number with the size of their first drawing."""
+        first: dict[int, tuple] = {}
+        for m in self.marks:
+            if m.stored is not None:
+                first.setdefault(m.stored, m.source)
+        return sorted(first.items())
+
+    @property
+    def sizes(self) -> list[tuple]:
+        """The sizes that stored pictures are drawn from, each once."""
+        return list(dict.fromkeys(m.source for m in self.marks if m.stored is not None))
+
+    @property
+    def stored(self) -> int:
+        """How many stored pictures are called for."""
+        return max((m.stored + 1 for m in self.marks if m.stored is not None), default=0)
+
+    @property
+    def shape_masks(self) -> int:
+        return sum(m.clip_path is not None for m in self.marks)
 
 
 def rgb(number: int) -> tuple[int, int, int]:
@@ -91,6 +123,8 @@ class Canvas:
     def __init__(self, device: tuple[int, int], frame: tuple[int, int]):
         self.drawing = Drawing(device, frame)
         self.state, self.saved, self.objects, self.order = State(), [], {}, 0
+        #: the picture that the next placement draws: ("stored", number) or ("inline", raster); how many were called; the path being built
+        self.picture, self.called, self.path = None, 0, None
 
     def set(self, **values) -> None:
         self.state = replace(self.state, **values)
@@ -132,14 +166,25 @@ class Canvas:
         box = _box(self.point(left, top), self.point(right, bottom))
         w, h = self.drawing.device
         whole = w <= 0 or (box[0] <= 0 and box[1] <= 0 and box[2] >= w and box[3] >= h)
-        self.set(clip=None if whole else box)
+        self.set(clip=None if whole else box, clip_logical=(left, top, right, bottom), clip_path=None)
+
+    def clip_to_path(self) -> bool:
+        """Clips to the path that was built. One that is the same as the last is kept once."""
+        if self.path is not None:
+            paths, own = self.drawing.paths, self.path
+            if not paths or paths[-1] != own:
+                paths.append(own)
+            self.path = None
+            self.set(clip_path=len(paths) - 1)
+        return True
 
     def _turn(self) -> int:
         self.order += 1
         return self.order
 
     def _mark(self, kind: str, order: int, box, **more) -> None:
-        self.drawing.marks.append(Mark(kind, order, box, multiply=self.state.multiply, clip=self.state.clip, **more))
+        path = self.state.clip_path if kind in ("fill", "image") else None
+        self.drawing.marks.append(Mark(kind, order, box, multiply=self.state.multiply, clip=self.state.clip, clip_path=path, **more))
 
     def text(self, x: int, y: int, text: str, advances: list[float]) -> None:
         if not text:
@@ -172,8 +217,7 @@ class Canvas:
                 return True
         elif op == "and" and raster.bits == 1:
             colour = (0, 0, 0)
-            if raster.palette[1] == (0, 0, 0):
-                raster.rows = bytes(np.bitwise_not(np.frombuffer(raster.rows, np.uint8)))
+            raster.as_mask()
         self._cut(raster, source)
         self.drawing.rasters.append(raster)
         order, (x, y, w, h) = self._turn(), to
@@ -191,12 +235,59 @@ class Canvas:
             raster.rows = raster.rows[first * raster.stride : last * raster.stride]
             raster.height = last - first
 
-    def _shape(self, order: int, figures: list, closed: bool) -> None:
+    def call_picture(self) -> None:
+        self.picture = ("stored", self.called)
+        self.called += 1
+
+    def keep_picture(self, info: bytes, bits: bytes) -> bool:
+        """A bitmap for placements to come."""
+        raster = dib(info, bits)
+        if raster is None:
+            return False
+        self.drawing.rasters.append(raster)
+        self.picture = ("inline", len(self.drawing.rasters) - 1)
+        return True
+
+    def place_picture(self, to: tuple, source: tuple[int, int], op: str) -> bool:
+        """Draws the picture called or kept last. A placement before any call counts as a call."""
+        x, y, w, h = to
+        if min(source) < 0 or w <= 0 or h <= 0:
+            return False
+        kind, n = self.picture or ("stored", None)
+        colour = None
+        if kind == "inline" and op == "and":
+            raster = self.drawing.rasters[n]
+            if raster.bits != 1:
+                return False
+            # masks are kept with set bits for what they let through, and used again as they are then
+            if not raster.mask:
+                raster.as_mask()
+            colour = (0, 0, 0)
+        if n is None:
+            self.call_picture()
+            n = self.picture[1]
+        order = self._turn()
+        box = self.point(x, y) + self.point(x + w, y + h)
+        if box[2] > box[0] and box[3] > box[1]:
+            if kind == "stored":
+                self._mark("image", order, box, stored=n, source=source, op=op)
+            else:
+                raster = self.drawing.rasters[n]
+                self._mark("image", order, box, rgb=colour, raster=n, source=(raster.width, raster.height), op=op)
+        return True
+
+    def paint(self, figures: list, fill: bool, stroke: bool) -> None:
+        self._paint(self._turn(), figures, fill, stroke)
+
+    def _paint(self, order: int, figures: list, fill: bool, stroke: bool) -> None:
         s = self.state
-        fill = s.brush if closed else None
-        if figures and (fill is not None or s.pen is not None):
+        brush, pen = s.brush if fill else None, s.pen if stroke else None
+        if figures and (brush is not None or pen is not None):
             box = _box(*[p for start, segments, _ in figures for p in [start, *[q for seg in segments for q in seg]]])
-            self._mark("shape", order, box, rgb=fill, figures=figures, even_odd=s.even_odd, stroke=s.pen)
+            self._mark("shape", order, box, rgb=brush, figures=figures, even_odd=s.even_odd, stroke=pen)
+
+    def _shape(self, order: int, figures: list, closed: bool) -> None:
+        self._paint(order, figures, closed, True)
 
     def polygons(self, rings: list[list[tuple]], closed: bool) -> None:
         order = self._turn()

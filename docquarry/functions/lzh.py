@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 CEILING = 256 << 20
+#: A prefix code: its longest length, and symbol and length by what that many bits are.
+Code = tuple[int, list]
 
 
 class CodingError(Exception):
@@ -13,57 +15,60 @@ class _Bits:
     """Bits, high end first, in one integer; past the end an error."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.held, self.n = data, 0, 0, 0
+        self.data, self.at, self.held, self.n, self.end = data, 0, 0, 0, 8 * len(data)
 
-    def fill(self, n: int) -> None:
-        while self.n < n:
-            step = self.data[self.at : self.at + 8]
-            self.at += 8
-            self.held = (self.held << 64) | int.from_bytes(step.ljust(8, b"\0"), "big")
-            self.n += 64
-            if self.at > len(self.data) + 64:
-                raise CodingError("the stream ends too early")
+    def fill(self) -> None:
+        step = self.data[self.at : self.at + 8]
+        self.at += 8
+        self.held = ((self.held & ((1 << self.n) - 1)) << 64) | int.from_bytes(step if len(step) == 8 else step.ljust(8, b"\0"), "big")
+        self.n += 64
 
     def take(self, n: int) -> int:
         if not n:
             return 0
-        self.fill(n)
+        if self.n < n:
+            self.fill()
         self.n -= n
-        out = self.held >> self.n
-        self.held &= (1 << self.n) - 1
-        if self.at * 8 - self.n > len(self.data) * 8:
+        if self.at * 8 - self.n > self.end:
             raise CodingError("the stream ends too early")
-        return out
+        return self.held >> self.n & ((1 << n) - 1)
+
+    def symbol(self, code: Code | int) -> int:
+        if isinstance(code, int):
+            return code
+        longest, table = code
+        if self.n < longest:
+            self.fill()
+        found = table[self.held >> (self.n - longest) & ((1 << longest) - 1)]
+        if found is None:
+            raise CodingError("no such code")
+        self.n -= found[1]
+        if self.at * 8 - self.n > self.end:
+            raise CodingError("the stream ends too early")
+        return found[0]
 
 
-def _code(lengths: list[int]) -> dict[tuple[int, int], int]:
-    """The canonical prefix code of symbol lengths, by (length, bits)."""
-    out, code = {}, 0
-    longest = max(lengths, default=0)
+def _code(lengths: list[int]) -> Code:
+    """The canonical prefix code of symbol lengths: the longest length, and symbol and length by what the next bits are."""
+    longest, code = max(max(lengths, default=0), 1), 0
+    if longest > 16:
+        raise CodingError("a code is too long")
+    table: list = [None] * (1 << longest)
+    by_length = sorted((n, s) for s, n in enumerate(lengths) if n)
+    at = 0
     for n in range(1, longest + 1):
-        for symbol, length in enumerate(lengths):
-            if length == n:
-                if code >> n:
-                    raise CodingError("a code table is too full")
-                out[n, code] = symbol
-                code += 1
+        while at < len(by_length) and by_length[at][0] == n:
+            if code >> n:
+                raise CodingError("a code table is too full")
+            free = longest - n
+            table[code << free : (code + 1) << free] = [(by_length[at][1], n)] * (1 << free)
+            code += 1
+            at += 1
         code <<= 1
-    return out
-
-
-def _symbol(bits: _Bits, code: dict | int) -> int:
-    if isinstance(code, int):
-        return code
-    word = 0
-    for n in range(1, 17):
-        word = word << 1 | bits.take(1)
-        found = code.get((n, word))
-        if found is not None:
-            return found
-    raise CodingError("no such code")
+    return longest, table
 
 
-def _short_table(bits: _Bits, size: int, width: int, gap: int) -> dict | int:
+def _short_table(bits: _Bits, size: int, width: int, gap: int) -> Code | int:
     n = bits.take(width)
     if not n:
         return bits.take(width)
@@ -83,7 +88,7 @@ def _short_table(bits: _Bits, size: int, width: int, gap: int) -> dict | int:
     return _code(lengths[:size])
 
 
-def _long_table(bits: _Bits, inner: dict | int) -> dict | int:
+def _long_table(bits: _Bits, inner: Code | int) -> Code | int:
     n = bits.take(9)
     if not n:
         return bits.take(9)
@@ -91,7 +96,7 @@ def _long_table(bits: _Bits, inner: dict | int) -> dict | int:
         raise CodingError("a code table is too long")
     lengths: list[int] = []
     while len(lengths) < n:
-        s = _symbol(bits, inner)
+        s = bits.symbol(inner)
         if s > 2:
             lengths.append(s - 2)
         else:
@@ -129,18 +134,44 @@ def _expand(data: bytes, size: int, out: bytearray) -> None:
             inner = _short_table(bits, 19, 5, 3)
             letters = _long_table(bits, inner)
             places = _short_table(bits, 14, 4, -1)
-        left -= 1
-        s = _symbol(bits, letters)
+        if isinstance(letters, int):
+            s = letters
+            left -= 1
+        else:
+            # letters in a row, without calls; n below `over` is past the end
+            longest, table = letters
+            mask, s, n, over, held, append = (1 << longest) - 1, 0, bits.n, bits.at * 8 - bits.end, bits.held, out.append
+            while left and len(out) < size:
+                if n < longest:
+                    bits.n = n
+                    bits.fill()
+                    n, over, held = bits.n, bits.at * 8 - bits.end, bits.held
+                found = table[held >> (n - longest) & mask]
+                if found is None:
+                    raise CodingError("no such code")
+                s, used = found
+                n -= used
+                if n < over:
+                    raise CodingError("the stream ends too early")
+                left -= 1
+                if s > 255:
+                    break
+                append(s)
+            bits.n = n
+            if s < 256:
+                continue
         if s < 256:
             out.append(s)
             continue
         n = s - 256 + 3
-        p = _symbol(bits, places)
-        back = (1 << (p - 1)) + bits.take(p - 1) if p else 0
-        start = len(out) - back - 1
-        for k in range(n):
-            # before the start the window holds spaces
-            out.append(out[start + k] if start + k >= 0 else 32)
+        p = bits.symbol(places)
+        start = len(out) - ((1 << (p - 1)) + bits.take(p - 1) if p else 0) - 1
+        if start >= 0 and len(out) - start >= n:
+            out += out[start : start + n]
+        else:
+            for k in range(n):
+                # before the start the window holds spaces
+                out.append(out[start + k] if start + k >= 0 else 32)
 
 
 def stored(raw: bytes) -> bytes:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable
 
+from .comments import enhanced_comment, plain_comment
 from .drawing import MULTIPLY, WINDING, Canvas, Drawing, Font, rgb
 from .raster import dib_header
 
@@ -166,6 +167,7 @@ ENHANCED: dict[int, Callable] = {
     42: lambda c, r: c.rounded(*_values("4i", 8, r)),
     43: lambda c, r: c.rectangle(*_values("4i", 8, r)),
     54: lambda c, r: c.line_to(*_values("ii", 8, r)),
+    70: enhanced_comment,
     76: _blit32,
     81: _stretch32,
     82: _font32,
@@ -176,7 +178,7 @@ ENHANCED: dict[int, Callable] = {
     91: _many16,
     95: lambda c, r: c.objects.update({_values("I", 8, r)[0]: _pen(c, *[_values("IiII", 28, r)[k] for k in (0, 1, 3)])}),
 }
-COUNTED = {76, 81, 83, 84}
+COUNTED = {70, 76, 81, 83, 84}
 
 
 def enhanced(data: bytes) -> Drawing | None:
@@ -359,6 +361,7 @@ PLAIN: dict[int, Callable] = {
     0x041B: _box16("rectangle"),
     0x0521: _text16,
     0x0538: _polys16,
+    0x0626: plain_comment,
     0x061C: _rounded16,
     0x061D: _pattern16,
     0x06FF: lambda c, r: _new(c, {}),
@@ -366,7 +369,7 @@ PLAIN: dict[int, Callable] = {
     0x0A32: _spaced_text16,
     0x0F43: _stretch16,
 }
-COUNTED16 = {0x0521, 0x061D, 0x0940, 0x0A32, 0x0F43}
+COUNTED16 = {0x0521, 0x0626, 0x061D, 0x0940, 0x0A32, 0x0F43}
 
 
 def plain(data: bytes, paper: tuple[int, int]) -> Drawing | None:

@@ -23,11 +23,31 @@ class Raster:
     bits: int
     palette: list[tuple[int, int, int]]
     rows: bytes
+    mask: bool = False
+
+    def as_mask(self) -> None:
+        """Of a bitmap of one bit that is drawn by `and`: black is what the mask paints, whichever way its palette goes."""
+        if self.palette[1] == (0, 0, 0):
+            self.rows = bytes(np.bitwise_not(np.frombuffer(self.rows, np.uint8)))
+        self.mask = True
 
     @property
     def stride(self) -> int:
         return (self.width * self.bits + 7) // 8
 
+    def ink(self) -> int:
+        """How many pixels are black."""
+        rows = np.frombuffer(self.rows, np.uint8)
+        if self.bits == 24:
+            return int((rows.reshape(-1, 3) == 0).all(axis=1).sum())
+        black = np.array([c == (0, 0, 0) for c in self.palette] + [False] * ((1 << self.bits) - len(self.palette)))
+        if self.bits == 8:
+            return int(black[rows].sum())
+        packed = np.unpackbits(rows.reshape(self.height, self.stride), axis=1)[:, : self.width * self.bits]
+        if self.bits == 1:
+            return int(black[packed].sum())
+        return int(black[packed.reshape(self.height, self.width, 4) @ np.array([8, 4, 2, 1])].sum())
+
     @property
     def bilevel(self) -> bool:
         return self.bits == 1 and sorted(self.palette) == [(0, 0, 0), (255, 255, 255)]

@@ -24,6 +24,11 @@ def _case(of: Column, table: dict) -> Column:
     return out
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """A number with that many decimals, ties by its exact binary value and then to the even digit."""
+    return F.call_function("format_number", number.cast("double"), F.lit("0." + "0" * digits))
+
+
 def csv_cell(c: Column) -> Column:
     """Quoted where it holds a comma, quote or line feed."""
     return F.when(c.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
@@ -73,7 +78,7 @@ def as_csv(rows: DataFrame) -> DataFrame:
 
 def manifest(pages: DataFrame) -> DataFrame:
     """A row for each page that a faithful conversion has, sizes in millimetres with one decimal."""
-    mm = lambda side: F.format_string("%.1f", F.col(f"paper.{side}") / 100.0)
+    mm = lambda side: fixed(F.col(f"paper.{side}") / 100.0, 1)
     size = lambda side: F.when(F.col("paper").isNotNull(), mm(side)).otherwise("")
     return pages.select("path", "page", "kind", size("w").alias("width_mm"), size("h").alias("height_mm"), F.col("recovered").alias("recoverable"))
 
@@ -118,7 +123,7 @@ def streams(docs: DataFrame) -> DataFrame:
         F.lit("properties").alias("kind"), F.lit(None).cast("long").alias("method"), F.lit(None).cast("long").alias("colour"),
     )
     both = own.unionByName(block).where("stored > 0 and offset + stored <= file_length").drop("file_length")
-    return both.withColumn("ratio", F.format_string("%.2f", F.col("expanded_declared") / F.col("stored")))
+    return both.withColumn("ratio", fixed(F.col("expanded_declared") / F.col("stored"), 2))
 
 
 _ENTRY = ["idx", "role", "belongs_to", "data_kind", "offset", "at", "entry_length", "checksum", "paper", "pixels", "code", "aux", "method", "stored", "expanded", "rows", "colour", "below", "rotation", "overlays", "unknown"]
@@ -151,7 +156,7 @@ def output_stems(paths: DataFrame) -> DataFrame:
 def describe() -> Column:
     """An entry in one line."""
     size = lambda c: F.when(F.col(c).isNotNull(), F.format_string(" %dx%d", F.col(f"{c}.w"), F.col(f"{c}.h"))).otherwise("")
-    ratio = F.when(F.col("data_kind").isin("encoded", "preview"), F.format_string(" (%.1fx)", F.coalesce("expanded", "aux") / F.greatest(F.coalesce("stored", "length"), F.lit(1)))).otherwise("")
+    ratio = F.when(F.col("data_kind").isin("encoded", "preview"), F.concat(F.lit(" ("), fixed(F.coalesce("expanded", "aux") / F.greatest(F.coalesce("stored", "length"), F.lit(1)), 1), F.lit("x)"))).otherwise("")
     turn = F.when(F.col("rotation") != 0, F.format_string(" turned %d", F.col("rotation"))).otherwise("")
     over = F.when(F.col("overlays") > 0, F.format_string(" +%d overlay(s)", F.col("overlays"))).otherwise("")
     return F.concat(F.col("role"), F.lit(" "), F.col("data_kind"), size("pixels"), F.coalesce(ratio, F.lit("")), turn, over)

@@ -44,16 +44,20 @@ def preview() -> bytes:
     return page(num(0x80, 7) + num(0x81, 40) + tlv(0x86, head + struct.pack("<4I", 1, 32, 15184, 146) + b"\0" * 32))
 
 
-def container(pages: list[bytes], generation: int = 7) -> bytes:
+def container(pages: list[bytes], generation: int = 7, properties: tuple[int, bytes] | None = None) -> bytes:
+    """properties: their expanded size, and how they are stored."""
     out = tlv(0x60, num(0x82, generation) + tlv(0x83, b"\1\2\3\4"))
-    size = sum(map(len, pages)) + 4 * len(pages) + 64
+    block = tlv(0x63, properties[1]) if properties else b""
+    size = sum(map(len, pages)) + 4 * len(pages) + 64 + len(block)
     offsets, at = [], len(out) + len(tlv(0x61, b"\0" * size)) - size
     for p in pages:
         offsets.append(at)
         at += len(p)
     fields = num(0x80, len(pages)) + tlv(0x81, struct.pack(f"<{len(pages)}I", *offsets))
+    if properties:
+        fields += num(0x83, properties[0]) + num(0x84, len(properties[1]))
     tail = tlv(0x65, fields + tlv(0x86, struct.pack("<I", len(fields) + 6)))
-    body = b"".join(pages) + tail
+    body = b"".join(pages) + block + tail
     head = tlv(0x61, b"\0" * size)[: len(tlv(0x61, b"\0" * size)) - size]
     n = len(body).to_bytes(len(head) - 2, "big") if len(head) > 2 else bytes([len(body)])
     return out + (head[:2] + n if len(head) > 2 else bytes([0x61]) + n) + body
@@ -78,8 +82,13 @@ def _orders(runs: bool):
     return run
 
 
+def spread(grouped: DataFrame) -> DataFrame:
+    """Rows that are small and dear to work on, over all partitions: by their size alone they would be put into one."""
+    return grouped.repartition(int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+
+
 def order_containers(lineitem: DataFrame, runs: bool = False) -> DataFrame:
     """A container for each order: a page and its thumbnail for each line, or with `runs` one sheet with a picture for each line."""
     line = F.struct(F.col("l_linenumber").alias("i"), F.col("l_returnflag").alias("f"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"))
     grouped = lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return grouped.mapInArrow(_orders(runs), "path string, content binary")
+    return spread(grouped).mapInArrow(_orders(runs), "path string, content binary")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..sources import containers as src
-from . import mark_queries
+from . import drawn_queries, mark_queries
 from .fixtures import order_containers
 
 
@@ -88,11 +88,11 @@ ORACLE_SQL = {
   s AS (SELECT *, CASE WHEN lag(width) OVER v = width THEN 0 ELSE 1 END AS new FROM l WINDOW v AS (PARTITION BY l_orderkey ORDER BY idx)),
   r AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY idx) AS run FROM s)
   SELECT 'order' || l_orderkey || '.xdw' AS path, CAST(run AS BIGINT) AS run, CAST(min(idx) AS INTEGER) AS first, count(*) AS n, min(width) AS width FROM r GROUP BY l_orderkey, run""",
-    "sniff_pages": "SELECT page_id, CASE WHEN html LIKE '%PDF-%' AND starts_with(html, '%PDF-') THEN 'PDF' WHEN starts_with(html, '<') THEN 'markup' END AS label FROM pages",
+    "sniff_pages": "SELECT page_id, CASE WHEN starts_with(html, '%PDF-') THEN 'PDF' WHEN starts_with(html, '<!DOCTYPE') OR starts_with(html, '<html') OR starts_with(html, '<?xml') THEN 'markup' END AS label FROM pages",
     "html_escape": "SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM documents",
     "csv_quote": "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[,\"\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM conversations",
     "output_names": "SELECT doc_id, CASE WHEN n = 1 THEN source ELSE source || '~' || n END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)",
 }
 
-QUERIES |= mark_queries.QUERIES
-ORACLE_SQL |= mark_queries.ORACLE_SQL
+QUERIES |= mark_queries.QUERIES | drawn_queries.QUERIES
+ORACLE_SQL |= mark_queries.ORACLE_SQL | drawn_queries.ORACLE_SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.carving import carved
-from ..functions.container import parse
+from ..functions.container import MAGIC, OFFICE, parse
 from ..functions.drawing import Drawing
-from ..functions.pages import A4, overlay_drawing, page_drawing, page_recovered, readable, recovered
+from ..functions.pages import A4, bare_text, overlay_drawing, page_drawing, page_recovered, readable, recovered
+from ..functions.paper import paired_pictures
 from ..functions.tlv import ContainerError, field_names
 
 PAIR = "struct<w:bigint,h:bigint>"
@@ -107,7 +109,7 @@ def decoded(files: DataFrame) -> DataFrame:
 
 COLOUR = "struct<r:int,g:int,b:int>"
 BOX = "struct<left:double,top:double,right:double,bottom:double>"
-MARKS = f"path string, idx int, overlay int, kind string, ord int, box {BOX}, rgb {COLOUR}, text string, xs array<double>, size double, escapement int, bold boolean, underline boolean, font string, op string, raster int, pixels {PAIR}, stroke {COLOUR}, stroke_width double, multiply boolean, clip {BOX}, device {PAIR}, frame {PAIR}"
+MARKS = f"path string, idx int, overlay int, kind string, ord int, box {BOX}, rgb {COLOUR}, text string, xs array<double>, size double, escapement int, bold boolean, underline boolean, font string, op string, raster int, pixels {PAIR}, stroke {COLOUR}, stroke_width double, multiply boolean, clip {BOX}, clip_path int, stored int, source {PAIR}, points int, device {PAIR}, frame {PAIR}"
 
 
 def _each_drawing(data: bytes, doc: dict) -> Iterator[tuple[int, int | None, Drawing]]:
@@ -134,7 +136,7 @@ def _marks(path: str, data: bytes, doc: dict) -> list[dict]:
             out.append({
                 "path": path, "idx": idx, "overlay": overlay, "kind": m.kind, "ord": m.order, "box": box(m.box), "rgb": colour(m.rgb), "text": m.text, "xs": m.xs, "size": m.size, "escapement": m.font.escapement,
                 "bold": m.font.weight >= 600, "underline": m.font.underline, "font": m.font.kind, "op": m.op, "raster": m.raster, "pixels": raster and pair((raster.width, raster.height)),
-                "stroke": colour(stroke), "stroke_width": width, "multiply": m.multiply, "clip": box(m.clip), "device": pair(d.device), "frame": pair(d.frame),
+                "stroke": colour(stroke), "stroke_width": width, "multiply": m.multiply, "clip": box(m.clip), "clip_path": m.clip_path, "stored": m.stored, "source": m.source and pair(m.source), "points": sum(1 + sum(map(len, segments)) for _, segments, _ in m.figures), "device": pair(d.device), "frame": pair(d.frame),
             })
     return out
 
@@ -144,6 +146,44 @@ def marks(files: DataFrame) -> DataFrame:
     return _per_file(files, _readable(_marks), MARKS)
 
 
+RASTERS = "path string, idx int, overlay int, raster int, width bigint, height bigint, bits int, ink bigint, sha256 string"
+
+
+def _rasters(path: str, data: bytes, doc: dict) -> list[dict]:
+    return [{"path": path, "idx": idx, "overlay": k, "raster": n, "width": r.width, "height": r.height, "bits": r.bits, "ink": r.ink(), "sha256": hashlib.sha256(r.rows).hexdigest()} for idx, k, d in _each_drawing(data, doc) for n, r in enumerate(d.rasters)]
+
+
+def rasters(files: DataFrame) -> DataFrame:
+    """The bitmaps that sheets and their overlays draw: sizes, how many pixels are black, and a digest of the packed rows."""
+    return _per_file(files, _readable(_rasters), RASTERS)
+
+
+def _pictures(path: str, data: bytes, doc: dict) -> list[dict]:
+    out = []
+    for e in doc["entries"]:
+        d = page_drawing(data, e, doc["entries"]) if e.role == "sheet" else None
+        if d and d.calls:
+            beside = [p for p in doc["entries"] if p.role == "picture" and p.belongs_to == e.idx]
+            found = paired_pictures([size for _, size in d.calls], [p.pixels for p in beside])
+            out += [{"path": path, "idx": e.idx, "stored": n, "source": {"w": size[0], "h": size[1]}, "picture": None if k is None else beside[k].idx, "paths": len(d.paths), "masks": d.shape_masks} for (n, size), k in zip(d.calls, found)]
+    return out
+
+
+def called_pictures(files: DataFrame) -> DataFrame:
+    """Stored pictures that sheets call for, each once, with the entry that holds it: path, idx, stored, source, picture, and how many paths the sheet clips how many marks to."""
+    return _per_file(files, _readable(_pictures), f"path string, idx int, stored int, source {PAIR}, picture int, paths int, masks int")
+
+
+def _bare_texts(path: str, data: bytes, doc: dict) -> list[dict]:
+    found = ((e.idx, bare_text(data[e.at : e.at + e.length])) for e in doc["entries"] if e.kind == "bare")
+    return [{"path": path, "idx": idx, "text": text} for idx, text in found if text]
+
+
+def bare_texts(files: DataFrame) -> DataFrame:
+    """The texts that bare bodies expand to: path, idx, text."""
+    return _per_file(files, _readable(_bare_texts), "path string, idx int, text string")
+
+
 def _skipped(path: str, data: bytes, doc: dict) -> list[dict]:
     return [{"path": path, "idx": idx, "overlay": k, "record": kind, "n": n} for idx, k, d in _each_drawing(data, doc) for kind, n in d.skipped.items()]
 
@@ -168,13 +208,13 @@ def entries(docs: DataFrame) -> DataFrame:
 
 def looks_like(content: Column) -> Column:
     """What bytes that are no container seem to be, by their first ones; null if nothing known."""
-    head = F.substring(content, 1, 512)
-    zips = F.when(F.contains(head, F.lit(b"word/")), "docx").when(F.contains(head, F.lit(b"xl/")), "xlsx").when(F.contains(head, F.lit(b"ppt/")), "pptx").otherwise("zip")
-    begins = lambda raw: F.startswith(content, F.lit(raw))
-    return (
-        F.when(begins(b"%PDF-"), "PDF").when(begins(b"PK\x03\x04"), zips).when(begins(b"\xd0\xcf\x11\xe0"), "CFB").when(begins(b"\xff\xd8\xff"), "JPEG").when(begins(b"\x89PNG"), "PNG")
-        .when(begins(b"II*\0") | begins(b"MM\0*"), "TIFF").when(begins(b"{\\rtf"), "RTF").when(begins(b"<"), "markup")
-    )
+    head, zips = F.substring(content, 1, 512), F.lit("zip")
+    for part, kind in reversed(OFFICE):
+        zips = F.when(F.contains(head, F.lit(part)), kind).otherwise(zips)
+    out = F.lit(None).cast("string")
+    for magic, label in reversed(MAGIC):
+        out = F.when(F.startswith(content, F.lit(magic)), zips if label == "zip" else label).otherwise(out)
+    return out
 
 
 ATTACHMENT = "path string, offset bigint, length bigint, extension string, estimate boolean"
