@@ -43,7 +43,7 @@ def contained(size: tuple[float, float], room: tuple[float, float]) -> tuple[flo
 
 def covers(box: tuple[float, float, float, float], whole: tuple[float, float]) -> bool:
     """Whether a box (left, top, width, height) begins within a twentieth of the edges and spans nine tenths of both sides."""
-    return box[0] * 20 <= whole[0] and box[1] * 20 <= whole[1] and box[2] * 10 >= whole[0] * 9 and box[3] * 10 >= whole[1] * 9
+    return box[0] <= whole[0] // 20 and box[1] <= whole[1] // 20 and box[2] >= whole[0] * 9 // 10 and box[3] >= whole[1] * 9 // 10
 
 
 def em_width(text: str) -> float:

@@ -8,13 +8,32 @@ from dataclasses import dataclass
 import numpy as np
 
 from .carving import Found
+from .compose import Composed, Layer, composed, layer_marks, mask_alpha, masked_pictures
 from .drawing import Drawing, Mark
-from .pages import A4, overlay_drawing, page_drawing
+from .pages import A4
 from .paper import A4_POINTS, contained, em_width, page_points
 from .raster import Raster, jpeg_info
 from .tlv import Entry
 
-NOTES = {"en": ("This page is stored in a coding that cannot be read here.", "Page cannot be read.", "?"), "ja": ("このページの符号化方式は読み取れません。", "読取不可", "?")}
+#: Notes for pages that are lost, the longest first.
+NOTES = {"en": ("Page {} could not be recovered: its coding is not public.", "Page {} not recovered", "?"), "ja": ("{} ページの符号化方式は読み取れません。", "{} 読取不可", "?")}
+GAP = {"en": "Page {} not recovered", "ja": "{} ページは読み取れません"}
+# Where a label's box lies, in shares of the page and in points at least.
+LABEL_RIGHT, LABEL_TOP = (0.10, 8.0), (0.04, 4.0)
+
+
+@dataclass
+class Options:
+    """paper: one size in points for all pages, to which nothing is enlarged. carry: the container itself goes along as a file."""
+
+    lang: str = "en"
+    skip_lost: bool = False
+    name: str = "container"
+    paper: tuple[float, float] | None = None
+    bookmarks: bool = True
+    attach: bool = True
+    carry: bool = False
+    previews: bool = False
 
 
 @dataclass
@@ -23,6 +42,8 @@ class Report:
     recovered: int = 0
     placeholders: int = 0
     attachments: int = 0
+    bookmarks: int = 0
+    skipped: int = 0
 
 
 def number(n: float) -> str:
@@ -70,6 +91,8 @@ class Objects:
 class _Page:
     def __init__(self, objects: Objects, size: tuple[float, float]):
         self.objects, self.size, self.ops, self.images = objects, size, [], {}
+        #: whether text is set in the Japanese font
+        self.wide = False
 
     def op(self, *parts) -> None:
         self.ops.append(" ".join(p if isinstance(p, str) else number(p) for p in parts))
@@ -78,12 +101,21 @@ class _Page:
         name = self.images.setdefault(ref, f"I{len(self.images)}")
         self.op("q", w, 0.0, 0.0, h, left, bottom, f"cm /{name} Do Q")
 
-    def jpeg(self, raw: bytes, box: tuple[float, float, float, float]) -> bool:
+    def jpeg_object(self, raw: bytes, mask: Raster | None = None) -> int | None:
+        """A picture as it is, with a mask at its own size where there is one."""
         found = jpeg_info(raw)
         if not found:
-            return False
+            return None
         space = {1: "/DeviceGray", 4: "/DeviceCMYK /Decode [1 0 1 0 1 0 1 0]"}.get(found.components, "/DeviceRGB")
-        ref = self.objects.stream(f"/Type /XObject /Subtype /Image /Width {found.width} /Height {found.height} /BitsPerComponent 8 /ColorSpace {space} /Filter /DCTDecode", raw, packed=False)
+        alpha = mask_alpha(mask, found.width, found.height) if mask else None
+        size = f"/Type /XObject /Subtype /Image /Width {found.width} /Height {found.height} /BitsPerComponent 8"
+        soft = f" /SMask {self.objects.stream(f'{size} /ColorSpace /DeviceGray', alpha)} 0 R" if alpha else ""
+        return self.objects.stream(f"{size} /ColorSpace {space}{soft} /Filter /DCTDecode", raw, packed=False)
+
+    def jpeg(self, raw: bytes, box: tuple[float, float, float, float]) -> bool:
+        ref = self.jpeg_object(raw)
+        if ref is None:
+            return False
         left, top, w, h = box
         self.image(ref, left, self.size[1] - top - h, w, h)
         return True
@@ -97,42 +129,65 @@ class _Page:
         table = bytes(c for colour in r.palette for c in colour).hex()
         return self.objects.stream(f"{head} /BitsPerComponent {r.bits} /ColorSpace [/Indexed /DeviceRGB {len(r.palette) - 1} <{table}>]", r.rows)
 
-    def drawing(self, d: Drawing, area: tuple[float, float, float, float]) -> None:
-        """Marks in order, scaled from device units to an area (left, top, width, height) of the page."""
+    def drawing(self, layer: Layer, area: tuple[float, float, float, float], stored: dict[int, bytes]) -> None:
+        """Marks in order, scaled from device units to an area (left, top, width, height) of the page. stored: pictures by entry."""
+        d = layer.drawing
         dw, dh = (n if n > 0 else 1 for n in d.device)
         self.op("q", area[2] / dw, 0.0, 0.0, -area[3] / dh, area[0], self.size[1] - area[1], "cm")
-        refs: dict[int, int] = {}
-        for m in sorted(d.marks, key=lambda m: m.order):
+        refs: dict = {}
+        masked = masked_pictures(d, layer.held)
+        for k, m in layer_marks(layer):
+            if k in masked and masked[k] is None:
+                continue
             self.op("q")
             if m.clip:
                 self.op(m.clip[0], m.clip[1], m.clip[2] - m.clip[0], m.clip[3] - m.clip[1], "re W n")
+            if m.clip_path is not None:
+                figures, even_odd = d.paths[m.clip_path]
+                self.path(figures)
+                self.op("W* n" if even_odd else "W n")
             if m.rgb:
                 self.op(*[c / 255 for c in m.rgb], "rg")
-            getattr(self, f"_{m.kind}")(d, m, refs)
+            if m.kind == "image":
+                self.picture(layer, m, refs, stored, masked.get(k))
+            else:
+                getattr(self, f"_{m.kind}")(m)
             self.op("Q")
         self.op("Q")
 
-    def _fill(self, d: Drawing, m: Mark, refs) -> None:
+    def picture(self, layer: Layer, m: Mark, refs: dict, stored: dict[int, bytes], masked) -> None:
+        """A bitmap of the drawing, or a picture that stands beside the sheet; what is nowhere is left out."""
+        d = layer.drawing
+        key = ("masked", masked.picture, masked.mask) if masked else ("own", m.raster) if m.raster is not None else ("stored", layer.held.get(m.stored))
+        if key not in refs:
+            if masked:
+                refs[key] = self.jpeg_object(stored.get(masked.picture, b""), d.rasters[masked.mask])
+            elif m.raster is not None:
+                refs[key] = self.raster(d.rasters[m.raster], m)
+            else:
+                refs[key] = self.jpeg_object(stored.get(layer.held.get(m.stored), b""))
+        if refs[key] is not None:
+            self.image(refs[key], m.box[0], m.box[3], m.box[2] - m.box[0], m.box[1] - m.box[3])
+
+    def _fill(self, m: Mark) -> None:
         self.op(m.box[0], m.box[1], m.box[2] - m.box[0], m.box[3] - m.box[1], "re f")
 
-    def _image(self, d: Drawing, m: Mark, refs) -> None:
-        ref = refs.setdefault(m.raster, 0) or self.raster(d.rasters[m.raster], m)
-        refs[m.raster] = ref
-        self.image(ref, m.box[0], m.box[3], m.box[2] - m.box[0], m.box[1] - m.box[3])
-
-    def _shape(self, d: Drawing, m: Mark, refs) -> None:
-        if m.stroke:
-            self.op(*[c / 255 for c in m.stroke[0]], "RG", m.stroke[1], "w")
-        for start, segments, closed in m.figures:
+    def path(self, figures: list) -> None:
+        for start, segments, closed in figures:
             self.op(*start, "m")
             for seg in segments:
                 self.op(*[n for p in seg for n in p], "l" if len(seg) == 1 else "c")
             if closed:
                 self.op("h")
+
+    def _shape(self, m: Mark) -> None:
+        if m.stroke:
+            self.op(*[c / 255 for c in m.stroke[0]], "RG", m.stroke[1], "w")
+        self.path(m.figures)
         star = "*" if m.even_odd else ""
         self.op("n" if not (m.rgb or m.stroke) else f"B{star}" if m.rgb and m.stroke else f"f{star}" if m.rgb else "S")
 
-    def _text(self, d: Drawing, m: Mark, refs) -> None:
+    def _text(self, m: Mark) -> None:
         turn = np.deg2rad(m.font.escapement / 10)
         cos, sin = float(np.cos(turn)), float(np.sin(turn))
         self.op("BT")
@@ -140,6 +195,7 @@ class _Page:
             self.op("2 Tr", *[c / 255 for c in m.rgb or (0, 0, 0)], "RG", m.size / 40, "w")
         for x, c in zip(m.xs, m.text):
             ascii_ = 32 <= ord(c) < 127
+            self.wide |= not ascii_
             dx = x - m.xs[0]
             # the page is turned over, so glyphs are turned back
             self.op("/FH" if ascii_ else "/FJ", m.size, "Tf", cos, -sin, -sin, -cos, m.xs[0] + dx * cos, m.box[3] - dx * sin, "Tm", text_string(c).decode() if ascii_ else f"<{c.encode('utf-16-be', 'replace').hex()}>", "Tj")
@@ -155,6 +211,7 @@ class _Page:
         for size in (12.0, 7.0, 3.5):
             note = next((n for n in notes if em_width(n) * size <= w - 3 * edge), None)
             if note:
+                self.wide |= not note.isascii()
                 font, raw = ("/FH", text_string(note).decode()) if note.isascii() else ("/FJ", f"<{note.encode('utf-16-be').hex()}>")
                 self.op("BT", font, size, "Tf", (w - em_width(note) * size) / 2, h / 2, "Td", raw, "Tj ET")
                 return
@@ -167,103 +224,115 @@ class _Page:
         return self.objects.add(f"<< /Type /Page /Parent {parent} 0 R /MediaBox [0 0 {size}]{rotate} /Contents {content} 0 R /Resources << /Font << {fonts} >> /XObject << {images} >> >> >>")
 
 
-def _draw_entry(page: _Page, data: bytes, e: Entry, entries: list[Entry], area) -> bool:
-    if e.kind == "jpeg":
-        raw = data[e.at : e.at + e.length]
-        found = jpeg_info(raw)
-        return found is not None and page.jpeg(raw, _within(contained((found.width or 1, found.height or 1), area[2:]), area))
-    d = page_drawing(data, e, entries)
-    if d is not None:
-        page.drawing(d, area)
-        return True
-    pictures = [p for p in entries if p.role == "picture" and p.belongs_to == e.idx and p.kind == "jpeg"]
-    return bool(pictures) and _stack(page, data, pictures, area)
-
-
 def _within(box, area):
     return box[0] + area[0], box[1] + area[1], box[2], box[3]
 
 
-def _stack(page: _Page, data: bytes, pictures: list[Entry], area) -> bool:
+def _stack(page: _Page, raws: list[bytes], area) -> None:
     """Pictures below each other at one scale, as wide and high as the area allows."""
-    raws = [data[p.at : p.at + p.length] for p in pictures]
-    sizes = [(i.width, i.height) if (i := jpeg_info(r)) and i.width and i.height else None for r in raws]
-    good = [(r, s) for r, s in zip(raws, sizes) if s]
+    good = [(r, (i.width, i.height)) for r in raws if (i := jpeg_info(r)) and i.width and i.height]
     if not good:
-        return False
+        return
     k = min(area[2] / max(s[0] for _, s in good), area[3] / sum(s[1] for _, s in good))
     top = area[1]
     for raw, (w, h) in good:
         page.jpeg(raw, (area[0], top, w * k, h * k))
         top += h * k
-    return True
 
 
-def _overlays(page: _Page, overlays, paper, scale) -> bool:
-    drawn = False
-    for o in overlays:
-        d = overlay_drawing(o, paper)
-        if d is not None and d.marks:
-            x, y, w, h = o.area or (0, 0, *paper)
-            page.drawing(d, (x * scale[0], y * scale[1], w * scale[0], h * scale[1]))
-            drawn = True
-    return drawn
+def _own_size(c: Composed) -> tuple[float, float]:
+    """The page's paper in points; without one, that of its one picture at its density."""
+    size = page_points(c.paper)
+    found = jpeg_info(c.layers[0].jpeg) if len(c.layers) == 1 and c.layers[0].jpeg else None
+    if size is None and found and found.width and found.height:
+        size = found.width * 72 / found.dpi_x, found.height * 72 / found.dpi_y
+    return size or A4_POINTS
+
+
+def _label_box(d: Drawing, size: tuple[float, float]) -> tuple[float, float, float, float]:
+    w, h = (max(n, 1) * 72 / 2540 for n in d.frame)
+    left, top = size[0] - max(LABEL_RIGHT[0] * size[0], LABEL_RIGHT[1]) - w, max(LABEL_TOP[0] * size[1], LABEL_TOP[1])
+    return max(left, 0.0), min(top, max(size[1] - h, 0.0)), w, h
+
+
+def _drawn_page(objects: Objects, c: Composed, paper: tuple[float, float] | None, stored: dict[int, bytes]) -> _Page:
+    own = _own_size(c)
+    page = _Page(objects, paper or own)
+    # on paper of another size, the page lies in the middle, and is made smaller but never larger
+    k = min(1.0, page.size[0] / own[0], page.size[1] / own[1])
+    room = ((page.size[0] - own[0] * k) / 2, (page.size[1] - own[1] * k) / 2, own[0] * k, own[1] * k)
+    frame = c.paper or A4
+    scale = room[2] / frame[0], room[3] / frame[1]
+    placed = lambda a: (room[0] + a[0] * scale[0], room[1] + a[1] * scale[1], a[2] * scale[0], a[3] * scale[1]) if a else room
+    stacked = [x.jpeg for x in c.layers if x.role == "picture"]
+    for x in c.layers:
+        if x.role == "picture":
+            if stacked:
+                _stack(page, stacked, placed(x.area))
+                stacked = []
+        elif x.jpeg is not None:
+            found = jpeg_info(x.jpeg)
+            page.jpeg(x.jpeg, _within(contained((found.width or 1, found.height or 1), placed(x.area)[2:]), placed(x.area)))
+        else:
+            page.drawing(x, _label_box(x.drawing, page.size) if x.role == "label" else placed(x.area), stored)
+    return page
 
 
-def document_pdf(data: bytes, doc: dict, attached: list[Found] = (), lang: str = "en", skip_lost: bool = False, name: str = "container") -> tuple[bytes, Report]:
+def document_pdf(data: bytes, doc: dict, attached: list[Found] = (), lang: str = "en", skip_lost: bool = False, name: str = "container", options: Options | None = None) -> tuple[bytes, Report]:
     """A PDF with a page for each logical page, or sheet, of a parsed container, and its original files attached. Pages that cannot
     be read become placeholders, or go with `skip_lost`; numbers of bookmarks count them either way."""
+    o = options or Options(lang, skip_lost, name)
     objects, report = Objects(), Report()
-    root, tree, info = objects.reserve(), objects.reserve(), objects.reserve()
-    plain = objects.add("<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>")
-    descend = objects.add("<< /Type /Font /Subtype /CIDFontType0 /BaseFont /HeiseiMin-W3 /CIDSystemInfo << /Registry (Adobe) /Ordering (Japan1) /Supplement 2 >> /DW 1000 >>")
-    wide = objects.add(f"<< /Type /Font /Subtype /Type0 /BaseFont /HeiseiMin-W3 /Encoding /UniJIS-UTF16-H /DescendantFonts [{descend} 0 R] >>")
-    fonts = f"/FH {plain} 0 R /FJ {wide} 0 R"
-    by = {e.idx: e for e in doc["entries"]}
-    if doc["displays"]:
-        wanted = [(d["paper"], d["rotation"], [(by[m["idx"]], m["area"]) for m in d["members"] if m["idx"] in by], d["overlays"]) for d in doc["displays"]]
-    else:
-        wanted = [(e.paper, e.rotation, [(e, None)], e.overlays) for e in doc["entries"] if e.role == "sheet"]
-    kids, lost = [], []
-    for k, (paper, turn, members, overlays) in enumerate(wanted, 1):
-        size = page_points(paper) or A4_POINTS
-        page, frame = _Page(objects, size), paper or A4
-        scale = (size[0] / frame[0], size[1] / frame[1])
-        areas = [(a[0] * scale[0], a[1] * scale[1], a[2] * scale[0], a[3] * scale[1]) if a and len(members) > 1 else (0.0, 0.0, *size) for _, a in members]
-        drawn = [_draw_entry(page, data, e, doc["entries"], area) for (e, _), area in zip(members, areas)]
-        over = _overlays(page, overlays, frame, scale)
-        if any(drawn) or over or (not members and not overlays):
-            report.recovered += 1
-        else:
-            lost.append((k, len(kids)))
-            if skip_lost:
+    root, tree, info, plain, wide = (objects.reserve() for _ in range(5))
+    objects.add("<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", plain)
+    stored = {e.idx: data[e.at : e.at + e.length] for e in doc["entries"] if e.kind == "jpeg"}
+    pages, made, lost = composed(data, doc, o.previews), [], []
+    for k, c in enumerate(pages, 1):
+        if c.lost:
+            if o.skip_lost:
+                report.skipped += 1
                 continue
-            page.placeholder(NOTES[lang])
+            lost.append((k, len(made)))
+            page = _Page(objects, o.paper or page_points(c.paper) or A4_POINTS)
+            page.placeholder(tuple(n.format(k) for n in NOTES[o.lang]))
             report.placeholders += 1
-        kids.append(page.finish(tree, fonts, turn % 360))
-    if not kids:
-        page = _Page(objects, A4_POINTS)
-        page.placeholder(NOTES[lang])
-        kids.append(page.finish(tree, fonts, 0))
-    report.pages, report.attachments = len(kids), len(attached)
+        else:
+            page = _drawn_page(objects, c, o.paper, stored)
+            report.recovered += 1
+        made.append((page, c.rotation))
+    if not made:
+        page = _Page(objects, o.paper or A4_POINTS)
+        page.placeholder(("No page of this document could be recovered.", "Nothing recovered", "?"))
+        made.append((page, 0))
+    uses = any(page.wide for page, _ in made)
+    if uses:
+        descend = objects.add("<< /Type /Font /Subtype /CIDFontType0 /BaseFont /HeiseiMin-W3 /CIDSystemInfo << /Registry (Adobe) /Ordering (Japan1) /Supplement 2 >> /DW 1000 >>")
+        objects.add(f"<< /Type /Font /Subtype /Type0 /BaseFont /HeiseiMin-W3 /Encoding /UniJIS-UTF16-H /DescendantFonts [{descend} 0 R] >>", wide)
+    fonts = f"/FH {plain} 0 R" + (f" /FJ {wide} 0 R" if uses else "")
+    kids = [page.finish(tree, fonts, turn) for page, turn in made]
+    files = [(f"original{k}.{f.extension}", data[f.offset : f.offset + f.length]) for k, f in enumerate(attached)] if o.attach else []
+    if o.carry:
+        files.append((o.name, data))
+    report.pages, report.attachments = len(kids), len(files)
     objects.add(f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(f'{k} 0 R' for k in kids)}] >>", tree)
     catalog = f"<< /Type /Catalog /Pages {tree} 0 R"
-    if attached:
+    if files:
         names = []
-        for k, f in enumerate(attached):
-            raw = data[f.offset : f.offset + f.length]
-            file = objects.stream(f"/Type /EmbeddedFile /Params << /Size {len(raw)} >>", raw)
-            label = text_string(f"original{k}.{f.extension}").decode()
+        for title, raw in files:
+            file = objects.stream(f"/Type /EmbeddedFile /Params << /Size {len(raw)} >>", raw, packed=False)
+            label = text_string(title).decode()
             spec = objects.add(f"<< /Type /Filespec /F {label} /UF {label} /EF << /F {file} 0 R >> >>")
             names.append(f"{label} {spec} 0 R")
         catalog += f" /Names << /EmbeddedFiles << /Names [{' '.join(names)}] >> >> /PageMode /UseAttachments"
-    if lost and not skip_lost:
+    if lost and o.bookmarks:
         outline, items = objects.reserve(), [objects.reserve() for _ in lost]
         for k, (item, (n, kid)) in enumerate(zip(items, lost)):
             before, after = (f" /Prev {items[k - 1]} 0 R" if k else ""), (f" /Next {items[k + 1]} 0 R" if k + 1 < len(items) else "")
-            objects.add(f"<< /Title (page {n}) /Parent {outline} 0 R{before}{after} /Dest [{kids[kid]} 0 R /Fit] >>", item)
+            title = text_string(GAP[o.lang].format(n)).decode()
+            objects.add(f"<< /Title {title} /Parent {outline} 0 R{before}{after} /Dest [{kids[kid]} 0 R /Fit] >>", item)
         objects.add(f"<< /Type /Outlines /First {items[0]} 0 R /Last {items[-1]} 0 R /Count {len(items)} >>", outline)
-        catalog += f" /Outlines {outline} 0 R" + ("" if attached else " /PageMode /UseOutlines")
+        catalog += f" /Outlines {outline} 0 R" + ("" if files else " /PageMode /UseOutlines")
+        report.bookmarks = len(items)
     objects.add(catalog + " >>", root)
-    objects.add(b"<< /Title " + text_string(name) + f" /Subject (recovered {report.recovered} of {len(wanted)} page(s); {report.placeholders} placeholder(s), {report.attachments} attachment(s)) >>".encode(), info)
+    objects.add(b"<< /Title " + text_string(o.name) + f" /Producer (docquarry) /Subject (recovered {report.recovered} of {len(pages)} page(s); {report.placeholders} placeholder(s), {report.attachments} attachment(s)) >>".encode(), info)
     return objects.finish(root, info), report

@@ -36,14 +36,17 @@ def bounds(marks: DataFrame) -> DataFrame:
 
 
 def masked_pictures(images: DataFrame) -> DataFrame:
-    """Pictures drawn through a mask: xor, and, xor of one box in a row. A call is in one triple at most, the earliest: triples that
-    overlap alternate, as in a walk that goes on behind each one it finds. images: path, idx, ord, op, box."""
+    """Pictures drawn through a mask: a stored picture by xor, an inline one by and, and the stored one by xor again, in one box and clip in a row. A call is in one triple at most, the earliest: triples that
+    overlap alternate, as in a walk that goes on behind each one it finds. images: path, idx, ord, op, box, picture (the entry of a stored one, null for an inline one), source, clip."""
     order = W.partitionBy(*PAGE).orderBy("ord")
     near = F.lit(True)
     for side in ("left", "top", "right", "bottom"):
         for k in (1, 2):
             near = near & (F.abs(F.lead(side, k).over(order) - F.col(side)) <= SAME)
     row = (F.lead("ord", 1).over(order) == F.col("ord") + 1) & (F.lead("ord", 2).over(order) == F.col("ord") + 2)
+    for k in (1, 2):
+        near = near & F.lead("clip", k).over(order).eqNullSafe(F.col("clip"))
+    near = near & F.lead("picture", 1).over(order).isNull() & (F.lead("picture", 2).over(order) == F.col("picture")) & F.lead("source", 2).over(order).eqNullSafe(F.col("source"))
     ops = (F.col("op") == "xor") & (F.lead("op", 1).over(order) == "and") & (F.lead("op", 2).over(order) == "xor")
     starts = images.withColumn("starts", F.coalesce(near & row & ops, F.lit(False))).where("starts")
     # triples that share a call begin two orders apart
@@ -92,9 +95,10 @@ def chained(gaps: DataFrame) -> DataFrame:
 
 
 def upright_columns(texts: DataFrame) -> DataFrame:
-    """Pages whose texts stand upright in columns: three texts or more of one character, one quarter turn, and a text below or above the one before it. texts: path, idx, ord, x, y, text, escapement."""
-    order = W.partitionBy(*PAGE).orderBy("ord")
-    column = (F.abs(F.col("x") - F.lag("x").over(order)) <= 1) & (F.col("y") != F.lag("y").over(order))
-    told = texts.withColumn("column", F.coalesce(column, F.lit(False)))
-    per = told.groupBy(*PAGE).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.min("escapement").alias("lo"), F.max("escapement").alias("hi"), F.max("column").alias("column"))
-    return per.where("n >= 3 and longest = 1 and lo = hi and lo in (900, 2700) and column").select(*PAGE, "n")
+    """Pages whose texts stand upright in columns: three texts or more of one character at one quarter turn, two of them within 1 of one
+    column, and one that is more than 1 off the first one's line. Blank texts do not count. texts: path, idx, ord, x, y, text, escapement."""
+    runs = texts.where("trim(text) <> ''").withColumn("turn", F.pmod(F.col("escapement"), F.lit(3600)))
+    order, by_x = W.partitionBy(*PAGE).orderBy("ord"), W.partitionBy(*PAGE).orderBy("x")
+    told = runs.withColumn("near", F.coalesce(F.col("x") - F.lag("x").over(by_x) <= 1, F.lit(False))).withColumn("off", F.abs(F.col("y") - F.first("y").over(order)) > 1)
+    per = told.groupBy(*PAGE).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.min("turn").alias("lo"), F.max("turn").alias("hi"), F.max("near").alias("near"), F.max("off").alias("off"))
+    return per.where("n >= 3 and longest = 1 and lo = hi and lo in (900, 2700) and near and off").select(*PAGE, "n")

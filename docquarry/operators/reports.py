@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.html import ESCAPES
+
 #: Fixed wording of the triage table.
 NOTES = {
     "ORIGINAL": "carries the source file; extract it directly",
@@ -29,6 +31,13 @@ def fixed(number: Column, digits: int) -> Column:
     return F.call_function("format_number", number.cast("double"), F.lit("0." + "0" * digits))
 
 
+def html_escaped(c: Column) -> Column:
+    """As the HTML writer escapes text."""
+    for a, b in ESCAPES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def csv_cell(c: Column) -> Column:
     """Quoted where it holds a comma, quote or line feed."""
     return F.when(c.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
@@ -109,26 +118,45 @@ def findings(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return both.select("path", F.col("pages").alias("expected"), F.col("seen").alias("observed"), F.inline(found))
 
 
+def size_findings(expected: DataFrame, observed: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Pages whose sizes differ, as findings: path, page, finding, loss. Both sides: path, page, w, h in points."""
+    from .audit import compare
+
+    return compare(expected, observed, tolerance).select("path", "page", F.lit("PageSize").alias("finding"), F.lit(False).alias("loss"))
+
+
+def verified(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """A report for each converted file, a row a line: path, line, text. The last line says whether all is well; where pages are missing there is none. observed: path, pages."""
+    o = observed.select(F.col("path").alias("op"), F.col("pages").alias("seen"))
+    both = expected.join(o, F.col("op") == F.col("path")).select("path", "pages", "seen")
+    head = both.select("path", F.lit(0).alias("line"), F.format_string("%s: container %d page(s), converted file %d page(s)", F.regexp_replace("path", "^.*/", ""), F.col("pages"), F.col("seen")).alias("text"))
+    extra = F.col("observed") - F.col("expected")
+    told = F.when(F.col("finding") == "PageCount", F.when(extra > 0, F.format_string("page count: %d extra", extra)).otherwise(F.format_string("page count: %d missing", -extra)))
+    told = told.when(F.col("finding") == "PreviewsConverted", F.format_string("the %d preview(s) were converted as pages", extra)).otherwise(F.format_string("the %d picture(s) were converted as pages", extra))
+    place = _case(F.col("finding"), {"PageCount": 1, "PreviewsConverted": 2, "PicturesConverted": 3}).cast("int")
+    notes = findings(expected, observed).select("path", place.alias("line"), F.concat(F.lit("  ! "), told).alias("text"))
+    end = both.where("seen >= pages").select("path", F.lit(9).alias("line"), F.when(F.col("seen") == F.col("pages"), "  OK: page counts agree").otherwise("  no page is missing; see the notes above").alias("text"))
+    return head.unionByName(notes).unionByName(end)
+
+
 def streams(docs: DataFrame) -> DataFrame:
     """Coded streams: entries that are not pictures or field tables, previews below their headers, and the properties."""
-    e = docs.where("error_code is null").select("path", F.col("length").alias("file_length"), F.inline("entries").alias(*_ENTRY)).withColumn("head", F.coalesce("below", F.lit(0)) + 16)
+    properties = F.when(F.col("properties_at").isNotNull(), F.array(F.struct(F.size("entries").alias("idx"), F.lit("properties").alias("data_kind"), F.col("properties_at").alias("at"), F.col("properties_stored").alias("length"), F.col("properties_expanded").alias("expanded"))))
+    kept = ("idx", "data_kind", "at", "length", "expanded", "below", "stored", "aux", "code", "method", "colour")
+    kinds = {"idx": "int", "data_kind": "string"}
+    shaped = lambda x, names: F.struct(*[(x[c] if c in names else F.lit(None)).cast(kinds.get(c, "bigint")).alias(c) for c in kept])
+    every = F.concat(F.transform("entries", lambda x: shaped(x, kept)), F.transform(F.coalesce(properties, F.array().cast("array<struct<idx:int,data_kind:string,at:bigint,length:bigint,expanded:bigint>>")), lambda x: shaped(x, ("idx", "data_kind", "at", "length", "expanded"))))
+    e = docs.where("error_code is null").select("path", F.col("length").alias("file_length"), F.inline(every).alias(*[f"entry_{c}" if c == "length" else c for c in kept])).withColumn("head", F.coalesce("below", F.lit(0)) + 16)
     preview = F.col("data_kind") == "preview"
-    own = e.where("data_kind in ('encoded', 'preview', 'bare')").select(
-        "path", "file_length", F.col("idx").alias("entry"), _case(F.col("data_kind"), {"encoded": "page", "preview": "preview", "bare": "bare"}).alias("role"), F.when(preview, F.col("at") + F.col("head")).otherwise(F.col("at")).alias("offset"),
-        F.when(preview, F.least(F.coalesce("stored", F.lit(0)), F.greatest(F.col("entry_length") - F.col("head"), F.lit(0)))).otherwise(F.col("entry_length")).alias("stored"), F.when(F.col("data_kind") == "encoded", F.col("aux")).when(preview, F.coalesce("expanded", F.lit(0))).alias("expanded_declared"),
+    both = e.where("data_kind in ('encoded', 'preview', 'bare', 'properties')").select(
+        "path", "file_length", F.col("idx").alias("entry"), _case(F.col("data_kind"), {"encoded": "page", "preview": "preview", "bare": "bare", "properties": "properties"}).alias("role"), F.when(preview, F.col("at") + F.col("head")).otherwise(F.col("at")).alias("offset"),
+        F.when(preview, F.least(F.coalesce("stored", F.lit(0)), F.greatest(F.col("entry_length") - F.col("head"), F.lit(0)))).otherwise(F.col("entry_length")).alias("stored"), F.when(F.col("data_kind") == "encoded", F.col("aux")).when(preview, F.coalesce("expanded", F.lit(0))).when(F.col("data_kind") == "properties", F.col("expanded")).alias("expanded_declared"),
         F.when(F.col("data_kind") == "encoded", F.col("code").cast("string")).otherwise(F.col("data_kind")).alias("kind"), F.when(F.col("data_kind") == "encoded", F.col("method")).alias("method"), F.when(F.col("data_kind") == "encoded", F.col("colour")).alias("colour"),
     )
-    block = docs.where("error_code is null and properties_at is not null").select(
-        "path", F.col("length").alias("file_length"), F.size("entries").alias("entry"), F.lit("properties").alias("role"), F.col("properties_at").alias("offset"), F.col("properties_stored").alias("stored"), F.col("properties_expanded").alias("expanded_declared"),
-        F.lit("properties").alias("kind"), F.lit(None).cast("long").alias("method"), F.lit(None).cast("long").alias("colour"),
-    )
-    both = own.unionByName(block).where("stored > 0 and offset + stored <= file_length").drop("file_length")
+    both = both.where("stored > 0 and offset + stored <= file_length").drop("file_length")
     return both.withColumn("ratio", fixed(F.col("expanded_declared") / F.col("stored"), 2))
 
 
-_ENTRY = ["idx", "role", "belongs_to", "data_kind", "offset", "at", "entry_length", "checksum", "paper", "pixels", "code", "aux", "method", "stored", "expanded", "rows", "colour", "below", "rotation", "overlays", "unknown"]
-
-
 def leanest(streams: DataFrame) -> DataFrame:
     """The stream that expands most, by path and entry on ties."""
     ratio = F.col("expanded_declared") / F.col("stored")

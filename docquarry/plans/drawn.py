@@ -305,3 +305,33 @@ def shown_lines(lines: list[tuple]) -> bytes:
         if flag == "A":
             records.append(content(0, overlay(emf([text(10, 20, f"note {o}".encode(), [5] * (6 + (o > 9)))]))))
     return shown_container(pages, records)
+
+
+def overlaid(lines: list[tuple]) -> bytes:
+    """One page. R: a small preview under a text that spans it. A: a coarse bitmap, of even quantities under a drawing. N: a picture with a text at a point."""
+    ((_, q, flag, _),) = lines
+    page_record, begun = shown_page(A4), content(0)
+    note = overlay(emf([text(10, 20, b"note", [5] * 4)]))
+    if flag == "R":
+        return shown_container([preview()], [page_record, begun, box(10, 20, 19000 + q, 27000), content(0, note)])
+    if flag == "A":
+        coarse = coded_page(emf([stretched(0, 0, *DEVICE, (0, 0, 8, 8), bitmap(8, 8, 1, BLACK_WHITE, [b"\x55"] * 8), 0xCC0020)]))
+        return shown_container([coarse], [page_record, begun, *([content(0, overlay(emf([blit(1, 2, 3, 4)])))] if q % 2 == 0 else [])])
+    return shown_container([raw_jpeg(100 + q, 200)], [page_record, begun, box(100, 200, 1000, 500), content(0, note)])
+
+
+def labelled(lines: list[tuple]) -> bytes:
+    """A picture, and a small sheet with a number, which of kind N is no plain label."""
+    ((_, q, flag, part),) = lines
+    raw = f"SN-{part}{'*' if flag == 'N' else ''}".encode()
+    return container([raw_jpeg(100 + q, 200), coded_page(emf([text(10, 20, raw, [5] * len(raw))]), (2000 + q, 1200))])
+
+
+def masked_upright(lines: list[tuple]) -> bytes:
+    """A stored picture drawn through a mask, which lies elsewhere in kind N, over texts that stand upright in a column in kind R."""
+    ((_, q, flag, _),) = lines
+    mask = inline_picture(bitmap(8, 8, 1, BLACK_WHITE, [b"\x0F"] * 8))
+    at = (q, q, 500, 400)
+    through = [comment(b"DWb\0"), placed(*at, 100 + q, 50, 0x660046), mask, placed(q + (flag == "N"), q, 500, 400, 8, 8, 0x8800C6), comment(b"DWb\0"), placed(*at, 100 + q, 50, 0x660046)]
+    column = [font(1, -90, 900, 400, False), words(37, 1), *(text(1000 + (k * 50 if flag == "A" else 0), 1000 + 100 * k, b"abc"[k : k + 1], [9]) for k in range(3))] if flag != "N" else []
+    return container([coded_page(emf(through + column)), raw_jpeg(100 + q, 50), preview()])

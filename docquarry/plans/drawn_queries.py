@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lzh import expand_all, stored
 from ..operators import audit, marks, reports
+from ..operators.service import Service, output_totals, stream_totals, tally
 from ..sources import containers as src
 from ..sources import renders
 from . import drawn
@@ -153,6 +154,88 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("path", F.col("pages").cast("bigint").alias("pages"), F.col("gaps").cast("bigint").alias("gaps"), (F.size(F.split("html", "data:image/jpeg")) - 1).cast("bigint").alias("jpegs"))
 
 
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container for each part."""
+    return _lines(spark, sf_dir).withColumn("l_orderkey", F.col("l_partkey"))
+
+
+def replaced_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose bodies an overlay replaces."""
+    return renders.pages(drawn.of_lines(_single(spark, sf_dir), drawn.overlaid))
+
+
+def page_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same pages are made of."""
+    found = renders.layers(drawn.of_lines(_single(spark, sf_dir), drawn.overlaid))
+    return found.select("path", "page", "layer", "role", "kinds", F.coalesce("area.w", F.lit(0)).cast("bigint").alias("area_w"))
+
+
+def sheet_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small sheets that are drawn on the picture before them."""
+    found = renders.layers(drawn.of_lines(_single(spark, sf_dir), drawn.labelled))
+    return found.select("path", "page", "layer", "role", F.coalesce("label", F.lit("")).alias("label"))
+
+
+def masked_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures through masks, and texts that stand upright."""
+    return renders.layers(drawn.of_lines(_single(spark, sf_dir), drawn.masked_upright)).select("path", "masked", "stored", "upright")
+
+
+def output_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF and HTML with other options: lost pages left out, no bookmarks, the container carried along."""
+    files = drawn.of_lines(_lines(spark, sf_dir), lambda lines: container([p for o, q, flag, part in lines for p in (raw_jpeg(100 + q, 200) if flag == "R" else coded(21000, 29700), preview())]))
+    lean = renders.pdfs(files, skip_lost=True, carry=True).select("path", "pages", "skipped", "bookmarks", "attachments")
+    full = renders.pdfs(files, paper=(500.0, 500.0)).select("path", F.col("bookmarks").alias("all_bookmarks"), (F.size(F.split(F.hex("pdf"), b"[0 0 500 500]".hex().upper())) - 1).alias("same_size"), F.contains(F.col("pdf"), F.lit(b"/Type0")).alias("wide_font"))
+    text = renders.htmls(files, skip_lost=True).select("path", F.col("pages").alias("html_pages"), F.col("skipped").alias("html_skipped"), F.contains("html", F.lit("No page of this document")).alias("empty"))
+    return lean.join(full, "path").join(text, "path")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R: a picture. A: a page that decodes. N: one that does not, with an original behind it."""
+
+    def make(lines: list[tuple]) -> bytes:
+        pages = [p for o, q, flag, part in lines for p in (raw_jpeg(100 + q, 200) if flag == "R" else drawn.coded_page(drawn.emf(drawn.line_emf(o, q, flag, part))) if flag == "A" else coded(21000, 29700), preview())]
+        if all(flag == "N" for _, _, flag, _ in lines):
+            pages[-1] = drawn.bare_page(b"%PDF-1.4 original %%EOF")
+        return container(pages)
+
+    return drawn.of_lines(_lines(spark, sf_dir), make)
+
+
+def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage with decoding, originals and verdicts, in one pass."""
+    return Service().analyze(_mixed(spark, sf_dir)).select("path", "generation", "entries", "sheets", "sheets_recovered", "thumbnails", "sheets_blank", "attachments", "verdict")
+
+
+def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tally of an archive in which some files are no containers."""
+    other = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return tally(Service().analyze(_mixed(spark, sf_dir).unionByName(other)))
+
+
+def checked_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded streams that expand as they declare."""
+    return stream_totals(Service().check_streams(_mixed(spark, sf_dir)))
+
+
+def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversions whose page counts are the quantities of parts by five."""
+    docs = src.parsed(_mixed(spark, sf_dir))
+    expected = reports.expectation(docs, audit.coverage(src.entries(docs)))
+    seen = _lines(spark, sf_dir).groupBy("l_orderkey").agg((F.max("l_quantity") % 9).cast("bigint").alias("pages")).select(F.concat(F.lit("order"), F.col("l_orderkey").cast("string"), F.lit(".xdw")).alias("path"), "pages")
+    return reports.verified(expected, seen)
+
+
+def pdf_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output_totals(renders.pdfs(_mixed(spark, sf_dir)))
+
+
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of coded streams of documents with properties, row by row."""
+    found = reports.streams(src.parsed(drawn.of_lines(_lines(spark, sf_dir), drawn.shown_lines)))
+    return found.groupBy("role").agg(F.count("*").alias("n"), F.min("kind").alias("kind"), F.count("expanded_declared").cast("bigint").alias("declared"), F.max("entry").alias("last_entry"))
+
+
 def placed_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pictures that pages call for, and the entry that holds each: the first unused of its size, or else the last."""
     found = src.called_pictures(_made(spark, sf_dir, drawn.comment_pages))
@@ -166,11 +249,38 @@ def comment_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "ord", "kind", whole("left"), whole("top"), whole("right"), whole("bottom"), F.coalesce("op", F.lit("")).alias("op"), F.coalesce("clip_path", F.lit(-1)).alias("clip_path"), "points")
 
 
-QUERIES = {f.__name__: f for f in (placed_pictures, comment_marks, metafile_marks, page_lines, skipped, fax_ink, drawn_bitmaps, decoded_coverage, display_pages, overlay_notes, logical_pages, expanded_texts, carved_zips, triage_table, extractable, pdf_pages, html_pages)}
+QUERIES = {f.__name__: f for f in (analysis, verdict_tally, checked_streams, verify_report, pdf_totals, stream_index, replaced_bodies, page_layers, sheet_labels, masked_layers, output_options, placed_pictures, comment_marks, metafile_marks, page_lines, skipped, fax_ink, drawn_bitmaps, decoded_coverage, display_pages, overlay_notes, logical_pages, expanded_texts, carved_zips, triage_table, extractable, pdf_pages, html_pages)}
 
 _L = """WITH l AS (SELECT 'order' || p_partkey // 4 || '.xdw' AS path, row_number() OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey) AS o, CAST(p_size AS BIGINT) AS q, CASE p_partkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END AS flag FROM part)"""
 
+_P = "WITH p AS (SELECT 'order' || p_partkey || '.xdw' AS path, CAST(p_size AS BIGINT) AS q, CASE p_partkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END AS flag, p_partkey AS part FROM part)"
+
+# a container of parts of kind N alone has an original; parts four in a row are of all kinds but at the ends of the table
+_M = _L + """, c AS (SELECT path, count(*) AS n, count(*) FILTER (flag = 'R') AS r, count(*) FILTER (flag = 'A') AS a, max(q) AS most FROM l GROUP BY path),
+  d AS (SELECT path, n, r + a AS ok, n - r - a AS blank, CASE WHEN r + a = 0 THEN 1 ELSE 0 END AS att, most FROM c),
+  v AS (SELECT *, CASE WHEN att > 0 THEN 'ORIGINAL' WHEN ok = n THEN 'ALL' WHEN ok > 0 THEN 'SOME' ELSE 'NONE' END AS verdict FROM d)"""
+
 ORACLE_SQL = {
+    "analysis": _M + " SELECT path, CAST(7 AS BIGINT) AS generation, CAST(2 * n AS INTEGER) AS entries, n AS sheets, ok AS sheets_recovered, n - att AS thumbnails, blank AS sheets_blank, CAST(att AS INTEGER) AS attachments, verdict FROM v",
+    "verdict_tally": _M + """, t AS (SELECT verdict, count(*) AS files, CAST(sum(n) AS BIGINT) AS sheets, CAST(sum(blank) AS BIGINT) AS blank FROM v GROUP BY verdict UNION ALL SELECT 'OTHER', count(*), 0, 0 FROM pages)
+  SELECT verdict, files, sheets, blank, CAST(NULL AS VARCHAR) AS blank_percent FROM t UNION ALL SELECT 'TOTAL', CAST(sum(files) AS BIGINT), CAST(sum(sheets) AS BIGINT), CAST(sum(blank) AS BIGINT), printf('%.0f', 100.0 * sum(blank) / sum(sheets)) FROM t""",
+    "checked_streams": _M + ", f AS (SELECT count(*) AS n, count(*) FILTER (flag = 'A') AS a, count(*) FILTER (flag = 'N') AS b FROM l) SELECT n + a + b - (SELECT CAST(sum(att) AS BIGINT) FROM v) AS streams, a AS expanded, a AS enhanced FROM f",
+    "verify_report": _M + """, w AS (SELECT path, n, n - att AS previews, most % 9 AS seen FROM v)
+  SELECT path, CAST(0 AS INTEGER) AS line, path || ': container ' || n || ' page(s), converted file ' || seen || ' page(s)' AS text FROM w
+  UNION ALL SELECT path, 1, CASE WHEN seen > n THEN '  ! page count: ' || seen - n || ' extra' ELSE '  ! page count: ' || n - seen || ' missing' END FROM w WHERE seen <> n
+  UNION ALL SELECT path, 2, '  ! the ' || previews || ' preview(s) were converted as pages' FROM w WHERE seen - n = previews AND previews > 0
+  UNION ALL SELECT path, 9, CASE WHEN seen = n THEN '  OK: page counts agree' ELSE '  no page is missing; see the notes above' END FROM w WHERE seen >= n""",
+    "pdf_totals": _M + " SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS pages, CAST(sum(ok) AS BIGINT) AS recovered, CAST(sum(blank) AS BIGINT) AS placeholders, CAST(sum(att) AS BIGINT) AS attachments FROM v",
+    "stream_index": _L + """, n AS (SELECT path, count(*) AS k FROM l GROUP BY path) SELECT 'preview' AS role, count(*) AS n, 'preview' AS kind, count(*) AS declared, CAST(max(2 * o - 1) AS INTEGER) AS last_entry FROM l
+  UNION ALL SELECT 'properties', count(*), 'properties', count(*), CAST(max(2 * k) AS INTEGER) FROM n""",
+    "replaced_bodies": _P + " SELECT path, CAST(1 AS INTEGER) AS page, CAST(CASE WHEN flag = 'N' THEN 2 ELSE 1 END AS INTEGER) AS layers, CAST(CASE WHEN flag = 'R' OR flag = 'A' AND q % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS replaced, false AS lost FROM p",
+    "page_layers": _P + """ SELECT path, CAST(1 AS INTEGER) AS page, CAST(0 AS INTEGER) AS layer, CASE WHEN flag = 'N' OR flag = 'A' AND q % 2 = 1 THEN 'body' ELSE 'overlay' END AS role, CASE WHEN flag = 'N' THEN 'jpeg' WHEN flag = 'R' THEN 'text' WHEN q % 2 = 1 THEN 'image' ELSE 'fill' END AS kinds,
+  CASE WHEN flag = 'R' THEN 19000 + q ELSE 0 END AS area_w FROM p UNION ALL SELECT path, 1, 1, 'note', 'text', 21000 FROM p WHERE flag = 'N'""",
+    "sheet_labels": _P + """ SELECT path, CAST(1 AS INTEGER) AS page, CAST(0 AS INTEGER) AS layer, 'body' AS role, '' AS label FROM p
+  UNION ALL SELECT path, CASE WHEN flag = 'N' THEN 2 ELSE 1 END, CASE WHEN flag = 'N' THEN 0 ELSE 1 END, CASE WHEN flag = 'N' THEN 'body' ELSE 'label' END, CASE WHEN flag = 'N' THEN '' ELSE 'SN-' || part END FROM p""",
+    "masked_layers": _P + " SELECT path, CAST(CASE WHEN flag = 'N' THEN 0 ELSE 1 END AS INTEGER) AS masked, CAST(2 AS INTEGER) AS stored, flag = 'R' AS upright FROM p",
+    "output_options": _L + """ SELECT path, CAST(greatest(count(*) FILTER (flag = 'R'), 1) AS INTEGER) AS pages, CAST(count(*) FILTER (flag <> 'R') AS INTEGER) AS skipped, CAST(0 AS INTEGER) AS bookmarks, CAST(1 AS INTEGER) AS attachments, CAST(count(*) FILTER (flag <> 'R') AS INTEGER) AS all_bookmarks,
+  CAST(count(*) AS INTEGER) AS same_size, false AS wide_font, CAST(count(*) FILTER (flag = 'R') AS INTEGER) AS html_pages, CAST(count(*) FILTER (flag <> 'R') AS INTEGER) AS html_skipped, count(*) FILTER (flag = 'R') = 0 AS empty FROM l GROUP BY path""",
     "placed_pictures": _L + """, p AS (SELECT *, row_number() OVER (PARTITION BY path, q ORDER BY o) AS nth, count(*) OVER (PARTITION BY path) AS n FROM l)
   SELECT path, CAST(o - 1 AS INTEGER) AS stored, 100 + q AS w, CAST(50 AS BIGINT) AS h, CAST(o AS INTEGER) AS picture, CAST(1 AS INTEGER) AS paths, CAST(n AS INTEGER) AS masks FROM p""",
     "comment_marks": _L + """ SELECT path, CAST(3 * o - 2 AS INTEGER) AS ord, 'image' AS kind, 10 * q AS "left", CAST(10 * o AS BIGINT) AS top, 10 * q + 100 AS "right", CAST(10 * o + 200 AS BIGINT) AS bottom, 'copy' AS op, CAST(-1 AS INTEGER) AS clip_path, CAST(0 AS INTEGER) AS points FROM l

@@ -37,7 +37,7 @@ def mark_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.lit(1.0)
-    made = _lines(spark, sf_dir).select("path", "idx", "ord", F.when(F.col("ord") % 2 == 1, "xor").otherwise("and").alias("op"), side.alias("left"), side.alias("top"), side.alias("right"), F.floor(F.col("q") / 26).cast("double").alias("bottom"))
+    made = _lines(spark, sf_dir).select("path", "idx", "ord", F.when(F.col("ord") % 2 == 1, "xor").otherwise("and").alias("op"), side.alias("left"), side.alias("top"), side.alias("right"), F.floor(F.col("q") / 26).cast("double").alias("bottom"), F.when(F.col("ord") % 2 == 1, F.col("part") % 3).alias("picture"), F.lit(1).alias("source"), F.when(F.col("flag") == "R", 1).alias("clip"))
     return marks.masked_pictures(made).select("path", "first")
 
 
@@ -82,8 +82,8 @@ ORACLE_SQL = {
   max(q + 10 + CASE WHEN flag = 'R' THEN 1.0::DOUBLE ELSE 0 END) AS "right", max(q + 5 + CASE WHEN flag = 'R' THEN 1.0::DOUBLE ELSE 0 END) AS bottom FROM l GROUP BY path""",
     "mark_order": _LINES + """, m AS (SELECT path, ord // 2 AS o, q, part, CASE flag WHEN 'R' THEN 'text' WHEN 'A' THEN 'image' ELSE 'fill' END AS kind FROM l)
   SELECT path, string_agg(kind, ',' ORDER BY kind = 'text', o, kind, q, part) AS kinds FROM m GROUP BY path""",
-    "masked_pictures": "WITH RECURSIVE " + _LINES[5:] + """, b AS (SELECT path, ord, q // 26 AS side, lead(q // 26) OVER w AS s1, lead(q // 26, 2) OVER w AS s2 FROM l WINDOW w AS (PARTITION BY path ORDER BY ord)),
-  t AS (SELECT path, ord FROM b WHERE ord % 2 = 1 AND side = s1 AND side = s2),
+    "masked_pictures": "WITH RECURSIVE " + _LINES[5:] + """, b AS (SELECT path, ord, q // 26 AS side, lead(q // 26) OVER w AS s1, lead(q // 26, 2) OVER w AS s2, part % 3 AS pic, lead(part % 3, 2) OVER w AS pic2, flag = 'R' AS clip, lead(flag = 'R') OVER w AS c1, lead(flag = 'R', 2) OVER w AS c2 FROM l WINDOW w AS (PARTITION BY path ORDER BY ord)),
+  t AS (SELECT path, ord FROM b WHERE ord % 2 = 1 AND side = s1 AND side = s2 AND pic = pic2 AND clip = c1 AND clip = c2),
   r AS (SELECT path, min(ord) AS ord FROM t GROUP BY path UNION ALL SELECT r.path, (SELECT min(t.ord) FROM t WHERE t.path = r.path AND t.ord > r.ord + 2) FROM r WHERE r.ord IS NOT NULL)
   SELECT path, ord AS first FROM r WHERE ord IS NOT NULL""",
     "number_runs": """WITH i AS (SELECT DISTINCT o_custkey AS grp, CAST(floor(o_orderkey / 64) AS BIGINT) AS id FROM orders),

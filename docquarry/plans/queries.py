@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import audit
+from ..operators import audit, reports
 from ..sources import containers as src
 from . import drawn_queries, mark_queries
 from .fixtures import order_containers
@@ -45,23 +44,18 @@ def sniff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", t.alias("escaped"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", reports.html_escaped(F.col("text")).alias("escaped"))
 
 
 def csv_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    quoted = F.when(t.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", quoted.alias("cell"))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", reports.csv_cell(F.col("text")).alias("cell"))
 
 
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The n-th use of a stem gets ~n."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return docs.select("doc_id", F.when(n == 1, F.col("source")).otherwise(F.concat_ws("~", "source", n.cast("string"))).alias("name"))
+    """Names of outputs for files that lie in a folder for each document and are named by its source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    paths = docs.select(F.concat_ws("/", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.concat("source", F.lit(".xdw"))).alias("path"))
+    return reports.output_stems(paths).select(F.split("path", "/")[0].cast("bigint").alias("doc_id"), F.col("stem").alias("name"))
 
 
 def carve(spark: SparkSession, sf_dir: str) -> DataFrame:

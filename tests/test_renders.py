@@ -43,12 +43,12 @@ def test_strings():
 
 def test_html_is_well_formed():
     data = container([drawing_page(DRAWN), coded(21000, 29700), raw_jpeg(9, 9)])
-    text, pages, gaps = document_html(data, parse(data), name="<x>")
-    assert pages == 2 and gaps == 0 and 'id="p2"' in text
+    text, r = document_html(data, parse(data), name="<x>")
+    assert r.pages == 2 and r.gaps == 0 and 'id="p2"' in text
     (drawing,) = re.findall(r"<svg.*?</svg>", text)
     assert minidom.parseString(drawing).getElementsByTagName("text")[0].firstChild.data == "a<あ"
     lost = container([coded(21000, 29700)])
-    assert document_html(lost, parse(lost))[1:] == (1, 1)
+    assert (document_html(lost, parse(lost))[1].pages, document_html(lost, parse(lost))[1].gaps) == (1, 1)
     assert file_stem("/a/b c.x.y") == "b_c"
 
 
