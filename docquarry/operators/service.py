@@ -56,14 +56,16 @@ class Service:
     def analyze(self, files: DataFrame) -> DataFrame:
         """Coverage with decoding, originals and verdict of each file, in one pass over its bytes. Files that are no container say what they are. files: path, content."""
 
+        parse, scan, readable, recovered = self.parse, self.scan, self.readable, self.recovered  # tasks get these alone
+
         def rows(path: str, data: bytes) -> list[dict]:
             try:
-                doc = self.parse(data)
+                doc = parse(data)
             except ContainerError as e:
                 return [{"path": path, "bytes": len(data), "error_code": e.code, "error_detail": e.detail}]
             own = doc["entries"]
-            usable = lambda e: self.readable(e) or (e.role == "sheet" and self.recovered(data, e, own))
-            return [{"path": path, "bytes": len(data), "generation": doc["generation"], "entries": len(own), "attachments": len(self.scan(data))} | counted(own, usable)]
+            usable = lambda e: readable(e) or (e.role == "sheet" and recovered(data, e, own))
+            return [{"path": path, "bytes": len(data), "generation": doc["generation"], "entries": len(own), "attachments": len(scan(data))} | counted(own, usable)]
 
         found = _per_file(files, rows, ANALYSIS)
         return found.withColumn("verdict", F.when(F.col("error_code").isNull(), audit.verdict(F.col("attachments"))).when(F.col("error_code") == "NotAContainer", "OTHER"))
@@ -71,9 +73,11 @@ class Service:
     def check_streams(self, files: DataFrame) -> DataFrame:
         """Whether each coded stream expands to the size that it declares, and whether pages then are enhanced metafiles."""
 
+        parse = self.parse
+
         def rows(path: str, data: bytes) -> list[dict]:
             try:
-                doc = self.parse(data)
+                doc = parse(data)
             except ContainerError:
                 return []
             out = []

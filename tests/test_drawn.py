@@ -1,27 +1,14 @@
-"""Queries over drawn containers against SQL on the rows that they are drawn from, and private comments by their bytes."""
+"""Private comments by their bytes, options of the writers, exchangeable parts."""
 
 import struct
 
-import duckdb
-import pytest
-
+from docquarry.functions import html, pdf
 from docquarry.functions.comments import coded_points
+from docquarry.functions.container import parse, sniffed
 from docquarry.functions.metafile import metafile
-from docquarry.plans import drawn, drawn_queries
-
-DATA = "/root/testdata/sf0.001"
-
-
-@pytest.mark.parametrize("name", sorted(drawn_queries.QUERIES))
-def test_query(spark, name):
-    got = drawn_queries.QUERIES[name](spark, DATA)
-    sql = duckdb.connect()
-    for t in ("part", "documents", "pages"):
-        sql.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    want = sql.execute(drawn_queries.ORACLE_SQL[name])
-    columns = [c[0] for c in want.description]
-    assert sorted(columns) == sorted(got.columns)
-    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+from docquarry.operators.service import Service, tally
+from docquarry.plans import drawn
+from docquarry.plans.fixtures import coded, container, preview, raw_jpeg
 
 
 def test_points():
@@ -53,3 +40,57 @@ def test_pictures_placed():
     assert d.stored == 1 and d.sizes == [(128, 64)] and d.calls == [(0, (128, 64))] and d.skipped == {70: 1}
     w = metafile(drawn.wmf([drawn.shorts(0x020C, 100, 200), drawn.shorts(0x0416, 40, 30, 20, 10), drawn.comment_16(b"DW\x02\x01"), drawn.comment_16(b"DW\x02\x02"), drawn.comment_16(b"DW\x02\x02", struct.pack("<8h", 1, 2, 3, 4, 0, 0, 5, 6))]), drawn.A4)
     assert [(m.stored, m.source, m.box) for m in w.marks] == [(0, (0, 0), (10.0, 20.0, 30.0, 40.0)), (0, (5, 6), (1.0, 2.0, 4.0, 6.0))]
+
+
+def test_pdf_options():
+    data = container([raw_jpeg(100, 100), coded(21000, 29700), coded(7800, 3100)])
+    build = lambda **o: pdf.document_pdf(data, parse(data), options=pdf.Options(**o))
+    raw, r = build(paper=(595.32, 841.92))
+    assert raw.count(b"/MediaBox [0 0 595.32 841.92]") == r.pages == 3 and b"/Type0" not in raw and (r.placeholders, r.bookmarks) == (2, 2)
+    assert b"Page 2 not recovered" in raw and b"Page 3 not recovered" in raw and b"/Prev" in raw and b"/Next" in raw
+    raw, r = build(bookmarks=False, carry=True, name="source.xdw")
+    assert b"/Outlines" not in raw and r.attachments == 1 and data in raw and b".xdw)" in raw
+    raw, r = build(skip_lost=True, lang="ja", name="日本")
+    assert (r.pages, r.skipped) == (1, 2) and b"/Title <FEFF65E5672C>" in raw
+
+
+def test_pictures_are_not_enlarged():
+    import re
+    import zlib
+
+    data = container([raw_jpeg(100, 100)])
+    raw, _ = pdf.document_pdf(data, parse(data), options=pdf.Options(paper=(595.32, 841.92)))
+    drawn_ops = b"".join(zlib.decompress(x) for x in re.findall(rb"FlateDecode /Length \d+ >>\nstream\n(.*?)\nendstream", raw, re.S))
+    assert b"q 100 0 0 100 " in drawn_ops
+
+
+def test_html_options():
+    data = container([coded(21000, 29700), preview(), raw_jpeg(300, 200)])
+    text, r = html.document_html(data, parse(data), options=html.Options(skip_lost=True, name="<script>", carry=True))
+    assert (r.gaps, r.skipped, r.attachments) == (0, 1, 1) and 'class="gap"' not in text and "<title>&lt;script&gt;</title>" in text
+    none = container([coded(21000, 29700)])
+    text, _ = html.document_html(none, parse(none), options=html.Options(skip_lost=True))
+    assert html.NOTHING["en"] in text and text.endswith("</html>\n")
+
+
+def test_shared_bitmap_keeps_its_colours():
+    dib = drawn.bitmap(8, 1, 1, [(255, 255, 255), (0, 0, 0)], [b"\xF0"])
+    body = drawn.emf([drawn.inline_picture(dib), drawn.placed(0, 0, 8, 2, 8, 1, 0x8800C6), drawn.placed(0, 5, 8, 2, 8, 1, 0xCC0020)])
+    data = container([drawn.coded_page(body)])
+    before = metafile(body, drawn.A4).rasters[0].palette
+    text, _ = html.document_html(data, parse(data))
+    assert text.count("<image") == 2 and metafile(body, drawn.A4).rasters[0].palette == before
+
+
+def test_parts_of_the_service_can_be_exchanged(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"%PDF-1.4")), ("c", bytearray(container([coded(1, 1), preview()])))], "path string, content binary")
+    plain = {r["path"]: r for r in Service().analyze(files).collect()}
+    assert plain["a"]["verdict"] is None and (plain["b"]["verdict"], plain["b"]["error_detail"]) == ("OTHER", "PDF") and plain["c"]["verdict"] == "NONE"
+    assert {r["verdict"]: r["files"] for r in tally(Service().analyze(files)).collect()} == {"FAILED": 1, "OTHER": 1, "NONE": 1, "TOTAL": 2}
+    own = Service(read=lambda spark, folder: files, parse=lambda data: parse(container([coded(1, 1)])), scan=lambda data: [1, 2], recovered=lambda *a: True)
+    got = own.analyze(own.open(spark, "nowhere")).collect()
+    assert {(r["sheets"], r["sheets_recovered"], r["attachments"], r["verdict"]) for r in got} == {(1, 1, 2, "ORIGINAL")}
+
+
+def test_sniffed():
+    assert [sniffed(b) for b in (b"<html>", b"<!DOCTYPE x", b"<?xml", b"<p>", b"\x89PNG", b"\x89PNG\r\n\x1a\n", b"PK\3\4..xl/", b"PK\3\4")] == ["markup", "markup", "markup", None, None, "PNG", "xlsx", "zip"]
