@@ -14,6 +14,7 @@ from .pages import A4
 from .paper import A4_POINTS, contained, em_width, page_points
 from .raster import Raster, jpeg_info
 from .tlv import Entry
+from .ttf import FontFile, font_file, to_unicode, widths
 
 #: Notes for pages that are lost, the longest first.
 NOTES = {"en": ("Page {} could not be recovered: its coding is not public.", "Page {} not recovered", "?"), "ja": ("{} ページの符号化方式は読み取れません。", "{} 読取不可", "?")}
@@ -34,6 +35,8 @@ class Options:
     attach: bool = True
     carry: bool = False
     previews: bool = False
+    #: a TrueType font that is embedded for characters that are not ASCII; others are set in a Japanese font that readers have
+    font: bytes | None = None
 
 
 @dataclass
@@ -44,6 +47,7 @@ class Report:
     attachments: int = 0
     bookmarks: int = 0
     skipped: int = 0
+    glyphs: int = 0
 
 
 def number(n: float) -> str:
@@ -89,8 +93,11 @@ class Objects:
 
 
 class _Page:
-    def __init__(self, objects: Objects, size: tuple[float, float]):
-        self.objects, self.size, self.ops, self.images = objects, size, [], {}
+    def __init__(self, objects: Objects, size: tuple[float, float], font: FontFile | None = None):
+        self.objects, self.size, self.ops, self.images, self.font = objects, size, [], {}, font
+        #: glyphs of the embedded font with their characters, and how many glyphs are set
+        self.own: dict[int, str] = {}
+        self.glyphs = 0
         #: whether text is set in the Japanese font
         self.wide = False
 
@@ -194,15 +201,26 @@ class _Page:
         if m.font.weight >= 600:
             self.op("2 Tr", *[c / 255 for c in m.rgb or (0, 0, 0)], "RG", m.size / 40, "w")
         for x, c in zip(m.xs, m.text):
-            ascii_ = 32 <= ord(c) < 127
-            self.wide |= not ascii_
+            name, raw = self.glyph(c)
             dx = x - m.xs[0]
             # the page is turned over, so glyphs are turned back
-            self.op("/FH" if ascii_ else "/FJ", m.size, "Tf", cos, -sin, -sin, -cos, m.xs[0] + dx * cos, m.box[3] - dx * sin, "Tm", text_string(c).decode() if ascii_ else f"<{c.encode('utf-16-be', 'replace').hex()}>", "Tj")
+            self.op(name, m.size, "Tf", cos, -sin, -sin, -cos, m.xs[0] + dx * cos, m.box[3] - dx * sin, "Tm", raw, "Tj")
         self.op("ET")
         if m.font.underline:
             self.op(m.xs[0], m.box[3] + m.size * 0.1, m.xs[-1] - m.xs[0] + m.size, m.size * 0.05, "re f")
 
+    def glyph(self, c: str) -> tuple[str, str]:
+        """The font and the string that set a character."""
+        self.glyphs += 1
+        if 32 <= ord(c) < 127:
+            return "/FH", text_string(c).decode()
+        g = self.font.glyph(c) if self.font else 0
+        if g:
+            self.own[g] = c
+            return "/FE", f"<{g:04X}>"
+        self.wide = True
+        return "/FJ", f"<{c.encode('utf-16-be', 'replace').hex()}>"
+
     def placeholder(self, notes: tuple[str, ...]) -> None:
         """A border and the longest note that fits on one line at seven points, or else at three and a half."""
         w, h = self.size
@@ -255,9 +273,9 @@ def _label_box(d: Drawing, size: tuple[float, float]) -> tuple[float, float, flo
     return max(left, 0.0), min(top, max(size[1] - h, 0.0)), w, h
 
 
-def _drawn_page(objects: Objects, c: Composed, paper: tuple[float, float] | None, stored: dict[int, bytes]) -> _Page:
+def _drawn_page(objects: Objects, c: Composed, paper: tuple[float, float] | None, stored: dict[int, bytes], font: FontFile | None) -> _Page:
     own = _own_size(c)
-    page = _Page(objects, paper or own)
+    page = _Page(objects, paper or own, font)
     # on paper of another size, the page lies in the middle, and is made smaller but never larger
     k = min(1.0, page.size[0] / own[0], page.size[1] / own[1])
     room = ((page.size[0] - own[0] * k) / 2, (page.size[1] - own[1] * k) / 2, own[0] * k, own[1] * k)
@@ -278,6 +296,16 @@ def _drawn_page(objects: Objects, c: Composed, paper: tuple[float, float] | None
     return page
 
 
+def _embedded(objects: Objects, font: FontFile, used: dict[int, str]) -> int:
+    """A font that is embedded, with the widths of the glyphs used and the way back to their characters."""
+    file = objects.stream(f"/Length1 {len(font.data)}", font.data)
+    box = " ".join(str(font.scaled(n)) for n in font.box)
+    told = objects.add(f"<< /Type /FontDescriptor /FontName /Embedded /Flags 4 /FontBBox [{box}] /ItalicAngle 0 /Ascent {font.scaled(font.ascent)} /Descent {font.scaled(font.descent)} /CapHeight {font.scaled(font.ascent)} /StemV 80 /FontFile2 {file} 0 R >>")
+    descend = objects.add(f"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Embedded /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /CIDToGIDMap /Identity /DW 1000 /W {widths(font, used)} /FontDescriptor {told} 0 R >>")
+    back = objects.stream("", to_unicode(used))
+    return objects.add(f"<< /Type /Font /Subtype /Type0 /BaseFont /Embedded /Encoding /Identity-H /DescendantFonts [{descend} 0 R] /ToUnicode {back} 0 R >>")
+
+
 def document_pdf(data: bytes, doc: dict, attached: list[Found] = (), lang: str = "en", skip_lost: bool = False, name: str = "container", options: Options | None = None) -> tuple[bytes, Report]:
     """A PDF with a page for each logical page, or sheet, of a parsed container, and its original files attached. Pages that cannot
     be read become placeholders, or go with `skip_lost`; numbers of bookmarks count them either way."""
@@ -286,7 +314,7 @@ def document_pdf(data: bytes, doc: dict, attached: list[Found] = (), lang: str =
     root, tree, info, plain, wide = (objects.reserve() for _ in range(5))
     objects.add("<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", plain)
     stored = {e.idx: data[e.at : e.at + e.length] for e in doc["entries"] if e.kind == "jpeg"}
-    pages, made, lost = composed(data, doc, o.previews), [], []
+    pages, made, lost, font = composed(data, doc, o.previews), [], [], font_file(o.font) if o.font else None
     for k, c in enumerate(pages, 1):
         if c.lost:
             if o.skip_lost:
@@ -297,7 +325,7 @@ def document_pdf(data: bytes, doc: dict, attached: list[Found] = (), lang: str =
             page.placeholder(tuple(n.format(k) for n in NOTES[o.lang]))
             report.placeholders += 1
         else:
-            page = _drawn_page(objects, c, o.paper, stored)
+            page = _drawn_page(objects, c, o.paper, stored, font)
             report.recovered += 1
         made.append((page, c.rotation))
     if not made:
@@ -309,6 +337,10 @@ def document_pdf(data: bytes, doc: dict, attached: list[Found] = (), lang: str =
         descend = objects.add("<< /Type /Font /Subtype /CIDFontType0 /BaseFont /HeiseiMin-W3 /CIDSystemInfo << /Registry (Adobe) /Ordering (Japan1) /Supplement 2 >> /DW 1000 >>")
         objects.add(f"<< /Type /Font /Subtype /Type0 /BaseFont /HeiseiMin-W3 /Encoding /UniJIS-UTF16-H /DescendantFonts [{descend} 0 R] >>", wide)
     fonts = f"/FH {plain} 0 R" + (f" /FJ {wide} 0 R" if uses else "")
+    used = {g: c for page, _ in made for g, c in page.own.items()}
+    if used:
+        fonts += f" /FE {_embedded(objects, font, used)} 0 R"
+    report.glyphs = sum(page.glyphs for page, _ in made)
     kids = [page.finish(tree, fonts, turn) for page, turn in made]
     files = [(f"original{k}.{f.extension}", data[f.offset : f.offset + f.length]) for k, f in enumerate(attached)] if o.attach else []
     if o.carry:

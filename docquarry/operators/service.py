@@ -111,5 +111,5 @@ def tally(analysis: DataFrame) -> DataFrame:
 
 
 def output_totals(reports: DataFrame) -> DataFrame:
-    """What several files came to, a row in all: files, pages, recovered pages, placeholders, attachments. reports: rows of the PDF writer."""
-    return reports.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pages", "recovered", "placeholders", "attachments")])
+    """What several files came to, a row in all: files, pages, recovered pages, placeholders, attachments, glyphs. reports: rows of the PDF writer."""
+    return reports.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pages", "recovered", "placeholders", "attachments", "glyphs")])

@@ -270,7 +270,7 @@ ORACLE_SQL = {
   UNION ALL SELECT path, 1, CASE WHEN seen > n THEN '  ! page count: ' || seen - n || ' extra' ELSE '  ! page count: ' || n - seen || ' missing' END FROM w WHERE seen <> n
   UNION ALL SELECT path, 2, '  ! the ' || previews || ' preview(s) were converted as pages' FROM w WHERE seen - n = previews AND previews > 0
   UNION ALL SELECT path, 9, CASE WHEN seen = n THEN '  OK: page counts agree' ELSE '  no page is missing; see the notes above' END FROM w WHERE seen >= n""",
-    "pdf_totals": _M + " SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS pages, CAST(sum(ok) AS BIGINT) AS recovered, CAST(sum(blank) AS BIGINT) AS placeholders, CAST(sum(att) AS BIGINT) AS attachments FROM v",
+    "pdf_totals": _M + " SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS pages, CAST(sum(ok) AS BIGINT) AS recovered, CAST(sum(blank) AS BIGINT) AS placeholders, CAST(sum(att) AS BIGINT) AS attachments, (SELECT CAST(sum(length('L' || o || flag)) AS BIGINT) FROM l WHERE flag = 'A') AS glyphs FROM v",
     "stream_index": _L + """, n AS (SELECT path, count(*) AS k FROM l GROUP BY path) SELECT 'preview' AS role, count(*) AS n, 'preview' AS kind, count(*) AS declared, CAST(max(2 * o - 1) AS INTEGER) AS last_entry FROM l
   UNION ALL SELECT 'properties', count(*), 'properties', count(*), CAST(max(2 * k) AS INTEGER) FROM n""",
     "replaced_bodies": _P + " SELECT path, CAST(1 AS INTEGER) AS page, CAST(CASE WHEN flag = 'N' THEN 2 ELSE 1 END AS INTEGER) AS layers, CAST(CASE WHEN flag = 'R' OR flag = 'A' AND q % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS replaced, false AS lost FROM p",

@@ -9,7 +9,7 @@ from ..functions import html, pdf
 from ..functions.compose import composed, kinds, label_text, masked_pictures, text_bounds, upright
 from .containers import _per_file, _readable
 
-PDF = "path string, pdf binary, pages int, recovered int, placeholders int, attachments int, bookmarks int, skipped int"
+PDF = "path string, pdf binary, pages int, recovered int, placeholders int, attachments int, bookmarks int, skipped int, glyphs int"
 HTML = "path string, html string, pages int, gaps int, attachments int, skipped int"
 LAYERS = "path string, page int, layer int, role string, entry int, kinds string, area struct<x:bigint,y:bigint,w:bigint,h:bigint>, masked int, stored int, upright boolean, label string, text_right double"
 COMPOSED = "path string, page int, layers int, replaced int, lost boolean"

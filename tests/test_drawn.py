@@ -6,6 +6,7 @@ from docquarry.functions import html, pdf
 from docquarry.functions.comments import coded_points
 from docquarry.functions.container import parse, sniffed
 from docquarry.functions.metafile import metafile
+from docquarry.functions.ttf import font_file, widths
 from docquarry.operators.service import Service, tally
 from docquarry.plans import drawn
 from docquarry.plans.fixtures import coded, container, preview, raw_jpeg
@@ -92,5 +93,40 @@ def test_parts_of_the_service_can_be_exchanged(spark):
     assert {(r["sheets"], r["sheets_recovered"], r["attachments"], r["verdict"]) for r in got} == {(1, 1, 2, "ORIGINAL")}
 
 
+def tiny_font(pairs):
+    """A TrueType file with a character map of segments, each of one character."""
+    pairs = sorted(pairs)
+    n = len(pairs) + 1
+    ends = [c for c, _ in pairs] + [0xFFFF]
+    steps = [(g - c) & 0xFFFF for c, g in pairs] + [1]
+    seg = struct.pack(">HHHHHHH", 4, 16 + 8 * n, 0, 2 * n, 0, 0, 0) + struct.pack(f">{n}H", *ends) + bytes(2) + struct.pack(f">{n}H", *ends) + struct.pack(f">{n}H", *steps) + bytes(2 * n)
+    tables = {
+        b"cmap": struct.pack(">HHHHI", 0, 1, 3, 1, 12) + seg, b"head": bytes(18) + struct.pack(">H", 2000) + bytes(16) + struct.pack(">4h", 0, -400, 2000, 1600) + bytes(10),
+        b"hhea": struct.pack(">Ihh", 0x10000, 1600, -400) + bytes(26) + struct.pack(">H", 3), b"hmtx": struct.pack(">HhHhHh", 1000, 0, 1200, 0, 2000, 0), b"maxp": struct.pack(">IH", 0x10000, 9),
+    }
+    out, body = b"\0\1\0\0" + struct.pack(">4H", len(tables), 0, 0, 0), b""
+    for tag, raw in tables.items():
+        out += struct.pack(">4sIII", tag, 0, 12 + 16 * len(tables) + len(body), len(raw))
+        body += raw + bytes(-len(raw) % 4)
+    return out + body
+
+
+def test_fonts():
+    import re
+    import zlib
+
+    raw = tiny_font([(0x3042, 1), (0x3044, 2), (0x4E00, 7), (0x4E8C, 50)])
+    f = font_file(raw)
+    assert (f.units, f.glyph("あ"), f.glyph("い"), f.glyph("一"), f.glyph("二"), f.glyph("x")) == (2000, 1, 2, 7, 0, 0)
+    assert [f.width(g) for g in (0, 1, 2, 8)] == [500, 600, 1000, 1000] and font_file(b"OTTO" + raw[4:]) is None and font_file(raw[:90]) is None
+    assert widths(f, [7, 2, 1, 2]) == "[1 [600 1000] 7 [1000]]"
+    page = drawn.emf([drawn.text(10, 20, "aあ一".encode("cp932"), [9, 9, 9, 9, 9])])
+    data = container([drawn.coded_page(page)])
+    made, r = pdf.document_pdf(data, parse(data), options=pdf.Options(font=raw))
+    assert r.glyphs == 3 and b"/CIDFontType2" in made and b"/W [1 [600] 7 [1000]]" in made and b"Japan1" not in made
+    streams = [zlib.decompress(x) for x in re.findall(rb"FlateDecode /Length \d+ >>\nstream\n(.*?)\nendstream", made, re.S)]
+    assert raw in streams and any(b"<0001> <3042>" in x for x in streams) and any(b"/FE" in x and b"<0007>" in x for x in streams)
+
+
 def test_sniffed():
     assert [sniffed(b) for b in (b"<html>", b"<!DOCTYPE x", b"<?xml", b"<p>", b"\x89PNG", b"\x89PNG\r\n\x1a\n", b"PK\3\4..xl/", b"PK\3\4")] == ["markup", "markup", "markup", None, None, "PNG", "xlsx", "zip"]
