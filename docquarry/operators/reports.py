@@ -195,3 +195,20 @@ def info(docs: DataFrame, covered: DataFrame) -> DataFrame:
     lines = docs.where("error_code is null").select("path", F.inline("entries")).withColumn("line", describe()).where("idx < 8").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]).alias("first_entries"))
     head = docs.where("error_code is null").select("path", "length", "generation", "trailer_tag", "generations_present", "rebuilt", "image_derived", "unknown_elements", "properties_stored", "properties_expanded", F.size("displays").alias("display_pages"), F.size("entries").alias("n_entries"))
     return head.join(covered, "path", "left").join(lines, "path", "left").withColumn("more_entries", F.greatest(F.col("n_entries") - 8, F.lit(0)))
+
+
+def info_lines(told: DataFrame) -> DataFrame:
+    """The same as text, a row a line: path, line, text. told: rows of `info`."""
+    some = lambda c, text: F.when(F.col(c) > 0, text)
+    count = lambda fmt, *cols: F.format_string(fmt, *[F.coalesce(F.col(c), F.lit(0)) for c in cols])
+    head = F.array(
+        F.concat(F.col("path"), F.lit(": generation "), F.col("generation").cast("string"), F.lit(", "), F.col("n_entries").cast("string"), F.lit(" entries")),
+        count("  %d sheet(s), %d recovered; %d picture(s), %d recovered; %d thumbnail(s); %d data table(s)", "sheets", "sheets_recovered", "pictures", "pictures_recovered", "thumbnails", "data_tables"),
+        some("sheets_blank", count("  %d sheet(s) would come out blank", "sheets_blank")),
+        some("display_pages", count("  %d page(s) as shown", "display_pages")),
+        F.when(F.col("rebuilt").isNotNull(), F.concat(F.lit("  page table: "), F.col("rebuilt"))),
+        F.when(F.col("properties_stored").isNotNull(), count("  properties: %d octets, %d expanded", "properties_stored", "properties_expanded")),
+    )
+    entries = F.transform(F.coalesce("first_entries", F.array().cast("array<string>")), lambda x: F.concat(F.lit("    "), x))
+    more = F.array(some("more_entries", count("    and %d more", "more_entries")))
+    return told.select("path", F.posexplode(F.array_compact(F.concat(head, entries, more))).alias("line", "text"))

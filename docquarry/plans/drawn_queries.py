@@ -230,6 +230,13 @@ def pdf_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output_totals(renders.pdfs(_mixed(spark, sf_dir)))
 
 
+def info_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents are, in words."""
+    files = drawn.of_lines(_lines(spark, sf_dir), lambda lines: container([p for o, q, flag, _ in lines for p in (raw_jpeg(100 + q, 200) if flag == "R" else coded(21000, 29700), preview())]))
+    docs = src.parsed(files)
+    return reports.info_lines(reports.info(docs, audit.coverage(src.entries(docs))))
+
+
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of coded streams of documents with properties, row by row."""
     found = reports.streams(src.parsed(drawn.of_lines(_lines(spark, sf_dir), drawn.shown_lines)))
@@ -249,7 +256,7 @@ def comment_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "ord", "kind", whole("left"), whole("top"), whole("right"), whole("bottom"), F.coalesce("op", F.lit("")).alias("op"), F.coalesce("clip_path", F.lit(-1)).alias("clip_path"), "points")
 
 
-QUERIES = {f.__name__: f for f in (analysis, verdict_tally, checked_streams, verify_report, pdf_totals, stream_index, replaced_bodies, page_layers, sheet_labels, masked_layers, output_options, placed_pictures, comment_marks, metafile_marks, page_lines, skipped, fax_ink, drawn_bitmaps, decoded_coverage, display_pages, overlay_notes, logical_pages, expanded_texts, carved_zips, triage_table, extractable, pdf_pages, html_pages)}
+QUERIES = {f.__name__: f for f in (analysis, verdict_tally, checked_streams, verify_report, pdf_totals, stream_index, info_report, replaced_bodies, page_layers, sheet_labels, masked_layers, output_options, placed_pictures, comment_marks, metafile_marks, page_lines, skipped, fax_ink, drawn_bitmaps, decoded_coverage, display_pages, overlay_notes, logical_pages, expanded_texts, carved_zips, triage_table, extractable, pdf_pages, html_pages)}
 
 _L = """WITH l AS (SELECT 'order' || p_partkey // 4 || '.xdw' AS path, row_number() OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey) AS o, CAST(p_size AS BIGINT) AS q, CASE p_partkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END AS flag FROM part)"""
 
@@ -261,6 +268,12 @@ _M = _L + """, c AS (SELECT path, count(*) AS n, count(*) FILTER (flag = 'R') AS
   v AS (SELECT *, CASE WHEN att > 0 THEN 'ORIGINAL' WHEN ok = n THEN 'ALL' WHEN ok > 0 THEN 'SOME' ELSE 'NONE' END AS verdict FROM d)"""
 
 ORACLE_SQL = {
+    "info_report": _L + """, c AS (SELECT path, count(*) AS n, count(*) FILTER (flag = 'R') AS r FROM l GROUP BY path), b AS (SELECT *, CASE WHEN n > r THEN 3 ELSE 2 END AS base FROM c)
+  SELECT path, CAST(0 AS INTEGER) AS line, path || ': generation 7, ' || 2 * n || ' entries' AS text FROM c
+  UNION ALL SELECT path, 1, '  ' || n || ' sheet(s), ' || r || ' recovered; 0 picture(s), 0 recovered; ' || n || ' thumbnail(s); 0 data table(s)' FROM c
+  UNION ALL SELECT path, 2, '  ' || n - r || ' sheet(s) would come out blank' FROM c WHERE n > r
+  UNION ALL SELECT path, base + 2 * (o - 1), CASE WHEN flag = 'R' THEN '    sheet jpeg ' || 100 + q || 'x200' ELSE '    sheet encoded (62.5x)' END FROM l JOIN b USING (path)
+  UNION ALL SELECT path, base + 2 * (o - 1) + 1, '    thumbnail preview 104x146 (474.5x)' FROM l JOIN b USING (path)""",
     "analysis": _M + " SELECT path, CAST(7 AS BIGINT) AS generation, CAST(2 * n AS INTEGER) AS entries, n AS sheets, ok AS sheets_recovered, n - att AS thumbnails, blank AS sheets_blank, CAST(att AS INTEGER) AS attachments, verdict FROM v",
     "verdict_tally": _M + """, t AS (SELECT verdict, count(*) AS files, CAST(sum(n) AS BIGINT) AS sheets, CAST(sum(blank) AS BIGINT) AS blank FROM v GROUP BY verdict UNION ALL SELECT 'OTHER', count(*), 0, 0 FROM pages)
   SELECT verdict, files, sheets, blank, CAST(NULL AS VARCHAR) AS blank_percent FROM t UNION ALL SELECT 'TOTAL', CAST(sum(files) AS BIGINT), CAST(sum(sheets) AS BIGINT), CAST(sum(blank) AS BIGINT), printf('%.0f', 100.0 * sum(blank) / sum(sheets)) FROM t""",
