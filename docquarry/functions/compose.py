@@ -96,6 +96,28 @@ def text_bounds(d: Drawing) -> tuple[float, float, float] | None:
     return (max(b[2] for b in runs), min(b[1] for b in runs), max(b[3] for b in runs)) if runs else None
 
 
+def covered_glyphs(d: Drawing) -> dict[int, list[bool]]:
+    """By place in the marks, which characters of texts are drawn by shapes of a glyph's size as well: a hundredth of a character's box under such a shape is
+    enough. Empty unless the page has three characters or more and three quarters of them are so."""
+    shapes = np.array([m.box for m in d.marks if m.kind == "shape" and sound(m.box)], float).reshape(-1, 4)
+    texts = [(k, m) for k, m in enumerate(d.marks) if m.kind == "text" and m.size > 0]
+    if not len(shapes) or not texts:
+        return {}
+    out, total, hidden = {}, 0, 0
+    wide, high = shapes[:, 2] - shapes[:, 0], shapes[:, 3] - shapes[:, 1]
+    for k, m in texts:
+        near = shapes[(wide <= 1.5 * m.size) & (high <= 1.5 * m.size)]
+        left = np.array(m.xs[: len(m.text)], float)[:, None]
+        step = np.array([m.size * (0.55 if c < "\u0100" else 1.0) for c in m.text[: len(m.xs)]])[:, None]
+        across = np.minimum(near[:, 2], left + step) - np.maximum(near[:, 0], left)
+        down = np.minimum(near[:, 3], m.box[3]) - np.maximum(near[:, 1], m.box[3] - m.size)
+        under = (np.maximum(across, 0) * np.maximum(down, 0) >= 0.01 * step * m.size).any(axis=1).tolist()
+        out[k] = under
+        shown = [u for u, c in zip(under, m.text) if not c.isspace()]
+        total, hidden = total + len(shown), hidden + sum(shown)
+    return out if total >= 3 and hidden * 4 >= total * 3 else {}
+
+
 @dataclass
 class Masked:
     """A stored picture drawn through a mask: exclusive or, and, exclusive or."""

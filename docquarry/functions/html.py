@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from zlib import crc32
 
 from .carving import Found
-from .compose import Layer, composed, layer_marks, mask_alpha, masked_pictures
+from .compose import Layer, composed, covered_glyphs, layer_marks, mask_alpha, masked_pictures
 from .drawing import Drawing, Mark
 from .pages import A4
 from .raster import Raster, jpeg_info, png
@@ -90,7 +90,7 @@ def _masked(masked, d: Drawing, m: Mark, stored: dict[int, bytes], name: str) ->
     return f'<mask id="{name}"><image {at} href="{grey}"/></mask>', f'<image {at} mask="url(#{name})" href="{address("image/jpeg", raw)}"/>'
 
 
-def _mark(d: Drawing, m: Mark, held: dict[int, int], stored: dict[int, bytes]) -> str:
+def _mark(d: Drawing, m: Mark, held: dict[int, int], stored: dict[int, bytes], hidden: list[bool] | None = None) -> str:
     x0, y0, x1, y1 = m.box
     blend = ' style="mix-blend-mode:multiply"' if m.multiply else ""
     if m.kind == "fill":
@@ -105,7 +105,14 @@ def _mark(d: Drawing, m: Mark, held: dict[int, int], stored: dict[int, bytes]) -
         return f'<path d="{path}" fill="{_colour(m.rgb)}"{rule}{stroke}{blend}/>'
     turn = f' transform="rotate({_n(-m.font.escapement / 10)} {_n(m.xs[0])} {_n(y1)})"' if m.font.escapement else ""
     look = (' font-weight="bold"' if m.font.weight >= 600 else "") + (' text-decoration="underline"' if m.font.underline else "")
-    return f'<text x="{" ".join(_n(x) for x in m.xs)}" y="{_n(y1)}" font-size="{_n(m.size)}" fill="{_colour(m.rgb)}"{look}{turn}>{escape(m.text)}</text>'
+    # characters that shapes draw stay as text that is not painted
+    runs = []
+    for x, c, under in zip(m.xs, m.text, hidden or [False] * len(m.text)):
+        if not runs or runs[-1][0] != under:
+            runs.append((under, [], []))
+        runs[-1][1].append(_n(x))
+        runs[-1][2].append(c)
+    return "".join(f'<text x="{" ".join(xs)}" y="{_n(y1)}" font-size="{_n(m.size)}" fill="{"none" if under else _colour(m.rgb)}"{look}{turn}>{escape("".join(chars))}</text>' for under, xs, chars in runs)
 
 
 def svg(layer: Layer, css: str = "", stored: dict[int, bytes] | None = None) -> str:
@@ -114,7 +121,7 @@ def svg(layer: Layer, css: str = "", stored: dict[int, bytes] | None = None) ->
     w, h = (max(n, 1) for n in d.device)
     clips: dict[tuple, int] = {}
     key, body, defs = f"{crc32(repr(d.marks).encode()):08x}", [], []
-    masked = masked_pictures(d, layer.held)
+    masked, covered = masked_pictures(d, layer.held), covered_glyphs(d)
     for k, m in sorted(layer_marks(layer), key=lambda x: x[1].kind == "text"):
         if k in masked:
             if masked[k] is None:
@@ -122,7 +129,7 @@ def svg(layer: Layer, css: str = "", stored: dict[int, bytes] | None = None) ->
             defined, one = _masked(masked[k], d, m, stored, f"m{k}-{key}")
             defs.append(defined)
         else:
-            one = _mark(d, m, layer.held, stored)
+            one = _mark(d, m, layer.held, stored, covered.get(k))
         for clip in (m.clip, m.clip_path):
             if clip is not None and one:
                 one = f'<g clip-path="url(#c{clips.setdefault(clip, len(clips))}-{key})">{one}</g>'

@@ -93,6 +93,14 @@ def test_parts_of_the_service_can_be_exchanged(spark):
     assert {(r["sheets"], r["sheets_recovered"], r["attachments"], r["verdict"]) for r in got} == {(1, 1, 2, "ORIGINAL")}
 
 
+def test_glyphs_under_shapes():
+    letters = drawn.text(100, 100, b"abcd", [60] * 4)
+    boxes = [drawn.ints(43, 105 + 60 * k, 60, 125 + 60 * k, 150) for k in range(3)]
+    page = lambda n: html.document_html(data := container([drawn.coded_page(drawn.emf([drawn.font(1, -100, 0, 400, False), drawn.words(37, 1), letters, *boxes[:n]]))]), parse(data))[0]
+    assert 'fill="none">abc</text>' in page(3) and 'fill="#000000">d</text>' in page(3)
+    assert "abcd</text>" in page(2) and 'fill="none">' not in page(2)
+
+
 def tiny_font(pairs):
     """A TrueType file with a character map of segments, each of one character."""
     pairs = sorted(pairs)
