@@ -14,7 +14,7 @@ all of whose wanted text is fixed, such as copies of one page, keeps it.
 Cases: null or empty html gives an empty text; a null url is a host of its own; hosts with few
 pages have no template and their pages are read by their elements alone; unclosed and crossed tags are closed as
 browsers do for paragraphs, list items and cells; rows that repeat are pages of their own; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored. Pages may be of any length, nested or broken in any way: reading takes time and memory in proportion to a page.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,115 +38,190 @@ SUPPORT, FEWEST = 0.3, 3
 #: For text inside article or main, which near copies of a page share too.
 INNER_SUPPORT, INNER_FEWEST = 0.9, 5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTR = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)?))?""")
+_TAG_END = re.compile(r"[\s/]*>")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe object svg math canvas".split())
+_RAW = frozenset("script style textarea title iframe noframes xmp".split())
+#: Elements whose content is not read where they are closed at all.
+_SKIPPED = frozenset("noscript template object svg math canvas".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 _SCOPE = frozenset("ul ol dl table article section div main body td th".split())
-_NEVER = frozenset("nav header footer aside form button select dialog menu head".split()) | _RAW
-_NAMES = re.compile(r"^(?:nav|navbar|navigation|menu|header|masthead|footer|foot|sidebar|side-?bar|aside|ad|ads|adv|advert|adverts|advertisement|banner|sponsor|sponsored|promo|promotion|notice|notices|cookie|cookies|consent|gdpr|newsletter|subscribe|signup|login|popup|modal|overlay|breadcrumb|breadcrumbs|comment|comments|commentlist|reply|replies|respond|disqus|discussion|social|share|sharing|related|recommended|widget|toolbar|pagination|pager|copyright|alert|skip-?link)$")
+_NEVER = frozenset("nav header footer aside form button select dialog menu head".split()) | _RAW | _SKIPPED
+#: A class or id names what is no article if all its words are of these, and one at least of the first.
+_CHROME = frozenset(
+    "nav navbar navigation menu menus header masthead footer foot sidebar aside ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion notice notices cookie cookies consent gdpr "
+    "newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs comment comments commentlist reply replies respond disqus discussion social share sharing related recommended widget widgets toolbar pagination pager copyright alert "
+    "skiplink teaser teasers".split()
+)
+_BESIDE = frozenset(
+    "site page main top bottom left right side global primary secondary user users reader readers sticky fixed mobile desktop box bar bars list item items block wrap wrapper container inner outer content section area slot unit zone link links button buttons btn icon icons "
+    "form field row col column panel group text body author date meta thread tree count posts articles stories news google skip back my the and in".split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag whose name ends at `at`, and where the tag ends. Unquoted values end at white space or >; a quote that is never closed is a part of a name."""
+    found: dict[str, str] = {}
+    while True:
+        end = _TAG_END.match(page, at)
+        if end:
+            return found, end.end()
+        m = _ATTR.match(page, at)
+        if m is None:
+            return found, len(page)
+        found.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), ""))
+        at = m.end()
+
+
+def _chrome(name: str) -> bool:
+    """Whether a class or id is the name of a menu, a notice and the like as a whole: a part of it says nothing."""
+    words = [w for w in re.split(r"[-_:\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+    return any(w in _CHROME for w in words) and all(w in _CHROME or w in _BESIDE for w in words)
+
+
+def _unwanted(tag: str, attrs: dict[str, str]) -> bool:
     if tag in _NEVER:
         return True
-    if tag in ("body", "html", "article", "main") and not attrs:
+    if not attrs or tag in ("html", "body"):
         return False
-    for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and tag not in ("body", "html"):
-            for word in value.split():
-                if _NAMES.match(word) or any(_NAMES.match(x) for x in (re.split(r"[-_]+", word) if not word.startswith(("no-", "has-", "with-")) else ())):
-                    return True
-        elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
-
-
-def _name(tag: str, attrs: str) -> str:
-    """The tag with its class and id, digits apart: what makes its token."""
-    if not attrs:
-        return tag
-    keys = [f"{n.lower()}={v}" for n, v in _ATTR.findall(attrs) if n.lower() in ("class", "id", "role")]
+    if any(_chrome(word) for name in ("class", "id") for word in attrs.get(name, "").split()):
+        return True
+    if attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+        return True
+    return bool(re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I))
+
+
+def _name(tag: str, attrs: dict[str, str]) -> str:
+    """The tag with its class, id and role, digits apart: what makes its token."""
+    keys = [f"{n}={attrs[n]}" for n in ("class", "id", "role") if n in attrs]
     return re.sub(r"\d+", "0", f"{tag}[{' '.join(keys)}]") if keys else tag
 
 
-def blocks(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool, bool, str]], list[str]]:
-    """The text blocks of a page in order: path, open containers inside the body, whether they are unwanted, whether in an article, text; and the paths of all tags."""
-    found: list = []
-    tags: list[str] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path, unwanted, number
+class Block(NamedTuple):
+    """A text block: the hash of its path, its innermost container (0 is the body), its element, and its text."""
+
+    path: int
+    container: int
+    tag: str
+    unwanted: bool
+    article: bool
+    text: str
+
+
+class _Open(NamedTuple):
+    tag: str
+    path: int
+    unwanted: bool
+    article: bool
+    container: int
+
+
+def blocks(page: str) -> tuple[list[Block], list[tuple[int, int]], list[int]]:
+    """The text blocks of a page in order; all tags as hashes of their paths with those of their parents; and the container around each container. Takes time in proportion to the page."""
+    found: list[Block] = []
+    tags: list[tuple[int, int]] = []
+    around = [0]
+    stack = [_Open("", 0, False, False, 0)]
+    places: dict[str, list[int]] = {}  # where each tag stands in the stack
+    scopes, blocky = [0], 0  # places of scopes; how many open elements are not inline
     held: list[str] = []
-    n, at = 0, 0
+    absent: set[str] = set()
 
     def flush() -> None:
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
             held.clear()
             if text:
-                unwanted = any(s[2] for s in stack)
-                article = any(s[0] in ("article", "main") for s in stack)
-                found.append((stack[-1][1] if stack else "", tuple(s[3] for s in stack if s[0] not in _INLINE and s[0] not in ("p", "html", "body")), unwanted, article, text))
+                o = stack[-1]
+                found.append(Block(o.path, o.container, o.tag, o.unwanted, o.article, text))
 
     def close(k: int) -> None:
-        if any(s[0] not in _INLINE for s in stack[k:]):
+        if any(stack[j].tag not in _INLINE for j in range(k, len(stack))):
             flush()
-        del stack[k:]
-
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+        while scopes[-1] >= k:
+            scopes.pop()
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else -1
+
+    at, size = 0, len(page)
+    while at < size:
+        m = page.find("<", at)
+        if m < 0:
             held.append(page[at:])
             break
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[1] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                held.append(html_lib.escape(m[0][9:-3]))
+        if m > at:
+            held.append(page[at:m])
+        if page.startswith("<!--", m):
+            end = page.find("-->", m + 2)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", m):
+            end = page.find("]]>", m)
+            held.append(html_lib.escape(page[m + 9 : size if end < 0 else end]))
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), m):
+            end = page.find(">", m)
+            at = size if end < 0 else end + 1
+            continue
+        t = _TAG.match(page, m)
+        if t is None:
+            held.append("<")
+            at = m + 1
             continue
-        if m[0][1] == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in _INLINE and stack[k][0] in _SCOPE:
-                    break
+        tag = t[1].lower()
+        attrs, at = _attributes(page, t.end())
+        if page[m + 1] == "/":
+            k = last(tag)
+            if k > 0 and not (tag in _INLINE and k < scopes[-1]):
+                close(k)
             continue
-        attrs = m[2].strip()
         if tag in _CLOSES or tag in _ENDS_P:
-            over = _CLOSES.get(tag, {"p"})
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in over:
-                    close(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
-        if tag not in _INLINE:
+            k = min((x for x in map(last, _CLOSES.get(tag, {"p"})) if x > scopes[-1] or x == scopes[-1] > 0 and stack[x].tag in _CLOSES.get(tag, ())), default=-1)
+            if k > 0:
+                close(k)
+        inline = tag in _INLINE
+        if not inline:
             flush()
         elif tag == "br":
             held.append(" ")
-        name = _name(tag, attrs)
-        path = f"{stack[-1][1]}/{name}" if stack and tag not in _INLINE else name if not stack else stack[-1][1]
-        if tag not in _INLINE:
-            tags.append(path)
-        if tag in _VOID or attrs.endswith("/") and tag in ("svg", "math", "path"):
+        above = stack[-1]
+        path = above.path if inline and len(stack) > 1 else xxhash.xxh3_64_intdigest(_name(tag, attrs), above.path)
+        if not inline:
+            tags.append((path, above.path))
+        if tag in _VOID or tag in ("svg", "math") and page.endswith("/>", t.end(), at):
             continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in _RAW or tag in _SKIPPED and tag not in absent:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            if end:
+                at = end.end()
+                continue
+            if tag in _RAW:
+                break
+            absent.add(tag)
+        if tag in _SKIPPED:
             continue
-        n += 1
-        stack.append((tag, path, _unwanted(tag, attrs), n))
+        container = above.container
+        if not inline and tag not in ("p", "html", "body"):
+            around.append(container)
+            container = len(around) - 1
+        stack.append(_Open(tag, path, above.unwanted or _unwanted(tag, attrs), above.article or tag in ("article", "main"), container))
+        places.setdefault(tag, []).append(len(stack) - 1)
+        if tag in _SCOPE:
+            scopes.append(len(stack) - 1)
     flush()
-    return found, tags
+    return found, tags, around
+
+
+def _text_token(b: Block) -> int:
+    return xxhash.xxh3_64_intdigest(b.text, b.path)
 
 
 def _host(url: str | None) -> str:
@@ -164,15 +240,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             host = _host(url)
             page_id = xxhash.xxh3_64_intdigest(page + "\0" + (url or ""))
-            found, tags = blocks(page)
-            counts = Counter(xxhash.xxh3_64_intdigest(t) for t in tags)
-            for t in set(tags):
-                parents[xxhash.xxh3_64_intdigest(t)] = xxhash.xxh3_64_intdigest(t.rpartition("/")[0])
-            for path, _, _, article, text in found:
-                key = xxhash.xxh3_64_intdigest(f"{path}\0{text}")
+            found, tags, _ = blocks(page)
+            counts = Counter(t for t, _ in tags)
+            parents.update(tags)
+            for b in found:
+                key = _text_token(b)
                 counts[key] += 1
-                parents[key] = xxhash.xxh3_64_intdigest(path)
-                if article:
+                parents[key] = b.path
+                if b.article:
                     inner.add(key)
             counts[0] = 1  # stands on every page: the host's pages
             for key, n in counts.items():
@@ -201,33 +276,53 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     return staged(valid.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")).withColumnRenamed("host", "thost"))
 
 
-def _around(slots: list) -> list:
+def _weights(some: list[Block], around: list[int], weight: Callable[[Block], int]) -> list[int]:
+    """For each container the weight of what it holds at any depth."""
+    out = [0] * len(around)
+    for b in some:
+        out[b.container] += weight(b)
+    for k in range(len(around) - 1, 0, -1):
+        out[around[k]] += out[k]
+    return out
+
+
+def _inside(top: int, around: list[int]) -> list[bool]:
+    out = [k == top for k in range(len(around))]
+    for k in range(top + 1, len(around)):
+        out[k] = out[around[k]]
+    return out
+
+
+def _around(slots: list[Block], around: list[int]) -> list[Block]:
     """Without a template to tell them: the slots of the outermost container inside the body that holds nearly all text, and headings and
     paragraphs beside it. Where no container holds that much, all slots."""
-    weight: Counter = Counter()
-    for b in slots:
-        weight.update({c: len(b[4]) for c in b[1]})
-    near = [c for c, w in weight.items() if 10 * w >= 9 * sum(len(b[4]) for b in slots)]
-    beside = lambda b: len(b[1]) <= 1 and re.match(r"(?:h[1-6]|p)(?![a-z0-9])", b[0].rpartition("/")[2])
-    return [b for b in slots if min(near) in b[1] or beside(b)] if near else slots
+    held = _weights(slots, around, lambda b: len(b.text))
+    near = [k for k in range(1, len(held)) if 10 * held[k] >= 9 * held[0]]
+    if not near:
+        return slots
+    own = _inside(near[0], around)
+    beside = lambda b: (b.container == 0 or around[b.container] == 0 and b.tag != "div") and re.fullmatch("h[1-6]|p", b.tag)
+    return [b for b in slots if own[b.container] or beside(b)]
 
 
 def main_text(page: str, template: set[int]) -> str:
-    found, _ = blocks(page)
-    fixed = [xxhash.xxh3_64_intdigest(f"{b[0]}\0{b[4]}") in template for b in found]
-    wanted = [b for b in found if not b[2]]
-    slots = [b for b, f in zip(found, fixed) if not f and not b[2]]
+    found, _, around = blocks(page)
+    fixed = [_text_token(b) in template for b in found]
+    wanted = [b for b in found if not b.unwanted]
+    slots = [b for b, f in zip(found, fixed) if not f and not b.unwanted]
     if not slots:
         slots, fixed = wanted, [False] * len(found)
-    if any(b[3] for b in wanted):
-        return "\n\n".join(b[4] for b in [b for b in slots if b[3]] or [b for b in wanted if b[3]])
-    inside = slots if template else _around(slots)
-    common = inside[0][1] if inside else ()
-    for b in inside:
-        common = common[: next((k for k, (x, y) in enumerate(zip(common, b[1])) if x != y), min(len(common), len(b[1])))]
-    own, paths = {id(b) for b in inside}, {b[0] for b in inside}
+    if any(b.article for b in wanted):
+        return "\n\n".join(b.text for b in [b for b in slots if b.article] or [b for b in wanted if b.article])
+    kept = slots if template else _around(slots, around)
+    if not kept:
+        return ""
+    # the lowest container of all slots
+    held = _weights(kept, around, lambda b: 1)
+    common = _inside(max(k for k, n in enumerate(held) if n == len(kept)), around)
+    own, paths = {id(b) for b in kept}, {b.path for b in kept}
     # a fixed text among slots of the same path is a paragraph of the text
-    return "\n\n".join(b[4] for b, f in zip(found, fixed) if id(b) in own or (f and not b[2] and b[0] in paths and b[1][: len(common)] == common))
+    return "\n\n".join(b.text for b, f in zip(found, fixed) if id(b) in own or (f and not b.unwanted and b.path in paths and common[b.container]))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
