@@ -5,12 +5,13 @@ logistic model over shape measures and lexicon hits. Their log odds are a docume
 and paths have rates of their own: the global rate is a Beta prior for sites, a site's posterior rate is the prior of
 its paths, and the strength of each prior is estimated from the spread of the rates of sites, and of paths within sites (method of moments), so that
 sparse sites shrink to the global rate and sparse paths to their site's. All rates are grouped sums over
-documents. A document's posterior combines its evidence with the rate of its path; it is kept if it
+documents, and each document is left out of its own. A document's posterior combines its evidence with the rate of its path; it is kept if it
 is neither likely to be of low quality nor likely to be toxic.
 
 Cases: null text is empty and, as text without words, of low quality by its shape; null sites and paths are sites
 and paths of their own; documents without labels are scored alike; rows that repeat are scored alike; with no labels at all, nothing is known
-against any document and all are kept; an empty table gives an empty result; other columns are ignored.
+against any document and all are kept; an empty table gives an empty result; other columns are ignored. Texts may be of any length: they are
+scored in slices of rows, a longer text as a slice of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ from .common import byte_view, read_table, row_slices, staged, word_hashes
 
 #: Labelled documents that the classifiers are fitted on, at most; taken in the order of a hash of their id.
 SAMPLE = 6000
+#: Bytes of their texts, at most: what the driver is sent.
+SAMPLE_BYTES = 48 << 20
 LEXICON = 4096
 SLICE_BYTES, FIT_BYTES = 1 << 21, 1 << 19
 SHAPES = 11
@@ -168,7 +171,8 @@ def _logit(p):
 
 
 def _posterior(scored: DataFrame, name: str, site: str, path: str, rate: float) -> DataFrame:
-    """Rows (site, path, r_name): posterior rates of paths, shrunk to their site's, shrunk to the global one. scored has the evidence e_name."""
+    """scored with rate_<name>: for each row the rate of its path, shrunk to its site's, shrunk to the global one; sums of path and
+    site are taken without the row itself, whose evidence is added to the rate later. scored has the evidence `name`; rate is that of the labels."""
     soft = 1 / (1 + F.exp(-(F.col(name) + float(np.log(rate / (1 - rate))))))
     paths = scored.groupBy(F.col(site).alias("s"), F.col(path).alias("p")).agg(F.sum(soft).alias("y"), F.count("*").cast("double").alias("n"))
     sites = paths.groupBy("s").agg(F.sum("y").alias("sy"), F.sum("n").alias("sn"))
@@ -181,8 +185,6 @@ def _posterior(scored: DataFrame, name: str, site: str, path: str, rate: float)
         spread = max(whole["q"] / whole["tn"] - m * m, 0.0)
         between = max(spread - m * (1 - m) * whole["k"] / whole["tn"], 0.0)
         strength = min(max(m * (1 - m) / between - 1, 2.0), 1e6) if between > 0 else 1e6
-    of_site = sites.select(F.col("s").alias("ss"), ((F.col("sy") + F.lit(strength * m)) / (F.col("sn") + F.lit(strength))).alias("site_rate"))
-    joined = paths.join(of_site, F.col("ss").eqNullSafe(F.col("s")))
     # the same within sites: the spread of their paths' rates beyond that of sampling, against what paths without any likeness would show
     r, own = F.col("sy") / F.col("sn"), F.col("y") / F.col("n")
     of_paths = paths.groupBy("s").agg(F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("n") * own * own).alias("q"), F.sum("y").alias("sy"), F.sum("n").alias("sn"), F.count("*").alias("k"))
@@ -190,8 +192,12 @@ def _posterior(scored: DataFrame, name: str, site: str, path: str, rate: float)
     inner = strength if not within or not within["b"] else 1e6
     if within and within["b"] and within["b"] > within["a"] and within["q"] > within["a"]:
         inner = min(max((within["b"] - within["a"]) / (within["q"] - within["a"]) - 1, 2.0), 1e6)
-    path_rate = (F.col("y") + F.col("site_rate") * inner) / (F.col("n") + inner)
-    return staged(joined.select("s", "p", F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6)).alias(f"rate_{name}")))
+    # the sums of a path and of its site, for its rows
+    sums = staged(paths.join(sites.withColumnRenamed("s", "ss"), F.col("ss").eqNullSafe(F.col("s"))).select("s", "p", "y", "n", "sy", "sn"))
+    joined = scored.join(sums, F.col("s").eqNullSafe(F.col(site)) & F.col("p").eqNullSafe(F.col(path)))
+    of_site = (F.col("sy") - soft + F.lit(strength * m)) / (F.col("sn") - 1 + F.lit(strength))
+    of_path = (F.col("y") - soft + of_site * inner) / (F.col("n") - 1 + F.lit(inner))
+    return joined.withColumn(f"rate_{name}", F.least(F.greatest(of_path, F.lit(1e-6)), F.lit(1 - 1e-6))).drop("s", "p", "y", "n", "sy", "sn")
 
 
 def classified(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
@@ -199,7 +205,10 @@ def classified(docs: DataFrame, labels: DataFrame, site: str = "source", path: s
     spark = docs.sparkSession
     marked = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     some = marked.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("l_id") == F.col("doc_id")).dropDuplicates(["doc_id"]).select("text", "quality", "toxic").toArrow()
+    # of rows that share an id the least text counts; rows are taken in the order of a hash, whole, as long as they come to no more than SAMPLE_BYTES
+    found = docs.select("doc_id", "text").join(F.broadcast(some), F.col("l_id") == F.col("doc_id")).groupBy("l_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    taken = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("l_id"), "l_id"))
+    rows = found.withColumn("taken", taken).where(F.col("taken") <= SAMPLE_BYTES).select("text", "quality", "toxic").toArrow()
     names = {}
     texts = rows.column("text").combine_chunks()
     for name, column, bad in (("low", "quality", 0), ("toxic", "toxic", 1)):
@@ -215,9 +224,7 @@ def classified(docs: DataFrame, labels: DataFrame, site: str = "source", path: s
     scored = staged(plain.mapInArrow(_score(shared, carry, made), schema))
     out = scored
     for name, c in names.items():
-        rates = _posterior(scored, f"e_{name}", site, path, float(1 / (1 + np.exp(-c.prior))))
-        rates = rates.withColumnsRenamed({"s": f"s_{name}", "p": f"p2_{name}"})
-        out = out.join(rates, F.col(f"s_{name}").eqNullSafe(F.col(site)) & F.col(f"p2_{name}").eqNullSafe(F.col(path)))
+        out = _posterior(out, f"e_{name}", site, path, float(1 / (1 + np.exp(-c.prior))))
     p = {name: (1 / (1 + F.exp(-(F.col(f"e_{name}") + _logit(F.col(f"rate_e_{name}")))))) if name in names else F.lit(0.0) for name in ("low", "toxic")}
     return out.select("doc_id", p["low"].alias("p_low"), p["toxic"].alias("p_toxic")).withColumn("kept", (F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5))
 
