@@ -6,11 +6,13 @@ when its postings satisfy the rule's query, and only candidates run the regex. R
 trigrams scan every document.
 
 Cases: null text is empty; rows that repeat doc_id and text share postings and get the same result each; null ids are kept; an empty table gives an
-empty result; other columns are ignored. Positions are code points and matches of one rule never overlap.
+empty result; other columns are ignored; texts may be of any length and are scanned whole. A rule set may have any number of trigrams. Positions are code points and matches of one rule never overlap.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from dataclasses import dataclass
 
@@ -117,17 +119,17 @@ def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], grams: list[str]) -> DataFrame:
-    """Rows (did, dig, rules): postings intersected by document, and the queries they satisfy as bits."""
-    held = index.groupBy("did", "dig").agg(F.bit_or(F.expr("shiftleft(1L, gram)")).alias("held"))
-    bits = F.lit(0)
+    """Rows (did, dig, rules): the rules whose queries a document's postings satisfy. A clause is satisfied where the postings of all its trigrams meet."""
+    number = {g: i for i, g in enumerate(grams)}
+    held = index.groupBy("did", "dig").agg(F.collect_set("gram").alias("held"))
+    found = []
     for k, rule in enumerate(rules):
-        clauses = [sum(1 << grams.index(g) for g in clause) for clause in trigram_query(rule.regex)]
+        clauses = [sorted(number[g] for g in clause) for clause in trigram_query(rule.regex)]
         if clauses:
-            hit = F.lit(False)
-            for need in clauses:
-                hit = hit | (F.col("held").bitwiseAND(F.lit(need)) == F.lit(need))
-            bits = bits + F.when(hit, 1 << k).otherwise(0)
-    return held.select("did", "dig", bits.alias("rules")).where("rules > 0")
+            met = [F.size(F.array_intersect("held", F.array(*map(F.lit, c)))) == len(c) for c in clauses]
+            found.append(F.when(functools.reduce(operator.or_, met), F.lit(k)))
+    rules_of = F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
+    return held.select("did", "dig", rules_of.alias("rules")).where(F.size("rules") > 0)
 
 
 def _running(lengths: Column, block: int = 256) -> Column:
@@ -168,17 +170,15 @@ def scan_secrets(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rul
     rules = base + more
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     grams = sorted({g for q in queries.values() for clause in q for g in clause})
-    if len(grams) > 62:
-        raise ValueError("the rules' queries have more trigrams than a posting mask holds")
     keyed = docs.select("doc_id", id_key().alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn("dig", F.xxhash64("text"))
     index = postings(keyed.select("did", "dig", "text"), grams)
     hits = candidates(index, rules, grams).select(F.col("did").alias("cd"), F.col("dig").alias("cg"), "rules")
-    rows = keyed.join(hits, (F.col("did") == F.col("cd")) & (F.col("dig") == F.col("cg")), "left").select("doc_id", "text", F.coalesce("rules", F.lit(0)).alias("rules"))
+    rows = keyed.join(hits, (F.col("did") == F.col("cd")) & (F.col("dig") == F.col("cg")), "left").select("doc_id", "text", "rules")
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     spans = []
     for k, rule in enumerate(rules):
         one = _spans(F.col("text"), rule, k)
-        spans.append(F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, one).otherwise(empty) if queries[rule.kind] else one)
+        spans.append(F.when(F.coalesce(F.array_contains("rules", k), F.lit(False)), one).otherwise(empty) if queries[rule.kind] else one)
     rows = rows.select("doc_id", F.array(*spans).alias("by"))
     return rows.select("doc_id", *[F.size(F.col("by")[k]).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(base)], F.array_sort(F.flatten(F.slice("by", 1, len(base)))).alias("base"), F.array_sort(F.flatten("by")).alias("spans"))
 
