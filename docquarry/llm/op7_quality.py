@@ -36,7 +36,7 @@ UNITS, LOCAL = 5, 2
 ORDER, CLASS_BITS = 4, 6
 #: Bands are this many deviations wide, at least `FLOOR` in mean log probability.
 LOWER, UPPER, FLOOR = 6.0, 5.0, 0.05
-SLICE_BYTES, SHARE_BYTES = 1 << 22, 1 << 24
+SLICE_BYTES, SHARE_BYTES = 1 << 21, 1 << 24
 #: Places of a table by which n-grams are numbered; beyond it they are sorted.
 TABLE = 1 << 24
 #: Units after which a task gives out its counts, and n-grams.

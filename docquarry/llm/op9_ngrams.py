@@ -1,18 +1,18 @@
 """N-gram Jaccard join by prefix trees.
 
-Every document becomes a set of word n-grams in a global order: rare before frequent, by a sketch of counts over all
-documents, then by hash. Two sets that are similar enough share n-grams in their prefixes in that order, so only the prefixes are dealt out. Prefixes are
-long enough that similar sets share up to three n-grams there (fewer where the threshold lets so small an overlap do), and
-pairs that share fewer are no candidates. Documents with equal sets are one class from the start. Where
-an n-gram stands in the prefixes of many classes, the first of them is the hub and each other is matched with the hub; pairs of
-classes that the links so far leave in different components are matched in later rounds, so that no
-link between components is lost, and pairs inside a component need no match. Prefixes screen the pairs: n-grams that one
-has and the other lacks bound the overlap. A match takes a hub and
-a block of partners: the partners' ordered sets form a trie, walked once with the overlap of each shared path kept, and a
-subtree ends where the n-grams that are left cannot reach the overlap needed.
-
-Cases: null text and text without words give an empty set that links with nothing; fewer words than n make one n-gram; rows
-that repeat an id are one document for links and keep a row each; null ids count as an id below all
+Every document becomes a set of word n-grams; documents with equal sets are one node, named by 64 bits of a digest of the set (a
+digest that two different sets share is noticed, and another one is taken). Nodes meet by their prefixes in a global order, rare before frequent by
+a sketch of counts over all documents, then by hash: two similar sets share an n-gram there. An entry of a prefix carries
+the set's size, the n-gram's place and counts of the set's n-grams in 32 bins; sizes, places and bins bound the overlap from above, and
+no pair is given out whose bound is too low. First each entry meets the hub of its n-gram alone. The nodes that hang together so go to one
+block, each set once, as tries: the sets in one global order, common beginnings stored once. Each set of a block is walked through the
+trie, all nodes of a level at once; partial overlaps are shared along common paths, and a subtree is pruned where the n-grams that are left cannot reach the
+overlap needed. Sets that links already connect are not compared again, so that what comes out is a spanning set of links and not all pairs. Large
+groups are dealt over several blocks, and what is then outside a group's largest component meets the whole group block by block. At last, pairs with a common prefix n-gram that are
+of different groups are compared in the same way: no link between components is lost. Before sets move, pairs are screened by counts in as many bins as a quarter of their n-grams.
+
+Cases: null text and text without words give an empty set that links with nothing; fewer words than n make one n-gram; texts may be of any length; equal
+sets are always linked; rows that repeat an id are one document for links and keep a row each; null ids count as an id below all
 others and come out null; an empty table gives an empty result; other columns are ignored or carried through.
 """
 
@@ -29,23 +29,31 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, byte_view, components, dropped, id_key, mix, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
 
 SLICE_BYTES = 1 << 21
-SKETCH_BITS, SKETCH_PARTS = 22, 256
-BLOCK = 512
-SHARED = 3
-
-
-def _shared(num: int, den: int) -> int:
-    """How many n-grams prefixes must share: at most SHARED, and at most the least overlap that two different similar sets can have."""
-    return min(SHARED, max(1, -(-num // (den - num)))) if num < den else SHARED
+#: The sketch has about one slot for SLOT_BYTES of text, between these powers of two.
+SLOT_BYTES, LEAST_BITS, MOST_BITS, SKETCH_PARTS = 8, 12, 24, 256
+#: Bins of a set's n-grams that bound overlaps.
+BINS = 32
+#: Sets and n-grams of a block.
+BLOCK, BLOCK_GRAMS = 512, 1 << 21
+#: Entries of an n-gram up to which all its pairs are looked at before anything is given out.
+SMALL = 64
+#: Ids that may be broadcast to find their documents: 16 MB; more are joined by a shuffle.
+FEW = 1 << 21
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For slices of rows: first row, last row, n-gram hashes and their row numbers, not yet distinct."""
+    """For slices of rows: first row, last row, their distinct n-gram hashes in order, and where each row's begin and end."""
     raw, at = byte_view(column)
     for lo, hi in row_slices(at, SLICE_BYTES):
         words, counts = word_hashes(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], lower=True)
         grams, per = shingle_hashes(words, counts, n)
-        yield lo, hi, grams, np.repeat(np.arange(hi - lo, dtype=np.int32), per)
+        row = np.repeat(np.arange(hi - lo, dtype=np.int32), per)
+        order = _sorted_sets(grams, row, hi - lo)
+        g, r = grams[order], row[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+        g, r = g[new], r[new]
+        yield lo, hi, g, np.searchsorted(r, np.arange(hi - lo + 1))
 
 
 def _sorted_sets(key: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
@@ -55,21 +63,78 @@ def _sorted_sets(key: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     return order[np.argsort(rows.astype(np.uint16) if n_rows < 65536 else rows, kind="stable")]
 
 
-def _sketch(n: int):
+def _digest(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def _node(digest: bytes, part: int) -> int:
+    """A signed 64-bit name, from the first or the second half of a digest."""
+    return int.from_bytes(digest[8 * part : 8 * part + 8], "big", signed=True)
+
+
+def fine_bins(grams: np.ndarray) -> np.ndarray:
+    """Counts of a set's n-grams by their lowest bits, in a bin for about four of them: a power of two, so that bins of a larger set fold to those of a smaller one."""
+    size = 1 << max(int(BINS).bit_length() - 1, (max(len(grams) - 1, 1) // 4).bit_length())
+    return np.minimum(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def fold(bins: np.ndarray, size: int) -> np.ndarray:
+    return bins.reshape(-1, size).sum(axis=0, dtype=np.int64)
+
+
+def _screen(num: int, den: int):
+    """Pairs whose fine bins leave room for the overlap needed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            for _, _, grams, _ in _sets(batch.column("text"), n):
-                slot, times = np.unique((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
-                counts[slot] += times.astype(np.int32)
+            keep = []
+            for m, k, x, y in zip(*(batch.column(c).to_pylist() for c in ("an", "bn", "abins", "bbins"))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                keep.append(np.abs(fold(x, size) - fold(y, size)).sum() <= m + k - 2 * -(-num * (m + k) // (num + den)))
+            some = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(some), batch.column("b").filter(some)], ["a", "b"])
+
+    return run
+
+
+def _screened(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    side = lambda c: reps.select(F.col("node").alias(f"{c}_"), F.col("n").alias(f"{c}n"), F.col("bins").alias(f"{c}bins"))
+    both = pairs.join(side("a"), F.col("a_") == F.col("a")).join(side("b"), F.col("b_") == F.col("b"))
+    return staged(both.select("a", "b", "an", "bn", "abins", "bbins").mapInArrow(_screen(num, den), "a bigint, b bigint"))
+
+
+def _survey(n: int, bits: int):
+    """Per document its size and digest, and per task its share of the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            size, key, fine = [], [], []
+            for lo, hi, g, edge in _sets(batch.column("text"), n):
+                counts += np.bincount((g >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32) if len(g) > 1 << bits else 0
+                if len(g) <= 1 << bits:
+                    slot, times = np.unique(g >> np.uint64(64 - bits), return_counts=True)
+                    counts[slot.astype(np.int64)] += times.astype(np.int32)
+                size += np.diff(edge).tolist()
+                key += [_digest(g[a:b]) if b > a else None for a, b in zip(edge[:-1], edge[1:])]
+                fine += [fine_bins(g[a:b]).tobytes() if b > a else None for a, b in zip(edge[:-1], edge[1:])]
+            none = [None] * len(size)
+            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(fine, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], ["did", "n", "key", "bins", "part", "counts"])
         if counts.any():
-            parts = counts.reshape(SKETCH_PARTS, -1)
-            kind = np.uint16 if counts.max() < 65536 else np.int32
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([pack(p.astype(kind)) for p in parts], pa.binary())], ["part", "counts"])
+            parts = counts.reshape(min(SKETCH_PARTS, 1 << bits), -1)
+            none = [None] * len(parts)
+            kind = np.uint8 if counts.max() < 256 else np.uint16 if counts.max() < 65536 else np.int32
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([pack(p.astype(kind)) for p in parts], pa.binary())], ["did", "n", "key", "bins", "part", "counts"])
 
     return run
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: as they are up to 64, above by their logarithm."""
+    return np.where(counts <= 64, counts, np.minimum(64 + 4 * np.log2(np.maximum(counts, 1) / 64), 255)).astype(np.uint8)
+
+
 def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -77,360 +142,579 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = unpack(block.as_py())[0].astype(np.int64)
             sums[part] = sums[part] + own if part in sums else own
     parts = list(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([pack(sums[p]) for p in parts], pa.binary())], ["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([pack(_levels(sums[p])) for p in parts], pa.binary())], ["part", "counts"])
 
 
-def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams fall on each of 2^22 slots, over all documents; clipped to 20 bits."""
-    fed = docs.select("text").mapInArrow(_sketch(n), "part int, counts binary")
-    summed = fed.repartition(min(SKETCH_PARTS, partitions(docs.sparkSession)), "part").mapInArrow(_sum_sketch, "part int, counts binary")
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
+def frequency_sketch(made: DataFrame, bits: int) -> np.ndarray:
+    """How often n-grams fall on each slot, over all documents, as levels: 16 MB at most."""
+    fed = made.where("counts is not null").select("part", "counts")
+    summed = fed.repartition(min(SKETCH_PARTS, partitions(made.sparkSession)), "part").mapInArrow(_sum_sketch, "part int, counts binary")
+    out = np.zeros((min(SKETCH_PARTS, 1 << bits), (1 << bits) // min(SKETCH_PARTS, 1 << bits)), np.uint8)
     for row in summed.toLocalIterator():
         out[row["part"]] = unpack(row["counts"])[0]
-    return np.minimum(out.reshape(-1), (1 << 20) - 1).astype(np.uint32)
+    return out.reshape(-1)
 
 
-def _ordered(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Places in the global order: 20 bits of frequency, 44 bits of hash."""
-    return (sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20))
+def packed_entries(gram: np.ndarray, node: np.ndarray, size: np.ndarray, pos: np.ndarray, bins: np.ndarray) -> bytes:
+    """Entries by node as one block in which a node's name, size and bins stand once. Of an n-gram the level and 32 bits of hash are kept: two that look alike in one part only make a pair more to compare."""
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    count = np.diff(np.append(first, len(node)))
+    return pack((gram >> np.uint64(56)).astype(np.uint8), (gram >> np.uint64(24)).astype(np.uint32), pos.astype(np.int32), count.astype(np.uint16 if count.max() < 65536 else np.int32), node[first], size[first].astype(np.int32), bins[first].T.reshape(-1))
 
 
-def _prefixes(shared, n: int, num: int, den: int):
-    common = _shared(num, den)
+def unpacked_entries(block: bytes) -> tuple[np.ndarray, ...]:
+    """Grams, places, the number of each entry's node; and of nodes names, sizes and bins."""
+    level, low, pos, count, node, size, bins = unpack(block)
+    return (level.astype(np.uint64) << np.uint64(32)) | low, pos, np.repeat(np.arange(len(node)), count), node, size, bins.reshape(-1, len(node)).T
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
-        for batch in batches:
-            size, key, prefix = [], [], []
-            for lo, hi, grams, row in _sets(batch.column("text"), n):
-                place = _ordered(grams, sketch)
-                order = _sorted_sets(grams, row, hi - lo)
-                g, r = grams[order], row[order]
-                new = np.ones(len(g), bool)
-                new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
-                g, r, p = g[new], r[new], place[order][new]
-                edge = np.searchsorted(r, np.arange(hi - lo + 1))
-                again = _sorted_sets(p, r, hi - lo)
-                ranked = p[again]
-                for a, b in zip(edge[:-1], edge[1:]):
-                    m = b - a
-                    size.append(int(m))
-                    key.append(xxhash.xxh3_128_digest(g[a:b].tobytes()) if m else None)
-                    prefix.append(ranked[a : min(b, a + m - (num * m + den - 1) // den + common)].tobytes() if m else None)
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.binary())], ["did", "n", "key", "prefix"])
-
-    return run
 
+def _deal(shared, n: int, bits: int, num: int, den: int, half: int, parts: int):
+    """The entries of prefixes, by part of the n-grams: n-gram in the global order, node, size, place and bins. A task deals equal sets once."""
 
-def _deal(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        known: set[int] = set()
+
         def flush(held):
-            if not held:
-                return
-            grams = np.concatenate([h[0] for h in held])
-            rep, size, pos = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
-            part = (mix(grams) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            grams, rep, size, pos, part = grams[order], rep[order], size[order], pos[order], part[order]
+            cols = [np.concatenate([h[k] for h in held]) for k in range(5)]
+            part = (mix(cols[0]) % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((cols[1], part))
+            part, cols = part[order], [c[order] for c in cols]
             edge = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(k, pack(grams[a:b], rep[a:b], size[a:b], pos[a:b])) for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "block"])
+            some = np.flatnonzero(edge[1:] > edge[:-1])
+            blocks = []
+            for a, b in zip(edge[some], edge[some + 1]):
+                blocks.append(packed_entries(*(c[a:b] for c in cols)))
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
-        held, n = [], 0
+        held, count = [], 0
         for batch in batches:
-            for rep, size, prefix in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix")):
-                grams = np.frombuffer(prefix.as_py(), np.uint64)
-                m = len(grams)
-                held.append((grams, np.full(m, rep, np.int64), np.full(m, size, np.int32), np.arange(m, dtype=np.int32)))
-                n += m
-            if n > 1_000_000:
-                yield from flush(held)
-                held, n = [], 0
-        yield from flush(held)
+            for lo, hi, g, edge in _sets(batch.column("text"), n):
+                size = np.diff(edge)
+                row = np.repeat(np.arange(hi - lo), size)
+                place = (levels[(g >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8))
+                ranked = _sorted_sets(place, row.astype(np.int32), hi - lo)
+                at = np.arange(len(g)) - np.repeat(edge[:-1], size)
+                nodes = np.array([_node(_digest(g[a:b]), half) if b > a else 0 for a, b in zip(edge[:-1], edge[1:])], np.int64)
+                if len(known) > 200_000:
+                    known.clear()
+                fresh = np.zeros(hi - lo, bool)
+                for k, (node, m) in enumerate(zip(nodes.tolist(), size.tolist())):
+                    if m and node not in known:
+                        known.add(node)
+                        fresh[k] = True
+                bins = np.bincount(row * BINS + (g & np.uint64(BINS - 1)).astype(np.int64), minlength=(hi - lo) * BINS).reshape(-1, BINS)
+                bins = np.minimum(bins, 255).astype(np.uint8)
+                take = (at < (size - (num * size + den - 1) // den + 1)[row]) & fresh[row]
+                r = row[take]
+                held.append((place[ranked][take], nodes[r], size[r].astype(np.int32), at[take].astype(np.int32), bins[r]))
+                count += len(r)
+                if count > 500_000:
+                    yield flush(held)
+                    held, count = [], 0
+        if count:
+            yield flush(held)
 
     return run
 
 
-def _similar(a, i, b, j, num: int, den: int):
-    """Whether sets of sizes a and b that share the n-gram at places i and j can overlap enough."""
-    need = -(-num * (a + b) // (num + den))
-    return (np.minimum(i, j) + 1 + np.minimum(a - i - 1, b - j - 1) >= need) & (np.minimum(a, b) * den >= np.maximum(a, b) * num)
+def _near(a, b, size, pos, bins, num: int, den: int) -> np.ndarray:
+    """Which pairs of entries of one n-gram can overlap enough, by their sizes, places and bins."""
+    x, y, i, j = size[a].astype(np.int64), size[b].astype(np.int64), pos[a], pos[b]
+    need = -(-num * (x + y) // (num + den))
+    ok = np.flatnonzero((np.minimum(i, j) + 1 + np.minimum(x - i - 1, y - j - 1) >= need) & (np.minimum(x, y) * den >= np.maximum(x, y) * num))
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(ok), 1 << 18):
+        k = ok[lo : lo + (1 << 18)]
+        apart = np.abs(bins[a[k]].astype(np.int16) - bins[b[k]]).sum(axis=1)
+        out[k] = apart <= x[k] + y[k] - 2 * need[k]
+    return out
+
+
+def _hubs(gram: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For entries by n-gram and size, the first of each n-gram, and again the first that its hub's size is too small for."""
+    n = len(gram)
+    hub = np.zeros(n, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    hub[start] = start
+    hub = np.maximum.accumulate(hub)
+    while True:
+        far = size[hub].astype(np.int64) * den < size.astype(np.int64) * num
+        if not far.any():
+            return hub
+        at = np.flatnonzero(far)
+        first = at[np.concatenate([[True], gram[at[1:]] != gram[at[:-1]]])]
+        new = np.zeros(n, np.int64)
+        new[first] = first
+        hub = np.where(far, np.maximum.accumulate(new), hub)
+
+
+def _unique_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _entries(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gram, node, size, place, and where in the bins; bins apart."""
+    parts, base = [], 0
+    for block in blocks:
+        gram, pos, row, node, size, bins = unpacked_entries(block)
+        parts.append((gram, node[row], size[row], pos, row + base, bins))
+        base += len(node)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _some_near(gram: np.ndarray, size: np.ndarray, pos: np.ndarray, bins: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which entries can be similar to another one of their n-gram. In groups of over SMALL entries, all are held to."""
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    count = np.diff(np.append(start, len(gram)))
+    of = np.repeat(count, count)
+    out = of > SMALL
+    live = np.flatnonzero(~out)
+    stop = np.repeat(start + count, count)
+    for lag in range(1, SMALL):
+        live = live[live + lag < stop[live]]
+        if not len(live):
+            break
+        a = live[~(out[live] & out[live + lag])]
+        a = a[_near(a, a + lag, size, pos, bins, num, den)]
+        out[a] = out[a + lag] = True
+    return out
 
 
 def _groups(num: int, den: int):
-    """Of each part, the n-grams in two prefixes or more: rows (gram, rep, n, pos), and hub pairs."""
+    """Rows come sorted by part. Of each part the n-grams that several nodes have in their prefixes, packed, and the pairs with their hubs that can be similar."""
+
+    def done(part: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        gram, node, size, pos, row, bins = _entries(blocks)
+        order = np.lexsort((node, size, gram))
+        same = (gram[order][1:] == gram[order][:-1]) & (node[order][1:] == node[order][:-1])
+        order = order[np.concatenate([[True], ~same])]
+        g = gram[order]
+        twin = np.zeros(len(g), bool)
+        twin[1:] |= g[1:] == g[:-1]
+        twin[:-1] |= g[1:] == g[:-1]
+        order = order[twin]
+        if not len(order):
+            return
+        gram, node, size, pos, bins = gram[order], node[order], size[order], pos[order], bins[row[order]]
+        kept = _some_near(gram, size, pos, bins, num, den)
+        gram, node, size, pos, bins = gram[kept], node[kept], size[kept], pos[kept], bins[kept]
+        if not len(gram):
+            return
+        hub, own = _hubs(gram, size, num, den), np.arange(len(gram))
+        far = own != hub
+        own, hub = own[far], hub[far]
+        ok = _near(hub, own, size, pos, bins, num, den)
+        a, b = _unique_pairs(node[hub[ok]], node[own[ok]])
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(a), pa.int32()), pa.array(a), pa.array(b), pa.array([None] * len(a), pa.binary())], ["part", "a", "b", "block"])
+        order = np.argsort(node, kind="stable")
+        block = packed_entries(gram[order] << np.uint64(24), node[order], size[order], pos[order], bins[order])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([block], pa.binary())], ["part", "a", "b", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
+        now, held = None, []
         for batch in batches:
-            for part, block in zip(batch.column("part").to_pylist(), batch.column("block")):
-                parts.setdefault(part, []).append(unpack(block.as_py()))
-        for part in list(parts):
-            blocks = parts.pop(part)
-            gram, rep, size, pos = (np.concatenate([b[k] for b in blocks]) for k in range(4))
-            order = np.argsort(gram, kind="stable")
-            g = gram[order]
-            same = g[1:] == g[:-1]
-            twin = np.zeros(len(g), bool)
-            twin[1:] |= same
-            twin[:-1] |= same
-            order = order[twin]
-            gram, rep, size, pos = gram[order], rep[order], size[order], pos[order]
-            order = np.lexsort((rep, size, gram))
-            gram, rep, size, pos = gram[order], rep[order], size[order], pos[order]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(rep), pa.array(size), pa.array(pos)], ["gram", "rep", "n", "pos"])
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist()):
+                if part != now:
+                    if held:
+                        yield from done(now, held)
+                    now, held = part, []
+                held.append(block)
+        if held:
+            yield from done(now, held)
 
     return run
 
 
-def _pairs(num: int, den: int, star: bool):
-    """Pairs of entries of one n-gram. Entries come sorted by gram, component when there is one, size and rep. With `star`, each run of
-    entries of about one size is matched with its first; otherwise all pairs of different components are."""
+class Trie:
+    """Ordered sets as a trie with compressed paths. Nodes hold a run of n-grams each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        size = np.array([len(x) for x in sets])
+        grams, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        self.kinds = len(grams)
+        self.sets = [flat[a:b] for a, b in zip(edge, edge[1:])]
+        self.size = size
+        order = sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">u4").tobytes())
+        begin, end, parent, owner = [0], [0], [-1], [order[0]]  # the root is empty
+        leaf = {}
+        path = [0]
+        before = None
+        for i in order:
+            own = self.sets[i]
+            common = 0
+            if before is not None:
+                m = min(len(before), len(own))
+                differ = np.flatnonzero(before[:m] != own[:m])
+                common = int(differ[0]) if len(differ) else m
+            while len(path) > 1 and begin[path[-1]] >= common:
+                last = path.pop()
+            if end[path[-1]] > common:  # the run parts here
+                k = path[-1]
+                begin.append(begin[k])
+                end.append(common)
+                parent.append(parent[k])
+                owner.append(owner[k])
+                begin[k], parent[k] = common, len(begin) - 1
+                path[-1] = len(begin) - 1
+            begin.append(common)
+            end.append(len(own))
+            parent.append(path[-1])
+            owner.append(i)
+            leaf[len(begin) - 1] = i
+            path.append(len(begin) - 1)
+            before = own
+        n = len(begin)
+        level = [-1] * n
+        level[0] = 0
+        for k in range(n):
+            up = []
+            while level[k] < 0:
+                up.append(k)
+                k = parent[k]
+            for j in reversed(up):
+                level[j] = level[parent[j]] + 1
+        self.parent, level = np.array(parent), np.array(level)
+        self.leaf = np.full(n, -1)
+        self.leaf[list(leaf)] = list(leaf.values())
+        least, most = np.full(n, 1 << 60), np.zeros(n, np.int64)
+        for k, i in leaf.items():
+            least[k] = most[k] = size[i]
+        by_level = [np.flatnonzero(level == d) for d in range(int(level.max()) + 1)]
+        for nodes in reversed(by_level[1:]):
+            np.minimum.at(least, self.parent[nodes], least[nodes])
+            np.maximum.at(most, self.parent[nodes], most[nodes])
+        self.least, self.most, self.levels = least, most, by_level[1:]
+        begin, end = np.array(begin), np.array(end)
+        self.end = end
+        run = end - begin
+        self.stop = np.cumsum(run)
+        start = edge[np.array(owner)] + begin
+        self.runs = flat[np.arange(int(run.sum())) - np.repeat(self.stop - run - start, run)]
+        # the last n-gram on the way to a node
+        self.last = np.full(n, -1)
+        self.last[run > 0] = self.runs[self.stop[run > 0] - 1]
+        for nodes in self.levels:
+            self.last[nodes] = np.where(run[nodes] > 0, self.last[nodes], self.last[self.parent[nodes]])
+
+    def similar(self, i: int, num: int, den: int) -> np.ndarray:
+        """The sets that overlap the i-th enough, itself among them."""
+        x, m = self.sets[i], int(self.size[i])
+        hit = np.zeros(self.kinds + 1, bool)
+        hit[x] = True
+        upto = np.concatenate([np.cumsum(hit[:-1]), [0]])  # the last one stands for no n-gram
+        hits = np.concatenate([[0], np.cumsum(hit[self.runs])])
+        gain = hits[self.stop] - hits[np.concatenate([[0], self.stop[:-1]])]
+        overlap, alive = np.zeros(len(gain), np.int64), np.zeros(len(gain), bool)
+        alive[0] = True
+        out = []
+        for nodes in self.levels:
+            nodes = nodes[alive[self.parent[nodes]]]
+            if not len(nodes):
+                break
+            overlap[nodes] = overlap[self.parent[nodes]] + gain[nodes]
+            left = np.minimum(self.most[nodes] - self.end[nodes], m - upto[self.last[nodes]])
+            need = -(-num * (m + self.least[nodes]) // (num + den))
+            nodes = nodes[overlap[nodes] + left >= need]
+            alive[nodes] = True
+            found = nodes[self.leaf[nodes] >= 0]
+            out.append(self.leaf[found[overlap[found] * (num + den) >= num * (m + self.size[self.leaf[found]])]])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def block_links(sets: list[np.ndarray], num: int, den: int, ask: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect the sets of a block as all links between them do, or as all links of the sets `ask` do."""
+    trie, group, links = Trie(sets), np.arange(len(sets)), []
+    for i in range(len(sets)) if ask is None else ask:
+        if (group == group[i]).all():
+            if ask is None:
+                break
+            continue
+        for j in trie.similar(i, num, den).tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                links.append((i, j))
+    return links
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
+
+
+def _blocks(num: int, den: int, asking: bool):
+    """Rows come sorted by (head, block). With `asking`, only links of the rows that ask count; else all of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[int] = set()
-        rest = None
+        now, held, asks = None, {}, set()
+
+        def done() -> list[tuple[int, int]]:
+            ids = list(held)
+            if len(ids) < 2 or asking and not asks:
+                return []
+            return [(ids[i], ids[j]) for i, j in block_links(list(held.values()), num, den, [k for k, x in enumerate(ids) if x in asks] if asking else None)]
+
         for batch in batches:
-            cols = [np.asarray(batch.column(c)) for c in ("gram", "rep", "n", "pos", "comp")]
-            if rest is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            rest = [c[cut:] for c in cols]
-            yield from _emit([c[:cut] for c in cols], num, den, star)
-        if rest is not None:
-            yield from _emit(rest, num, den, star)
+            links = []
+            for head, block, node, ask, grams in zip(*(batch.column(c).to_pylist() for c in ("head", "block", "node", "ask", "grams"))):
+                if (head, block) != now:
+                    links += done()
+                    now, held, asks = (head, block), {}, set()
+                held[node] = np.frombuffer(grams, np.uint64)
+                if ask:
+                    asks.add(node)
+            if links:
+                yield _link_batch(links)
+        links = done()
+        if links:
+            yield _link_batch(links)
 
     return run
 
 
-def _emit(cols, num: int, den: int, star: bool) -> Iterator[pa.RecordBatch]:
-    gram, rep, size, pos, comp = cols
-    n = len(gram)
-    if n < 2:
-        return
-    found: list[np.ndarray] = []
-    if star:
-        # the first entry of each gram, and again where the size has outgrown the last hub
-        hub = np.zeros(n, np.int64)
-        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        hub[start] = start
-        hub = np.maximum.accumulate(hub)
-        while True:
-            far = size[hub].astype(np.int64) * den < size.astype(np.int64) * num
-            if not far.any():
-                break
-            at = np.flatnonzero(far)
-            first = at[np.concatenate([[True], gram[at[1:]] != gram[at[:-1]]])]
-            new = np.zeros(n, np.int64)
-            new[first] = first
-            hub = np.where(far, np.maximum.accumulate(new), hub)
-        a, b = hub, np.arange(n)
-        keep = a != b
-        # neighbours in the order of sizes too, so that chains link in one round
-        c = np.flatnonzero((gram[1:] == gram[:-1]) & (hub[1:] != np.arange(n - 1)))
-        a, b = np.concatenate([a[keep], c]), np.concatenate([b[keep], c + 1])
-        found.append(_checked(a, b, rep, size, pos, num, den))
-    else:
-        lag = 1
-        live = np.arange(n - 1)
-        while len(live):
-            live = live[live + lag < n]
-            live = live[gram[live] == gram[live + lag]]
-            live = live[size[live + lag].astype(np.int64) * num <= size[live].astype(np.int64) * den]
-            cross = live[comp[live] != comp[live + lag]]
-            if len(cross):
-                found.append(_checked(cross, cross + lag, rep, size, pos, num, den))
-            lag += 1
-            if sum(map(len, found)) > 500_000:
-                yield _pair_batch(found)
-                found = []
-    if found:
-        yield _pair_batch(found)
-
-
-def _checked(a, b, rep, size, pos, num, den) -> np.ndarray:
-    wide = size.astype(np.int64)
-    ok = _similar(wide[a], pos[a], wide[b], pos[b], num, den) & (rep[a] != rep[b])
-    x, y = rep[a[ok]], rep[b[ok]]
-    return np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
-
-
-def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.concatenate(found)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
-    first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])) if len(pairs) else np.zeros(0, np.int64)
-    times = np.diff(np.append(first, len(pairs)))
-    return pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(times.astype(np.int32))], ["a", "b", "times"])
-
-
-def _often(found: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that enough n-grams gave."""
-    return found.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= _shared(num, den)).select("a", "b")
-
-
-def _full_sets(n: int):
+def _linked(asked: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, half: int, asking: bool) -> DataFrame:
+    """Links inside blocks. asked: head, block, node, ask. The sets go to their blocks from where they are made, if the rows that tell the blocks are few enough to broadcast."""
+    spark = docs.sparkSession
+    asked = staged(asked)
+    sets = _sets_of(asked.select(F.col("node").alias("w")).distinct(), reps, docs, n, half)
+    told = F.broadcast(asked) if asked.count() <= FEW else asked
+    rows = sets.join(told, F.col("id") == F.col("node")).select("head", "block", "node", "ask", "grams")
+    return staged(rows.repartition(partitions(spark), "head", "block").sortWithinPartitions("head", "block", "node").mapInArrow(_blocks(num, den, asking), "u bigint, v bigint"))
+
+
+def _full_sets(n: int, half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lo, hi, grams, row in _sets(batch.column("text"), n):
-                order = _sorted_sets(grams, row, hi - lo)
-                g, r = grams[order], row[order]
-                new = np.ones(len(g), bool)
-                new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
-                g, r = g[new], r[new]
-                edge = np.searchsorted(r, np.arange(hi - lo + 1))
-                out += [g[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(out, pa.binary())], ["did", "grams"])
+            for _, _, g, edge in _sets(batch.column("text"), n):
+                some = np.flatnonzero(edge[1:] > edge[:-1])
+                out = [g[edge[k] : edge[k + 1]] for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(_digest(x), half) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], ["id", "grams"])
 
     return run
 
 
-def trie_links(x: np.ndarray, others: list[np.ndarray], num: int, den: int, step: int = 64) -> list[int]:
-    """Which of the ordered sets overlap x enough. The sets in lexicographic order are a trie: a set shares
-    with the one before it the path of their common beginning, whose overlaps are kept in `overlap`."""
-    order = sorted(range(len(others)), key=lambda i: others[i].astype(">u8").tobytes())
-    most = max(map(len, others), default=0)
-    overlap = np.zeros(most + 1, np.int64)
-    found, prev, walked = [], np.zeros(0, np.uint64), 0
-    for i in order:
-        y = others[i]
-        need = -(-num * (len(x) + len(y)) // (num + den))
-        m = min(walked, len(y))
-        differ = np.flatnonzero(prev[:m] != y[:m])
-        at = int(differ[0]) if len(differ) else m
-        left = len(x) - (int(np.searchsorted(x, y[at - 1], side="right")) if at else 0)
-        alive = overlap[at] + min(len(y) - at, left) >= need
-        while alive and at < len(y):
-            part = y[at : at + step]
-            r = np.searchsorted(x, part)
-            hit = x[np.minimum(r, len(x) - 1)] == part
-            end = at + len(part)
-            overlap[at + 1 : end + 1] = overlap[at] + np.cumsum(hit)
-            alive = overlap[end] + min(len(y) - end, len(x) - int(r[-1]) - int(hit[-1])) >= need
-            at = end
-        prev, walked = y, at
-        if alive and overlap[len(y)] >= need:
-            found.append(i)
-    return found
-
-
-def _match(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by (hub, block), the hub's own set first
-        now, hubs, ids, sets = None, [], [], []
+def _sets_of(wanted: DataFrame, reps: DataFrame, docs: DataFrame, n: int, half: int) -> DataFrame:
+    """Rows (id, grams) of the nodes `wanted` (w). A document that shares its id with others may bring sets that nothing asks for."""
+    ids = staged(reps.join(wanted, F.col("w") == F.col("node")).select(F.col("rep").alias("r")).distinct())
+    few = F.broadcast(ids) if ids.count() <= FEW else ids
+    return docs.select("did", "text").join(few, F.col("did") == F.col("r"), "left_semi").mapInArrow(_full_sets(n, half), "id bigint, grams binary")
 
-        def done():
-            return [(ids[i], now[0]) for x in hubs if ids for i in trie_links(x, sets, num, den)]
 
+def _asks(parts: int):
+    """Of packed groups: the nodes whose names each part asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = []
-            for hub, block, did, grams in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "did", "grams"))):
-                if (hub, block) != now:
-                    links += done()
-                    now, hubs, ids, sets = (hub, block), [], [], []
-                own = np.frombuffer(grams, np.uint64)
-                if did == hub:
-                    hubs.append(own)
-                else:
-                    ids.append(did)
-                    sets.append(own)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
-        links = done()
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist()):
+                own = unpacked_entries(block)[3]
+                to = (mix(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                some = np.unique(to)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([pack(own[to == q]) for q in some], pa.binary())], ["q", "part", "ids"])
 
     return run
 
 
-def _screen(num: int, den: int):
-    """Pairs whose prefixes leave room for the overlap needed: what stands in one prefix, at or before the end of the other, and not in
-    the other, is missing from the other set."""
-
-    def room(m: int, x: np.ndarray, n: int, y: np.ndarray) -> bool:
-        need = -(-num * (m + n) // (num + den))
-        both = np.intersect1d(x, y).size
-        return min(m - (np.searchsorted(x, y[-1], side="right") - both), n - (np.searchsorted(y, x[-1], side="right") - both)) >= need
+def _named(parts: int):
+    """Of rows (id, component, block): packed, by share of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by (hub, block), the hub's own sets first: an id that repeats with different texts has several
-        now, hubs = None, []
         for batch in batches:
-            a, b = [], []
-            for h, block, did, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "did", "n", "grams"))):
-                y = np.frombuffer(prefix, np.uint64)
-                if (h, block) != now:
-                    now, hubs = (h, block), []
-                if did == h:
-                    hubs.append((n, y))
-                elif any(room(m, x, n, y) for m, x in hubs):
-                    a.append(h)
-                    b.append(did)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            cols = [np.asarray(batch.column(c)) for c in ("id", "component", "block")]
+            to = (mix(cols[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            some = np.unique(to)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([None] * len(some), pa.int32()), pa.array([pack(*(c[to == q] for c in cols)) for q in some], pa.binary())], ["q", "part", "ids"])
 
     return run
 
 
-def _dealt(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """The pairs (a, b) with what the table has of each: a is the hub, its partners are dealt in blocks, and each block begins with the hub's own row. table: did, grams and more."""
-    spark = pairs.sparkSession
-    counts = staged(pairs.groupBy(F.col("a").alias("h")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    asked = pairs.join(counts, F.col("a") == F.col("h")).select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("asks"))
-    hubs = counts.select(F.col("h").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("h").alias("asks"))
-    wanted = staged(asked.unionByName(hubs))
-    rows = wanted.join(table, F.col("did") == F.col("asks")).select("hub", "block", *table.columns)
-    return rows.repartition(partitions(spark), "hub", "block").sortWithinPartitions("hub", "block", F.col("did") != F.col("hub"))
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by share, names before asks: answers to parts."""
+    now, held, table = None, [], None
+    for batch in batches:
+        out = []
+        for q, part, block in zip(*(batch.column(c).to_pylist() for c in ("q", "part", "ids"))):
+            if q != now:
+                now, held, table = q, [], None
+            if part is None:
+                held.append(unpack(block))
+                continue
+            if table is None:
+                table = [np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(3)]
+                by = np.argsort(table[0])
+                table = [c[by] for c in table]
+            own = unpack(block)[0]
+            at = np.minimum(np.searchsorted(table[0], own), max(len(table[0]) - 1, 0))
+            hit = table[0][at] == own if len(table[0]) else np.zeros(len(own), bool)
+            if hit.any():
+                out.append((part, pack(own[hit], table[1][at[hit]], table[2][at[hit]])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["part", "names"])
+
+
+def cross_pairs(gram, node, size, pos, bins, comp, block, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one n-gram that can be similar, of different components and blocks. Entries come by n-gram and size. Only what is outside an n-gram's largest component meets all others."""
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    stop = np.append(start[1:], len(gram))
+    which = np.repeat(np.arange(len(start)), stop - start)
+    order = np.lexsort((comp, which))
+    new = np.concatenate([[True], (which[order][1:] != which[order][:-1]) | (comp[order][1:] != comp[order][:-1])])
+    heads = np.flatnonzero(new)
+    times, of = np.diff(np.append(heads, len(order))), which[order][heads]
+    by = np.lexsort((times, of))
+    largest = np.zeros(len(start), np.int64)
+    largest[of[by]] = comp[order][heads[by]]
+    rest = np.flatnonzero(comp != largest[which])
+    span = (stop - start)[which[rest]]
+    cut = np.concatenate([[0], np.cumsum(span)])
+    lo = 0
+    while lo < len(rest):
+        hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + (1 << 20), side="right")) - 1)
+        a = np.repeat(rest[lo:hi], span[lo:hi])
+        b = np.arange(len(a)) - np.repeat(cut[lo:hi] - cut[lo] - start[which[rest[lo:hi]]], span[lo:hi])
+        # a pair of two outside the largest is met twice: once is enough
+        ok = np.flatnonzero((comp[a] != comp[b]) & (block[a] != block[b]) & ((comp[b] == largest[which[a]]) | (a < b)))
+        a, b = a[ok], b[ok]
+        ok = _near(a, b, size, pos, bins, num, den)
+        if ok.any():
+            yield node[a[ok]], node[b[ok]]
+        lo = hi
+
+
+def _across(num: int, den: int):
+    """Rows come sorted by part, names before its groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part, names, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "names", "block"))):
+                if part != now:
+                    now, held = part, []
+                if names is not None:
+                    held.append(unpack(names))
+                    continue
+                gram, pos, back, own, size, bins = unpacked_entries(packed)
+                comp, block = own.copy(), own.copy()
+                if held:
+                    ids, c, k = (np.concatenate([h[j] for h in held]) for j in range(3))
+                    at = np.searchsorted(own, ids)
+                    comp[at], block[at] = c, k
+                entry = [gram, own[back], size[back], pos, bins[back], comp[back], block[back]]
+                by = np.lexsort((entry[1], entry[2], gram))
+                entry = [c[by] for c in entry]
+                a, b = [], []
+                for x, y in cross_pairs(*entry, num, den):
+                    a.append(x)
+                    b.append(y)
+                    if sum(map(len, a)) > 1 << 18:
+                        a, b = ([z] for z in _unique_pairs(np.concatenate(a), np.concatenate(b)))
+                if a:
+                    a, b = _unique_pairs(np.concatenate(a), np.concatenate(b))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
 
 
-def _screened(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    table = reps.select(F.col("rep").alias("did"), "n", F.col("prefix").alias("grams"))
-    return staged(_dealt(pairs, table).mapInArrow(_screen(num, den), "a bigint, b bigint").distinct())
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough, as edges (u, v)."""
-    return _dealt(pairs, sets).mapInArrow(_match(num, den), "u bigint, v bigint")
+def _count(nodes, size):
+    """How many blocks so many nodes make whose sets have so many n-grams."""
+    return F.greatest(F.ceil(nodes / BLOCK), F.ceil(size / BLOCK_GRAMS)).cast("int")
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Rows (did, grams) for the documents on the pairs. Rows that repeat an id keep a set each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    return staged(docs.select("did", "text").join(wanted, F.col("did") == F.col("w"), "left_semi").mapInArrow(_full_sets(n), "did bigint, grams binary"))
+def _first_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, half: int) -> tuple[DataFrame, DataFrame]:
+    """Links inside the groups that the pairs make; and rows (id, head) of their nodes. Groups of several blocks are dealt twice by
+    different hashes, so what one dealing parts the other may tie; what is then outside the largest component of its group meets the whole group, block by block."""
+    groups = staged(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).join(reps.select("node", "n"), F.col("node") == F.col("id")).select("id", F.col("component").alias("head"), "n"))
+    blocks = staged(groups.groupBy(F.col("head").alias("bh")).agg(_count(F.count("*"), F.sum("n")).alias("blocks")))
+    dealt = groups.join(blocks, F.col("bh") == F.col("head")).select("id", "head", "n", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    again = dealt.where("blocks > 1").select("id", "head", "n", "blocks", (F.col("blocks") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).cast("int").alias("block"))
+    asked = dealt.unionByName(again).select("head", "block", F.col("id").alias("node"), F.lit(False).alias("ask"))
+    links = _linked(asked, reps, docs, n, num, den, half, False)
+    of_node = groups.select("id", "head")
+    large = dealt.where("blocks > 1")
+    if not blocks.where("blocks > 1").take(1):
+        return links, of_node
+    comps = staged(components(links))
+    named = staged(large.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("id"), "left").select("id", "head", "n", "blocks", "block", F.coalesce("component", "id").alias("c")))
+    most = named.groupBy(F.col("head").alias("mh"), "c").agg(F.count("*").alias("k")).groupBy("mh").agg(F.max_by("c", F.struct("k", "c")).alias("largest"))
+    rest = staged(named.join(most, F.col("mh") == F.col("head")).where("c <> largest").select("id", "head", "n", "blocks"))
+    shares = staged(rest.groupBy(F.col("head").alias("sh")).agg(_count(F.count("*"), F.sum("n")).alias("shares")))
+    cell = lambda row, column: (F.col(row) * F.col("shares") + F.col(column)).cast("int").alias("block")
+    share = F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share")
+    asks = rest.join(shares, F.col("sh") == F.col("head")).select("id", "head", "shares", share, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    others = named.join(shares, F.col("sh") == F.col("head")).select("id", "head", "shares", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    both = asks.select("head", cell("own", "share"), F.col("id").alias("node"), F.lit(True).alias("ask")).unionByName(others.select("head", cell("own", "share"), F.col("id").alias("node"), F.lit(False).alias("ask")))
+    more = _linked(both, reps, docs, n, num, den, half, True)
+    return staged(links.unionByName(more)), of_node
+
+
+def _late_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, half: int) -> DataFrame:
+    """The pairs that are similar, each node a with its partners b in blocks."""
+    blocks = staged(pairs.join(reps.select("node", "n"), F.col("node") == F.col("b")).groupBy(F.col("a").alias("head")).agg(_count(F.count("*"), F.sum("n")).alias("blocks")))
+    dealt = pairs.join(blocks, F.col("head") == F.col("a")).select("head", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("node"), F.lit(False).alias("ask"))
+    heads = blocks.select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("head").alias("node"), F.lit(True).alias("ask"))
+    return _linked(dealt.unionByName(heads), reps, docs, n, num, den, half, True)
 
 
 def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows (did, n, component): documents with the size of their set and the least id of their class, where sets x and y link when den * |x & y| >= num * |x | y|. docs: did, text."""
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(frequency_sketch(docs, n))
-    made = staged(docs.select("did", "text").mapInArrow(_prefixes(sketch, n, num, den), "did bigint, n bigint, key binary, prefix binary"))
-    reps = staged(made.where("key is not null").groupBy("key").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    parts = 8 * partitions(spark)
-    dealt = reps.select("rep", "n", "prefix").mapInArrow(_deal(parts), "part int, block binary")
-    shared = dealt.repartition(partitions(spark), "part").mapInArrow(_groups(num, den), "gram bigint, rep bigint, n int, pos int")
-    groups = staged(shared)
-    schema = "a bigint, b bigint, times int"
-    sorted_groups = lambda g: g.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "n", "rep")
-    pairs = staged(_often(sorted_groups(groups.withColumn("comp", F.lit(0).cast("long"))).mapInArrow(_pairs(num, den, True), schema), num, den))
-    near = _screened(pairs, reps, num, den)
-    sets = _sets_of(near, docs, n)
-    links = staged(_matched(near, sets, num, den))
+    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = min(max(int(size // SLOT_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
+    made = staged(docs.select("did", "text").mapInArrow(_survey(n, bits), "did bigint, n bigint, key binary, bins binary, part int, counts binary"))
+    sketch = spark.sparkContext.broadcast(frequency_sketch(made, bits))
+    sets = made.where("key is not null").groupBy("key").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("bins").alias("bins"))
+    sets = staged(sets)
+    half = 0 if sets.count() == sets.select(_node_of("key", 0).alias("node")).distinct().count() else 1
+    if half and sets.count() != sets.select(_node_of("key", 1).alias("node")).distinct().count():
+        raise ValueError("both halves of the digest name two sets alike")
+    reps = sets.select("key", "rep", "n", "bins", _node_of("key", half).alias("node"))
+    dealt = docs.select("text").mapInArrow(_deal(sketch, n, bits, num, den, half, parts), "part int, block binary")
+    groups = staged(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_groups(num, den), "part int, a bigint, b bigint, block binary"))
+    pairs = _screened(groups.where("a is not null").select("a", "b").distinct(), reps, num, den)
+    links, blocks = _first_links(pairs, reps, docs, n, num, den, half)
     comps = staged(components(links))
-    labelled = groups.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("rep"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-    mixed = labelled.groupBy(F.col("gram").alias("mg")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("mg")
-    across = _often(sorted_groups(labelled.join(mixed, F.col("mg") == F.col("gram"), "left_semi")).mapInArrow(_pairs(num, den, False), schema), num, den)
-    fresh = staged(across.join(pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti"))
-    late = _screened(fresh, reps, num, den)
-    more = staged(_matched(late, _sets_of(late, docs, n), num, den))
-    comps = staged(components(links.unionByName(more)))
-    rep_of = staged(reps.select("key", "rep").join(comps, F.col("id") == F.col("rep"), "left").select(F.col("key").alias("rk"), F.coalesce("component", "rep").alias("component")))
-    out = made.select("did", "n", "key").join(rep_of, F.col("rk") == F.col("key"), "left").select("did", "n", F.coalesce("component", "did").alias("component"))
-    for t in (sets, groups, pairs, near, fresh, late):
+    names = staged(blocks.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("id"), "left").select("id", F.coalesce("component", "id").alias("component"), F.col("head").alias("block")))
+    packed = groups.where("block is not null").select("part", "block")
+    asks = packed.mapInArrow(_asks(parts), "q int, part int, ids binary").unionByName(names.mapInArrow(_named(parts), "q int, part int, ids binary"))
+    answers = asks.repartition(parts, "q").sortWithinPartitions("q", F.col("part").isNotNull()).mapInArrow(_name, "part int, names binary")
+    both = answers.unionByName(packed, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", F.col("names").isNull())
+    late = _screened(both.select("part", "names", "block").mapInArrow(_across(num, den), "a bigint, b bigint").distinct(), reps, num, den)
+    more = _late_links(late, reps, docs, n, num, den, half)
+    if more.take(1):
+        comps = staged(components(links.unionByName(more)))
+    # a class is named by the least document id of its sets
+    named = reps.join(comps, F.col("id") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "node").alias("c"))
+    named = staged(named)
+    least = named.groupBy(F.col("c").alias("lc")).agg(F.min("rep").alias("component"))
+    of_key = staged(named.join(least, F.col("lc") == F.col("c")).select(F.col("key").alias("rk"), "component"))
+    keyed = made.where("counts is null").select("did", "n", "key")
+    # rows that share an id are one document: they tie the classes of their sets
+    twice = keyed.where("key is not null").groupBy("did").agg(F.countDistinct("key").alias("k")).where("k > 1").select(F.col("did").alias("td"))
+    ties = staged(keyed.join(twice, F.col("td") == F.col("did"), "left_semi").join(of_key, F.col("rk") == F.col("key")).select(F.col("did").alias("u"), F.col("component").alias("v")))
+    if ties.take(1):
+        tied = staged(components(ties))
+        of_key = of_key.join(tied, F.col("id") == of_key["component"], "left").select("rk", F.coalesce(tied["component"], of_key["component"]).alias("component"))
+    out = keyed.join(of_key, F.col("rk") == F.col("key"), "left").select("did", "n", F.coalesce("component", "did").alias("component"))
+    for t in (groups, pairs, blocks, names, late):
         dropped(t)
     return out
 
 
+def _node_of(key: str, half: int):
+    """The signed number that `_node` makes of half a digest."""
+    digits = F.hex(F.substring(key, 1 + 8 * half, 8))
+    high, low = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long"), F.conv(F.substring(digits, 9, 8), 16, 10).cast("long")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
 def first_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each class of similar ones, that with the least id; columns stay as they are."""
     keyed = docs.select(id_key().alias("did"), "text")

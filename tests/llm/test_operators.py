@@ -95,11 +95,44 @@ def test_html_keeps_all_sections():
     body = "<h2>Title</h2>" + "".join(f"<section><p>{t}</p></section>" for t in parts)
     want = "\n\n".join(["Title", *parts])
     for page in (f"<html><body><div id=top>Site</div><div id=story>{body}</div></body></html>", f"<div id=top>Site</div><div id=story>{body}</div>"):
-        tops = {op4_html.xxhash.xxh3_64_intdigest(f"{b[0]}\0{b[4]}") for b in op4_html.blocks(page)[0] if b[4] == "Site"}
+        tops = {op4_html._text_token(b) for b in op4_html.blocks(page)[0] if b.text == "Site"}
         assert op4_html.main_text(page, set()) == op4_html.main_text(page, tops) == want
     assert op4_html.main_text(f"<body>{body}</body>", set()) == want
 
 
+def test_html_names_and_attributes():
+    for attr in ("class='content comment-free'", "class=lead-alert", "class=foot-note", "id=ad-hoc-networks", "title=it's", "data-x=don't", "data-a='<b>'", 'x="'):
+        page = f"<body><nav>menu</nav><article><p {attr}>Some text.</p><p>And more.</p></article></body>"
+        assert op4_html.main_text(page, set()) == "Some text.\n\nAnd more.", attr
+    for attr in ("class='cookie-notice'", "class=siteFooter", "id=comments", "class='comment-list x'", "class=ad", "id=sidebar-left", "role=search", "hidden", "style='display: none'", "class='reader-comments'", "class=ad-slot-3"):
+        assert op4_html.main_text(f"<body><article><p>Text.</p><div {attr}>Other</div></article>", set()) == "Text.", attr
+    assert op4_html.main_text("<body><article>1 < 2 &lt;&eacute; <!-- no --><![CDATA[a<b]]> <svg>x<p>yes</article>", set()) == "1 < 2 <é a<b\n\nx\n\nyes"
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for made in (lambda n: '<a "' * n, lambda n: "<div>" * n + "x", lambda n: "<p><div>" + "<b>" * n + "<p>y" * n, lambda n: "<div>t" * n + "</span>" * n, lambda n: "<svg>" * n, lambda n: "<!--" * n, lambda n: "&amp;<" * n, lambda n: "<p x='" * n):
+        op4_html.main_text(made(100), set())
+        start = time.process_time()
+        op4_html.main_text(made(40_000), set())
+        assert time.process_time() - start < 4
+
+
+def test_templates_by_brute_force(spark):
+    rng = random.Random(14)
+    pages = [(i, "http://h/" + str(i), "<body><div class=top>Site</div><ul>" + "".join(f"<li>{rng.choice('abc')}" for _ in range(rng.randint(1, 3))) + f"</ul><div class=story><p>{rng.choice(WORDS)} {i}</p>" + "<p>Printed</p>" * (i % 2) + "</div>") for i in range(12)]
+    vectors = {}
+    for i, _, html in pages:
+        found, tags, _ = op4_html.blocks(html)
+        for t in [t for t, _ in tags] + [op4_html._text_token(b) for b in found]:
+            vectors.setdefault(t, [0] * 12)[i] += 1
+    want = {t for t, v in vectors.items() if sum(n > 0 for n in v) >= max(3, 0.3 * 12)}
+    rows = op4_html.templates(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    assert [r["thost"] for r in rows] == ["h"] and {t & (1 << 64) - 1 for t in rows[0]["tokens"]} == want
+    assert op4_html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_mixing(spark, docs):
     rows = op5_mixing.mix_sources(docs).collect()
     assert all(0 <= r["copies"] <= 2 for r in rows)
@@ -129,16 +162,39 @@ def test_classifier(spark, docs):
 def test_classifier_paths_of_equal_sites(spark):
     rows = [(8.0 if (i < 180 if p == 0 else i < 4) else -8.0, f"s{s}", f"p{p}") for s in range(4) for p in range(5) for i in range(200)]
     rows += [(8.0, "s0", "sparse")]
-    got = {(r["s"], r["p"]): r["rate_e"] for r in op6_classifier._posterior(spark.createDataFrame(rows, "e double, source string, lang string"), "e", "source", "lang", 0.2).collect()}
+    got = {(r["source"], r["lang"]): r["rate_e"] for r in op6_classifier._posterior(spark.createDataFrame(rows, "e double, source string, lang string"), "e", "source", "lang", 0.2).collect()}
     for s in range(4):
         assert abs(got[f"s{s}", "p0"] - 0.9) < 0.05 and all(abs(got[f"s{s}", f"p{p}"] - 0.02) < 0.02 for p in range(1, 5))
     assert got["s0", "sparse"] < 0.6
     # sites that differ while their paths do not: sparse paths stand by their site
     rows = [(8.0 if i % 10 < (9 if s else 1) else -8.0, f"s{s}", f"p{p}") for s in range(2) for p in range(5) for i in range(200)] + [(8.0, "s0", "sparse")]
-    got = {(r["s"], r["p"]): r["rate_e"] for r in op6_classifier._posterior(spark.createDataFrame(rows, "e double, source string, lang string"), "e", "source", "lang", 0.2).collect()}
+    got = {(r["source"], r["lang"]): r["rate_e"] for r in op6_classifier._posterior(spark.createDataFrame(rows, "e double, source string, lang string"), "e", "source", "lang", 0.2).collect()}
     assert abs(got["s0", "sparse"] - 0.1) < 0.02
 
 
+def test_rates_by_brute_force(spark):
+    rng = random.Random(15)
+    rows = [(rng.gauss(0, 3) + (s == 1) * 2, rng.choice([f"s{s}", None]), f"p{rng.randrange(1 + 3 * s)}") for s in range(3) for _ in range(60)]
+    got = op6_classifier._posterior(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "e double, source string, lang string, k int"), "e", "source", "lang", 0.3).collect()
+    soft = [1 / (1 + np.exp(-(e + np.log(0.3 / 0.7)))) for e, _, _ in rows]
+    group = lambda key: {g: [y for y, r in zip(soft, rows) if key(r) == g] for g in {key(r) for r in rows}}
+    site, path = group(lambda r: r[1]), group(lambda r: r[1:])
+    total, m = len(rows), np.mean(soft)
+    between = max(sum(len(v) * np.mean(v) ** 2 for v in site.values()) / total - m * m - m * (1 - m) * len(site) / total, 0)
+    strength = min(max(m * (1 - m) / between - 1, 2), 1e6) if between > 0 else 1e6
+    q = a = b = 0
+    for g, v in site.items():
+        own, r, n = [x for k, x in path.items() if k[0] == g], np.mean(v), len(v)
+        q += sum(len(x) * np.mean(x) ** 2 for x in own) - n * r * r
+        a += r * (1 - r) * (len(own) - 1)
+        b += r * (1 - r) * (n - sum(len(x) ** 2 for x in own) / n)
+    inner = (min(max((b - a) / (q - a) - 1, 2), 1e6) if b > a and q > a else 1e6) if b else strength
+    for r in got:
+        y, (_, s, p) = soft[r["k"]], rows[r["k"]]
+        of_site = (sum(site[s]) - y + strength * m) / (len(site[s]) - 1 + strength)
+        assert abs(r["rate_e"] - (sum(path[s, p]) - y + inner * of_site) / (len(path[s, p]) - 1 + inner)) < 1e-9
+
+
 def test_quality(docs, texts):
     rows = op7_quality.judged(op7_quality.scored(docs, ["doc_id", "lang", "text"]), "lang").collect()
     assert len(rows) == len(texts)
@@ -303,12 +359,58 @@ def test_ngrams_one_id_many_texts(spark):
     assert got == {1: 1, op9_ngrams.NULL_ID: op9_ngrams.NULL_ID} | {10 + k: 1 if k < 3 else op9_ngrams.NULL_ID for k in range(6)}
 
 
-def test_trie_links():
+def similar(x, y, num, den):
+    return den * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y))
+
+
+def test_trie():
     rng = np.random.default_rng(6)
-    x = np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64))
-    others = [np.unique(np.concatenate([rng.permutation(x)[: int(rng.integers(150, 201))], rng.integers(0, 1 << 60, int(rng.integers(0, 40))).astype(np.uint64)])) for _ in range(60)]
-    want = [i for i, y in enumerate(others) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))]
-    assert sorted(op9_ngrams.trie_links(x, others, 80, 100)) == want
+    for _ in range(40):
+        base = [np.unique(rng.integers(0, 300, int(rng.integers(1, 80))).astype(np.uint64)) for _ in range(3)]
+        sets = [np.unique(np.concatenate([b[rng.random(len(b)) < rng.choice([0.8, 0.95, 1])], rng.integers(0, 300, 2).astype(np.uint64)])) for b in (base[int(rng.integers(0, 3))] for _ in range(int(rng.integers(1, 25))))]
+        trie = op9_ngrams.Trie(sets)
+        for i, x in enumerate(sets):
+            assert sorted(trie.similar(i, 80, 100)) == [j for j, y in enumerate(sets) if similar(x, y, 80, 100)]
+        # links span the classes, and are links
+        links, group = op9_ngrams.block_links(sets, 80, 100), list(range(len(sets)))
+        for i, j in links:
+            assert similar(sets[i], sets[j], 80, 100)
+            group = [group[i] if g == group[j] else g for g in group]
+        assert all(group[i] == group[j] for i, x in enumerate(sets) for j, y in enumerate(sets) if similar(x, y, 80, 100)) and len(links) == len(sets) - len(set(group))
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_ngrams_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(op9_ngrams, "BLOCK", block)
+    rng = random.Random(3)
+    vocabulary, rows = [f"w{i}" for i in range(200)], []
+    for size in (20, 60, 400):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for _ in range(30):
+            words = list(base)
+            for _ in range(rng.randrange(0, max(2, size // 25))):
+                words[rng.randrange(size)] = rng.choice(vocabulary)
+            rows.append(" ".join(words))
+    rows += [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))) for _ in range(30)]
+    got = {r["did"]: r["component"] for r in op9_ngrams.similar_classes(spark.createDataFrame(list(enumerate(rows)), "did long, text string").repartition(4), 5, 80, 100).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for w in (t.split() for t in rows)]
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+    assert [got[i] for i in range(len(rows))] == label
+
+
+def test_bins_bound_overlap():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        x, y = (np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 3000))).astype(np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate([y, x[: len(x) // 2]]))
+        a, b = op9_ngrams.fine_bins(x), op9_ngrams.fine_bins(y)
+        size = min(len(a), len(b))
+        assert np.abs(op9_ngrams.fold(a, size) - op9_ngrams.fold(b, size)).sum() <= len(np.setxor1d(x, y))
 
 
 def test_lines(docs, texts):
