@@ -33,6 +33,8 @@ SLICE_BYTES = 1 << 21
 SLOT_BYTES, LEAST_BITS, MOST_BITS, SKETCH_PARTS = 8, 12, 24, 256
 #: Bins of a set's n-grams that bound overlaps.
 BINS = 32
+#: The least number of the bins that screen pairs more finely.
+FINE = 128
 #: Sets and n-grams of a block.
 BLOCK, BLOCK_GRAMS = 512, 1 << 21
 #: Entries of an n-gram up to which all its pairs are looked at before anything is given out.
@@ -73,8 +75,8 @@ def _node(digest: bytes, part: int) -> int:
 
 
 def fine_bins(grams: np.ndarray) -> np.ndarray:
-    """Counts of a set's n-grams by their lowest bits, in a bin for about four of them: a power of two, so that bins of a larger set fold to those of a smaller one."""
-    size = 1 << max(int(BINS).bit_length() - 1, (max(len(grams) - 1, 1) // 4).bit_length())
+    """Counts of a set's n-grams by their lowest bits, in a bin for about four of them or FINE at least: a power of two, so that bins of a larger set fold to those of a smaller one."""
+    size = max(FINE, 1 << (max(len(grams) - 1, 1) // 4).bit_length())
     return np.minimum(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
 
 
@@ -82,16 +84,19 @@ def fold(bins: np.ndarray, size: int) -> np.ndarray:
     return bins.reshape(-1, size).sum(axis=0, dtype=np.int64)
 
 
+def room(m: int, n: int, x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether sets of m and n n-grams with these fine bins can overlap enough."""
+    size = min(len(x), len(y))
+    return bool(np.abs(fold(x, size) - fold(y, size)).sum() <= m + n - 2 * -(-num * (m + n) // (num + den)))
+
+
 def _screen(num: int, den: int):
     """Pairs whose fine bins leave room for the overlap needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for m, k, x, y in zip(*(batch.column(c).to_pylist() for c in ("an", "bn", "abins", "bbins"))):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                size = min(len(x), len(y))
-                keep.append(np.abs(fold(x, size) - fold(y, size)).sum() <= m + k - 2 * -(-num * (m + k) // (num + den)))
+            sides = zip(*(batch.column(c).to_pylist() for c in ("an", "bn", "abins", "bbins")))
+            keep = [room(m, k, np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), num, den) for m, k, x, y in sides]
             some = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(some), batch.column("b").filter(some)], ["a", "b"])
 
@@ -519,15 +524,32 @@ def _asks(parts: int):
     return run
 
 
+def _listed(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b.as_py(), np.uint8) for b in column]
+
+
+def _with_bins(cols: list[np.ndarray], bins: list[np.ndarray], some: np.ndarray) -> bytes:
+    """Columns and the bins of some rows, one behind another, as one block."""
+    own = [bins[k] for k in some]
+    return pack(*cols, np.array([len(b) for b in own], np.int32), np.concatenate(own) if own else np.zeros(0, np.uint8))
+
+
+def _split_bins(block: list[np.ndarray]) -> list[np.ndarray]:
+    *_, size, flat = block
+    ends = np.cumsum(size)
+    return [flat[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
+
+
 def _named(parts: int):
-    """Of rows (id, component, block): packed, by share of the ids."""
+    """Of rows (id, component, block, bins): packed, by share of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [np.asarray(batch.column(c)) for c in ("id", "component", "block")]
+            bins = _listed(batch.column("bins"))
             to = (mix(cols[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
             some = np.unique(to)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([None] * len(some), pa.int32()), pa.array([pack(*(c[to == q] for c in cols)) for q in some], pa.binary())], ["q", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([None] * len(some), pa.int32()), pa.array([_with_bins([c[to == q] for c in cols], bins, np.flatnonzero(to == q)) for q in some], pa.binary())], ["q", "part", "ids"])
 
     return run
 
@@ -545,13 +567,13 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if table is None:
                 table = [np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(3)]
+                bins = [x for h in held for x in _split_bins(h)]
                 by = np.argsort(table[0])
-                table = [c[by] for c in table]
+                table, held = [c[by] for c in table], []
             own = unpack(block)[0]
-            at = np.minimum(np.searchsorted(table[0], own), max(len(table[0]) - 1, 0))
-            hit = table[0][at] == own if len(table[0]) else np.zeros(len(own), bool)
-            if hit.any():
-                out.append((part, pack(own[hit], table[1][at[hit]], table[2][at[hit]])))
+            at = by[np.searchsorted(table[0], own)]
+            back = np.searchsorted(table[0], own)
+            out.append((part, _with_bins([own, table[1][back], table[2][back]], bins, at)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["part", "names"])
 
@@ -598,11 +620,11 @@ def _across(num: int, den: int):
                     held.append(unpack(names))
                     continue
                 gram, pos, back, own, size, bins = unpacked_entries(packed)
-                comp, block = own.copy(), own.copy()
-                if held:
-                    ids, c, k = (np.concatenate([h[j] for h in held]) for j in range(3))
-                    at = np.searchsorted(own, ids)
-                    comp[at], block[at] = c, k
+                comp, block, fine = own.copy(), own.copy(), {}
+                for h in held:
+                    at = np.searchsorted(own, h[0])
+                    comp[at], block[at] = h[1], h[2]
+                    fine |= zip(h[0].tolist(), zip(size[at].tolist(), _split_bins(h)))
                 entry = [gram, own[back], size[back], pos, bins[back], comp[back], block[back]]
                 by = np.lexsort((entry[1], entry[2], gram))
                 entry = [c[by] for c in entry]
@@ -614,15 +636,13 @@ def _across(num: int, den: int):
                         a, b = ([z] for z in _unique_pairs(np.concatenate(a), np.concatenate(b)))
                 if a:
                     a, b = _unique_pairs(np.concatenate(a), np.concatenate(b))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    sides = ((*fine[x], *fine[y]) for x, y in zip(a.tolist(), b.tolist()))
+                    some = np.array([room(m, n, x, y, num, den) for m, x, n, y in sides], bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], ["a", "b"])
 
     return run
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-
-
 def _count(nodes, size):
     """How many blocks so many nodes make whose sets have so many n-grams."""
     return F.greatest(F.ceil(nodes / BLOCK), F.ceil(size / BLOCK_GRAMS)).cast("int")
@@ -681,12 +701,13 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     pairs = _screened(groups.where("a is not null").select("a", "b").distinct(), reps, num, den)
     links, blocks = _first_links(pairs, reps, docs, n, num, den, half)
     comps = staged(components(links))
-    names = staged(blocks.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("id"), "left").select("id", F.coalesce("component", "id").alias("component"), F.col("head").alias("block")))
+    linked = blocks.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("id"), "left").select("id", F.coalesce("component", "id").alias("component"), F.col("head").alias("block"))
+    names = staged(reps.select("node", "bins").join(linked, F.col("id") == F.col("node"), "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("component"), F.coalesce("block", "node").alias("block"), "bins"))
     packed = groups.where("block is not null").select("part", "block")
     asks = packed.mapInArrow(_asks(parts), "q int, part int, ids binary").unionByName(names.mapInArrow(_named(parts), "q int, part int, ids binary"))
     answers = asks.repartition(parts, "q").sortWithinPartitions("q", F.col("part").isNotNull()).mapInArrow(_name, "part int, names binary")
     both = answers.unionByName(packed, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", F.col("names").isNull())
-    late = _screened(both.select("part", "names", "block").mapInArrow(_across(num, den), "a bigint, b bigint").distinct(), reps, num, den)
+    late = staged(both.select("part", "names", "block").mapInArrow(_across(num, den), "a bigint, b bigint").distinct())
     more = _late_links(late, reps, docs, n, num, den, half)
     if more.take(1):
         comps = staged(components(links.unionByName(more)))
