@@ -36,9 +36,9 @@ UNITS, LOCAL = 5, 2
 ORDER, CLASS_BITS = 4, 6
 #: Bands are this many deviations wide, at least `FLOOR` in mean log probability.
 LOWER, UPPER, FLOOR = 6.0, 5.0, 0.05
-SLICE_BYTES, SHARE_BYTES = 1 << 21, 1 << 24
+SLICE_BYTES, SHARE_BYTES = 1 << 20, 1 << 24
 #: Places of a table by which n-grams are numbered; beyond it they are sorted.
-TABLE = 1 << 24
+TABLE = 1 << 23
 #: Units after which a task gives out its counts, and n-grams.
 TASK_UNITS, MOST = 1 << 28, 1 << 21
 #: N-grams of a model that every worker may hold whole: 96 MB.
@@ -632,9 +632,8 @@ def kept_documents(docs: DataFrame, lang: str = "lang") -> DataFrame:
     """The documents that pass, with all their columns."""
     names = {c: ("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    measured = scored(plain, list(names.values()))
-    few = staged(measured.select(names[lang], *[f"q_{k}" for k, _ in _MADE]))
-    limits = bands(few, names[lang])
+    measured = staged(scored(plain, list(names.values())))  # scored once, for the bands and for the verdicts
+    limits = bands(measured, names[lang])
     passed = measured.join(limits, F.col("b_lang").eqNullSafe(F.col(names[lang]))).where(~base_failed() & F.col("q_score").between(F.col("low"), F.col("high")))
     return passed.select(*[F.col(n).alias(c) for c, n in names.items()])
 
