@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -55,6 +56,26 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _give_back() -> None:
+    """Hands memory that is free but kept by the allocators back to the system: a worker outlives its tasks, beside the workers of the next ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches, whose worker keeps no free memory when the task is done."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    lean_run.__name__ = run.__name__
+    return lean_run
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates value once for a body that uses it many times."""
     return F.transform(F.array(value), body)[0]
@@ -198,12 +219,34 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.nd
     return out, per
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids on edges between different ids, and the smallest id that each can reach."""
+    far = u != v
+    ids, flat = np.unique(np.concatenate([u[far], v[far]]), return_inverse=True)
+    a, b = flat[: far.sum()], flat[far.sum() :]
+    root = np.arange(len(ids))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        left = root[a] != root[b]
+        a, b = a[left], b[left]
+    return ids, ids[root]
+
+
+def components(edges: DataFrame, at_once: int = 0) -> DataFrame:
     """Connected components of edges (u, v), bigint: rows (id, component) for every id on an edge
     between different ids; component is the smallest id that can be reached. Alternates
     large-star and small-star steps, each a grouped minimum and a join that can be split, and
-    stages the edges after each round; nothing is gathered on the driver but two sums."""
+    stages the edges after each round; nothing is gathered on the driver but two sums. Of edges that are
+    staged and not more than at_once, the driver finds the components without rounds."""
     spark = edges.sparkSession
+    if at_once and edges.count() <= at_once:
+        few = edges.select("u", "v").toArrow()
+        ids, least = _least_reachable(np.asarray(few["u"]), np.asarray(few["v"]))
+        return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array(least, pa.int64())}), "id bigint, component bigint")
 
     def measure(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -9,7 +9,8 @@ block, each set once, as tries: the sets in one global order, common beginnings
 trie, all nodes of a level at once; partial overlaps are shared along common paths, and a subtree is pruned where the n-grams that are left cannot reach the
 overlap needed. Sets that links already connect are not compared again, so that what comes out is a spanning set of links and not all pairs. Large
 groups are dealt over several blocks, and what is then outside a group's largest component meets the whole group block by block. At last, pairs with a common prefix n-gram that are
-of different groups are compared in the same way: no link between components is lost. Before sets move, pairs are screened by counts in as many bins as a quarter of their n-grams.
+of different groups and components make new groups, which are compared in the same way: no link between components is lost. Of these pairs only
+so many are given out as tie each group together, fewer than a part's nodes. Before sets move, pairs are screened by counts in as many bins as a quarter of their n-grams.
 
 Cases: null text and text without words give an empty set that links with nothing; fewer words than n make one n-gram; texts may be of any length; equal
 sets are always linked; rows that repeat an id are one document for links and keep a row each; null ids count as an id below all
@@ -26,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, byte_view, components, dropped, id_key, mix, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
+from .common import NULL_ID, byte_view, components, dropped, id_key, lean, mix, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: The sketch has about one slot for SLOT_BYTES of text, between these powers of two.
 SLOT_BYTES, LEAST_BITS, MOST_BITS, SKETCH_PARTS = 8, 12, 24, 256
 #: Bins of a set's n-grams that bound overlaps.
@@ -41,6 +42,8 @@ BLOCK, BLOCK_GRAMS = 512, 1 << 21
 SMALL = 64
 #: Ids that may be broadcast to find their documents: 16 MB; more are joined by a shuffle.
 FEW = 1 << 21
+#: Links up to which components are found at once on the driver: 2 MB.
+AT_ONCE = 1 << 17
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -105,32 +108,55 @@ def _screen(num: int, den: int):
 
 def _screened(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     side = lambda c: reps.select(F.col("node").alias(f"{c}_"), F.col("n").alias(f"{c}n"), F.col("bins").alias(f"{c}bins"))
-    both = pairs.join(side("a"), F.col("a_") == F.col("a")).join(side("b"), F.col("b_") == F.col("b"))
-    return staged(both.select("a", "b", "an", "bn", "abins", "bbins").mapInArrow(_screen(num, den), "a bigint, b bigint"))
+    both = _small(staged(pairs)).join(side("a"), F.col("a_") == F.col("a")).join(side("b"), F.col("b_") == F.col("b"))
+    return staged(both.select("a", "b", "an", "bn", "abins", "bbins").mapInArrow(lean(_screen(num, den)), "a bigint, b bigint"))
+
+
+class Counts:
+    """Counts of slots: a byte each, and what goes beyond apart."""
+
+    def __init__(self, n: int):
+        self.low = np.zeros(n, np.uint8)
+        self.high: dict[int, int] = {}
+
+    def add(self, slots: np.ndarray) -> None:
+        slot, times = np.unique(slots, return_counts=True)
+        slot = slot.astype(np.int64)
+        times += self.low[slot]
+        self.low[slot] = times & 255
+        for k in np.flatnonzero(times > 255).tolist():
+            self.high[int(slot[k])] = self.high.get(int(slot[k]), 0) + (int(times[k]) >> 8 << 8)
+
+    def some(self, lo: int, hi: int) -> np.ndarray:
+        """Of the slots from lo to hi, in as few bytes as they need."""
+        out = self.low[lo:hi].astype(np.int64)
+        if self.high:
+            if not hasattr(self, "slots"):
+                self.slots = np.array(sorted(self.high), np.int64)
+            for slot in self.slots[slice(*np.searchsorted(self.slots, [lo, hi]))].tolist():
+                out[slot - lo] += self.high[slot]
+        return out.astype(np.min_scalar_type(out.max()))
 
 
 def _survey(n: int, bits: int):
     """Per document its size and digest, and per task its share of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int32)
+        counts = Counts(1 << bits)
         for batch in batches:
             size, key, fine = [], [], []
             for lo, hi, g, edge in _sets(batch.column("text"), n):
-                counts += np.bincount((g >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32) if len(g) > 1 << bits else 0
-                if len(g) <= 1 << bits:
-                    slot, times = np.unique(g >> np.uint64(64 - bits), return_counts=True)
-                    counts[slot.astype(np.int64)] += times.astype(np.int32)
+                counts.add(g >> np.uint64(64 - bits))
                 size += np.diff(edge).tolist()
                 key += [_digest(g[a:b]) if b > a else None for a, b in zip(edge[:-1], edge[1:])]
                 fine += [fine_bins(g[a:b]).tobytes() if b > a else None for a, b in zip(edge[:-1], edge[1:])]
             none = [None] * len(size)
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(fine, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], ["did", "n", "key", "bins", "part", "counts"])
-        if counts.any():
-            parts = counts.reshape(min(SKETCH_PARTS, 1 << bits), -1)
-            none = [None] * len(parts)
-            kind = np.uint8 if counts.max() < 256 else np.uint16 if counts.max() < 65536 else np.int32
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([pack(p.astype(kind)) for p in parts], pa.binary())], ["did", "n", "key", "bins", "part", "counts"])
+        if counts.low.any() or counts.high:
+            parts = min(SKETCH_PARTS, 1 << bits)
+            none = [None] * parts
+            blocks = [pack(counts.some(k * ((1 << bits) // parts), (k + 1) * ((1 << bits) // parts))) for k in range(parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(range(parts), pa.int32()), pa.array(blocks, pa.binary())], ["did", "n", "key", "bins", "part", "counts"])
 
     return run
 
@@ -153,9 +179,9 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_sketch(made: DataFrame, bits: int) -> np.ndarray:
     """How often n-grams fall on each slot, over all documents, as levels: 16 MB at most."""
     fed = made.where("counts is not null").select("part", "counts")
-    summed = fed.repartition(min(SKETCH_PARTS, partitions(made.sparkSession)), "part").mapInArrow(_sum_sketch, "part int, counts binary")
+    summed = fed.repartition(min(SKETCH_PARTS, partitions(made.sparkSession)), "part").mapInArrow(lean(_sum_sketch), "part int, counts binary")
     out = np.zeros((min(SKETCH_PARTS, 1 << bits), (1 << bits) // min(SKETCH_PARTS, 1 << bits)), np.uint8)
-    for row in summed.toLocalIterator():
+    for row in summed.collect():
         out[row["part"]] = unpack(row["counts"])[0]
     return out.reshape(-1)
 
@@ -482,14 +508,19 @@ def _blocks(num: int, den: int, asking: bool):
     return run
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast where it has few rows: files of few rows each look larger to Spark than they are."""
+    return F.broadcast(table) if table.count() <= AT_ONCE else table
+
+
 def _linked(asked: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, half: int, asking: bool) -> DataFrame:
     """Links inside blocks. asked: head, block, node, ask. The sets go to their blocks from where they are made, if the rows that tell the blocks are few enough to broadcast."""
     spark = docs.sparkSession
     asked = staged(asked)
-    sets = _sets_of(asked.select(F.col("node").alias("w")).distinct(), reps, docs, n, half)
     told = F.broadcast(asked) if asked.count() <= FEW else asked
+    sets = _sets_of(told.select(F.col("node").alias("w")), reps, docs, n, half)
     rows = sets.join(told, F.col("id") == F.col("node")).select("head", "block", "node", "ask", "grams")
-    return staged(rows.repartition(partitions(spark), "head", "block").sortWithinPartitions("head", "block", "node").mapInArrow(_blocks(num, den, asking), "u bigint, v bigint"))
+    return staged(rows.repartition(partitions(spark), "head", "block").sortWithinPartitions("head", "block", "node").mapInArrow(lean(_blocks(num, den, asking)), "u bigint, v bigint"))
 
 
 def _full_sets(n: int, half: int):
@@ -505,9 +536,9 @@ def _full_sets(n: int, half: int):
 
 def _sets_of(wanted: DataFrame, reps: DataFrame, docs: DataFrame, n: int, half: int) -> DataFrame:
     """Rows (id, grams) of the nodes `wanted` (w). A document that shares its id with others may bring sets that nothing asks for."""
-    ids = staged(reps.join(wanted, F.col("w") == F.col("node")).select(F.col("rep").alias("r")).distinct())
+    ids = staged(reps.join(wanted, F.col("w") == F.col("node"), "left_semi").select(F.col("rep").alias("r")))
     few = F.broadcast(ids) if ids.count() <= FEW else ids
-    return docs.select("did", "text").join(few, F.col("did") == F.col("r"), "left_semi").mapInArrow(_full_sets(n, half), "id bigint, grams binary")
+    return docs.select("did", "text").join(few, F.col("did") == F.col("r"), "left_semi").mapInArrow(lean(_full_sets(n, half)), "id bigint, grams binary")
 
 
 def _asks(parts: int):
@@ -578,8 +609,32 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["part", "names"])
 
 
-def cross_pairs(gram, node, size, pos, bins, comp, block, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one n-gram that can be similar, of different components and blocks. Entries come by n-gram and size. Only what is outside an n-gram's largest component meets all others."""
+class Forest:
+    """Which of n things hang together. Links of things that do already are turned away."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def settle(self) -> None:
+        while True:
+            up = self.root[self.root]
+            if (up == self.root).all():
+                return
+            self.root = up
+
+    def join(self, x: int, y: int) -> bool:
+        root = self.root
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def cross_pairs(gram, own, size, pos, bins, comp, block, num: int, den: int, forest: Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (as numbers of their nodes, `own`) of one n-gram that can be similar, of different components and blocks, and that do not hang together in the
+    forest. Entries come by n-gram and size. Only what is outside an n-gram's largest component meets all others."""
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     stop = np.append(start[1:], len(gram))
     which = np.repeat(np.arange(len(start)), stop - start)
@@ -595,20 +650,31 @@ def cross_pairs(gram, node, size, pos, bins, comp, block, num: int, den: int) ->
     cut = np.concatenate([[0], np.cumsum(span)])
     lo = 0
     while lo < len(rest):
-        hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + (1 << 20), side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + (1 << 17), side="right")) - 1)
         a = np.repeat(rest[lo:hi], span[lo:hi])
         b = np.arange(len(a)) - np.repeat(cut[lo:hi] - cut[lo] - start[which[rest[lo:hi]]], span[lo:hi])
         # a pair of two outside the largest is met twice: once is enough
-        ok = np.flatnonzero((comp[a] != comp[b]) & (block[a] != block[b]) & ((comp[b] == largest[which[a]]) | (a < b)))
+        ok = np.flatnonzero((comp[a] != comp[b]) & (block[a] != block[b]) & ((comp[b] == largest[which[a]]) | (a < b)) & (forest.root[own[a]] != forest.root[own[b]]))
         a, b = a[ok], b[ok]
         ok = _near(a, b, size, pos, bins, num, den)
         if ok.any():
-            yield node[a[ok]], node[b[ok]]
+            yield _unique_pairs(own[a[ok]], own[b[ok]])
+            forest.settle()
         lo = hi
 
 
+def spanning_pairs(entry, sizes, fine, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that connect nodes as all pairs do that `cross_pairs` finds without a forest and that have room by their fine bins: fewer than there are nodes."""
+    forest, out = Forest(len(sizes)), []
+    for a, b in cross_pairs(*entry, num, den, forest):
+        for x, y in zip(a.tolist(), b.tolist()):
+            if forest.root[x] != forest.root[y] and room(int(sizes[x]), int(sizes[y]), fine[x], fine[y], num, den) and forest.join(x, y):
+                out.append((x, y))
+    return out
+
+
 def _across(num: int, den: int):
-    """Rows come sorted by part, names before its groups."""
+    """Rows come sorted by part, names before its groups. Of each part the pairs that tie what can be similar, no more than it has nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -620,25 +686,18 @@ def _across(num: int, den: int):
                     held.append(unpack(names))
                     continue
                 gram, pos, back, own, size, bins = unpacked_entries(packed)
-                comp, block, fine = own.copy(), own.copy(), {}
+                comp, block, fine = own.copy(), own.copy(), [None] * len(own)
                 for h in held:
                     at = np.searchsorted(own, h[0])
                     comp[at], block[at] = h[1], h[2]
-                    fine |= zip(h[0].tolist(), zip(size[at].tolist(), _split_bins(h)))
-                entry = [gram, own[back], size[back], pos, bins[back], comp[back], block[back]]
-                by = np.lexsort((entry[1], entry[2], gram))
-                entry = [c[by] for c in entry]
-                a, b = [], []
-                for x, y in cross_pairs(*entry, num, den):
-                    a.append(x)
-                    b.append(y)
-                    if sum(map(len, a)) > 1 << 18:
-                        a, b = ([z] for z in _unique_pairs(np.concatenate(a), np.concatenate(b)))
-                if a:
-                    a, b = _unique_pairs(np.concatenate(a), np.concatenate(b))
-                    sides = ((*fine[x], *fine[y]) for x, y in zip(a.tolist(), b.tolist()))
-                    some = np.array([room(m, n, x, y, num, den) for m, x, n, y in sides], bool)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], ["a", "b"])
+                    for k, x in zip(at.tolist(), _split_bins(h)):
+                        fine[k] = x
+                entry = [gram, back, size[back], pos, bins[back], comp[back], block[back]]
+                by = np.lexsort((own[back], entry[2], gram))
+                pairs = np.array(spanning_pairs([c[by] for c in entry], size, fine, num, den), np.int64).reshape(-1, 2)
+                held = []
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[pairs[:, 0]]), pa.array(own[pairs[:, 1]])], ["a", "b"])
 
     return run
 
@@ -648,47 +707,41 @@ def _count(nodes, size):
     return F.greatest(F.ceil(nodes / BLOCK), F.ceil(size / BLOCK_GRAMS)).cast("int")
 
 
-def _first_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, half: int) -> tuple[DataFrame, DataFrame]:
-    """Links inside the groups that the pairs make; and rows (id, head) of their nodes. Groups of several blocks are dealt twice by
+def _group_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, half: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links inside the groups that the pairs make, with those known before; and rows (id, head) of their nodes. Groups of several blocks are dealt twice by
     different hashes, so what one dealing parts the other may tie; what is then outside the largest component of its group meets the whole group, block by block."""
-    groups = staged(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).join(reps.select("node", "n"), F.col("node") == F.col("id")).select("id", F.col("component").alias("head"), "n"))
+    groups = staged(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), AT_ONCE).join(reps.select("node", "n"), F.col("node") == F.col("id")).select("id", F.col("component").alias("head"), "n"))
     blocks = staged(groups.groupBy(F.col("head").alias("bh")).agg(_count(F.count("*"), F.sum("n")).alias("blocks")))
-    dealt = groups.join(blocks, F.col("bh") == F.col("head")).select("id", "head", "n", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    dealt = groups.join(_small(blocks), F.col("bh") == F.col("head")).select("id", "head", "n", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     again = dealt.where("blocks > 1").select("id", "head", "n", "blocks", (F.col("blocks") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).cast("int").alias("block"))
     asked = dealt.unionByName(again).select("head", "block", F.col("id").alias("node"), F.lit(False).alias("ask"))
     links = _linked(asked, reps, docs, n, num, den, half, False)
+    if known is not None:
+        links = links.unionByName(known)
     of_node = groups.select("id", "head")
     large = dealt.where("blocks > 1")
     if not blocks.where("blocks > 1").take(1):
         return links, of_node
-    comps = staged(components(links))
-    named = staged(large.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("id"), "left").select("id", "head", "n", "blocks", "block", F.coalesce("component", "id").alias("c")))
+    comps = staged(components(links, AT_ONCE))
+    named = staged(large.join(_small(comps).withColumnRenamed("id", "cid"), F.col("cid") == F.col("id"), "left").select("id", "head", "n", "blocks", "block", F.coalesce("component", "id").alias("c")))
     most = named.groupBy(F.col("head").alias("mh"), "c").agg(F.count("*").alias("k")).groupBy("mh").agg(F.max_by("c", F.struct("k", "c")).alias("largest"))
     rest = staged(named.join(most, F.col("mh") == F.col("head")).where("c <> largest").select("id", "head", "n", "blocks"))
     shares = staged(rest.groupBy(F.col("head").alias("sh")).agg(_count(F.count("*"), F.sum("n")).alias("shares")))
     cell = lambda row, column: (F.col(row) * F.col("shares") + F.col(column)).cast("int").alias("block")
     share = F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share")
-    asks = rest.join(shares, F.col("sh") == F.col("head")).select("id", "head", "shares", share, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
-    others = named.join(shares, F.col("sh") == F.col("head")).select("id", "head", "shares", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    asks = rest.join(_small(shares), F.col("sh") == F.col("head")).select("id", "head", "shares", share, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    others = named.join(_small(shares), F.col("sh") == F.col("head")).select("id", "head", "shares", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     both = asks.select("head", cell("own", "share"), F.col("id").alias("node"), F.lit(True).alias("ask")).unionByName(others.select("head", cell("own", "share"), F.col("id").alias("node"), F.lit(False).alias("ask")))
     more = _linked(both, reps, docs, n, num, den, half, True)
     return staged(links.unionByName(more)), of_node
 
 
-def _late_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, half: int) -> DataFrame:
-    """The pairs that are similar, each node a with its partners b in blocks."""
-    blocks = staged(pairs.join(reps.select("node", "n"), F.col("node") == F.col("b")).groupBy(F.col("a").alias("head")).agg(_count(F.count("*"), F.sum("n")).alias("blocks")))
-    dealt = pairs.join(blocks, F.col("head") == F.col("a")).select("head", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("node"), F.lit(False).alias("ask"))
-    heads = blocks.select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("head").alias("node"), F.lit(True).alias("ask"))
-    return _linked(dealt.unionByName(heads), reps, docs, n, num, den, half, True)
-
-
 def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows (did, n, component): documents with the size of their set and the least id of their class, where sets x and y link when den * |x & y| >= num * |x | y|. docs: did, text."""
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(max(int(size // SLOT_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
-    made = staged(docs.select("did", "text").mapInArrow(_survey(n, bits), "did bigint, n bigint, key binary, bins binary, part int, counts binary"))
+    made = staged(docs.select("did", "text").mapInArrow(lean(_survey(n, bits)), "did bigint, n bigint, key binary, bins binary, part int, counts binary"))
     sketch = spark.sparkContext.broadcast(frequency_sketch(made, bits))
     sets = made.where("key is not null").groupBy("key").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("bins").alias("bins"))
     sets = staged(sets)
@@ -696,23 +749,24 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     if half and sets.count() != sets.select(_node_of("key", 1).alias("node")).distinct().count():
         raise ValueError("both halves of the digest name two sets alike")
     reps = sets.select("key", "rep", "n", "bins", _node_of("key", half).alias("node"))
-    dealt = docs.select("text").mapInArrow(_deal(sketch, n, bits, num, den, half, parts), "part int, block binary")
-    groups = staged(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_groups(num, den), "part int, a bigint, b bigint, block binary"))
+    dealt = docs.select("text").mapInArrow(lean(_deal(sketch, n, bits, num, den, half, parts)), "part int, block binary")
+    groups = staged(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(_groups(num, den)), "part int, a bigint, b bigint, block binary"))
     pairs = _screened(groups.where("a is not null").select("a", "b").distinct(), reps, num, den)
-    links, blocks = _first_links(pairs, reps, docs, n, num, den, half)
-    comps = staged(components(links))
-    linked = blocks.join(comps.withColumnRenamed("id", "cid"), F.col("cid") == F.col("id"), "left").select("id", F.coalesce("component", "id").alias("component"), F.col("head").alias("block"))
+    links, blocks = _group_links(pairs, reps, docs, n, num, den, half)
+    comps = staged(components(links, AT_ONCE))
+    linked = blocks.join(_small(comps).withColumnRenamed("id", "cid"), F.col("cid") == F.col("id"), "left").select("id", F.coalesce("component", "id").alias("component"), F.col("head").alias("block"))
+    linked = F.broadcast(linked) if blocks.count() <= AT_ONCE else linked
     names = staged(reps.select("node", "bins").join(linked, F.col("id") == F.col("node"), "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("component"), F.coalesce("block", "node").alias("block"), "bins"))
     packed = groups.where("block is not null").select("part", "block")
-    asks = packed.mapInArrow(_asks(parts), "q int, part int, ids binary").unionByName(names.mapInArrow(_named(parts), "q int, part int, ids binary"))
-    answers = asks.repartition(parts, "q").sortWithinPartitions("q", F.col("part").isNotNull()).mapInArrow(_name, "part int, names binary")
+    asks = packed.mapInArrow(lean(_asks(parts)), "q int, part int, ids binary").unionByName(names.mapInArrow(lean(_named(parts)), "q int, part int, ids binary"))
+    answers = asks.repartition(parts, "q").sortWithinPartitions("q", F.col("part").isNotNull()).mapInArrow(lean(_name), "part int, names binary")
     both = answers.unionByName(packed, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", F.col("names").isNull())
-    late = staged(both.select("part", "names", "block").mapInArrow(_across(num, den), "a bigint, b bigint").distinct())
-    more = _late_links(late, reps, docs, n, num, den, half)
-    if more.take(1):
-        comps = staged(components(links.unionByName(more)))
+    late = staged(both.select("part", "names", "block").mapInArrow(lean(_across(num, den)), "a bigint, b bigint"))
+    if late.take(1):
+        more, _ = _group_links(late, reps, docs, n, num, den, half, links)
+        comps = staged(components(more, AT_ONCE))
     # a class is named by the least document id of its sets
-    named = reps.join(comps, F.col("id") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "node").alias("c"))
+    named = reps.join(_small(comps), F.col("id") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "node").alias("c"))
     named = staged(named)
     least = named.groupBy(F.col("c").alias("lc")).agg(F.min("rep").alias("component"))
     of_key = staged(named.join(least, F.col("lc") == F.col("c")).select(F.col("key").alias("rk"), "component"))
@@ -721,7 +775,7 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     twice = keyed.where("key is not null").groupBy("did").agg(F.countDistinct("key").alias("k")).where("k > 1").select(F.col("did").alias("td"))
     ties = staged(keyed.join(twice, F.col("td") == F.col("did"), "left_semi").join(of_key, F.col("rk") == F.col("key")).select(F.col("did").alias("u"), F.col("component").alias("v")))
     if ties.take(1):
-        tied = staged(components(ties))
+        tied = staged(components(ties, AT_ONCE))
         of_key = of_key.join(tied, F.col("id") == of_key["component"], "left").select("rk", F.coalesce(tied["component"], of_key["component"]).alias("component"))
     out = keyed.join(of_key, F.col("rk") == F.col("key"), "left").select("did", "n", F.coalesce("component", "did").alias("component"))
     for t in (groups, pairs, blocks, names, late):

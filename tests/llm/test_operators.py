@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from docquarry.llm import op1_suffix, op2_pieces, op3_secrets, op4_html, op5_mixing, op6_classifier, op7_quality, op8_vectors, op9_ngrams, op10_lines
+from docquarry.llm.common import components
 
 WORDS = "alpha beta gamma delta rain sun stone river cloud tree leaf wind fire earth sand wave".split()
 
@@ -403,6 +404,54 @@ def test_ngrams_by_brute_force(spark, monkeypatch, block):
     assert [got[i] for i in range(len(rows))] == label
 
 
+def test_pairs_between_groups_only_span_them():
+    rng = np.random.default_rng(21)
+    base = [np.unique(rng.integers(0, 1 << 62, 120).astype(np.uint64)) for _ in range(2)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.97], rng.integers(0, 1 << 62, int(rng.integers(0, 6))).astype(np.uint64)])) for b in base for _ in range(60)]
+    n = len(sets)
+    comp, block = rng.integers(0, 50, n), rng.integers(0, 70, n)
+    sizes, fine = np.array([len(x) for x in sets]), [op9_ngrams.fine_bins(x) for x in sets]
+    bins = np.array([np.bincount((x & np.uint64(op9_ngrams.BINS - 1)).astype(int), minlength=op9_ngrams.BINS) for x in sets]).astype(np.uint8)
+    own = np.concatenate([np.lexsort((np.arange(n), sizes))] * 3)  # the same nodes under three n-grams
+    gram, pos = np.repeat(np.arange(3, dtype=np.uint64), n), np.repeat(np.arange(3, dtype=np.int32), n)
+    pairs = op9_ngrams.spanning_pairs([gram, own, sizes[own], pos, bins[own], comp[own], block[own]], sizes, fine, 90, 100)
+    at = np.array([(i, j) for i in range(n) for j in range(i) if comp[i] != comp[j] and block[i] != block[j]])
+    ok = op9_ngrams._near(at[:, 0], at[:, 1], sizes, np.zeros(n, np.int32), bins, 90, 100)
+    can = [(i, j) for i, j in at[ok].tolist() if op9_ngrams.room(int(sizes[i]), int(sizes[j]), fine[i], fine[j], 90, 100)]
+
+    def labels(links):
+        label = list(range(n))
+        for i, j in links:
+            low, high = sorted((label[i], label[j]))
+            label = [low if k == high else k for k in label]
+        return label
+
+    assert labels(pairs) == labels(can)
+    assert len(can) > 3 * n and len(pairs) == n - len(set(labels(can)))
+
+
+def test_components_at_once(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(-99, 99), rng.randrange(-99, 99)) for _ in range(90)] + [(i, i + 1) for i in range(500, 900)] + [(7, 7), (5000, 5000), (-(1 << 63), 4000)]
+    table = spark.createDataFrame(edges, "u long, v long")
+    want = sorted(map(tuple, components(table).collect()))
+    assert sorted(map(tuple, components(table, len(edges)).collect())) == want
+    assert sorted(map(tuple, components(table, len(edges) - 1).collect())) == want
+    assert components(table.limit(0), 9).count() == 0
+
+
+def test_counts_of_slots():
+    rng = np.random.default_rng(2)
+    counts, all_slots = op9_ngrams.Counts(64), []
+    for times in (10, 300, 70_000, 5, 255, 256):
+        slots = rng.integers(0, 40, times).astype(np.uint64) // np.uint64(3)
+        counts.add(slots)
+        all_slots.append(slots)
+    want = np.bincount(np.concatenate(all_slots).astype(int), minlength=64)
+    assert counts.low.nbytes == 64
+    assert np.concatenate([counts.some(lo, lo + 16).astype(int) for lo in range(0, 64, 16)]).tolist() == want.tolist()
+
+
 def test_bins_bound_overlap():
     rng = np.random.default_rng(9)
     for _ in range(50):
