@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, dropped, mix, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
+from .common import byte_view, dropped, lean, mix, pack, partitions, read_table, row_slices, shingle_hashes, staged, unpack, word_hashes
 
 #: Of the model over units, and the order up to which its tables are not kept in parts.
 UNITS, LOCAL = 5, 2
@@ -36,7 +36,7 @@ UNITS, LOCAL = 5, 2
 ORDER, CLASS_BITS = 4, 6
 #: Bands are this many deviations wide, at least `FLOOR` in mean log probability.
 LOWER, UPPER, FLOOR = 6.0, 5.0, 0.05
-SLICE_BYTES, SHARE_BYTES = 1 << 20, 1 << 24
+SLICE_BYTES, SHARE_BYTES = 1 << 18, 1 << 24
 #: Places of a table by which n-grams are numbered; beyond it they are sorted.
 TABLE = 1 << 23
 #: Units after which a task gives out its counts, and n-grams.
@@ -333,14 +333,14 @@ def kneser_ney(docs: DataFrame, order: int = UNITS, base: float | None = None, o
     """The model of all documents, staged: rows (part, n, model), a part's n-grams as sorted hashes with log probabilities. docs: text.
     base: probability of a unit before any count, one over their number where none is given."""
     n = partitions(docs.sparkSession)
-    fed = docs.select("text").mapInArrow(_count(order, n, others), "part int, grams binary")
-    summed = staged(fed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_sum, _PART))
+    fed = docs.select("text").mapInArrow(lean(_count(order, n, others)), "part int, grams binary")
+    summed = staged(fed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lean(_sum), _PART))
     upper = order - LOCAL
     times = summed.agg(*[F.sum(F.col("times")[k]) for k in range(4 * upper)]).first()
     discounts = [KneserNey.discounts([float(t or 0) for t in times[4 * k : 4 * k + 4]]) for k in range(upper)]
     some = lambda t: t.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first()
     sole = F.when(F.min("text") == F.max("text"), F.min("text")).otherwise(MANY).alias("text")
-    own_pairs = staged(summed.select("part", "low").mapInArrow(_low_rows, "part int, a bigint, b bigint, n bigint, text bigint"))
+    own_pairs = staged(summed.select("part", "low").mapInArrow(lean(_low_rows), "part int, a bigint, b bigint, n bigint, text bigint"))
     pairs = staged(own_pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), sole))
     d2 = KneserNey.discounts([float(t or 0) for t in some(pairs)])
     ones = staged(pairs.groupBy("b").agg(F.count("*").alias("n"), sole))
@@ -356,7 +356,7 @@ def kneser_ney(docs: DataFrame, order: int = UNITS, base: float | None = None, o
     null = lambda kind: F.lit(None).cast(kind)
     rows = summed.select("part", "grams", null("long").alias("a"), null("long").alias("b"), null("double").alias("p"))
     rows = rows.unionByName(low.select("part", null("binary").alias("grams"), "a", "b", "p"))
-    model = staged(rows.repartition(n, "part").sortWithinPartitions("part", F.col("grams").isNull()).mapInArrow(_model(discounts), "part int, n bigint, model binary"))
+    model = staged(rows.repartition(n, "part").sortWithinPartitions("part", F.col("grams").isNull()).mapInArrow(lean(_model(discounts)), "part int, n bigint, model binary"))
     for t in (summed, own_pairs, pairs, ones):
         dropped(t)
     return model
@@ -596,15 +596,15 @@ def scored(docs: DataFrame, carry: list[str], order: int = UNITS, base: float |
         keys, logs = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         by = np.argsort(keys)
         data = spark.sparkContext.broadcast(pack(keys[by], logs[by]))
-        return docs.select(*need).mapInArrow(_measure_by_whole(carry, order, data), schema)
+        return docs.select(*need).mapInArrow(lean(_measure_by_whole(carry, order, data)), schema)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     plain = [c for c in need if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
     dealt = docs.select(*need, F.pmod(F.xxhash64(*plain), F.lit(1 + size // SHARE_BYTES)).alias("slice"))
-    asked = dealt.select("slice", "text").repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_asked(order, n), "slice bigint, part int, asked binary")
+    asked = dealt.select("slice", "text").repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(lean(_asked(order, n)), "slice bigint, part int, asked binary")
     both = model.select("part", "model").unionByName(asked, allowMissingColumns=True)
-    answered = staged(both.repartition(n, "part").sortWithinPartitions("part", F.col("model").isNull()).select("slice", "part", "model", "asked").mapInArrow(_answered, "slice bigint, answers binary"))
+    answered = staged(both.repartition(n, "part").sortWithinPartitions("part", F.col("model").isNull()).select("slice", "part", "model", "asked").mapInArrow(lean(_answered), "slice bigint, answers binary"))
     rows = dealt.unionByName(answered, allowMissingColumns=True)
-    return rows.repartition(n, "slice").sortWithinPartitions("slice", F.col("answers").isNull()).mapInArrow(_measure_by_slice(carry, order), schema)
+    return rows.repartition(n, "slice").sortWithinPartitions("slice", F.col("answers").isNull()).mapInArrow(lean(_measure_by_slice(carry, order)), schema)
 
 
 def base_failed():

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from docquarry.llm import op1_suffix, op2_pieces, op3_secrets, op4_html, op5_mixing, op6_classifier, op7_quality, op8_vectors, op9_ngrams, op10_lines
+from docquarry.llm import common
 from docquarry.llm.common import components
 
 WORDS = "alpha beta gamma delta rain sun stone river cloud tree leaf wind fire earth sand wave".split()
@@ -282,6 +283,27 @@ def test_perplexity_by_brute_force(spark, whole):
     assert np.allclose([got[i] for i in range(len(texts))], plain_scores(texts, 4), atol=1e-5)
 
 
+def test_quality_needs_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = pa.array([" ".join(rng.choice(WORDS) for _ in range(600)) for _ in range(600)])
+    tracemalloc.start()
+    try:
+        op7_quality.measures(texts, op7_quality.UNITS, lambda keys: np.zeros(len(keys)))
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hand_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+    assert list(common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4] and given == [1]
+
+
 def test_units_lose_no_text():
     for a, b in (("Abc", "abc"), ("бвг", "бвф"), ("漢字", "漢学"), ("x##y", "x###y"), ("#" * 3000, "#" * 3001), ("a\nb", "a b")):
         u, v = (op7_quality.units(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in (a, b))
