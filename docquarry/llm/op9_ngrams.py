@@ -299,19 +299,24 @@ def _entries(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _some_near(gram: np.ndarray, size: np.ndarray, pos: np.ndarray, bins: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which entries can be similar to another one of their n-gram. In groups of over SMALL entries, all are held to."""
+def _some_near(gram: np.ndarray, size: np.ndarray, pos: np.ndarray, bins: np.ndarray, num: int, den: int, apart: tuple[np.ndarray, ...] = ()) -> np.ndarray:
+    """Which entries can be similar to another one of their n-gram that differs from them in each of `apart`. In groups of over SMALL entries, all are held to,
+    if they differ at all."""
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     count = np.diff(np.append(start, len(gram)))
     of = np.repeat(count, count)
     out = of > SMALL
     live = np.flatnonzero(~out)
+    for kind in apart:
+        out &= np.repeat(np.minimum.reduceat(kind, start) != np.maximum.reduceat(kind, start), count)
     stop = np.repeat(start + count, count)
     for lag in range(1, SMALL):
         live = live[live + lag < stop[live]]
         if not len(live):
             break
         a = live[~(out[live] & out[live + lag])]
+        for kind in apart:
+            a = a[kind[a] != kind[a + lag]]
         a = a[_near(a, a + lag, size, pos, bins, num, den)]
         out[a] = out[a + lag] = True
     return out
@@ -673,35 +678,70 @@ def spanning_pairs(entry, sizes, fine, num: int, den: int) -> list[tuple[int, in
     return out
 
 
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows come sorted by part, names before its groups. Of each part its number, entries by n-gram and size as `cross_pairs` takes them, and of its nodes names, sizes and fine bins."""
+    now, held = None, []
+    for batch in batches:
+        for part, names, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "names", "block"))):
+            if part != now:
+                now, held = part, []
+            if names is not None:
+                held.append(unpack(names))
+                continue
+            gram, pos, back, own, size, bins = unpacked_entries(packed)
+            comp, block, fine = own.copy(), own.copy(), [None] * len(own)
+            for h in held:
+                at = np.searchsorted(own, h[0])
+                comp[at], block[at] = h[1], h[2]
+                for k, x in zip(at.tolist(), _split_bins(h)):
+                    fine[k] = x
+            entry = [gram, back, size[back], pos, bins[back], comp[back], block[back]]
+            by = np.lexsort((own[back], entry[2], gram))
+            held = []
+            yield part, [c[by] for c in entry], own, size, fine
+
+
+def open_entries(entry, num: int, den: int) -> np.ndarray:
+    """Which entries `cross_pairs` may find a pair for."""
+    gram, _, size, pos, bins, comp, block = entry
+    return _some_near(gram, size, pos, bins, num, den, (comp, block))
+
+
+def _opened(num: int, den: int):
+    """Of each part what is still open, packed: only the nodes of that need their fine bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, entry, own, _, _ in _answered(batches):
+            some = np.flatnonzero(open_entries(entry, num, den))
+            if len(some):
+                gram, back, size, pos, bins = (c[some] for c in entry[:5])
+                by = np.argsort(own[back], kind="stable")
+                block = packed_entries(gram[by] << np.uint64(24), own[back][by], size[by], pos[by], bins[by])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.binary())], ["part", "block"])
+
+    return run
+
+
 def _across(num: int, den: int):
-    """Rows come sorted by part, names before its groups. Of each part the pairs that tie what can be similar, no more than it has nodes."""
+    """Of each part the pairs that tie what can be similar, no more than it has nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for part, names, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "names", "block"))):
-                if part != now:
-                    now, held = part, []
-                if names is not None:
-                    held.append(unpack(names))
-                    continue
-                gram, pos, back, own, size, bins = unpacked_entries(packed)
-                comp, block, fine = own.copy(), own.copy(), [None] * len(own)
-                for h in held:
-                    at = np.searchsorted(own, h[0])
-                    comp[at], block[at] = h[1], h[2]
-                    for k, x in zip(at.tolist(), _split_bins(h)):
-                        fine[k] = x
-                entry = [gram, back, size[back], pos, bins[back], comp[back], block[back]]
-                by = np.lexsort((own[back], entry[2], gram))
-                pairs = np.array(spanning_pairs([c[by] for c in entry], size, fine, num, den), np.int64).reshape(-1, 2)
-                held = []
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[pairs[:, 0]]), pa.array(own[pairs[:, 1]])], ["a", "b"])
+        for _, entry, own, size, fine in _answered(batches):
+            pairs = np.array(spanning_pairs(entry, size, fine, num, den), np.int64).reshape(-1, 2)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(own[pairs[:, 0]]), pa.array(own[pairs[:, 1]])], ["a", "b"])
 
     return run
 
 
+def _with_answers(packed: DataFrame, names: DataFrame, parts: int) -> DataFrame:
+    """Packed groups by part, behind what `names` (id, component, block, bins) tells of their nodes."""
+    asks = packed.mapInArrow(lean(_asks(parts)), "q int, part int, ids binary").unionByName(names.mapInArrow(lean(_named(parts)), "q int, part int, ids binary"))
+    answers = asks.repartition(parts, "q").sortWithinPartitions("q", F.col("part").isNotNull()).mapInArrow(lean(_name), "part int, names binary")
+    both = answers.unionByName(packed, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", F.col("names").isNull())
+    return both.select("part", "names", "block")
+
+
 def _count(nodes, size):
     """How many blocks so many nodes make whose sets have so many n-grams."""
     return F.greatest(F.ceil(nodes / BLOCK), F.ceil(size / BLOCK_GRAMS)).cast("int")
@@ -758,10 +798,9 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     linked = F.broadcast(linked) if blocks.count() <= AT_ONCE else linked
     names = staged(reps.select("node", "bins").join(linked, F.col("id") == F.col("node"), "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("component"), F.coalesce("block", "node").alias("block"), "bins"))
     packed = groups.where("block is not null").select("part", "block")
-    asks = packed.mapInArrow(lean(_asks(parts)), "q int, part int, ids binary").unionByName(names.mapInArrow(lean(_named(parts)), "q int, part int, ids binary"))
-    answers = asks.repartition(parts, "q").sortWithinPartitions("q", F.col("part").isNotNull()).mapInArrow(lean(_name), "part int, names binary")
-    both = answers.unionByName(packed, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", F.col("names").isNull())
-    late = staged(both.select("part", "names", "block").mapInArrow(lean(_across(num, den)), "a bigint, b bigint"))
+    plain = names.withColumn("bins", F.lit(b""))
+    still = staged(_with_answers(packed, plain, parts).mapInArrow(lean(_opened(num, den)), "part int, block binary"))
+    late = staged(_with_answers(still, names, parts).mapInArrow(lean(_across(num, den)), "a bigint, b bigint"))
     if late.take(1):
         more, _ = _group_links(late, reps, docs, n, num, den, half, links)
         comps = staged(components(more, AT_ONCE))
@@ -778,7 +817,7 @@ def similar_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         tied = staged(components(ties, AT_ONCE))
         of_key = of_key.join(tied, F.col("id") == of_key["component"], "left").select("rk", F.coalesce(tied["component"], of_key["component"]).alias("component"))
     out = keyed.join(of_key, F.col("rk") == F.col("key"), "left").select("did", "n", F.coalesce("component", "did").alias("component"))
-    for t in (groups, pairs, blocks, names, late):
+    for t in (groups, pairs, blocks, names, still, late):
         dropped(t)
     return out
 
@@ -794,8 +833,10 @@ def first_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     """One document of each class of similar ones, that with the least id; columns stay as they are."""
     keyed = docs.select(id_key().alias("did"), "text")
     classes = similar_classes(keyed, n, num, den)
-    firsts = staged(classes.where("did = component").select("did").distinct().withColumnRenamed("did", "first_did"))
-    return docs.join(firsts, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("first_did"), "left_semi")
+    # those that go are fewer than those that stay: told to where the texts are, they spare a shuffle of the texts
+    lost = staged(classes.groupBy("did").agg(F.max(F.col("did") == F.col("component")).alias("first")).where("not first").select(F.col("did").alias("lost_did")))
+    told = F.broadcast(lost) if lost.count() <= FEW else lost
+    return docs.join(told, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("lost_did"), "left_anti")
 
 
 def op9_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -452,6 +452,44 @@ def test_pairs_between_groups_only_span_them():
     assert len(can) > 3 * n and len(pairs) == n - len(set(labels(can)))
 
 
+def test_only_open_entries_ask_for_fine_bins():
+    rng = np.random.default_rng(22)
+    base = [np.unique(rng.integers(0, 1 << 62, 120).astype(np.uint64)) for _ in range(8)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.97], rng.integers(0, 1 << 62, int(rng.integers(0, 6))).astype(np.uint64)])) for b in base for _ in range(30)]
+    n = len(sets)
+    kind = np.arange(n) // 30
+    comp, block = rng.integers(0, 90, n), np.where(kind < 4, kind, rng.integers(0, 5, n))
+    sizes, fine = np.array([len(x) for x in sets]), [op9_ngrams.fine_bins(x) for x in sets]
+    bins = np.array([np.bincount((x & np.uint64(op9_ngrams.BINS - 1)).astype(int), minlength=op9_ngrams.BINS) for x in sets]).astype(np.uint8)
+    # an n-gram for each kind of sets, and one that all have: more than SMALL
+    own = np.concatenate([np.lexsort((sizes, kind)), np.lexsort((np.arange(n), sizes))])
+    gram, pos = np.concatenate([kind[own[:n]], np.full(n, 8)]).astype(np.uint64), np.zeros(2 * n, np.int32)
+    entry = [gram, own, sizes[own], pos, bins[own], comp[own], block[own]]
+    open_ = op9_ngrams.open_entries(entry, 90, 100)
+    for k in range(n):
+        same = np.flatnonzero((gram[:n] == gram[k]) & (comp[own[:n]] != comp[own[k]]) & (block[own[:n]] != block[own[k]]))
+        assert open_[k] == op9_ngrams._near(np.full(len(same), own[k]), own[same], sizes, np.zeros(n, np.int32), bins, 90, 100).any()
+    assert not open_[gram < 4].any() and open_[gram == 8].all() and open_[:n].sum() > 50
+    some, whole = (op9_ngrams.spanning_pairs([c[x] for c in entry], sizes, fine, 90, 100) for x in (open_, slice(None)))
+    assert some == whole and some
+    one = [*entry[:5], np.zeros(2 * n, np.int64), entry[6]]
+    assert not op9_ngrams.open_entries(one, 90, 100).any()
+
+
+def test_first_documents_leave_texts_in_place(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(40)) for w in ("x", "y"))
+    rows = [(5, a), (1, a), (None, b), (2, b), (7, "y x"), (3, None), (4, a), (4, "")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = op9_ngrams.first_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = first._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted(map(tuple, first.collect()), key=str) == sorted([(1, a), (None, b), (7, "y x"), (3, None), (4, a), (4, "")], key=str)
+
+
 def test_components_at_once(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(-99, 99), rng.randrange(-99, 99)) for _ in range(90)] + [(i, i + 1) for i in range(500, 900)] + [(7, 7), (5000, 5000), (-(1 << 63), 4000)]
