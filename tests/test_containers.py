@@ -61,6 +61,13 @@ def test_damaged_offsets_are_scanned_for():
     assert doc["rebuilt"] == "OffsetOutsideFile" and [e.kind for e in doc["entries"]] == ["jpeg", "encoded"]
 
 
+@pytest.mark.parametrize("n", [31, 32, 34, 64, 128, 200, 16400])
+def test_long_page_tables(n):
+    """From 32 entries on, the last octet of the trailer's length may by itself be no length."""
+    doc = parse(container([preview()] * n))
+    assert (len(doc["entries"]), doc["declared_entries"], doc["rebuilt"]) == (n, n, None)
+
+
 def test_expand():
     text = b"The quick brown fox" * 400
     assert expand(stored(text), len(text)) == text
