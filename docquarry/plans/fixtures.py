@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import files_out, slices
+
 
 def tlv(tag: int, value: bytes) -> bytes:
     n = len(value)
@@ -64,31 +66,41 @@ def container(pages: list[bytes], generation: int = 7, properties: tuple[int, by
 
 
 def _orders(runs: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, files = [], []
-            for key, lines in zip(batch.column("k").to_pylist(), batch.column("lines").to_pylist()):
-                pages = [coded(21000, 29700)] if runs else []
-                for line in lines:
-                    q = int(line["q"])
-                    if runs:
-                        pages.append(raw_jpeg(100 + q // 10, 50))
-                    else:
-                        pages += [raw_jpeg(100 + q, 200) if line["f"] == "R" else coded(21000, 29700), preview()]
-                paths.append(f"order{key}.xdw")
-                files.append(container([*pages, preview()] if runs else pages))
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(files, pa.binary())], ["path", "content"])
-
-    return run
+    def each(key: int, lines: list[dict]) -> tuple[str, bytes]:
+        pages = [coded(21000, 29700)] if runs else []
+        for line in lines:
+            q = int(line["q"])
+            if runs:
+                pages.append(raw_jpeg(100 + q // 10, 50))
+            else:
+                pages += [raw_jpeg(100 + q, 200) if line["f"] == "R" else coded(21000, 29700), preview()]
+        return f"order{key}.xdw", container([*pages, preview()] if runs else pages)
+
+    return each
+
+
+def made(rows: DataFrame, each: Callable[[pa.RecordBatch], Iterator[tuple[str, bytes]]]) -> DataFrame:
+    """Files made of rows, as path and content. What reads them (`_per_file`) takes the rows and makes each file in the task that reads it."""
+    out = rows.mapInArrow(files_out(each), "path string, content binary")
+    out._docquarry_made = (rows, each)
+    return out
+
+
+def of_orders(lineitem: DataFrame, each: Callable[[int, list[dict]], tuple[str, bytes]]) -> DataFrame:
+    """A file for each order of what `each` makes of its key and its lines, which are sorted. Orders are spread over all partitions:
+    their rows are small but dear to work on, and by their size alone they would be put into one."""
+    n = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = F.struct(F.col("l_linenumber").alias("i"), F.col("l_returnflag").alias("f"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"))
+    grouped = lineitem.repartition(n, "l_orderkey").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
 
+    def files(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+        for part in slices(batch):
+            for key, lines in zip(part.column("k").to_pylist(), part.column("lines").to_pylist()):
+                yield each(key, lines)
 
-def spread(grouped: DataFrame) -> DataFrame:
-    """Rows that are small and dear to work on, over all partitions: by their size alone they would be put into one."""
-    return grouped.repartition(int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+    return made(grouped, files)
 
 
 def order_containers(lineitem: DataFrame, runs: bool = False) -> DataFrame:
     """A container for each order: a page and its thumbnail for each line, or with `runs` one sheet with a picture for each line."""
-    line = F.struct(F.col("l_linenumber").alias("i"), F.col("l_returnflag").alias("f"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"))
-    grouped = lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return spread(grouped).mapInArrow(_orders(runs), "path string, content binary")
+    return of_orders(lineitem, _orders(runs))

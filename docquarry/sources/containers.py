@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import HELD_BYTES, HELD_ROWS, lean
 from ..functions.carving import carved
 from ..functions.container import MAGIC, OFFICE, parse
 from ..functions.drawing import Drawing
@@ -48,21 +50,40 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
+def _given(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    for path, content in zip(batch.column("path"), batch.column("content")):
+        yield path.as_py(), content.as_py() or b""
+
+
 def _per_file(files: DataFrame, rows: Callable[[str, bytes], list[dict]], ddl: str) -> DataFrame:
-    """A table of what `rows` gives for each file, in batches of few rows. files: path, content."""
+    """A table of what `rows` gives for each file, in batches of few rows and few bytes. Files that are made of rows are made
+    one by one in the task that reads them, and no table holds them. files: path, content."""
+    parts = getattr(files, "_docquarry_parts", None)
+    if parts:
+        return functools.reduce(DataFrame.unionByName, [_per_file(p, rows, ddl) for p in parts])
     schema = _schema(ddl)
+    source, each = getattr(files, "_docquarry_made", None) or (files.select("path", "content"), _given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
         for batch in batches:
-            held: list[dict] = []
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                held += [{n: r.get(n) for n in schema.names} for r in rows(path.as_py(), content.as_py() or b"")]
-                if len(held) >= 256:
+            for path, content in each(batch):
+                held += rows(path, content)
+                size += len(content)
+                if len(held) >= HELD_ROWS or size >= HELD_BYTES:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
-                    held = []
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held, size = [], 0
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    return source.mapInArrow(lean(run), ddl)
 
-    return files.select("path", "content").mapInArrow(run, ddl)
+
+def united(*files: DataFrame) -> DataFrame:
+    """Files of several tables as one; each table's are still read where they are made. files: path, content."""
+    out = functools.reduce(DataFrame.unionByName, files)
+    out._docquarry_parts = files
+    return out
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -220,18 +241,13 @@ def looks_like(content: Column) -> Column:
 ATTACHMENT = "path string, offset bigint, length bigint, extension string, estimate boolean"
 
 
-def _carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch.column("path"), batch.column("content")):
-            rows += [(path.as_py(), f.offset, f.length, f.extension, f.estimate) for f in carved(content.as_py() or b"")]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", "offset", "length", "extension", "estimate"])
+def _carve(path: str, data: bytes) -> list[dict]:
+    return [{"path": path, "offset": f.offset, "length": f.length, "extension": f.extension, "estimate": f.estimate} for f in carved(data)]
 
 
 def attachments(files: DataFrame) -> DataFrame:
     """Original files inside files, without their bytes: path, offset, length, extension, estimate. files: path, content."""
-    return files.select("path", "content").mapInArrow(_carve, ATTACHMENT)
+    return _per_file(files, _carve, ATTACHMENT)
 
 
 def attachment_bytes(content: Column, offset: Column, length: Column) -> Column:
