@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import HELD_BYTES, HELD_ROWS, lean
 from ..functions.lzh import expand_all, stored
 from ..operators import audit, marks, reports
 from ..operators.service import Service, output_totals, stream_totals, tally
 from ..sources import containers as src
 from ..sources import renders
 from . import drawn
-from .fixtures import coded, container, preview, raw_jpeg
+from .fixtures import coded, container, made, preview, raw_jpeg
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,43 +92,49 @@ def logical_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [expand_all(stored(t.as_py().encode()), 1 << 28) if t.is_valid else None for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "raw"])
+        ids, out, size = [], [], 0
+        for doc_id, t in zip(batch.column("doc_id"), batch.column("text")):
+            ids.append(doc_id.as_py())
+            out.append(expand_all(stored(t.as_py().encode()), 1 << 28) if t.is_valid else None)
+            size += len(out[-1] or b"")
+            if len(out) >= HELD_ROWS or size >= HELD_BYTES:
+                yield _raw(ids, out)
+                ids, out, size = [], [], 0
+        yield _raw(ids, out)
+
+
+def _raw(ids: list, out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "raw"])
 
 
 def expanded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as coded streams of unknown length, and expanded."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.mapInArrow(_packed, "doc_id bigint, raw binary").select("doc_id", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.sha2("raw", 256).alias("sha256"))
+    return docs.mapInArrow(lean(_packed), "doc_id bigint, raw binary").select("doc_id", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.sha2("raw", 256).alias("sha256"))
 
 
-def _zips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _zips(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     kinds = ("word/document.xml", "xl/workbook.xml", "ppt/presentation.xml", "readme.txt")
-    for batch in batches:
-        paths, files = [], []
-        for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            held = io.BytesIO()
-            with zipfile.ZipFile(held, "w") as z:
-                z.writestr(zipfile.ZipInfo(kinds[doc_id % 4]), t or "")
-            paths.append(str(doc_id))
-            files.append(b"...." + held.getvalue() + b"tail")
-        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(files, pa.binary())], ["path", "content"])
+    for doc_id, t in zip(batch.column("doc_id"), batch.column("text")):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr(zipfile.ZipInfo(kinds[doc_id.as_py() % 4]), t.as_py() or "")
+        yield str(doc_id.as_py()), b"...." + held.getvalue() + b"tail"
 
 
 def carved_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in archives behind other bytes, found and named by their parts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = src.attachments(docs.mapInArrow(_zips, "path string, content binary"))
+    found = src.attachments(made(docs, _zips))
     return found.select(F.col("path").cast("bigint").alias("doc_id"), F.col("offset").alias("first_byte"), F.col("length").alias("n_bytes"), src.attachment_label(F.col("extension")).alias("label"))
 
 
 def triage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triage report as lines of CSV, without the sizes of files: containers of orders, and pages that are no container."""
-    made = drawn.of_lines(_lines(spark, sf_dir), lambda lines: container([p for o, q, flag, _ in lines for p in (raw_jpeg(100 + q, 200) if flag == "R" else coded(21000, 29700), preview())]))
+    drawn_files = drawn.of_lines(_lines(spark, sf_dir), lambda lines: container([p for o, q, flag, _ in lines for p in (raw_jpeg(100 + q, 200) if flag == "R" else coded(21000, 29700), preview())]))
     other = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".xdw")).alias("path"), F.col("html").cast("binary").alias("content"))
-    files = made.unionByName(other)
-    docs = src.parsed(files)
-    attached = reports.attachment_counts(src.attachments(made))
+    docs = src.parsed(src.united(drawn_files, other))
+    attached = reports.attachment_counts(src.attachments(drawn_files))
     return reports.as_csv(reports.triage_rows(docs, audit.coverage(src.entries(docs)), attached).drop("bytes"))
 
 
@@ -210,7 +217,7 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tally of an archive in which some files are no containers."""
     other = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("path"), F.col("html").cast("binary").alias("content"))
-    return tally(Service().analyze(_mixed(spark, sf_dir).unionByName(other)))
+    return tally(Service().analyze(src.united(_mixed(spark, sf_dir), other)))
 
 
 def checked_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
