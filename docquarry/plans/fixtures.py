@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Callable, Iterator
 
@@ -32,15 +33,18 @@ def page(body: bytes) -> bytes:
     return tlv(0x64, tlv(0x81, b"\0\0\0\1") + tlv(0x82, body))
 
 
+@functools.lru_cache(4096)
 def raw_jpeg(w: int, h: int) -> bytes:
     image = jpeg(w, h)
     return page(struct.pack("<IIII", 16 + len(image), 0, w, h) + image)
 
 
+@functools.lru_cache(64)
 def coded(w: int, h: int) -> bytes:
     return page(num(0x80, 4) + num(0x81, 2000) + num(0x84, w) + num(0x85, h) + tlv(0x86, b"\0\0" + b"\x5a" * 30))
 
 
+@functools.lru_cache(1)
 def preview() -> bytes:
     head = struct.pack("<IiiHHIIiiII", 40, 104, 146, 1, 8, 0, 0, 0, 0, 216, 0)
     return page(num(0x80, 7) + num(0x81, 40) + tlv(0x86, head + struct.pack("<4I", 1, 32, 15184, 146) + b"\0" * 32))
@@ -51,7 +55,8 @@ def container(pages: list[bytes], generation: int = 7, properties: tuple[int, by
     out = tlv(0x60, num(0x82, generation) + tlv(0x83, b"\1\2\3\4"))
     block = tlv(0x63, properties[1]) if properties else b""
     size = sum(map(len, pages)) + 4 * len(pages) + 64 + len(block)
-    offsets, at = [], len(out) + len(tlv(0x61, b"\0" * size)) - size
+    octets = (size.bit_length() + 7) // 8 if size >= 0x80 else 0
+    offsets, at = [], len(out) + 2 + octets
     for p in pages:
         offsets.append(at)
         at += len(p)
@@ -60,20 +65,17 @@ def container(pages: list[bytes], generation: int = 7, properties: tuple[int, by
         fields += num(0x83, properties[0]) + num(0x84, len(properties[1]))
     tail = tlv(0x65, fields + tlv(0x86, struct.pack("<I", len(fields) + 6)))
     body = b"".join(pages) + block + tail
-    head = tlv(0x61, b"\0" * size)[: len(tlv(0x61, b"\0" * size)) - size]
-    n = len(body).to_bytes(len(head) - 2, "big") if len(head) > 2 else bytes([len(body)])
-    return out + (head[:2] + n if len(head) > 2 else bytes([0x61]) + n) + body
+    return out + (bytes([0x61, 0x80 | octets]) + len(body).to_bytes(octets, "big") if octets else bytes([0x61, len(body)])) + body
 
 
 def _orders(runs: bool):
-    def each(key: int, lines: list[dict]) -> tuple[str, bytes]:
+    def each(key: int, lines: list[tuple]) -> tuple[str, bytes]:
         pages = [coded(21000, 29700)] if runs else []
-        for line in lines:
-            q = int(line["q"])
+        for q, flag, _ in lines:
             if runs:
-                pages.append(raw_jpeg(100 + q // 10, 50))
+                pages.append(raw_jpeg(100 + int(q) // 10, 50))
             else:
-                pages += [raw_jpeg(100 + q, 200) if line["f"] == "R" else coded(21000, 29700), preview()]
+                pages += [raw_jpeg(100 + int(q), 200) if flag == "R" else coded(21000, 29700), preview()]
         return f"order{key}.xdw", container([*pages, preview()] if runs else pages)
 
     return each
@@ -86,8 +88,8 @@ def made(rows: DataFrame, each: Callable[[pa.RecordBatch], Iterator[tuple[str, b
     return out
 
 
-def of_orders(lineitem: DataFrame, each: Callable[[int, list[dict]], tuple[str, bytes]]) -> DataFrame:
-    """A file for each order of what `each` makes of its key and its lines, which are sorted. Orders are spread over all partitions:
+def of_orders(lineitem: DataFrame, each: Callable[[int, list[tuple]], tuple[str, bytes]]) -> DataFrame:
+    """A file for each order of what `each` makes of its key and its lines (quantity, flag, part), which are sorted. Orders are spread over all partitions:
     their rows are small but dear to work on, and by their size alone they would be put into one."""
     n = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = F.struct(F.col("l_linenumber").alias("i"), F.col("l_returnflag").alias("f"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"))
@@ -95,8 +97,13 @@ def of_orders(lineitem: DataFrame, each: Callable[[int, list[dict]], tuple[str,
 
     def files(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
         for part in slices(batch):
-            for key, lines in zip(part.column("k").to_pylist(), part.column("lines").to_pylist()):
-                yield each(key, lines)
+            lists = part.column("lines")
+            held = lists.flatten()
+            lines = list(zip(*(held.field(c).to_pylist() for c in ("q", "f", "p"))))
+            at = 0
+            for key, n in zip(part.column("k").to_pylist(), lists.value_lengths().to_pylist()):
+                yield each(key, lines[at : at + n])
+                at += n
 
     return made(grouped, files)
 

@@ -16,8 +16,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = src.parsed(order_containers(_lines(spark, sf_dir)))
-    return audit.coverage(src.entries(docs)).withColumn("verdict", audit.verdict(F.lit(0)))
+    return audit.coverage(src.audited(order_containers(_lines(spark, sf_dir)))).withColumn("verdict", audit.verdict(F.lit(0)))
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +28,11 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entry_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = src.parsed(order_containers(_lines(spark, sf_dir)))
-    return src.entries(docs).groupBy("data_kind", "role").agg(F.count("*").alias("n"), F.coalesce(F.sum("pixels.w"), F.lit(0)).alias("widths"))
+    return src.audited(order_containers(_lines(spark, sf_dir))).groupBy("data_kind", "role").agg(F.count("*").alias("n"), F.coalesce(F.sum("pixels.w"), F.lit(0)).alias("widths"))
 
 
 def picture_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = src.parsed(order_containers(_lines(spark, sf_dir), runs=True))
-    return audit.picture_runs(src.entries(docs)).select("path", "run", "first", "n", "width")
+    return src.picture_runs(order_containers(_lines(spark, sf_dir), runs=True)).select("path", "run", "first", "n", "width")
 
 
 def sniff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,8 +55,14 @@ def _given(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
         yield path.as_py(), content.as_py() or b""
 
 
-def _per_file(files: DataFrame, rows: Callable[[str, bytes], list[dict]], ddl: str) -> DataFrame:
-    """A table of what `rows` gives for each file, in batches of few rows and few bytes. Files that are made of rows are made
+def _batch(rows: list[dict] | list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    if rows and isinstance(rows[0], tuple):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _per_file(files: DataFrame, rows: Callable[[str, bytes], list[dict] | list[tuple]], ddl: str) -> DataFrame:
+    """A table of what `rows` gives for each file, by name or in the table's order, in batches of few rows and few bytes. Files that are made of rows are made
     one by one in the task that reads them, and no table holds them. files: path, content."""
     parts = getattr(files, "_docquarry_parts", None)
     if parts:
@@ -72,9 +78,9 @@ def _per_file(files: DataFrame, rows: Callable[[str, bytes], list[dict]], ddl: s
                 held += rows(path, content)
                 size += len(content)
                 if len(held) >= HELD_ROWS or size >= HELD_BYTES:
-                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    yield _batch(held, schema)
                     held, size = [], 0
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
+        yield _batch(held, schema)
 
     return source.mapInArrow(lean(run), ddl)
 
@@ -227,6 +233,39 @@ def entries(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.inline("entries"))
 
 
+AUDITED = f"path string, idx int, role string, belongs_to int, data_kind string, code bigint, pixels {PAIR}"
+
+
+def _audited(path: str, data: bytes, doc: dict) -> list[tuple]:
+    return [(path, e.idx, e.role, e.belongs_to, e.kind, e.code, e.pixels and {"w": e.pixels[0], "h": e.pixels[1]}) for e in doc["entries"]]
+
+
+def audited(files: DataFrame) -> DataFrame:
+    """Entries of files that can be read, with what audits ask of them alone: the same rows as of `entries`, in a few columns and not nested first."""
+    return _per_file(files, _readable(_audited), AUDITED)
+
+
+RUNS = "path string, sheet int, run bigint, first int, n bigint, width bigint"
+
+
+def _runs(path: str, data: bytes, doc: dict) -> list[tuple]:
+    out: list[list] = []
+    last: dict[int | None, list] = {}
+    for e in sorted((e for e in doc["entries"] if e.role == "picture"), key=lambda e: e.idx):
+        width, before = e.pixels and e.pixels[0], last.get(e.belongs_to)
+        if before and width is not None and before[5] == width:
+            before[4] += 1
+        else:
+            last[e.belongs_to] = [path, e.belongs_to, before[2] + 1 if before else 1, e.idx, 1, width]
+            out.append(last[e.belongs_to])
+    return [tuple(r) for r in out]
+
+
+def picture_runs(files: DataFrame) -> DataFrame:
+    """The runs of `audit.picture_runs`, told in the task that reads a file: path, sheet, run, first, n, width. No entry is shuffled or sorted."""
+    return _per_file(files, _readable(_runs), RUNS)
+
+
 def looks_like(content: Column) -> Column:
     """What bytes that are no container seem to be, by their first ones; null if nothing known."""
     head, zips = F.substring(content, 1, 512), F.lit("zip")
