@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ NOTES = {
     "ART": "no sheet recovers, but the artwork on them does",
     "NONE": "sheets are in the vendor codec",
 }
+#: The counts that `audit.covered` gives documents.
+COUNTS = ("sheets", "sheets_recovered", "pictures", "pictures_recovered", "thumbnails", "data_tables", "sheets_with_pictures", "sheets_blank")
 MM100_TO_POINT = 72.0 / 2540.0
 
 
@@ -92,10 +96,14 @@ def manifest(pages: DataFrame) -> DataFrame:
     return pages.select("path", "page", "kind", size("w").alias("width_mm"), size("h").alias("height_mm"), F.col("recovered").alias("recoverable"))
 
 
-def expectation(docs: DataFrame, covered: DataFrame) -> DataFrame:
-    """What a conversion must have: pages, and how many previews and pictures must not become pages."""
+def _with_counts(docs: DataFrame, covered: DataFrame | None) -> DataFrame:
+    return docs.where("error_code is null") if covered is None else docs.where("error_code is null").join(covered, "path", "left")
+
+
+def expectation(docs: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """What a conversion must have: pages, and how many previews and pictures must not become pages. covered: the counts, where documents do not have them."""
     shown = F.size("displays")
-    return docs.where("error_code is null").join(covered, "path", "left").select("path", F.when(shown > 0, shown.cast("long")).otherwise(F.coalesce("sheets", F.lit(0))).alias("pages"), F.coalesce("thumbnails", F.lit(0)).alias("previews"), F.coalesce("pictures", F.lit(0)).alias("pictures"))
+    return _with_counts(docs, covered).select("path", F.when(shown > 0, shown.cast("long")).otherwise(F.coalesce("sheets", F.lit(0))).alias("pages"), F.coalesce("thumbnails", F.lit(0)).alias("previews"), F.coalesce("pictures", F.lit(0)).alias("pictures"))
 
 
 def points(pages: DataFrame) -> DataFrame:
@@ -128,15 +136,17 @@ def size_findings(expected: DataFrame, observed: DataFrame, tolerance: float = 2
 def verified(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """A report for each converted file, a row a line: path, line, text. The last line says whether all is well; where pages are missing there is none. observed: path, pages."""
     o = observed.select(F.col("path").alias("op"), F.col("pages").alias("seen"))
-    both = expected.join(o, F.col("op") == F.col("path")).select("path", "pages", "seen")
-    head = both.select("path", F.lit(0).alias("line"), F.format_string("%s: container %d page(s), converted file %d page(s)", F.regexp_replace("path", "^.*/", ""), F.col("pages"), F.col("seen")).alias("text"))
-    extra = F.col("observed") - F.col("expected")
-    told = F.when(F.col("finding") == "PageCount", F.when(extra > 0, F.format_string("page count: %d extra", extra)).otherwise(F.format_string("page count: %d missing", -extra)))
-    told = told.when(F.col("finding") == "PreviewsConverted", F.format_string("the %d preview(s) were converted as pages", extra)).otherwise(F.format_string("the %d picture(s) were converted as pages", extra))
-    place = _case(F.col("finding"), {"PageCount": 1, "PreviewsConverted": 2, "PicturesConverted": 3}).cast("int")
-    notes = findings(expected, observed).select("path", place.alias("line"), F.concat(F.lit("  ! "), told).alias("text"))
-    end = both.where("seen >= pages").select("path", F.lit(9).alias("line"), F.when(F.col("seen") == F.col("pages"), "  OK: page counts agree").otherwise("  no page is missing; see the notes above").alias("text"))
-    return head.unionByName(notes).unionByName(end)
+    both = expected.join(o, F.col("op") == F.col("path"))
+    extra = F.col("seen") - F.col("pages")
+    line = lambda k, text: F.struct(F.lit(k).alias("line"), text.alias("text"))
+    told = F.array_compact(F.array(
+        line(0, F.format_string("%s: container %d page(s), converted file %d page(s)", F.regexp_replace("path", "^.*/", ""), F.col("pages"), F.col("seen"))),
+        F.when(extra != 0, line(1, F.when(extra > 0, F.format_string("  ! page count: %d extra", extra)).otherwise(F.format_string("  ! page count: %d missing", -extra)))),
+        F.when((extra == F.col("previews")) & (F.col("previews") > 0), line(2, F.format_string("  ! the %d preview(s) were converted as pages", extra))),
+        F.when((extra == F.col("pictures")) & (F.col("pictures") > 0), line(3, F.format_string("  ! the %d picture(s) were converted as pages", extra))),
+        F.when(extra >= 0, line(9, F.when(extra == 0, "  OK: page counts agree").otherwise("  no page is missing; see the notes above"))),
+    ))
+    return both.select("path", F.inline(told))
 
 
 def streams(docs: DataFrame) -> DataFrame:
@@ -181,20 +191,22 @@ def output_stems(paths: DataFrame) -> DataFrame:
     return paths.select("path", stem(F.col("path")).alias("s")).select("path", F.when(n == 1, F.col("s")).otherwise(F.concat_ws("~", "s", n.cast("string"))).alias("stem"))
 
 
-def describe() -> Column:
-    """An entry in one line."""
-    size = lambda c: F.when(F.col(c).isNotNull(), F.format_string(" %dx%d", F.col(f"{c}.w"), F.col(f"{c}.h"))).otherwise("")
-    ratio = F.when(F.col("data_kind").isin("encoded", "preview"), F.concat(F.lit(" ("), fixed(F.coalesce("expanded", "aux") / F.greatest(F.coalesce("stored", "length"), F.lit(1)), 1), F.lit("x)"))).otherwise("")
-    turn = F.when(F.col("rotation") != 0, F.format_string(" turned %d", F.col("rotation"))).otherwise("")
-    over = F.when(F.col("overlays") > 0, F.format_string(" +%d overlay(s)", F.col("overlays"))).otherwise("")
-    return F.concat(F.col("role"), F.lit(" "), F.col("data_kind"), size("pixels"), F.coalesce(ratio, F.lit("")), turn, over)
+def describe(of: Callable[[str], Column] = F.col) -> Column:
+    """An entry in one line. of: gives a field of the entry."""
+    size = lambda c: F.when(of(c).isNotNull(), F.format_string(" %dx%d", of(c)["w"], of(c)["h"])).otherwise("")
+    ratio = F.when(of("data_kind").isin("encoded", "preview"), F.concat(F.lit(" ("), fixed(F.coalesce(of("expanded"), of("aux")) / F.greatest(F.coalesce(of("stored"), of("length")), F.lit(1)), 1), F.lit("x)"))).otherwise("")
+    turn = F.when(of("rotation") != 0, F.format_string(" turned %d", of("rotation"))).otherwise("")
+    over = F.when(of("overlays") > 0, F.format_string(" +%d overlay(s)", of("overlays"))).otherwise("")
+    return F.concat(of("role"), F.lit(" "), of("data_kind"), size("pixels"), F.coalesce(ratio, F.lit("")), turn, over)
 
 
-def info(docs: DataFrame, covered: DataFrame) -> DataFrame:
-    """What a document is, in a row: the counts, the first eight entries and how many more there are."""
-    lines = docs.where("error_code is null").select("path", F.inline("entries")).withColumn("line", describe()).where("idx < 8").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]).alias("first_entries"))
-    head = docs.where("error_code is null").select("path", "length", "generation", "trailer_tag", "generations_present", "rebuilt", "image_derived", "unknown_elements", "properties_stored", "properties_expanded", F.size("displays").alias("display_pages"), F.size("entries").alias("n_entries"))
-    return head.join(covered, "path", "left").join(lines, "path", "left").withColumn("more_entries", F.greatest(F.col("n_entries") - 8, F.lit(0)))
+def info(docs: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """What a document is, in a row: the counts, the first eight entries and how many more there are. covered: the counts, where documents do not have them."""
+    known = ("path", "length", "generation", "trailer_tag", "generations_present", "rebuilt", "image_derived", "unknown_elements", "properties_stored", "properties_expanded")
+    told = F.filter("entries", lambda e: e["idx"] < 8)
+    lines = F.transform(F.array_sort(F.transform(told, lambda e: F.struct(e["idx"].alias("idx"), describe(e.getField).alias("line")))), lambda x: x["line"])
+    head = docs.select(*known, F.size("displays").alias("display_pages"), F.size("entries").alias("n_entries"), F.when(F.size(told) > 0, lines).alias("first_entries"), "error_code", *([] if covered is not None else COUNTS))
+    return _with_counts(head, covered).drop("error_code").withColumn("more_entries", F.greatest(F.col("n_entries") - 8, F.lit(0)))
 
 
 def info_lines(told: DataFrame) -> DataFrame:

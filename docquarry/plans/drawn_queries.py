@@ -227,8 +227,7 @@ def checked_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversions whose page counts are the quantities of parts by five."""
-    docs = src.parsed(_mixed(spark, sf_dir))
-    expected = reports.expectation(docs, audit.coverage(src.entries(docs)))
+    expected = reports.expectation(audit.covered(src.parsed(_mixed(spark, sf_dir))))
     seen = _lines(spark, sf_dir).groupBy("l_orderkey").agg((F.max("l_quantity") % 9).cast("bigint").alias("pages")).select(F.concat(F.lit("order"), F.col("l_orderkey").cast("string"), F.lit(".xdw")).alias("path"), "pages")
     return reports.verified(expected, seen)
 
@@ -240,8 +239,7 @@ def pdf_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def info_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What documents are, in words."""
     files = drawn.of_lines(_lines(spark, sf_dir), lambda lines: container([p for o, q, flag, _ in lines for p in (raw_jpeg(100 + q, 200) if flag == "R" else coded(21000, 29700), preview())]))
-    docs = src.parsed(files)
-    return reports.info_lines(reports.info(docs, audit.coverage(src.entries(docs))))
+    return reports.info_lines(reports.info(audit.covered(src.parsed(files))))
 
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:

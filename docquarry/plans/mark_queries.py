@@ -65,9 +65,9 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversions whose page counts are the remainders of the orders' keys by nine."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_partkey")
-    docs = src.parsed(order_containers(lines))
+    docs = audit.covered(src.parsed(order_containers(lines)))
     seen = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("order"), F.col("o_orderkey").cast("string"), F.lit(".xdw")).alias("path"), (F.col("o_orderkey") % 9).cast("bigint").alias("pages"))
-    return reports.findings(reports.expectation(docs, audit.coverage(src.entries(docs))), seen).select("path", "expected", "observed", "finding", "loss")
+    return reports.findings(reports.expectation(docs), seen).select("path", "expected", "observed", "finding", "loss")
 
 
 QUERIES = {"page_text": page_text, "mark_bounds": mark_bounds, "mark_order": mark_order, "masked_pictures": masked_pictures, "number_runs": number_runs, "gap_chain": gap_chain, "manifest": manifest, "streams": streams, "findings": findings}
