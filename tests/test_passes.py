@@ -3,7 +3,7 @@ import os
 import pytest
 
 from docquarry.functions.container import parse
-from docquarry.functions.lzh import expand, stored
+from docquarry.functions.lzh import expand, expand_all, stored
 from docquarry.operators import audit
 from docquarry.plans import fixtures, queries
 from docquarry.sources import containers as src
@@ -63,6 +63,16 @@ def test_equal_entries_are_entries_of_their_own():
     assert (b.overlays, b.unknown, c.overlays, c.unknown) == ([], [], [], [])
 
 
+@pytest.mark.parametrize("cut", range(0, 40, 3))
+def test_letters_of_eight_bits_end_where_the_stream_does(cut):
+    """Blocks of letters that all have eight bits are taken at once; what is cut off is missing, and all before it is there."""
+    text = bytes(range(256)) * 300  # two blocks, the second not on an octet's edge
+    coded = stored(text)
+    held = expand_all(coded[: len(coded) - cut], 1 << 28)
+    assert text.startswith(held) and len(text) - cut - 1 <= len(held) <= len(text) - max(cut - 1, 0)
+    assert expand(coded, len(text) - cut) == text[: len(text) - cut]
+
+
 def test_streams_of_one_code_expand_alike():
     for text in (b"abc", b"xyz" * 50000, b"abc"):
         assert expand(stored(text), len(text)) == text
